@@ -10,7 +10,8 @@ similarity of 0.75 two sets miss all tables with a chance of 1e-4, at 0.8 of 1e-
    share fills them, are divided by rare shingles: of two sets that are similar enough, each has a
    shared shingle among its rarest quarter, so the division loses no link.
 4. What a division holds is joined to two pivots first; components that are found are skipped from
-   then on. What is left after ROUNDS is compared in blocks, under bounds on size and position.
+   then on. What is left after ROUNDS is compared in blocks. Pairs that bounds on size, on position or
+   on the difference of two bitmaps rule out are not formed; the bounds are exact.
 5. A pair is linked if 100 * intersection >= 75 * union of its full sets.
 """
 
@@ -92,9 +93,26 @@ def _signed(data: np.ndarray, offsets: np.ndarray) -> dict:
     return {"n": pa.array(np.diff(rows).astype(np.int64)), "node": _node(grams, rows), "keys": as_list(flat, np.concatenate([[0], np.cumsum(count)]))}
 
 
+def bitmaps(grams: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Eight 64-bit words a row: each bit tells whether an odd number of shingles falls on it.
+
+    Two sets differ by at least as many shingles as their bitmaps by bits.
+    """
+    n = len(rows) - 1
+    out = np.zeros((n, 8), np.int64)
+    for a in range(0, n, 4096):
+        b = min(a + 4096, n)
+        own = np.repeat(np.arange(b - a), np.diff(rows[a : b + 1]))
+        bit = (W.mixed(grams[rows[a] : rows[b]] + np.uint64(99)) >> np.uint64(55)).astype(np.int64)
+        odd = np.bincount(own * 512 + bit, minlength=(b - a) * 512) & 1
+        out[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, 512), axis=1).view(np.int64)
+    return out
+
+
 def _sets(data: np.ndarray, offsets: np.ndarray) -> dict:
     grams, rows = shingle_sets(data, offsets)
-    return {"node": _node(grams, rows), "shingles": as_list(grams.view(np.int64), rows)}
+    bits = bitmaps(grams, rows).reshape(-1)
+    return {"node": _node(grams, rows), "shingles": as_list(grams.view(np.int64), rows), "bits": as_list(bits, np.arange(len(rows)) * 8)}
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -122,7 +140,10 @@ def _ordered(c: str, d: str) -> list:
     return [F.least(c, d).alias("u"), F.greatest(c, d).alias("v")]
 
 
-_SIZE = "100 * least(n, m) >= 75 * greatest(n, m)"
+_SIZE = f"100 * least(n, m) >= {SHARE} * greatest(n, m)"
+#: A pair that is similar enough has at least NEED shingles in common, and so at most n + m - 2 * NEED that are not.
+_NEED = f"ceil({SHARE} * (n + m) / {100 + SHARE})"
+_BITS = " + ".join(f"bit_count(bits[{i}] ^ bits2[{i}])" for i in range(8)) + f" <= n + m - 2 * {_NEED}"
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -154,10 +175,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         ids = near.select(F.col("first_id").alias("doc_id")).distinct()
         source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         source = source.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, source.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-        sets = map_texts(source, "text", ["doc_id"], "doc_id long, node binary, shingles array<bigint>", _sets)
-        sets = sets.join(near.select("node", F.col("first_id").alias("f")), "node").where("doc_id <=> f").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        sets = map_texts(source, "text", ["doc_id"], "doc_id long, node binary, shingles array<bigint>, bits array<bigint>", _sets)
+        sets = sets.join(near.select("node", F.col("first_id").alias("f")), "node").where("doc_id <=> f").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
         sets = staged(sets, "sets")
-        links = _links(members, near, sets)
+        links = _links(members, sets)
         comps = components(links)
         label = comps.join(near.select("node", "first_id"), "node").groupBy("comp").agg(F.min("first_id").alias("least"))
         found = comps.join(label, "comp").select("node", "least")
@@ -169,10 +190,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(members: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (u, v) that join all nodes which links join."""
-    few = members.where(F.col("c") <= CROWD).join(near.select("node", "n"), "node").select("key", "node", "n")
-    pairs = few.join(few.select("key", F.col("node").alias("other"), F.col("n").alias("m")), "key").where(f"node < other and {_SIZE}").select(*_ordered("node", "other")).distinct()
+    few = members.where(F.col("c") <= CROWD).join(sets.select("node", F.size("shingles").alias("n"), "bits"), "node").select("key", "node", "n", "bits")
+    pairs = few.join(few.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("bits").alias("bits2")), "key").where(f"node < other and {_SIZE} and {_BITS}").select(*_ordered("node", "other")).distinct()
     links = staged(_linked(pairs, sets), "links")
     crowd = members.where(F.col("c") > CROWD).select("node").distinct()
 
@@ -182,27 +203,27 @@ def _links(members: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
     item = item.join(staged(item.groupBy("s").agg(F.count("*").alias("df")), "rarity"), "s")
     ranked = item.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
     prefix = ranked.select("node", "n", F.posexplode(F.slice("all", F.lit(1), F.expr("cast(n - ceil(0.75 * n) + 1 as int)"))).alias("pos", "e")).where("e.df > 1")
-    parts = staged(prefix.select(F.col("e.s").alias("key"), "node", "n", "pos"), "parts")
+    parts = staged(prefix.select(F.col("e.s").alias("key"), "node", "n", "pos").join(sets.select("node", "bits"), "node"), "parts")
     if parts.isEmpty():
         return links
 
     left = parts
     for turn in range(ROUNDS + 1):
-        comps = components(links)
+        comps = components(links, 2)
         now = left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        stat = now.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "pos", "node", "comp")).alias("p"), F.max(F.struct(F.xxhash64("node").alias("h"), "n", "pos", "node", "comp")).alias("q")).where("lo <> hi")
+        stat = now.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "pos", "node", "comp", "bits")).alias("p"), F.max(F.struct(F.xxhash64("node").alias("h"), "n", "pos", "node", "comp", "bits")).alias("q")).where("lo <> hi")
         now = staged(now.join(stat.select("key", "c", "p", "q"), "key"), "open")
         if now.isEmpty():
             return links
-        fits = f"{_SIZE} and least(n - pos, m - at) >= ceil({SHARE} * (n + m) / {100 + SHARE})"
+        fits = f"{_SIZE} and least(n - pos, m - at) >= {_NEED} and {_BITS}"
         if turn < ROUNDS:
-            tried = [now.where(f"comp <> {x}.comp").select("node", "n", "pos", F.col(f"{x}.node").alias("other"), F.col(f"{x}.n").alias("m"), F.col(f"{x}.pos").alias("at")) for x in "pq"]
+            tried = [now.where(f"comp <> {x}.comp").select("node", "n", "pos", F.col(f"{x}.node").alias("other"), F.col(f"{x}.n").alias("m"), F.col(f"{x}.pos").alias("at"), "bits", F.col(f"{x}.bits").alias("bits2")) for x in "pq"]
             pairs = tried[0].union(tried[1]).where(fits)
-            rest = now.where("node <> p.node and node <> q.node").select("key", "node", "n", "pos")
+            rest = now.where("node <> p.node and node <> q.node").select("key", "node", "n", "pos", "bits")
         else:
             cut = now.withColumn("k", F.expr(f"cast(ceil(c / {BLOCK}) as int)")).withColumn("b", F.expr("cast(pmod(xxhash64(node), k) as int)"))
-            one = cut.select("key", "node", "n", "pos", "comp", "b", F.explode(F.expr("sequence(b, k - 1)")).alias("b2"))
-            two = cut.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("comp2"), F.col("b").alias("b2"), F.explode(F.expr("sequence(0, b)")).alias("b"))
+            one = cut.select("key", "node", "n", "pos", "comp", "bits", "b", F.explode(F.expr("sequence(b, k - 1)")).alias("b2"))
+            two = cut.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("comp2"), F.col("bits").alias("bits2"), F.col("b").alias("b2"), F.explode(F.expr("sequence(0, b)")).alias("b"))
             pairs, rest = one.join(two, ["key", "b", "b2"]).where(f"comp <> comp2 and {fits}"), None
         more = staged(_linked(pairs.select(*_ordered("node", "other")).distinct(), sets), "links")
         links = links.union(more)
