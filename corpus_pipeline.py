@@ -1,6 +1,81 @@
-"""A corpus pipeline (being written)."""
+"""From documents to token ids: quality, toxicity, near-duplicates, decontamination, encoding.
+
+Each stage works on all that the one before kept. What it rejects is gone from then on; the columns
+of documents stay as they are up to the last stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import mil, neardup, toxicity, winnow
+from tidemark.llm.bpe import encoded
+from tidemark.llm.queries import tokenizer_path
+from tidemark.llm.shared import new_path, table
+
+#: Thresholds of the two classifiers, as in their own queries.
+QUALITY, TOXIC = 0.3, 0.5
+#: Ids that are broadcast at most, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _less(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without those of ``ids``; a null id is never among them."""
+    gone = ids.where("doc_id is not null").distinct()
+    gone = gone.withColumnRenamed("doc_id", "gone_id")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score for quality reaches the threshold."""
+    model = mil.learned(docs, table(spark, sf_dir, "labels"))
+    return docs.where(mil.scorer(model)("text") >= QUALITY)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score for toxicity stays under the threshold."""
+    lexicon = toxicity.learned(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.scorer(spark, lexicon)("text") < TOXIC)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, that of the smallest id; of rows that repeat id and text one."""
+    left = _less(docs, neardup.near_duplicates(docs).where("not kept").select("doc_id"))
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id")
+    if again.isEmpty():
+        return left
+    return _less(left, again).union(left.join(again, "doc_id", "left_semi").select(left.columns).dropDuplicates(["doc_id", "text"]))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return _less(docs, winnow.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of each document."""
+    made = encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("toxicity", toxic),
+    ("minhash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("byte-level BPE", tokens),
+]
+
+#: Models that are trained cannot be written in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
