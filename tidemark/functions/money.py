@@ -16,9 +16,15 @@ with localcontext() as _c:
     _HALF = Decimal("1.0001").sqrt()
 
 
+def shifted(raw: str, digits: int = 18) -> str:
+    """SQL of an unsigned integer's text with its point moved, as decimal(38,18): no division that rounds."""
+    wide = f"lpad({raw}, greatest(length({raw}), {digits + 1}), '0')"
+    return f"case when {raw} rlike '^[0-9]+$' then try_cast(concat(left({wide}, length({wide}) - {digits}), '.', right({wide}, {digits})) as decimal(38,18)) end"
+
+
 def wei(raw: str, digits: int = 18) -> Column:
     """Text of an integer as decimal(38,18); null where it is no integer or too wide for Spark's decimals."""
-    return F.expr(f"cast(try_divide(try_cast({raw} as decimal(38,0)), cast(1e{digits} as decimal(20,0))) as decimal(38,18))")
+    return F.expr(shifted(raw, digits))
 
 
 def part(amount: str, millionths: str) -> str:
@@ -40,7 +46,8 @@ def inverse_percent(raw: str) -> Column:
 
 
 def gas_fee(used: str, effective: str, price: str) -> Column:
-    return F.expr(f"cast({used} * coalesce({effective}, {price}) / cast(1e18 as decimal(20,0)) as decimal(38,18))")
+    """used x price in units of 1e18; each is divided by 1e9 first, which keeps the product exact."""
+    return F.expr(f"cast(cast({used} / 1000000000 as decimal(18,9)) * cast(coalesce({effective}, {price}) / 1000000000 as decimal(19,9)) as decimal(38,18))")
 
 
 def wide_wei(raw: str | None, digits: int = 18) -> str | None:

@@ -103,5 +103,5 @@ def stake_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id as event_id", "block_number", "log_index", "block_timestamp",
         "case event_name when 'Bond' then 'Bond' when 'Unbond' then if(k % 4 = 0, 'WithdrawStake', 'Unbond') when 'TranscoderUpdate' then 'EarningsClaimed' else if(k % 2 = 0, 'Rebond', 'TransferBond') end as event_name",
         "concat('d', user_id % 40) as from_address", "case when k % 9 = 0 then null else concat('d', k % 40) end as to_address",
-        "case when k % 11 <> 0 then amount_normalized end as amount_normalized", "case when event_name = 'TranscoderUpdate' then concat(k, '000000000000000000') end as rewards",
+        "case when k % 11 <> 0 then amount_normalized end as amount_normalized", "case when event_name = 'TranscoderUpdate' then concat(k, '000000000000000') end as rewards",
     )
