@@ -12,7 +12,8 @@ from tidemark.operators.core import as_of_join, date_spine, keyset_page, null_sa
 from tidemark.plans.registry import dbl, query
 from tidemark.sources import protocol as P
 
-_DAY = F.to_date("block_timestamp").alias("day")
+def _day():
+    return F.to_date("block_timestamp").alias("day")
 
 
 def final_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def payouts_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     usd = F.coalesce("amount_usd", F.lit(0))
     own = F.expr(commission("amount_normalized", "share"))
     own_usd = F.expr(commission("cast(coalesce(amount_usd, 0) as decimal(24,12))", "share"))
-    g = j.groupBy(_DAY, F.col("to_address").alias("orchestrator"), "valuation_version", "kind").agg(
+    g = j.groupBy(_day(), F.col("to_address").alias("orchestrator"), "valuation_version", "kind").agg(
         F.count("*").alias("payouts"), F.sum("amount_normalized").alias("face"), F.sum(own).alias("commission"), F.sum(F.col("amount_normalized") - own).alias("delegators"),
         F.sum(usd).alias("face_usd"), F.sum(own_usd).alias("commission_usd"), F.countDistinct("from_address").alias("gateways"), F.count("amount_usd").alias("priced"), F.max("id").alias("last_event"),
     )
@@ -72,7 +73,7 @@ def rewards_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewards by day, orchestrator and version; the orchestrator's part is amount x cut, the rest its delegators'."""
     e = with_shares(final_events(spark, sf_dir).where("event_name = 'Reward'"), P.protocol_events(spark, sf_dir))
     own = F.expr(part("amount_normalized", "share"))
-    return valued(e, P.valuations(spark, sf_dir)).groupBy(_DAY, F.col("to_address").alias("orchestrator"), "valuation_version").agg(
+    return valued(e, P.valuations(spark, sf_dir)).groupBy(_day(), F.col("to_address").alias("orchestrator"), "valuation_version").agg(
         F.count("*").alias("rewards"), F.sum("amount_normalized").alias("total"), F.sum(own).alias("own"), F.sum(F.col("amount_normalized") - own).alias("delegators"), F.sum(F.coalesce("amount_usd", F.lit(0))).alias("total_usd"), F.count("amount_usd").alias("priced"), F.max("id").alias("last_event"),
     )
 
@@ -92,7 +93,7 @@ def p19_rewards_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tickets_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets by day and kind, valued or not."""
     e = final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed'").join(P.classifications(spark, sf_dir), F.col("from_address") == F.col("gateway"), "left")
-    return e.groupBy(_DAY, F.coalesce("kind", F.lit("transcoding")).alias("kind")).agg(F.count("*").alias("tickets"), F.countDistinct("to_address").alias("orchestrators"), F.countDistinct("from_address").alias("gateways"))
+    return e.groupBy(_day(), F.coalesce("kind", F.lit("transcoding")).alias("kind")).agg(F.count("*").alias("tickets"), F.countDistinct("to_address").alias("orchestrators"), F.countDistinct("from_address").alias("gateways"))
 
 
 _TIX = """tix AS (SELECT CAST(block_timestamp AS DATE) AS day, coalesce(c.kind, 'transcoding') AS kind, count(*) AS tickets, count(DISTINCT to_address) AS orchestrators, count(DISTINCT from_address) AS gateways
@@ -108,7 +109,7 @@ def p20_tickets_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics_daily(events: DataFrame, val: DataFrame) -> DataFrame:
     """Events by day, contract, event, asset and version: what is valued, final and has an asset."""
     j = valued(events.where("is_canonical and finality = 'finalized' and asset is not null"), val)
-    return j.groupBy(_DAY, "contract_name", "event_name", "asset", "valuation_version").agg(F.count("*").alias("events"), F.sum("amount_normalized").alias("native"), F.sum("amount_usd").alias("usd"), F.count("amount_usd").alias("priced"), F.max("id").alias("last_event"))
+    return j.groupBy(_day(), "contract_name", "event_name", "asset", "valuation_version").agg(F.count("*").alias("events"), F.sum("amount_normalized").alias("native"), F.sum("amount_usd").alias("usd"), F.count("amount_usd").alias("priced"), F.max("id").alias("last_event"))
 
 
 _MET = """met AS (SELECT CAST(e.block_timestamp AS DATE) AS day, e.contract_name, e.event_name, e.asset, v.valuation_version, count(*) AS events, sum(e.amount_normalized) AS native, sum(v.amount_usd) AS usd, count(v.amount_usd) AS priced, max(e.id) AS last_event
@@ -302,11 +303,11 @@ WHERE a.day IS NULL OR t.day IS NULL OR t.tickets <> a.tickets OR t.orchestrator
 def p22_rollup_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks 300 to 500 turn out not to be canonical."""
     e = final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed' and not (block_number between 300 and 500)").join(P.classifications(spark, sf_dir), F.col("from_address") == F.col("gateway"), "left")
-    after = e.groupBy(_DAY, F.coalesce("kind", F.lit("transcoding")).alias("kind")).agg(F.count("*").alias("tickets"), F.countDistinct("to_address").alias("orchestrators"), F.countDistinct("from_address").alias("gateways"))
+    after = e.groupBy(_day(), F.coalesce("kind", F.lit("transcoding")).alias("kind")).agg(F.count("*").alias("tickets"), F.countDistinct("to_address").alias("orchestrators"), F.countDistinct("from_address").alias("gateways"))
     return repaired(tickets_daily(spark, sf_dir), after, ["day", "kind"])
 
 
 @query("SELECT CAST(block_timestamp AS DATE) AS day, sum(CASE WHEN seen THEN 0 ELSE 1 END)::BIGINT AS new_gateways FROM (SELECT *, row_number() OVER (PARTITION BY CAST(block_timestamp AS DATE), from_address ORDER BY id) > 1 AS seen FROM ev WHERE event_name = 'WinningTicketRedeemed' AND is_canonical) GROUP BY 1")
 def p23_distinct_gateways(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = P.protocol_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed' and is_canonical")
-    return e.groupBy(_DAY).agg(F.countDistinct("from_address").alias("new_gateways"))
+    return e.groupBy(_day()).agg(F.countDistinct("from_address").alias("new_gateways"))
