@@ -9,6 +9,7 @@ and all at once.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,8 +29,8 @@ COUNT = 60 // BITS
 ESCAPE = 15
 #: Values of a block; ids that a row of the files holds at least, unless a partition ends.
 BLOCK, GROUP = 1024, 1 << 18
-#: Pieces of texts that a worker remembers.
-CACHE = 200_000
+#: Pieces of texts that a worker remembers, about 200 bytes each.
+CACHE = 1_000_000
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,15 +40,25 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    # from each place on: the first selector whose bits suffice for as many values as it holds, or all left in the block
+    # from each place on the selector of the most values that are narrow enough, or that are left in the block;
+    # where one does not fit, no selector of fewer bits does, as it takes more values
     end = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
     choice = np.full(n, ESCAPE, np.int8)
     take = np.ones(n, np.int64)
+    most, where = int(v.max()), None
     for s in range(len(BITS) - 1, -1, -1):
-        over = np.concatenate([[0], np.cumsum(v >> np.uint64(BITS[s]) != 0, dtype=np.int32)])
-        stop = np.minimum(np.arange(n) + COUNT[s], end)
-        fits = over[stop] == over[:n]
-        choice[fits], take[fits] = s, (stop - np.arange(n))[fits]
+        if most >> int(BITS[s]) == 0:
+            choice[:], where = s, None
+            continue
+        over = np.zeros(n + 1, np.int32)
+        np.cumsum(v >= np.uint64(1 << int(BITS[s])), dtype=np.int32, out=over[1:])
+        where = np.arange(n) if where is None else where
+        where = where[over[np.minimum(where + COUNT[s], end[where])] == over[where]]
+        if not len(where):
+            break
+        choice[where] = s
+    short = choice != ESCAPE
+    take[short] = np.minimum(np.arange(n)[short] + COUNT[choice[short]], end[short]) - np.arange(n)[short]
     # all blocks step from word to word together
     heads, at = [], np.arange(blocks) * BLOCK
     stops = np.minimum(at + BLOCK, n)
@@ -105,28 +116,58 @@ def decode(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Texts of ASCII and the Latin letters of its first extension have pieces that are found without the library: one normal
+#: form, one lower case, and its rules for what parts pieces.
+_PLAIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
 @lru_cache(2)
 def _tokenizer(path: str):
+    """The tokenizer, whether each id ends a piece, and what has been remembered of pieces."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    own = Tokenizer.from_file(path)
+    ends = np.array([(own.id_to_token(i) or "").endswith("</w>") for i in range(own.get_vocab_size())])
+    return own, ends, {}
+
+
+def _learn(path: str, pieces: list[str], known: dict[str, bytes]) -> None:
+    """Encode pieces by the thousand, spaces between, and cut the ids where words end."""
+    tokenizer, ends, _ = _tokenizer(path)
+    for a in range(0, len(pieces), 2000):
+        some = pieces[a : a + 2000]
+        ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        stop = np.flatnonzero(ends[ids]) + 1
+        if len(stop) == len(some) and (not len(ids) or stop[-1] == len(ids)):
+            blob, at = ids.tobytes(), [0, *(stop * 4).tolist()]
+            known.update((p, blob[x:y]) for p, x, y in zip(some, at[:-1], at[1:], strict=True))
+        else:  # special tokens, or pieces that the tokenizer parts
+            for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[p] = np.array(e.ids, "<u4").tobytes()
 
 
 def _ids(path: str, texts: list[str]) -> list[bytes]:
-    """Little-endian ids of each text. The tokenizer drops white space, so what spaces and line ends part can be encoded, and remembered, on its own."""
-    tokenizer, cache = _tokenizer(path)
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({p for row in parts for p in row if p not in cache})
+    """Little-endian ids of each text.
+
+    The tokenizer drops white space and looks at one piece at a time, so pieces can be encoded, and
+    remembered, on their own. Texts with other letters, and with what may be a special token,
+    are parted at spaces and line ends only, which no piece crosses.
+    """
+    cache = _tokenizer(path)[2]
+    parts = [_PIECES.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else [p for p in t.replace("\n", " ").split(" ") if p] for t in texts]
+    found = [list(map(cache.get, row)) for row in parts]
+    new = list({p for row, has in zip(parts, found, strict=True) if None in has for p, x in zip(row, has, strict=True) if x is None})
+    if not new:
+        return list(map(b"".join, found))
     if len(cache) + len(new) > CACHE:
         cache.clear()
         new = list({p for row in parts for p in row})
+        found = [[None]] * len(parts)
     own = cache if len(new) <= CACHE else {}
-    for a in range(0, len(new), 5000):
-        some = new[a : a + 5000]
-        for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            own[p] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([own[p] for p in row]) for row in parts]
+    _learn(path, new, own)
+    return [b"".join([own[p] for p in row] if None in has else has) for row, has in zip(parts, found, strict=True)]
 
 
 FILES = "part int, seq long, before long, doc_ids array<bigint>, counts array<bigint>, starts array<bigint>, payload binary"
