@@ -119,7 +119,7 @@ class Lexicon:
     def hits(self, text: str | None) -> tuple[float, int]:
         """Sum of the weights and number of words."""
         folded = fold(text)
-        words = folded.count(" ") - 1
+        words = 0 if folded.isspace() else folded.count(" ") - 1
         if not self.weights or words < 1:
             return 0.0, 0
         best: dict[int, tuple[int, float]] = {}
