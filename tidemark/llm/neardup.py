@@ -31,7 +31,7 @@ from tidemark.llm.shared import as_list, dropped, map_texts, staged
 #: Words a shingle; keys in each collection; the share of the union that two sets must have in common, in hundredths.
 SHINGLE, M, SHARE = 5, 12, 75
 #: Nodes that a table may have to give all its pairs; nodes in one block; rounds of pivots.
-CROWD, BLOCK, ROUNDS = 4, 1000, 3
+CROWD, BLOCK, ROUNDS = 4, 1000, 2
 #: Documents whose ids are broadcast at most (8 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -207,19 +207,21 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     if parts.isEmpty():
         return links
 
-    left = parts
+    # a set that meets many others in its divisions is likely the middle of a group
+    size = parts.join(parts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").groupBy("node").agg(F.sum("c").alias("met"))
+    left = staged(parts.join(size, "node"), "met")
     for turn in range(ROUNDS + 1):
-        comps = components(links, 2)
+        comps = components(links, 2 if turn < ROUNDS else None)
         now = left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        stat = now.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "pos", "node", "comp", "bits")).alias("p"), F.max(F.struct(F.xxhash64("node").alias("h"), "n", "pos", "node", "comp", "bits")).alias("q")).where("lo <> hi")
+        stat = now.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("met", "n", "pos", "node", "comp", "bits")).alias("p"), F.max(F.struct(F.xxhash64("node").alias("h"), "n", "pos", "node", "comp", "bits")).alias("q")).where("lo <> hi")
         now = staged(now.join(stat.select("key", "c", "p", "q"), "key"), "open")
         if now.isEmpty():
             return links
         fits = f"{_SIZE} and least(n - pos, m - at) >= {_NEED} and {_BITS}"
         if turn < ROUNDS:
             tried = [now.where(f"comp <> {x}.comp").select("node", "n", "pos", F.col(f"{x}.node").alias("other"), F.col(f"{x}.n").alias("m"), F.col(f"{x}.pos").alias("at"), "bits", F.col(f"{x}.bits").alias("bits2")) for x in "pq"]
-            pairs = tried[0].union(tried[1]).where(fits)
-            rest = now.where("node <> p.node and node <> q.node").select("key", "node", "n", "pos", "bits")
+            pairs = tried[0].union(tried[1]).where(f"{_SIZE} and {_BITS}")
+            rest = now.where("node <> p.node and node <> q.node").select("key", "node", "n", "pos", "bits", "met")
         else:
             cut = now.withColumn("k", F.expr(f"cast(ceil(c / {BLOCK}) as int)")).withColumn("b", F.expr("cast(pmod(xxhash64(node), k) as int)"))
             one = cut.select("key", "node", "n", "pos", "comp", "bits", "b", F.explode(F.expr("sequence(b, k - 1)")).alias("b2"))
