@@ -25,7 +25,7 @@ def _less(docs: DataFrame, ids: DataFrame) -> DataFrame:
     gone = ids.where("doc_id is not null").distinct()
     gone = gone.withColumnRenamed("doc_id", "gone_id")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

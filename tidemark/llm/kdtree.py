@@ -31,7 +31,9 @@ def leaves(points: DataFrame, dims: list[str], weight: str, depth: int) -> DataF
         for r in seen:
             root = root or {d: max(r[f"hi_{d}"] - r[f"lo_{d}"], 1e-300) for d in dims}
             d = max(dims, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / root[d])
-            plan[r.leaf] = {"d": d, "lo": r[f"lo_{d}"], "hi": r[f"hi_{d}"], "left": 0.0}
+            plan[r.leaf] = {"d": d, "lo": r[f"lo_{d}"], "hi": r[f"hi_{d}"]}
+        if not plan:
+            break
         for turn in range(PASSES):
             at = _by_leaf(plan, lambda p: f"`{p['d']}`")
             lo, wide = _by_leaf(plan, lambda p: repr(p["lo"]) + "D"), _by_leaf(plan, lambda p: repr(max(p["hi"] - p["lo"], 1e-300)) + "D")
@@ -51,12 +53,12 @@ def leaves(points: DataFrame, dims: list[str], weight: str, depth: int) -> DataF
                 p["cut"] = p["lo"] + step * (b + (half - run > run + sums[leaf].get(b, 0.0) - half))
                 p["lo"], p["hi"] = p["lo"] + step * b, p["lo"] + step * (b + 1)
         right = " ".join(f"when {leaf} then `{p['d']}` >= {p['cut']!r}D" for leaf, p in plan.items())
-        now = now.withColumn("leaf", F.expr(f"leaf * 2 + if(case leaf {right} end, 1, 0)")) if plan else now
+        now = now.withColumn("leaf", F.expr(f"leaf * 2 + if(case leaf {right} end, 1, 0)"))
     return now
 
 
 def _by_leaf(plan: dict, what) -> str:
-    return "(case leaf " + " ".join(f"when {leaf} then {what(p)}" for leaf, p in plan.items()) + " end)" if plan else "0D"
+    return "(case leaf " + " ".join(f"when {leaf} then {what(p)}" for leaf, p in plan.items()) + " end)"
 
 
 def shards(docs: DataFrame, depth: int = 4, text: str = "text", doc_id: str = "doc_id", rows_a_cell: int = 20_000) -> DataFrame:
