@@ -18,65 +18,69 @@ from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
 #: Vectors in a shard, queries in a block, vectors that a traversal takes between two looks at the k-th best.
-SHARD, BLOCK, STEP = 16384, 1024, 2048
+SHARD, BLOCK, STEP = 16384, 1024, 4096
 #: Terms that are probed between two comparisons with the k-th best.
-PROBE = 8
+PROBE = 16
 
 
 class Shard:
-    """Postings of one shard: by term the rows in ascending order, and the largest weight."""
+    """Postings of one shard, a line of weights for each dimension, rows in ascending order of id."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], np.ascontiguousarray(vectors[order])
-        self.top = np.maximum(self.x.max(0), 0)
-        self.bottom = np.maximum((-self.x).max(0), 0)
+        self.ids, self.lines = ids[order], np.ascontiguousarray(vectors[order].T)
+        self.top = np.maximum(self.lines.max(1), 0)
+        self.bottom = np.maximum((-self.lines).max(1), 0)
 
     def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best but ``own``, best first, smaller ids first among ties."""
         bound = np.where(q > 0, q * self.top, -q * self.bottom)
         terms = np.argsort(-bound, kind="stable")
         left = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], [0]])  # of the terms from each place on
-        best_ids, best = np.zeros(0, self.ids.dtype), np.zeros(0, self.x.dtype)
+        best_ids, best = np.zeros(0, self.ids.dtype), np.zeros(0, self.lines.dtype)
         for a in range(0, len(self.ids), STEP):
-            x, ids = self.x[a : a + STEP], self.ids[a : a + STEP]
-            floor = best[k - 1] if len(best) >= k else None
-            essential = len(terms) if floor is None else int(np.count_nonzero(left[:-1] >= floor))
-            if floor is not None and essential == 0:
-                break
-            first = terms[: max(1, min(essential, PROBE))]
-            if floor is None:
-                rows = np.flatnonzero(ids != own)
+            ids, rows = self.ids[a : a + STEP], None
+            if len(best) < k:
+                score = q @ self.lines[:, a : a + STEP]
             else:
-                use = terms[:essential]
-                if essential * 2 > len(terms):  # the union of so many postings is nearly every row
-                    rows = np.flatnonzero(ids != own)
-                else:
-                    rows = np.flatnonzero(((x[:, use] * np.sign(q[use])) > 0).any(1) & (ids != own))
-            score = x[rows][:, first] @ q[first] if len(rows) else np.zeros(0, self.x.dtype)
-            at = len(first)
-            while at < len(terms) and len(rows):
-                if floor is not None:
-                    keep = score + left[at] >= floor
-                    if not keep.all():
-                        rows, score = rows[keep], score[keep]
-                part = terms[at : at + PROBE]
-                score = score + x[np.ix_(rows, part)] @ q[part]
-                at += PROBE
-            if floor is not None and len(rows):
+                floor = best[k - 1]
+                essential = int(np.count_nonzero(left[:-1] >= floor))
+                if essential == 0:
+                    break
+                if essential * 2 < len(terms):  # else the union of the postings is nearly every row
+                    use = terms[:essential]
+                    rows = np.flatnonzero((self.lines[use, a : a + STEP] * np.sign(q[use])[:, None] > 0).any(0))
+                score, at = None, 0
+                while at < len(terms):
+                    part = terms[at : at + PROBE]
+                    more = q[part] @ (self.lines[part, a : a + STEP] if rows is None else self.lines[part[:, None], a + rows])
+                    score, at = more if score is None else score + more, at + PROBE
+                    keep = score + left[min(at, len(terms))] >= floor
+                    n = np.count_nonzero(keep)
+                    if n * 4 < len(keep):  # a few are probed one by one, many as whole lines
+                        rows, score = np.flatnonzero(keep) if rows is None else rows[keep], score[keep]
+                        if not n:
+                            break
                 keep = score >= floor
-                rows, score = rows[keep], score[keep]
-            if len(rows):
-                best, best_ids = np.concatenate([best, score]), np.concatenate([best_ids, ids[rows]])
+                rows, score = np.flatnonzero(keep) if rows is None else rows[keep], score[keep]
+            ids = ids if rows is None else ids[rows]
+            other = ids != own
+            if not other.all():
+                ids, score = ids[other], score[other]
+            if len(ids):
+                best, best_ids = np.concatenate([best, score]), np.concatenate([best_ids, ids])
+                if len(best) > 4 * k:
+                    keep = best >= np.partition(best, -k)[-k]
+                    best, best_ids = best[keep], best_ids[keep]
                 order = np.lexsort((best_ids, -best))[:k]
                 best, best_ids = best[order], best_ids[order]
         return best_ids, best
 
 
 def _matrix(column: pd.Series, limit: int) -> np.ndarray:
-    """Integers as doubles where every score is exact in them, else as Python's integers."""
+    """Integers in floats where every score is exact in them, else as Python's integers."""
     x = np.stack(column.to_numpy())
-    return x.astype(np.float64) if limit < 2**53 else x.astype(object)
+    return x.astype(np.float32 if limit < 2**24 else np.float64 if limit < 2**53 else object)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, shards: int, blocks: int, limit: int = 2**52) -> DataFrame:
