@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidemark.plans import entities, feeds, operations, rollups, stake, valuation  # noqa: F401
+from tidemark.plans import entities, feeds, history, operations, rollups, stake, valuation  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL  # noqa: F401
