@@ -6,12 +6,14 @@ from tidemark.plans.operations import guarded
 from tidemark.plans.rollups import period, route
 
 
-def test_as_of_join_against_a_loop(spark):
+@pytest.mark.parametrize("span", [None, 1, 4, 100])
+def test_as_of_join_against_a_loop(spark, span):
     r = random.Random(4)
     points = [(r.choice("abc"), r.randint(0, 30), r.randint(0, 2), r.choice([None, r.randint(0, 9)])) for _ in range(60)]
     points = list({p[:3]: p for p in points}.values())
     probes = [(i, r.choice(["a", "b", "c", "d", None]), r.randint(0, 32), r.randint(0, 2)) for i in range(150)]
-    got = core.as_of_join(spark.createDataFrame(probes, "i int, k string, b int, l int"), spark.createDataFrame(points, "k string, b int, l int, v int"), ["k"], ["b", "l"], ["v"])
+    a, b = spark.createDataFrame(probes, "i int, k string, b int, l int"), spark.createDataFrame(points, "k string, b int, l int, v int")
+    got = core.as_of_join(a, b, ["k"], ["b", "l"], ["v"], span)
     want = {i: max(((p[1:3], p[3]) for p in points if p[0] == k and p[1:3] <= (b, l)), key=lambda x: x[0], default=(0, None))[1] for i, k, b, l in probes}
     assert {x.i: x.v for x in got.collect()} == want
 

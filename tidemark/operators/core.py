@@ -10,19 +10,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def as_of_join(probe: DataFrame, points: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+def as_of_join(probe: DataFrame, points: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], span: int | None = None) -> DataFrame:
     """``probe`` with the ``values`` of the last point at or before it in ``order``, for equal ``keys``.
 
     Both sides go through one shuffle on the keys; a point comes before a probe of the same place, and
     is taken whole, nulls in it too. Without a point the values are null. Null keys or places match nothing.
+
+    With a ``span`` a key's rows are dealt by ranges of so many of the first order column, so that a key which
+    has a large part of all rows is the work of many tasks: the last point of each range, one row a
+    key and range, is carried into the ranges after it.
     """
+    ks, os_ = [f"_k{i}" for i in range(len(keys))], [f"_o{i}" for i in range(len(order))]
+    places = [F.col(k).alias(n) for k, n in zip(keys, ks, strict=True)] + [F.col(o).alias(n) for o, n in zip(order, os_, strict=True)]
+    part = F.floor(F.col(order[0]) / span).alias("_part") if span else F.lit(0).cast("bigint").alias("_part")
     known = points.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, *order]]))
-    side = F.struct(*[F.col(v) for v in values]).alias("_point")
-    left = probe.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.lit(1).alias("_probe"), F.struct("*").alias("_row"))
-    right = known.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.lit(0).alias("_probe"), side)
+    left = probe.select(*places, part, F.lit(1).alias("_probe"), F.struct("*").alias("_row"))
+    right = known.select(*places, part, F.lit(0).alias("_probe"), F.struct(*values).alias("_point"))
     both = left.unionByName(right, allowMissingColumns=True)
-    w = W.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(*[f"_o{i}" for i in range(len(order))], "_probe").rowsBetween(W.unboundedPreceding, 0)
-    some = reduce(lambda a, b: a & b, [F.col(f"_k{i}").isNotNull() for i in range(len(keys))] + [F.col(f"_o{i}").isNotNull() for i in range(len(order))])
+    if span:
+        ends = right.groupBy(*ks, "_part").agg(F.max(F.struct(*os_, "_point")).alias("_end"))
+        asked = left.select(*ks, "_part").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
+        before = W.partitionBy(*ks).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        carried = ends.unionByName(asked).groupBy(*ks, "_part").agg(F.max("_end").alias("_end")).withColumn("_in", F.last("_end", ignorenulls=True).over(before)).where("_in is not null")
+        both = both.unionByName(carried.select(*ks, "_part", F.lit(0).alias("_probe"), F.col("_in._point").alias("_point")), allowMissingColumns=True)  # no place: before all
+    w = W.partitionBy(*ks, "_part").orderBy(*os_, "_probe").rowsBetween(W.unboundedPreceding, 0)
+    some = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*ks, *os_]])
     last = F.when(some, F.last("_point", ignorenulls=True).over(w)).alias("_last")
     return both.select("_probe", "_row", last).where("_probe = 1").select("_row.*", *[F.col(f"_last.{v}").alias(v) for v in values])
 

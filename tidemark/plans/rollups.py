@@ -12,6 +12,10 @@ from tidemark.operators.core import as_of_join, date_spine, keyset_page, null_sa
 from tidemark.plans.registry import dbl, query
 from tidemark.sources import protocol as P
 
+#: Blocks of one recipient's events that a task of an as-of join takes at most.
+AS_OF_BLOCKS = 1_000_000
+
+
 def _day():
     return F.to_date("block_timestamp").alias("day")
 
@@ -23,7 +27,7 @@ def final_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_shares(events: DataFrame, every: DataFrame) -> DataFrame:
     """``events`` with the fee share of the last update of their recipient at or before them; 0 without any."""
     updates = every.where("event_name = 'TranscoderUpdate' and is_canonical").select("to_address", "block_number", "log_index", F.col("fee_share").alias("share"))
-    return as_of_join(events, updates, ["to_address"], ["block_number", "log_index"], ["share"]).withColumn("share", F.coalesce("share", F.lit(0)))
+    return as_of_join(events, updates, ["to_address"], ["block_number", "log_index"], ["share"], AS_OF_BLOCKS).withColumn("share", F.coalesce("share", F.lit(0)))
 
 
 def valued(events: DataFrame, val: DataFrame, how: str = "inner") -> DataFrame:
