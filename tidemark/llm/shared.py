@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
-PASS_BYTES = 2 << 20
+PASS_BYTES = (1 << 20) - 1
+#: Bytes of an Arrow batch between Spark and Python, where the session has not another limit than Spark's own.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,13 +51,14 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def small_batches(spark: SparkSession) -> None:
+    """Keep what a task holds of texts to a few megabytes."""
+    if spark.conf.get(BATCH_SETTING).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
-def row_hash(*cols) -> F.Column:
-    """A 64-bit hash of columns, null as a value of its own."""
-    return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\x00null")) for c in cols])
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_fold(doc_id: F.Column, folds: int = 5) -> F.Column:
@@ -91,6 +94,8 @@ def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Call
     arrays, one value a row. ``keep`` columns go along. Memory follows PASS_BYTES and the longest text.
     """
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(text))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import as_list, buffers, new_path
+from tidemark.llm.shared import as_list, buffers, new_path, small_batches
 
 #: Bits and number of values of each selector, most values first.
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -182,6 +182,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, text: s
     an empty one; each document ends with ``end_id``. Null ids come first; rows with the same id
     follow each other by the hash of their texts.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import crc_fold
+from tidemark.llm.shared import crc_fold, small_batches
 
 #: Labelled documents to learn from and terms at most.
 FIT_DOCS, TERMS = 20_000, 1000
@@ -154,6 +154,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon
     is taken that adds the most, counted by the different words before it, to toxic documents with fewer
     than COVER terms. Copies of a document count as one, so neither they nor chance add terms. The driver sees CANDIDATES terms and, for each toxic document of the sample, which of them it has.
     """
+    small_batches(docs.sparkSession)
     sample = _sample(docs, labels, label)
     counts = sample.mapInPandas(_counted, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     found = counts.where(f"pos >= {GAIN} and pos >= {PURE} * (pos + neg)").orderBy(F.desc("pos"), "neg", F.length("term"), "term").limit(CANDIDATES).collect()
