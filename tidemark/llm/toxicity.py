@@ -28,7 +28,7 @@ CANDIDATES, GAIN, PURE, COVER = 20_000, 5, 0.9, 3
 #: Lengths of beginnings of words.
 SHORTEST, LONGEST = 4, 9
 #: Entries of a counter of terms before it is handed on.
-FLUSH = 200_000
+FLUSH = 100_000
 
 #: Look-alikes of Cyrillic, Greek and other alphabets.
 HOMOGLYPHS = {
