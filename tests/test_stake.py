@@ -54,16 +54,17 @@ def test_cases(spark, case):
     check(spark, CASES[case])
 
 
-def test_random_events(spark):
+@pytest.mark.parametrize("span", [7, 40, 10**6])
+def test_random_events(spark, span):
     r = random.Random(2)
     kinds = ["Bond", "Unbond", "Rebond", "WithdrawStake", "TransferBond", "EarningsClaimed"]
     who = ["d%d" % i for i in range(6)]
-    check(spark, [(i, i // 3, i % 3, r.choice(kinds), r.choice(who), r.choice([*who, None]), r.choice([None, r.randint(0, 99)]), r.choice([None, str(r.randint(0, 10**19))])) for i in range(400)])
+    check(spark, [(i, i // 3, i % 3, r.choice(kinds), r.choice(who), r.choice([*who, None]), r.choice([None, r.randint(0, 99)]), r.choice([None, str(r.randint(0, 10**19))])) for i in range(400)], span)
 
 
-def check(spark, events):
+def check(spark, events, span=150):
     df = frame(spark, events)
     rows, reg, last = replay(events)
-    got = {(x.delegator, x.block_number): (x.balance, x.delegate, x.source, x.event_id) for x in stake_rows(df).collect()}
+    got = {(x.delegator, x.block_number): (x.balance, x.delegate, x.source, x.event_id) for x in stake_rows(df, span).collect()}
     assert got == rows
-    assert {x.delegator: (x.first_block, x.is_active) for x in registry(df).collect()} == {d: (b, last[d] > 0) for d, b in reg.items()}
+    assert {x.delegator: (x.first_block, x.is_active) for x in registry(df, span).collect()} == {d: (b, last[d] > 0) for d, b in reg.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.core import as_of_join, keyset_page, latest_by
 from tidemark.plans.entities import rounds, tallies
 from tidemark.plans.registry import dbl, query
-from tidemark.plans.rollups import _REW, final_events, rewards_daily, valued
+from tidemark.plans.rollups import _REW, AS_OF_BLOCKS, final_events, rewards_daily, valued
 from tidemark.plans.stake import _REPLAY, current_stake, stake_rows
 from tidemark.sources import protocol as P
 
@@ -50,12 +50,12 @@ def j22_j24_rounds_with_day_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, latest FROM (SELECT id AS event_id, block_number FROM ev WHERE event_name = 'Bond') b LEFT JOIN LATERAL (SELECT max(round) AS latest FROM (SELECT min(block_number) AS fb, round FROM stk GROUP BY round) r WHERE r.fb <= b.block_number) ON true")
 def w12_round_at_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest round that had begun at the block of each bond: rounds are ranges of blocks, a row each."""
-    begun = rounds(spark, sf_dir).groupBy("first_block").agg(F.max("round").alias("round"))
-    w = W.orderBy("first_block")  # one row a round: a few thousand in all
-    ranges = begun.select(F.col("first_block").alias("a"), F.coalesce(F.lead("first_block").over(w), F.lit(2**62)).alias("b"), F.max("round").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("latest"))
-    blocks = P.protocol_events(spark, sf_dir).where("event_name = 'Bond'").select(F.col("id").alias("event_id"), "block_number")
-    return blocks.join(F.broadcast(ranges), F.expr("block_number >= a and block_number < b"), "left").select("event_id", "latest")
+    """The latest round that had begun at the block of each bond: as of the block, dealt by ranges of blocks."""
+    w = W.orderBy("block_number").rowsBetween(W.unboundedPreceding, 0)  # one row a round: a few thousand in all
+    begun = rounds(spark, sf_dir).groupBy(F.col("first_block").alias("block_number")).agg(F.max("round").alias("round"))
+    starts = begun.select(F.lit(1).alias("chain"), "block_number", F.max("round").over(w).alias("latest"))
+    blocks = P.protocol_events(spark, sf_dir).where("event_name = 'Bond'").select(F.col("id").alias("event_id"), "block_number", F.lit(1).alias("chain"))
+    return as_of_join(blocks, starts, ["chain"], ["block_number"], ["latest"], AS_OF_BLOCKS).select("event_id", "latest")
 
 
 @query("SELECT address, round, raw_reward_cut + 1 AS new_cut FROM stk WHERE round % 6 = 1 AND round > 3")

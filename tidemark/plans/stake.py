@@ -19,34 +19,51 @@ def by_delegator(events: DataFrame) -> DataFrame:
     return events.withColumn("delegator", F.explode(who)).withColumn("is_to", F.col("to_address").eqNullSafe(F.col("delegator"))).where("delegator is not null")
 
 
-def replayed(events: DataFrame) -> DataFrame:
+#: Blocks of one delegator's events that a task takes at most.
+REPLAY_BLOCKS = 1_000_000
+
+_DELTA = f"case when skipped then 0 when event_name in ('Bond', 'Rebond') then coalesce(amount_normalized, 0) when event_name = 'Unbond' then -coalesce(amount_normalized, 0) when event_name = 'EarningsClaimed' then coalesce({shifted('rewards')}, 0) else 0 end"
+
+
+def _carried(df: DataFrame, **sums) -> DataFrame:
+    """What the ranges before each (delegator, part) leave: one row a range, by a window over those."""
+    before = W.partitionBy("delegator").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    one = df.groupBy("delegator", "part").agg(*[part.alias(n) for n, (part, _) in sums.items()])
+    return one.select("delegator", "part", *[whole(n).over(before).alias(f"in_{n}") for n, (_, whole) in sums.items()])
+
+
+def replayed(events: DataFrame, span: int = REPLAY_BLOCKS) -> DataFrame:
     """Balance and delegate after each event that counts, in (block_number, log_index) order.
 
-    Events that take stake away, move or restore it before the delegator is registered are skipped. All
-    running values come from windows over one shuffle by delegator. Null amounts count as 0.
+    Events that take stake away, move or restore it before the delegator is registered are skipped. The
+    running values are windows over ranges of ``span`` blocks, into which what earlier ranges leave is
+    carried, so that one delegator with a large part of all events is the work of many tasks. Null amounts count as 0.
     """
-    w = W.partitionBy("delegator").orderBy("block_number", "log_index", "event_id")
-    past, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
-    e = by_delegator(events)
+    e = by_delegator(events).withColumn("part", F.floor(F.col("block_number") / span))
     e = e.withColumn("registers", F.expr("(event_name = 'Bond') or (event_name = 'TransferBond' and is_to)"))
-    e = e.withColumn("before", F.coalesce(F.max("registers").over(past), F.lit(False)))
+    w = W.partitionBy("delegator", "part").orderBy("block_number", "log_index", "event_id")
+    past, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
+    e = e.join(_carried(e, reg=(F.max("registers"), F.max)), ["delegator", "part"])
+    e = e.withColumn("before", F.coalesce("in_reg", F.lit(False)) | F.coalesce(F.max("registers").over(past), F.lit(False)))
     e = e.withColumn("skipped", F.expr("not before and (event_name in ('Unbond', 'WithdrawStake', 'Rebond') or (event_name = 'TransferBond' and not is_to))"))
-    delta = f"case when skipped then 0 when event_name in ('Bond', 'Rebond') then coalesce(amount_normalized, 0) when event_name = 'Unbond' then -coalesce(amount_normalized, 0) when event_name = 'EarningsClaimed' then coalesce({shifted('rewards')}, 0) else 0 end"
-    e = e.withColumn("balance", F.sum(F.expr(f"cast({delta} as decimal(24,18))")).over(upto))
-    points = F.expr("case when not skipped and event_name in ('Bond', 'Unbond', 'Rebond', 'EarningsClaimed') then to_address end")
-    e = e.withColumn("delegate", F.coalesce(F.last(points, ignorenulls=True).over(upto), F.lit(P.ZERO)))
+    e = e.withColumn("delta", F.expr(f"cast({_DELTA} as decimal(24,18))"))
+    e = e.withColumn("points", F.expr("case when not skipped and event_name in ('Bond', 'Unbond', 'Rebond', 'EarningsClaimed') then to_address end"))
+    newest = F.max(F.when(F.col("points").isNotNull(), F.struct("block_number", "log_index", "event_id", "points")))
+    e = e.join(_carried(e, sum=(F.sum("delta"), F.sum), last=(newest, lambda n: F.last(n, ignorenulls=True))), ["delegator", "part"])
+    e = e.withColumn("balance", F.coalesce("in_sum", F.lit(0)).cast("decimal(34,18)") + F.sum("delta").over(upto).cast("decimal(34,18)"))
+    e = e.withColumn("delegate", F.coalesce(F.last("points", ignorenulls=True).over(upto), F.col("in_last.points"), F.lit(P.ZERO)))
     return e.withColumn("source", F.expr("if(event_name = 'EarningsClaimed' and not before, 'earnings_claimed_bootstrap', 'flow_derived')"))
 
 
-def stake_rows(events: DataFrame) -> DataFrame:
+def stake_rows(events: DataFrame, span: int = REPLAY_BLOCKS) -> DataFrame:
     """The state after the last event that counts of each delegator and block."""
-    r = replayed(events).where("not skipped").select("delegator", "block_number", "log_index", "event_id", "balance", "delegate", "source")
+    r = replayed(events, span).where("not skipped").select("delegator", "block_number", "log_index", "event_id", "balance", "delegate", "source")
     return latest_by(r, ["delegator", "block_number"], ["log_index", "event_id"])
 
 
-def registry(events: DataFrame) -> DataFrame:
+def registry(events: DataFrame, span: int = REPLAY_BLOCKS) -> DataFrame:
     """Delegators that were ever registered: first registration, last event, whether stake is left."""
-    r = replayed(events).where("not skipped")
+    r = replayed(events, span).where("not skipped")
     g = r.groupBy("delegator").agg(F.min(F.when(F.col("registers"), F.struct("block_number", "log_index"))).alias("first"), F.max(F.struct("block_number", "log_index", "balance")).alias("last"), F.count("*").alias("events"))
     return g.where("first is not null").selectExpr("delegator", "first.block_number as first_block", "last.block_number as last_block", "last.balance as balance", "last.balance > 0 as is_active", "events")
 
@@ -131,7 +148,7 @@ def p14_orchestrators_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     seen = P.protocol_events(spark, sf_dir).where("contract_name = 'BondingManager'").groupBy(F.col("to_address").alias("orchestrator")).agg(F.min("block_number").alias("since"))
     s = P.stake_rounds(spark, sf_dir)
-    ends = s.groupBy("round").agg(F.max("block_number").alias("block"))
-    pairs = ends.join(seen, F.col("since") <= F.col("block"))
+    ends = s.groupBy("round").agg(F.max("block_number").alias("block")).agg(F.collect_list(F.struct("round", "block")).alias("ends"))  # one row; a few thousand rounds in all
+    pairs = seen.crossJoin(F.broadcast(ends)).select("orchestrator", F.explode(F.expr("filter(ends, e -> e.block >= since).round")).alias("round"))
     state = s.select("round", F.col("address").alias("orchestrator"), "total_stake", "is_active")
     return pairs.join(state, ["round", "orchestrator"], "left").selectExpr("round", "orchestrator", *dbl("total_stake"), "coalesce(is_active, false) as in_pool")
