@@ -94,4 +94,4 @@ def table_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Number of rows and an order-free hash of them, computed in partial sums."""
     row = F.md5(F.concat_ws("§", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))
     half = F.conv(F.substring(row, 1, 12), 16, 10).cast("bigint")
-    return df.agg(F.count("*").alias("n_rows"), F.sum(half).cast("bigint").alias("hash_sum"))
+    return df.agg(F.count("*").alias("n_rows"), (F.sum(half.cast("decimal(20,0)")) % F.lit(10**18).cast("decimal(19,0)")).cast("bigint").alias("hash_sum"))

@@ -250,7 +250,7 @@ def a26_a27_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.protocol_events(spark, sf_dir).agg(F.max(final).alias("block"), F.max("finalized_at").alias("finalized_at"), F.max(F.when(F.col("is_valuable"), F.col("id"))).alias("last_valuable"))
 
 
-@query("SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('§', CAST(id AS VARCHAR), event_name, coalesce(asset, ''), coalesce(CAST(amount_normalized AS VARCHAR), ''))), 1, 12) AS BIGINT)) AS BIGINT) AS hash_sum FROM ev")
+@query("SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('§', CAST(id AS VARCHAR), event_name, coalesce(asset, ''), coalesce(CAST(amount_normalized AS VARCHAR), ''))), 1, 12) AS BIGINT)) % 1000000000000000000 AS BIGINT) AS hash_sum FROM ev")
 def a28_a29_table_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_hash(P.protocol_events(spark, sf_dir), ["id", "event_name", "asset", "amount_normalized"])
 
