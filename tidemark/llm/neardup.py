@@ -214,7 +214,8 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
         comps = components(links, 2 if turn < ROUNDS else None)
         now = left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         stat = now.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("met", "n", "pos", "node", "comp", "bits")).alias("p"), F.max(F.struct(F.xxhash64("node").alias("h"), "n", "pos", "node", "comp", "bits")).alias("q")).where("lo <> hi")
-        now = staged(now.join(stat.select("key", "c", "p", "q"), "key"), "open")
+        # written first, so that the join has shuffles of its own, whose hot keys Spark can split
+        now = staged(now.join(staged(stat.select("key", "c", "p", "q"), "stat"), "key"), "open")
         if now.isEmpty():
             return links
         fits = f"{_SIZE} and least(n - pos, m - at) >= {_NEED} and {_BITS}"
