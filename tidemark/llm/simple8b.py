@@ -40,35 +40,41 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    # from each place on the selector of the most values that are narrow enough, or that are left in the block;
-    # where one does not fit, no selector of fewer bits does, as it takes more values
-    end = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
+    # from each place on the selector of the most values that are narrow enough; where one does not fit,
+    # no selector of fewer bits does, as it takes more values
     choice = np.full(n, ESCAPE, np.int8)
-    take = np.ones(n, np.int64)
     most, where = int(v.max()), None
+    narrow = v.astype(np.uint32) if most < 1 << 32 else v
     for s in range(len(BITS) - 1, -1, -1):
         if most >> int(BITS[s]) == 0:
-            choice[:], where = s, None
+            choice[:] = s
             continue
-        over = np.zeros(n + 1, np.int32)
-        np.cumsum(v >= np.uint64(1 << int(BITS[s])), dtype=np.int32, out=over[1:])
-        where = np.arange(n) if where is None else where
-        where = where[over[np.minimum(where + COUNT[s], end[where])] == over[where]]
-        if not len(where):
+        c = int(COUNT[s])
+        over = np.zeros(n + c + 1, np.int32)
+        np.cumsum(narrow >= narrow.dtype.type(1 << int(BITS[s])), dtype=np.int32, out=over[1 : n + 1])
+        over[n + 1 :] = over[n]
+        if where is None:
+            fits = over[c : c + n] == over[:n]
+            np.putmask(choice, fits, s)
+            if 4 * np.count_nonzero(fits) < n:
+                where = np.flatnonzero(fits)
+        else:
+            where = where[over[where + c] == over[where]]
+            choice[where] = s
+        if where is not None and not len(where):
             break
-        choice[where] = s
-    short = choice != ESCAPE
-    take[short] = np.minimum(np.arange(n)[short] + COUNT[choice[short]], end[short]) - np.arange(n)[short]
     # all blocks step from word to word together
+    count = np.append(COUNT, [0, 1])  # by selector
     heads, at = [], np.arange(blocks) * BLOCK
     stops = np.minimum(at + BLOCK, n)
     while len(at):
         heads.append(at)
-        at = at + take[at]
+        at = at + count[choice[at]]
         on = at < stops
         at, stops = at[on], stops[on]
     head = np.sort(np.concatenate(heads))
-    which, size = choice[head], take[head]
+    take = np.minimum(count[choice[head]], np.minimum((head // BLOCK + 1) * BLOCK, n) - head)
+    which, size = choice[head], take
     wide = 1 + (which == ESCAPE)
     place = np.concatenate([[0], np.cumsum(wide)])
     out = np.zeros(place[-1], np.uint64)
