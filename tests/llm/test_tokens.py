@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -50,6 +51,18 @@ def test_pieces_of_words_are_the_library_s(word_own, texts):
     assert got == [e.ids for e in word_own.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_of_no_end_or_two_keep_their_ids_in_a_fresh_cache(word_own):
+    cache = simple8b._tokenizer(WORD)[2]
+    for gap in "\t", "\r", "\xa0", "\u3000":
+        for text in f"a {gap} œuf, b", f"b œuf, {gap} a", f"{gap} “a b, c” œuf", f"œ word, {gap} Été x":
+            cache.clear()
+            assert np.frombuffer(simple8b._ids(WORD, [text])[0], "<u4").tolist() == word_own.encode(text, add_special_tokens=False).ids
+    for order in itertools.permutations(["a", "\t", "œuf,", "b", "word,", "\u3000"]):
+        known = {}
+        simple8b._learn(WORD, list(order), known)
+        assert all(np.frombuffer(known[p], "<u4").tolist() == word_own.encode(p, add_special_tokens=False).ids for p in order)
+
+
 def test_round_trip_of_hard_rows(hard, empty, tiktoken_own):
     rows = hard.collect()
     got = bpe.round_trip(hard, BYTE).collect()

@@ -126,6 +126,8 @@ def decode(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 #: form, one lower case, and its rules for what parts pieces.
 _PLAIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: What is one piece of such texts for certain, so that its ids have exactly one end.
+_ONE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+")
 
 
 @lru_cache(2)
@@ -140,29 +142,46 @@ def _tokenizer(path: str):
 
 
 def _learn(path: str, pieces: list[str], known: dict[str, bytes]) -> None:
-    """Encode pieces by the thousand, spaces between, and cut the ids where words end."""
+    """Encode pieces: those of exactly one end by the thousand, spaces between, cut where words end; each other alone."""
     tokenizer, ends, _ = _tokenizer(path)
-    for a in range(0, len(pieces), 2000):
-        some = pieces[a : a + 2000]
+    sure, rest = [], []
+    for p in pieces:
+        (sure if _ONE.fullmatch(p) and "<|" not in p else rest).append(p)
+    for a in range(0, len(sure), 2000):
+        some = sure[a : a + 2000]
         ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
         stop = np.flatnonzero(ends[ids]) + 1
-        if len(stop) == len(some) and (not len(ids) or stop[-1] == len(ids)):
+        if len(stop) == len(some) and stop[-1] == len(ids):
             blob, at = ids.tobytes(), [0, *(stop * 4).tolist()]
             known.update((p, blob[x:y]) for p, x, y in zip(some, at[:-1], at[1:], strict=True))
-        else:  # special tokens, or pieces that the tokenizer parts
-            for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+        else:  # a vocabulary that lacks some letters
+            rest += some
+    for a in range(0, len(rest), 2000):
+        some = rest[a : a + 2000]
+        for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            known[p] = np.array(e.ids, "<u4").tobytes()
+
+
+def _parts(text: str) -> list[str]:
+    """The pieces of a text; where other letters or what may be a special token occur, whole words between spaces and line ends."""
+    if "<|" not in text and _PLAIN.fullmatch(text):
+        return _PIECES.findall(text.lower())
+    parts = []
+    for p in text.replace("\n", " ").split(" "):
+        if p:
+            parts += _PIECES.findall(p.lower()) if "<|" not in p and _PLAIN.fullmatch(p) else [p]
+    return parts
 
 
 def _ids(path: str, texts: list[str]) -> list[bytes]:
     """Little-endian ids of each text.
 
     The tokenizer drops white space and looks at one piece at a time, so pieces can be encoded, and
-    remembered, on their own. Texts with other letters, and with what may be a special token,
+    remembered, on their own. Words with other letters, and with what may be a special token,
     are parted at spaces and line ends only, which no piece crosses.
     """
     cache = _tokenizer(path)[2]
-    parts = [_PIECES.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else [p for p in t.replace("\n", " ").split(" ") if p] for t in texts]
+    parts = [_parts(t) for t in texts]
     found = [list(map(cache.get, row)) for row in parts]
     new = list({p for row, has in zip(parts, found, strict=True) if None in has for p, x in zip(row, has, strict=True) if x is None})
     if not new:
