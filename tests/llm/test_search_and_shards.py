@@ -83,6 +83,18 @@ def test_a_third_of_all_rows_is_one_text(spark, frame):
     assert len(sizes) == 16 and max(abs(s / mean - 1) for s in sizes.values()) < 0.15
 
 
+def test_a_third_of_all_bytes_has_one_length(spark, frame):
+    r = random.Random(4)
+    rest = [(i, ("y" * int(r.paretovariate(1.2) * 60))[-3500:] + str(r.random())) for i in range(4000)]
+    for size in 1500, 4000:
+        n = sum(len(t) + 1 for _, t in rest) // (2 * size)
+        for hot in ["z" * size] * n, [f"{i:08}" * (size // 8) + "." * (size % 8) for i in range(n)]:
+            docs = rest + [(10000 + i, t) for i, t in enumerate(hot)]
+            sizes = laws(kdtree.shards(frame(docs)).collect(), docs)
+            mean = sum(sizes.values()) / 16
+            assert len(sizes) == 16 and max(abs(s / mean - 1) for s in sizes.values()) < 0.2, (size, sorted(round(s / mean, 2) for s in sizes.values()))
+
+
 def test_shards_of_hard_rows(hard, empty):
     laws(kdtree.shards(hard).collect(), [(r.doc_id, r.text) for r in hard.collect()])
     assert kdtree.shards(empty).collect() == []

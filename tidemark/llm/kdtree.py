@@ -65,9 +65,9 @@ def shards(docs: DataFrame, depth: int = 4, text: str = "text", doc_id: str = "d
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``bytes``: 2 ** depth shards of near equal UTF-8 bytes, a row's being those of its text
-    plus 1 (a null text: 1). The dimensions come from the text alone: its length and its hash; so
-    equal texts share a shard, but for those that weigh more than WHOLE of a leaf: of these each row
-    has a place of its own. Slots run from 0 without gaps in each shard; a null id is an id like others. Fewer
+    plus 1 (a null text: 1). The dimensions come from the text alone: its length and its hash, which also
+    orders texts of one length; so equal texts share a shard, but for those that weigh more than WHOLE of a leaf: of these each row
+    has a place of its own in both. Slots run from 0 without gaps in each shard; a null id is an id like others. Fewer
     texts than shards leave shards empty. grown_shard is null under this law.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -78,7 +78,9 @@ def shards(docs: DataFrame, depth: int = 4, text: str = "text", doc_id: str = "d
     # at most 2 ** depth / WHOLE texts can weigh that much
     points = rows.join(F.broadcast(heavy.withColumn("alone", F.lit(True))), "h", "left")
     place = F.when(F.col("alone"), F.xxhash64("h", "doc_id")).otherwise(F.xxhash64("h", F.lit(1)))
-    points = points.withColumn("spot", place.cast("double")).withColumn("long", F.log2(F.col("chars") + 1.0))
+    points = points.withColumn("spot", place.cast("double"))
+    # whole lengths and the spot as a part of one: a cut can pass between texts of one length
+    points = points.withColumn("long", F.log2(F.col("chars") + 1.5 + F.col("spot") / 2.0**64))
     placed = staged(leaves(points, ["long", "spot"], "size", depth).select("doc_id", "size", "text_crc32", "h", F.col("leaf").alias("shard")), "placed")
     cells = max(1, -(-placed.count() // (rows_a_cell * 2**depth)))
     placed_cells = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "h"), F.lit(cells)))
