@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import mil, neardup, toxicity, winnow
 from tidemark.llm.bpe import encoded
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.shared import new_path, table
+from tidemark.llm.shared import new_path, staged, table
 
 #: Thresholds of the two classifiers, as in their own queries.
 QUALITY, TOXIC = 0.3, 0.5
@@ -20,12 +20,22 @@ QUALITY, TOXIC = 0.3, 0.5
 BROADCAST_IDS = 1_000_000
 
 
-def _less(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without those of ``ids``; a null id is never among them."""
-    gone = ids.where("doc_id is not null").distinct()
-    gone = gone.withColumnRenamed("doc_id", "gone_id")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of their own for each row, and the column's name; ids may be null or repeat."""
+    key = "row_key"
+    while key in [c.lower() for c in docs.columns]:
+        key += "_"
+    return staged(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _less(keyed: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``keyed`` without the rows whose numbers are the only column of ``gone``, and without the numbers."""
+    gone = _few(gone.toDF("gone_id"))
+    return keyed.join(gone, keyed[key] == gone["gone_id"], "left_anti").drop(key)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,17 +51,26 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that of the smallest id; of rows that repeat id and text one."""
-    left = _less(docs, neardup.near_duplicates(docs).where("not kept").select("doc_id"))
+    """One document of each group, that of the smallest id, a null one last; of rows that repeat id and text one."""
+    keyed, key = _keyed(docs)
+    found = staged(neardup.near_duplicates(keyed, doc_id=key), "found")
+    # groups are labelled by their smallest row; where another one has the smallest id, the two change places
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col(key).alias("row"))
+    rows = found.select(F.col("doc_id").alias("own"), "component_id").join(keyed.select(F.col(key).alias("own"), place.alias("place")), "own")
+    swap = staged(rows.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("component_id").alias("was"), F.col("place.row").alias("now")).where("was <> now"), "swap")
+    gone = found.where("not kept").select("doc_id").union(swap.select("was"))
+    left = _less(keyed, key, gone.join(swap, gone["doc_id"] == swap["now"], "left_anti"))
     again = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id")
     if again.isEmpty():
         return left
-    return _less(left, again).union(left.join(again, "doc_id", "left_semi").select(left.columns).dropDuplicates(["doc_id", "text"]))
+    again = _few(again)
+    return left.join(again, "doc_id", "left_anti").select(left.columns).union(left.join(again, "doc_id", "left_semi").select(left.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    return _less(docs, winnow.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"))
+    keyed, key = _keyed(docs)
+    return _less(keyed, key, winnow.contamination(keyed, table(spark, sf_dir, "benchmark"), doc_id=key).where("contaminated").select("doc_id"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,3 +27,14 @@ def test_columns_stay(spark, frame, hard, small):
         assert stage(spark, hard, small).columns == hard.columns
     left = corpus_pipeline.near_duplicates(spark, hard.union(hard), small)
     assert sorted(str(r.doc_id) for r in left.where("doc_id is not null").collect()) == sorted(str(i) for i in [*range(12), 3])
+
+
+def test_rows_of_null_and_repeated_ids_are_dropped_one_by_one(spark, frame, small):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, text), (None, text), (9, text + " end"), (5, text), (5, "a row of its own"), (None, "another row"), (None, None)]
+    left = corpus_pipeline.near_duplicates(spark, frame(rows), small).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in left) == sorted(str(x) for x in rows[3:])
+    item = max((r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()), key=len)
+    rows = [(None, item), (7, item), (7, "a clean row"), (None, "another row"), (8, None)]
+    left = corpus_pipeline.decontaminated(spark, frame(rows), small).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in left) == sorted(str(x) for x in rows[2:])
