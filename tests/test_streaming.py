@@ -19,3 +19,15 @@ def test_late_and_repeated_files(spark, tmp_path):
         inc.follow(spark, source, schema, target, state, build, lambda e: e, "day").awaitTermination()
         whole = build(spark.read.schema(schema).parquet(source))
         assert sorted(map(tuple, spark.read.parquet(target).select("day", "v").collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_the_csv_report_holds_all_events(spark, small, monkeypatch):
+    from tidemark.plans import feeds
+    from tidemark.sources import protocol, storage
+
+    paths, write = [], storage.csv_report
+    monkeypatch.setattr(storage, "csv_report", lambda df, path: (paths.append(path), write(df, path)))
+    feeds.s18_t4_csv_report(spark, small)
+    got = spark.read.schema("id long, note string").option("header", True).option("escape", '"').csv(paths[0])
+    want = protocol.protocol_events(spark, small).selectExpr("id", "concat('a \"', event_name, '\", ', k) as note")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
