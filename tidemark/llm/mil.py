@@ -19,6 +19,8 @@ from tidemark.llm.shared import buffers, crc_fold, map_texts, passes
 
 #: Bytes of a passage; documents and passages to learn from at most; size of the encoding and of the attention.
 PASSAGE, FIT_DOCS, FIT_PASSAGES, HIDDEN, GATE = 400, 6000, 60_000, 24, 12
+#: Passages of a labelled document at most; longer ones are not learned from.
+FIT_LONGEST = FIT_PASSAGES // 100
 #: Steps, documents a step and rate of learning.
 STEPS, BATCH, RATE = 700, 256, 0.01
 
@@ -116,7 +118,8 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     """Parameters from labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
     Of these a sample is taken by the hash of the id: FIT_DOCS documents and FIT_PASSAGES passages at
-    most, whatever the tables' size; it alone comes to the driver. Null labels and ids are left out, of
+    most, whatever the tables' size; it alone comes to the driver. Documents of more than FIT_LONGEST
+    passages (600, 240,000 bytes) are not in it, so these are scored by a model that saw none of their length. Null labels and ids are left out, of
     labels that contradict each other the larger one counts.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
@@ -124,7 +127,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
     few = map_texts(texts, "text", ["doc_id", "y"], "doc_id long, y double, x binary", _described)
-    few = few.withColumn("n", F.expr(f"octet_length(x) div {WIDTH * 4}")).where(f"n <= {FIT_PASSAGES // 100}").orderBy(F.xxhash64("doc_id"), F.xxhash64("x")).limit(FIT_DOCS)
+    few = few.withColumn("n", F.expr(f"octet_length(x) div {WIDTH * 4}")).where(f"n <= {FIT_LONGEST}").orderBy(F.xxhash64("doc_id"), F.xxhash64("x")).limit(FIT_DOCS)
     xs, ys, total = [], [], 0
     for r in few.toLocalIterator():
         if total + r.n > FIT_PASSAGES:
