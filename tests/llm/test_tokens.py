@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tidemark.llm import bpe, simple8b
+from tidemark.llm import bpe, pieces, simple8b, wordbpe
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.shared import buffers, passes
 
@@ -16,6 +16,12 @@ BYTE, WORD = tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("word_bpe_4
 bits = st.lists(st.sampled_from(["'", "s", "t", "re", "ve", "m", "ll", "d", " ", "  ", "\n", "\t", "a", "B", "é", "ª", "1", "²", "!", "漢", "́", "😀", "　", "\r\n", "\x1c", "\x85", "'ll", "the", "I", "<|endoftext|>"]), max_size=16).map("".join)
 
 
+def split(made):
+    """Lists of ids from all of them and offsets."""
+    ids, at = made
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 @pytest.fixture(scope="module")
 def tiktoken_own():
     import public_tokenizers as P
@@ -36,31 +42,52 @@ def word_own():
 @given(st.lists(st.one_of(bits, st.text(max_size=20)), min_size=1, max_size=6))
 def test_bpe_is_the_library_s(tiktoken_own, texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    got = [np.frombuffer(x, "<u4").tolist() for x in bpe.codec(BYTE).encode(*buffers(pa.array(texts)))]
+    got = split(bpe.codec(BYTE).encode(*buffers(pa.array(texts))))
     assert got == [tiktoken_own.encode_ordinary(t) for t in texts]
     for t, ids in zip(texts, got, strict=True):
         back, at = bpe.codec(BYTE).decode(np.array(ids, np.int64))
-        assert back == t.encode() and at[-1] == len(back) and len(at) == len(ids) + 1
+        assert back.tobytes()[: at[-1]] == t.encode() and len(at) == len(ids) + 1
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(bits, st.text(max_size=20)), min_size=1, max_size=6))
 def test_pieces_of_words_are_the_library_s(word_own, texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    got = [np.frombuffer(x, "<u4").tolist() for x in simple8b._ids(WORD, texts)]
-    assert got == [e.ids for e in word_own.encode_batch(texts, add_special_tokens=False)]
+    got = split(wordbpe.words(WORD, 1).encode(*buffers(pa.array(texts))))
+    assert got == [[*e.ids, 1] for e in word_own.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_pieces_of_no_end_or_two_keep_their_ids_in_a_fresh_cache(word_own):
-    cache = simple8b._tokenizer(WORD)[2]
+    own = wordbpe.words(WORD, 1)
     for gap in "\t", "\r", "\xa0", "\u3000":
         for text in f"a {gap} œuf, b", f"b œuf, {gap} a", f"{gap} “a b, c” œuf", f"œ word, {gap} Été x":
-            cache.clear()
-            assert np.frombuffer(simple8b._ids(WORD, [text])[0], "<u4").tolist() == word_own.encode(text, add_special_tokens=False).ids
+            own.known.clear()
+            assert split(own.encode(*buffers(pa.array([text])))) == [[*word_own.encode(text, add_special_tokens=False).ids, 1]]
     for order in itertools.permutations(["a", "\t", "œuf,", "b", "word,", "\u3000"]):
-        known = {}
-        simple8b._learn(WORD, list(order), known)
-        assert all(np.frombuffer(known[p], "<u4").tolist() == word_own.encode(p, add_special_tokens=False).ids for p in order)
+        found = own.learn([p.encode() for p in order])
+        assert all(np.frombuffer(x, "<u4").tolist() == word_own.encode(p, add_special_tokens=False).ids for p, x in zip(order, found, strict=True))
+
+
+def test_pieces_end_at_apostrophes_digits_rows_and_foreign_words(word_own):
+    texts = ["it's", "IT'S 'ROUND 'rest 'll''ll", "'", "s", "a'", "'re", "don''t 12'3", "×'s ÷", "Ünï'Ve", "a\tb\x0bc", "x\xa0y z", "<|endoftext|>'s", "a<|b", "<", "|", "e\u0301 é", "", "naïve “quote's” 漢字's"]
+    assert split(wordbpe.words(WORD, 1).encode(*buffers(pa.array(texts)))) == [[*e.ids, 1] for e in word_own.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_worker_forgets_all_at_its_limits(monkeypatch, word_own, tiktoken_own):
+    monkeypatch.setattr(pieces, "PIECES", 40)
+    monkeypatch.setattr(pieces, "ROOM", 300)
+    r = np.random.RandomState(0)
+    for _ in range(12):
+        texts = [" ".join("".join(r.choice(list("abcde'1"), r.randint(1, 9))) for _ in range(20)) for _ in range(3)]
+        assert split(wordbpe.words(WORD, 1).encode(*buffers(pa.array(texts)))) == [[*e.ids, 1] for e in word_own.encode_batch(texts, add_special_tokens=False)]
+        assert split(bpe.codec(BYTE).encode(*buffers(pa.array(texts)))) == [tiktoken_own.encode_ordinary(t) for t in texts]
+
+
+def test_bytes_that_are_no_utf8_count_as_replacement_characters(spark, tiktoken_own):
+    df = spark.sql("select 1L doc_id, cast(x'61ff6220c3' as string) text union all select 2L, 'fine'")
+    got = {r.doc_id: r for r in bpe.round_trip(df, BYTE).collect()}
+    assert got[1].n_tokens == len(tiktoken_own.encode_ordinary("a\ufffdb \ufffd")) and got[2].decoded_sha256 == hashlib.sha256(b"fine").hexdigest()
+    assert simple8b.token_files(df, WORD).count() == 2
 
 
 def test_round_trip_of_hard_rows(hard, empty, tiktoken_own):

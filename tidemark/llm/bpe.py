@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import map_texts
+from tidemark.llm.pieces import Remembered, slices
+from tidemark.llm.shared import as_list, buffers, map_texts
 
 #: Classes of code points: others, letters, numbers, white space, and the space itself, which opens the next piece.
 OTHER, LETTER, NUMBER, WHITE, SPACE = range(5)
@@ -25,8 +26,6 @@ OTHER, LETTER, NUMBER, WHITE, SPACE = range(5)
 _WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: What may follow an apostrophe as a piece of its own.
 _SHORT = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Pieces that a worker remembers, and the longest one it does.
-CACHE, LONGEST = 200_000, 64
 
 
 @lru_cache(1)
@@ -88,7 +87,8 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = dict(map(reversed, self.ranks.items()))
-        self.cache: dict[bytes, bytes] = {}
+        self.bytes_of = pa.array([self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)], pa.large_binary())
+        self.known = Remembered(lambda pieces: [np.array(self.merged(p), "<u4").tobytes() for p in pieces])
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one piece: the pair of lowest rank is merged first, the leftmost among equals; n log n steps."""
@@ -115,35 +115,29 @@ class Codec:
                 heapq.heappush(heap, (ranks[q], h, q))
         return [ranks[p] for p in part if p is not None]
 
-    def ids(self, piece: bytes) -> bytes:
-        """Little-endian ids of a piece, remembered."""
-        found = self.cache.get(piece)
-        if found is None:
-            found = np.array(self.merged(piece), "<u4").tobytes()
-            if len(piece) <= LONGEST:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[piece] = found
-        return found
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Little-endian ids of each text."""
-        blob = data.tobytes()
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and the n + 1 offsets of each text's ids. Bytes that are no UTF-8 count as U+FFFD."""
+        data, offsets = valid(data, offsets)
         lead = np.flatnonzero((data & 0xC0) != 0x80)
-        points = np.frombuffer(blob.decode("utf-8").encode("utf-32-le"), np.uint32)
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         rows = np.searchsorted(lead, offsets)
         starts = piece_starts(points, rows)
-        places = np.append(lead[starts], len(blob))
-        first = np.searchsorted(starts, rows).tolist()
-        edges, get, own, out = places.tolist(), self.cache.get, self.ids, []
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            out.append(b"".join([get(p := blob[x:y]) or own(p) for x, y in zip(edges[a:b], edges[a + 1 : b + 1], strict=True)]))
-        return out
+        ids, at = self.known.gather(self.known.places(slices(data, np.append(lead[starts], len(data)))))
+        return ids, at[np.searchsorted(starts, rows)]
 
-    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Bytes of ids and the offset at which each id's bytes begin."""
-        parts = list(map(self.tokens.__getitem__, ids.tolist()))
-        return b"".join(parts), np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of ids and the n + 1 offsets at which each id's bytes begin."""
+        return buffers(self.bytes_of.take(pa.array(ids)))
+
+
+def valid(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of texts in which what is no UTF-8 is U+FFFD; as they are if all is UTF-8."""
+    try:
+        data.tobytes().decode("utf-8")
+    except UnicodeDecodeError:
+        texts = [data[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return data, offsets
 
 
 @lru_cache(2)
@@ -152,16 +146,15 @@ def codec(path: str) -> Codec:
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "ids") -> DataFrame:
-    """``keep`` and ``name`` (array of ids) for each row; null and empty texts give empty arrays.
+    """``keep`` and ``name`` (array of ids) for each row; null and empty texts give empty arrays, bytes that are no UTF-8 those of U+FFFD.
 
     ``path`` is that of the ranks, which every executor must have. A text longer than a pass is
     worked on alone; memory follows the longest text.
     """
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict:
-        made = codec(path).encode(data, offsets)
-        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])])
-        return {name: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(made), "<u4").astype(np.int32)))}
+        ids, at = codec(path).encode(data, offsets)
+        return {name: as_list(ids.view(np.int32), at)}
 
     types = dict(docs.dtypes)
     return map_texts(docs, text, list(keep), ", ".join(f"`{k}` {types[k]}" for k in keep) + f", {name} array<int>", work)
@@ -170,19 +163,16 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, its ids decoded again.
 
-    One row per row; a null text counts as an empty one, which has no ids.
+    One row per row; a null text counts as an empty one, which has no ids. Bytes that are no UTF-8 are decoded as U+FFFD. Each
+    text is cut from the decoded bytes by the offsets of its ids.
     """
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict:
         own = codec(path)
-        made = own.encode(data, offsets)
-        tell = lambda x: hashlib.sha256(x).hexdigest()
-        join, tokens = b"".join, own.tokens.__getitem__
-        return {
-            "n_tokens": pa.array([len(x) // 4 for x in made], pa.int64()),
-            "ids_sha256": pa.array([tell(x) for x in made], pa.string()),
-            "decoded_sha256": pa.array([tell(join(map(tokens, np.frombuffer(x, "<u4").tolist()))) for x in made], pa.string()),
-        }
+        ids, at = own.encode(data, offsets)
+        back, places = own.decode(ids)
+        tell = lambda x, edge: pa.array([hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.string())
+        return {"n_tokens": pa.array(np.diff(at)), "ids_sha256": tell(ids, at), "decoded_sha256": tell(back, places[at])}
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return map_texts(rows, "text", ["doc_id"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", work)

@@ -8,11 +8,8 @@ and all at once.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import as_list, buffers, new_path, small_batches
+from tidemark.llm.shared import as_list, buffers, new_path, passes, small_batches
+from tidemark.llm.wordbpe import words
 
 #: Bits and number of values of each selector, most values first.
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -29,8 +27,6 @@ COUNT = 60 // BITS
 ESCAPE = 15
 #: Values of a block; ids that a row of the files holds at least, unless a partition ends.
 BLOCK, GROUP = 1024, 1 << 18
-#: Pieces of texts that a worker remembers, about 200 bytes each.
-CACHE = 1_000_000
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,79 +118,6 @@ def decode(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-#: Texts of ASCII and the Latin letters of its first extension have pieces that are found without the library: one normal
-#: form, one lower case, and its rules for what parts pieces.
-_PLAIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+")
-#: What is one piece of such texts for certain, so that its ids have exactly one end.
-_ONE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+")
-
-
-@lru_cache(2)
-def _tokenizer(path: str):
-    """The tokenizer, whether each id ends a piece, and what has been remembered of pieces."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    ends = np.array([(own.id_to_token(i) or "").endswith("</w>") for i in range(own.get_vocab_size())])
-    return own, ends, {}
-
-
-def _learn(path: str, pieces: list[str], known: dict[str, bytes]) -> None:
-    """Encode pieces: those of exactly one end by the thousand, spaces between, cut where words end; each other alone."""
-    tokenizer, ends, _ = _tokenizer(path)
-    sure, rest = [], []
-    for p in pieces:
-        (sure if _ONE.fullmatch(p) and "<|" not in p else rest).append(p)
-    for a in range(0, len(sure), 2000):
-        some = sure[a : a + 2000]
-        ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-        stop = np.flatnonzero(ends[ids]) + 1
-        if len(stop) == len(some) and stop[-1] == len(ids):
-            blob, at = ids.tobytes(), [0, *(stop * 4).tolist()]
-            known.update((p, blob[x:y]) for p, x, y in zip(some, at[:-1], at[1:], strict=True))
-        else:  # a vocabulary that lacks some letters
-            rest += some
-    for a in range(0, len(rest), 2000):
-        some = rest[a : a + 2000]
-        for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-
-
-def _parts(text: str) -> list[str]:
-    """The pieces of a text; where other letters or what may be a special token occur, whole words between spaces and line ends."""
-    if "<|" not in text and _PLAIN.fullmatch(text):
-        return _PIECES.findall(text.lower())
-    parts = []
-    for p in text.replace("\n", " ").split(" "):
-        if p:
-            parts += _PIECES.findall(p.lower()) if "<|" not in p and _PLAIN.fullmatch(p) else [p]
-    return parts
-
-
-def _ids(path: str, texts: list[str]) -> list[bytes]:
-    """Little-endian ids of each text.
-
-    The tokenizer drops white space and looks at one piece at a time, so pieces can be encoded, and
-    remembered, on their own. Words with other letters, and with what may be a special token,
-    are parted at spaces and line ends only, which no piece crosses.
-    """
-    cache = _tokenizer(path)[2]
-    parts = [_parts(t) for t in texts]
-    found = [list(map(cache.get, row)) for row in parts]
-    new = list({p for row, has in zip(parts, found, strict=True) if None in has for p, x in zip(row, has, strict=True) if x is None})
-    if not new:
-        return list(map(b"".join, found))
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        new = list({p for row in parts for p in row})
-        found = [[None]] * len(parts)
-    own = cache if len(new) <= CACHE else {}
-    _learn(path, new, own)
-    return [b"".join([own[p] for p in row] if None in has else has) for row, has in zip(parts, found, strict=True)]
-
-
 FILES = "part int, seq long, before long, doc_ids array<bigint>, counts array<bigint>, starts array<bigint>, payload binary"
 
 
@@ -211,35 +134,33 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, text: s
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
-        docs: list[int | None] = []
-        made: list[bytes] = []
+        own, part, seq, before = words(tokenizer, end_id), TaskContext.get().partitionId(), 0, 0
+        docs: list[pa.Array] = []
+        made: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         size = 0
 
         def group() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(made), "<u4")
-            words, starts = encode(ids)
-            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) // 4 for x in made]], pa.list_(pa.int64())), as_list(starts, np.array([0, len(starts)])), pa.array([words.astype("<u8").tobytes()], pa.binary())]
+            packed, starts = encode(np.concatenate(made))
+            keys, count = pa.concat_arrays(docs), np.concatenate(counts)
+            one = np.array([0, len(keys)])
+            cols = [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), as_list(keys, one), as_list(count, one), as_list(starts, np.array([0, len(starts)])), pa.array([packed.astype("<u8").tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "before", "doc_ids", "counts", "starts", "payload"])
 
         for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            _, offsets = buffers(texts)
-            a = 0
-            while a < len(keys):
-                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + GROUP, "right")) - 1)
-                b = min(b, len(keys))
-                for key, ids in zip(keys[a:b], _ids(tokenizer, [t or "" for t in texts.slice(a, b - a).to_pylist()]), strict=True):
-                    docs.append(key)
-                    made.append(ids + end)
-                    size += len(ids) // 4 + 1
-                a = b
+            data, offsets = buffers(batch.column("text"))
+            for a, b in passes(offsets):
+                ids, edge = own.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                docs.append(batch.column("doc_id").slice(a, b - a))
+                made.append(ids)
+                counts.append(np.diff(edge))
+                size += len(ids)
                 if size >= GROUP:
                     yield group()
-                    seq, before, docs, made, size = seq + 1, before + size, [], [], 0
+                    seq, before = seq + 1, before + size
+                    docs, made, counts, size = [], [], [], 0
         if docs:
             yield group()
 
