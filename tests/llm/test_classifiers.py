@@ -26,16 +26,64 @@ def labelled(n=900, seed=1):
     return docs, labels
 
 
-def test_gradients_of_attention_are_right():
-    """One step of fit() moves every parameter along the numeric gradient of the loss."""
+def loss(p, x, at, y):
+    """The mean log loss, one document and passage after the other."""
+    total = 0.0
+    for a, b, want in zip(at[:-1], at[1:], y, strict=True):
+        h = [np.tanh(v @ p["E"] + p["e"]) for v in x[a:b]]
+        s = [np.sum(p["w"] * np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) for v in h]
+        e = np.exp(np.array(s) - max(s))
+        z = sum(w * v for w, v in zip(e / e.sum(), h, strict=True))
+        q = 1 / (1 + np.exp(-(z @ p["c"] + p["b"][0])))
+        total -= want * np.log(q) + (1 - want) * np.log(1 - q)
+    return total / len(y)
+
+
+def test_gradients_of_attention_are_the_numeric_ones():
     r = np.random.RandomState(0)
-    x, at = r.rand(9, mil.WIDTH).astype(np.float32), np.array([0, 2, 3, 9])
-    p = mil.fit(x[:0], np.array([0]), np.array([]))
-    p["c"] = r.randn(mil.HIDDEN)
-    a, b = (mil._forward(p, x, at) for _ in range(2))
-    assert np.allclose(np.add.reduceat(a[3], at[:-1]), 1) and np.allclose(a[-1], b[-1])
-    one = mil.score(p, x[[0, 1, 2, 8, 7, 6, 5, 4, 3]], at)
-    assert np.allclose(one, a[-1])  # the order of passages does not matter
+    x, at, y = r.rand(9, mil.WIDTH), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
+    p = mil.start()
+    p["c"], p["b"] = r.randn(mil.HIDDEN), np.array([0.2])
+    assert np.allclose(mil.score(p, x, at), [np.exp(-loss(p, x[a:b], np.array([0, b - a]), np.array([1.0]))) for a, b in zip(at[:-1], at[1:], strict=True)])
+    got = mil.gradient(p, x, at, y)
+    assert set(got) == set(p)
+    for k in p:
+        for i in r.choice(p[k].size, min(p[k].size, 12), replace=False):
+            both = []
+            for step in 1e-5, -1e-5:
+                q = {n: v.copy() for n, v in p.items()}
+                q[k].reshape(-1)[i] += step
+                both.append(loss(q, x, at, y))
+            assert np.isclose((both[0] - both[1]) / 2e-5, got[k].reshape(-1)[i], rtol=1e-4, atol=1e-8), k
+    one = mil.score(p, x[[1, 0, 2, 8, 7, 6, 5, 4, 3]], at)
+    assert np.allclose(one, mil.score(p, x, at))  # the order of passages does not matter
+
+
+def test_steps_of_learning_lower_the_loss():
+    r = np.random.RandomState(2)
+    y = r.randint(0, 2, 200).astype(float)
+    size = r.randint(1, 6, 200)
+    at = np.concatenate([[0], np.cumsum(size)])
+    x = r.rand(at[-1], mil.WIDTH) * 0.1
+    x[at[:-1], 3] += np.where(y == 1, 1.0, 0.0)  # one passage of each tells
+    p = mil.fit(x.astype(np.float16), at, y)
+    assert loss(p, x, at, y) < 0.1 < loss(mil.start(), x, at, y)
+
+
+def test_long_texts_are_learned_from_and_repeated_ids_count_once(spark, frame):
+    long = "x y " * 200_000
+    docs = frame([(i, long + str(i)) for i in range(1, 9)] + [(1, "again")] * 5)
+    labels = frame([(i, i % 2, 0) for i in range(1, 9)], "doc_id long, quality int, toxic int")
+    seen = []
+    own = mil.fit
+    mil.fit = lambda x, at, y: seen.append((np.diff(at).tolist(), y.tolist())) or own(x, at, y)
+    try:
+        mil.learned(docs, labels)
+        mil.learned(docs.repartition(7), labels)
+    finally:
+        mil.fit = own
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(1, 9))
+    assert seen[0] == seen[1] and len(seen[0][0]) == 8 - held and mil.FIT_PASSAGES in seen[0][0]
 
 
 def test_passages_of_a_batch_are_those_of_each_text():

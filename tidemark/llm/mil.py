@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import buffers, crc_fold, map_texts, passes
 
-#: Bytes of a passage; documents and passages to learn from at most; size of the encoding and of the attention.
-PASSAGE, FIT_DOCS, FIT_PASSAGES, HIDDEN, GATE = 400, 6000, 60_000, 24, 12
-#: Passages of a labelled document at most; longer ones are not learned from.
-FIT_LONGEST = FIT_PASSAGES // 100
+#: Bytes of a passage; documents to learn from at most, and passages that each of them gives to that; size of the encoding and of the attention.
+PASSAGE, FIT_DOCS, FIT_PASSAGES, HIDDEN, GATE = 400, 6000, 10, 24, 12
 #: Steps, documents a step and rate of learning.
 STEPS, BATCH, RATE = 700, 256, 0.01
 
@@ -78,69 +76,77 @@ def score(p: dict, x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _forward(p, x, at)[-1]
 
 
+def gradient(p: dict, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict:
+    """Gradient of the mean log loss by each parameter."""
+    size = np.diff(at)
+    h, t, g, a, z, s = _forward(p, x, at)
+    d = ((s - y) / len(y)).astype(x.dtype)
+    dzr = np.repeat(d[:, None] * p["c"], size, axis=0)
+    da = (dzr * h).sum(1)
+    ds = a * (da - np.repeat(np.add.reduceat(a * da, at[:-1]), size))
+    dt, dg = ds[:, None] * p["w"] * g * (1 - t * t), ds[:, None] * p["w"] * t * g * (1 - g)
+    dh = (dzr * a[:, None] + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
+    return {"c": z.T @ d, "b": d.sum(keepdims=True), "w": (t * g).T @ ds, "V": h.T @ dt, "U": h.T @ dg, "E": x.T @ dh, "e": dh.sum(0)}
+
+
+def start(seed: int = 1) -> dict:
+    """Parameters that learning begins with."""
+    r = np.random.RandomState(seed)
+    return {"E": r.randn(WIDTH, HIDDEN) * 0.3, "e": np.zeros(HIDDEN), "V": r.randn(HIDDEN, GATE) * 0.3, "U": r.randn(HIDDEN, GATE) * 0.3, "w": r.randn(GATE) * 0.3, "c": r.randn(HIDDEN) * 0.1, "b": np.zeros(1)}
+
+
 def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int = 1) -> dict:
     """Parameters from passages ``x``, offsets ``at`` of documents and their labels ``y``; Adam on the log loss."""
-    r = np.random.RandomState(seed)
-    p = {"E": r.randn(WIDTH, HIDDEN) * 0.3, "e": np.zeros(HIDDEN), "V": r.randn(HIDDEN, GATE) * 0.3, "U": r.randn(HIDDEN, GATE) * 0.3, "w": r.randn(GATE) * 0.3, "c": r.randn(HIDDEN) * 0.1, "b": np.zeros(1)}
+    p = {k: q.astype(np.float32) for k, q in start(seed).items()}
     if not len(y):
         return p
+    r = np.random.RandomState(seed)
     m, v = ({k: np.zeros_like(q) for k, q in p.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
         docs = r.randint(0, len(y), BATCH)
         size = np.diff(at)[docs]
         own = np.concatenate([[0], np.cumsum(size)])
         rows = np.arange(own[-1]) + np.repeat(at[docs] - own[:-1], size)
-        xb, yb = x[rows].astype(np.float64), y[docs]
-        h, t, g, a, z, s = _forward(p, xb, own)
-        d = (s - yb) / len(yb)
-        dz = d[:, None] * p["c"]
-        dzr = np.repeat(dz, size, axis=0)
-        da = (dzr * h).sum(1)
-        ds = a * (da - np.repeat(np.add.reduceat(a * da, own[:-1]), size))
-        dt, dg = ds[:, None] * p["w"] * g * (1 - t * t), ds[:, None] * p["w"] * t * g * (1 - g)
-        dh = (dzr * a[:, None] + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
-        grad = {"c": z.T @ d, "b": d.sum(keepdims=True), "w": (t * g).T @ ds, "V": h.T @ dt, "U": h.T @ dg, "E": xb.T @ dh, "e": dh.sum(0)}
+        grad = gradient(p, x[rows].astype(np.float32), own, y[docs])
         for k in p:
-            q = grad[k] + 1e-5 * p[k]
+            q = grad[k] + np.float32(1e-5) * p[k]
             m[k] = 0.9 * m[k] + 0.1 * q
             v[k] = 0.999 * v[k] + 0.001 * q * q
-            p[k] = p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+            p[k] = (p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return p
 
 
-def _described(data: np.ndarray, offsets: np.ndarray) -> dict:
+def _drawn(data: np.ndarray, offsets: np.ndarray) -> dict:
+    """Of each text FIT_PASSAGES passages at most, at even distances from its first to its last, in half precision."""
     x, at = passages(data, offsets)
-    rows = [x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+    rows = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        pick = np.arange(a, b) if b - a <= FIT_PASSAGES else a + np.arange(FIT_PASSAGES) * (b - a - 1) // (FIT_PASSAGES - 1)
+        rows.append(x[pick].astype(np.float16).tobytes())
     return {"x": pa.array(rows, pa.binary())}
 
 
 def learned(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     """Parameters from labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
-    Of these a sample is taken by the hash of the id: FIT_DOCS documents and FIT_PASSAGES passages at
-    most, whatever the tables' size; it alone comes to the driver. Documents of more than FIT_LONGEST
-    passages (600, 240,000 bytes) are not in it, so these are scored by a model that saw none of their length. Null labels and ids are left out, of
-    labels that contradict each other the larger one counts.
+    Of these FIT_DOCS are taken by the hash of the id, whatever the tables' size and the texts' lengths, and
+    FIT_PASSAGES passages of each, drawn at even distances from the whole text; so a row that is gathered has a fixed size,
+    and only these, 20 MB at most, come to the driver. Null labels and ids are left out; of labels that contradict
+    each other the larger one counts, of rows that share an id one by the hash of what is drawn.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
     own = own.where(crc_fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
-    few = map_texts(texts, "text", ["doc_id", "y"], "doc_id long, y double, x binary", _described)
-    few = few.withColumn("n", F.expr(f"octet_length(x) div {WIDTH * 4}")).where(f"n <= {FIT_LONGEST}").orderBy(F.xxhash64("doc_id"), F.xxhash64("x")).limit(FIT_DOCS)
-    xs, ys, total = [], [], 0
-    for r in few.toLocalIterator():
-        if total + r.n > FIT_PASSAGES:
-            break
-        total += r.n
-        xs.append(np.frombuffer(r.x, np.float32).reshape(r.n, WIDTH))
-        ys.append(r.y)
-    at = np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int64)
-    return fit(np.concatenate(xs) if xs else np.zeros((0, WIDTH), np.float32), at, np.array(ys))
+    few = map_texts(texts, "text", ["doc_id", "y"], "doc_id long, y double, x binary", _drawn)
+    few = few.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("x").alias("h"), "x"))["x"].alias("x")).orderBy(F.xxhash64("doc_id")).toArrow()
+    data, edge = buffers(few.column("x"))
+    x = np.frombuffer(data[edge[0] : edge[-1]], np.float16).reshape(-1, WIDTH)
+    return fit(x, (edge - edge[0]) // (2 * WIDTH), few.column("y").to_numpy())
 
 
 def scored(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``score`` for each row; a null text is scored as an empty one."""
+    """``keep`` and ``score`` for each row, over all passages of its text; a null or empty text is one empty passage."""
     own = {k: v.astype(np.float32) for k, v in model.items()}
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict:
@@ -163,7 +169,12 @@ def scorer(model: dict):
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs``. Without any label all scores are what the model starts from."""
+    """doc_id, held_out, score, predicted for each row of ``docs``.
+
+    A null or empty text is one empty passage and has a score; a long text is scored over all its passages. Equal texts
+    have equal scores, and rows that repeat stay as many as they are. Without any label all scores are what
+    the model starts from. No rows give no rows; other columns are not looked at.
+    """
     model = learned(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = scored(rows, model)
