@@ -123,6 +123,44 @@ def test_lexicon_folds_spares_and_normalises():
     assert x.score("idiot") > x.score("idiot " + "word " * 5000) > x.score("word")
 
 
+def plain_hits(lexicon, text):
+    """Every term tried at the beginning of every word, the longest counts; exceptions are looked for everywhere."""
+    folded = toxicity.fold(text)
+    words = folded.split()
+    spared = [False] * len(folded)
+    for e in lexicon.exceptions:
+        phrase = f" {e} "
+        for i in range(len(folded)):
+            if folded.startswith(phrase, i):
+                spared[i : i + len(phrase) - 1] = [True] * (len(phrase) - 1)
+    total = 0.0
+    for i in range(len(folded)):
+        fit = [t for t in lexicon.weights if folded.startswith(" " + t, i)]
+        if fit and not spared[i]:
+            total += lexicon.weights[max(fit, key=len)]
+    return total, len(words)
+
+
+def test_matches_are_those_of_a_plain_search():
+    r = random.Random(8)
+    x = toxicity.Lexicon({"trash": 5.0, "trash ": 6.0, "idio": 4.0, "clown": 3.0, "scum ": 2.0, "can": 1.5, "canteen": 2.5})
+    bits = ["trash", "TRA5H", "can", "canteen", "clown", "fish", "school", "pond", "scum", "scummy", "1d10t", "іdiоtic", "a", "—", " ", "  ", ", ", "\n", "trash can", "the"]
+    for _ in range(400):
+        text = "".join(r.choice(bits) + r.choice([" ", "", " ", "-"]) for _ in range(r.randint(0, 14)))
+        assert x.hits(text) == plain_hits(x, text), text
+    many = "trash can idiot " * 50_000
+    assert x.hits(many) == (4.0 * 50_000, 150_000)
+
+
+def test_lexicon_does_not_hang_on_repeated_ids_or_partitions(spark, frame, monkeypatch):
+    docs, labels = labelled(400)
+    docs += [(i, t + " twice grumbol") for i, t in docs[:300]]
+    monkeypatch.setattr(toxicity, "FIT_DOCS", 250)
+    given = frame(labels, "doc_id long, quality int, toxic int")
+    one, two = (toxicity.learned(frame(docs).repartition(n), given) for n in (1, 9))
+    assert one.weights and one.weights == two.weights and np.allclose(one.curve, two.curve)
+
+
 def test_copies_add_no_terms(spark, frame):
     docs, labels = labelled()
     copy = "zanzibar quixotic wombatted " + docs[0][1]

@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import crc_fold, small_batches
+from tidemark.llm.shared import crc_fold, dropped, small_batches, staged
 
 #: Labelled documents to learn from and terms at most.
 FIT_DOCS, TERMS = 20_000, 1000
@@ -70,9 +71,12 @@ def _contexts(text: str | None, place: dict[str, int]) -> dict[int, int]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(y, text) of FIT_DOCS ids at most; of rows that share an id the one whose text has the smallest hash."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     own = own.where(crc_fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id").select("y", "text")
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
+    one = both.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    return staged(one.select("y", "text"), "sample")
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,14 +127,14 @@ class Lexicon:
         if not self.weights or words < 1:
             return 0.0, 0
         best: dict[int, tuple[int, float]] = {}
-        spared: list[tuple[int, int]] = []
+        spared = bytearray(len(folded))
         for end, (size, weight) in self.tree().iter(folded):
             start = end - size + 1
             if weight is None:
-                spared.append((start, end))
+                spared[start:end] = b"\1" * (end - start)
             elif size > best.get(start, (0, 0.0))[0]:
                 best[start] = size, weight
-        return sum(w for at, (_, w) in best.items() if not any(a <= at < b for a, b in spared)), words
+        return sum(w for at, (_, w) in best.items() if not spared[at]), words
 
     def score(self, text: str | None) -> float:
         total, words = self.hits(text)
@@ -166,30 +170,10 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon
             found = [_contexts(x, place) for x in batch.text]
             yield pd.DataFrame({"has": [list(x) for x in found], "after": [list(x.values()) for x in found]})
 
-    bags = [dict(zip(r.has, r.after, strict=True)) for r in sample.where("y = 1").mapInPandas(own, "has array<int>, after array<bigint>").limit(FIT_DOCS).collect()] if known else []
-    of: dict[int, set[int]] = {}
-    for i, bag in enumerate(bags):
-        for t in bag:
-            of.setdefault(t, set()).add(i)
-    terms, weights, covered = list(known), {}, Counter()
-    gain = {t: len({bags[i][t] for i in has}) for t, has in of.items()}
-    gain = {t: n for t, n in gain.items() if n >= GAIN}
-    while gain and len(weights) < TERMS:
-        t = max(gain, key=lambda t: (gain[t] - 2 * known[terms[t]][1], -len(terms[t]), terms[t]))
-        # of longer beginnings in nearly all the same documents the longest says it best
-        t = max((u for u in gain if terms[u].startswith(terms[t]) and terms[u][-1] != " " and len(of[u]) >= 0.97 * len(of[t])), key=lambda u: (len(terms[u]), terms[u]), default=t)
-        pos, neg = known[terms[t]]
-        weights[terms[t]] = float(np.log((pos + 0.5) / (neg + 0.5)))
-        del gain[t]
-        covered.update(of[t])
-        # a longer term of the same words says no more
-        gain = {u: n for u, n in gain.items() if not terms[u].startswith(terms[t].rstrip()) and not terms[t].startswith(terms[u].rstrip())}
-        full = {i for i in of[t] if covered[i] >= COVER}
-        for u in list(gain):
-            if full & of[u]:
-                gain[u] = len({bags[i][u] for i in of[u] if covered[i] < COVER})
-                if gain[u] < GAIN:
-                    del gain[u]
+    weights: dict[str, float] = {}
+    if known:
+        bags = sample.where("y = 1").mapInPandas(own, "has array<int>, after array<bigint>").toArrow()
+        weights = _chosen(known, bags)
     lexicon = Lexicon(weights)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,12 +181,52 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon
             both = [lexicon.hits(t) for t in batch.text]
             yield pd.DataFrame({"y": batch.y.astype("float64"), "total": [float(x[0]) for x in both], "words": [float(x[1]) for x in both]})
 
-    seen = sample.mapInPandas(features, "y double, total double, words double").limit(FIT_DOCS).toPandas() if weights else pd.DataFrame()
+    seen = sample.mapInPandas(features, "y double, total double, words double").orderBy("y", "total", "words").toPandas() if weights else pd.DataFrame()
     if len(seen):
         lexicon.curve = min((_fitted(seen, p) for p in (0.0, 0.25, 0.5)), key=lambda x: x[0])[1]
+    dropped(sample)
     return lexicon
 
 
+def _chosen(known: dict[str, tuple[int, int]], bags: pa.Table) -> dict[str, float]:
+    """Weights of the terms that are taken, in that order, from what each toxic document ``has`` of the known ones and the words ``after`` which it does."""
+    has, after = (bags.column(c).combine_chunks() for c in ("has", "after"))
+    doc = np.repeat(np.arange(len(has), dtype=np.int32), np.diff(np.asarray(has.offsets)))
+    term, context = has.flatten().to_numpy(zero_copy_only=False), after.flatten().to_numpy(zero_copy_only=False)
+    by_doc, edge = term.copy(), np.asarray(has.offsets) - has.offsets[0].as_py()
+    order = np.argsort(term, kind="stable")
+    doc, term, context = doc[order], term[order], context[order]
+    first = np.searchsorted(term, np.arange(len(known) + 1))
+    full, covered = np.zeros(len(has), bool), np.zeros(len(has), np.int32)
+
+    def gained(t: int) -> int:
+        rows = slice(first[t], first[t + 1])
+        return len(np.unique(context[rows][~full[doc[rows]]]))
+
+    terms, size, weights = list(known), np.diff(first), {}
+    gain = {t: n for t in range(len(terms)) if size[t] >= GAIN and (n := gained(t)) >= GAIN}
+    while gain and len(weights) < TERMS:
+        t = max(gain, key=lambda t: (gain[t] - 2 * known[terms[t]][1], -len(terms[t]), terms[t]))
+        # of longer beginnings in nearly all the same documents the longest says it best
+        t = max((u for u in gain if terms[u].startswith(terms[t]) and terms[u][-1] != " " and size[u] >= 0.97 * size[t]), key=lambda u: (len(terms[u]), terms[u]), default=t)
+        pos, neg = known[terms[t]]
+        weights[terms[t]] = float(np.log((pos + 0.5) / (neg + 0.5)))
+        del gain[t]
+        own = doc[first[t] : first[t + 1]]
+        covered[own] += 1
+        # a longer term of the same words says no more
+        gain = {u: n for u, n in gain.items() if not terms[u].startswith(terms[t].rstrip()) and not terms[t].startswith(terms[u].rstrip())}
+        done = own[(covered[own] >= COVER) & ~full[own]]
+        if len(done):
+            full[done] = True
+            for u in np.unique(np.concatenate([by_doc[edge[d] : edge[d + 1]] for d in done.tolist()])).tolist():
+                if u in gain:
+                    gain[u] = gained(u)
+                    if gain[u] < GAIN:
+                        del gain[u]
+    return weights
+
+
 def _fitted(seen: pd.DataFrame, power: float) -> tuple[float, tuple[float, float, float]]:
     """Loss and curve of a logistic regression on the normalised sum, by Newton's steps with a small penalty."""
     x, y, p = _normal(seen.total.to_numpy(), seen.words.to_numpy(), power), seen.y.to_numpy(), np.zeros(2)
@@ -229,7 +253,12 @@ def scorer(spark: SparkSession, lexicon: Lexicon):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs``. Without any label no document is toxic."""
+    """doc_id, held_out, score, predicted for each row of ``docs``.
+
+    A null or empty text, or one without words, has no hits and the score of none. Whole texts are scored, in a time
+    in proportion to their length. Equal texts have equal scores, rows that repeat stay as many as they are. Without
+    any label no document is toxic. No rows give no rows; other columns are not looked at.
+    """
     lexicon = learned(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(docs.sparkSession, lexicon)("text").alias("score"))
     return rows.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
