@@ -62,25 +62,33 @@ def laws(rows, docs):
     return {s: sum(r.size for r in own) for s, own in by.items()}
 
 
-def test_shards_of_near_equal_bytes(spark, frame):
+def homes(rows):
+    by = defaultdict(set)
+    for x in rows:
+        by[x.text_crc32].add(x.shard)
+    return by
+
+
+def test_shards_of_near_equal_bytes_keep_equal_texts_together(spark, frame):
     r = random.Random(9)
     docs = [(i, "x" * int(r.paretovariate(1.2) * 50) + str(r.random())) for i in range(6000)]
-    docs = [(i, t[-4000:]) for i, t in docs] + [(7000 + i, "copy of a text") for i in range(150)]
+    docs = [(i, t[-4000:]) for i, t in docs] + [(7000 + i, "copy of a text") for i in range(150)] + [(8000 + i, "a b c d" * 9) for i in range(700)]
     rows = kdtree.shards(frame(docs)).collect()
     sizes = laws(rows, docs)
     mean = sum(sizes.values()) / 16
-    assert len(sizes) == 16 and max(abs(s / mean - 1) for s in sizes.values()) < 0.12
-    homes = defaultdict(set)
-    for x in rows:
-        homes[x.text_crc32].add(x.shard)
-    assert all(len(h) == 1 for h in homes.values())
+    assert len(sizes) == 16 and max(abs(s / mean - 1) for s in sizes.values()) < 0.05
+    assert all(len(h) == 1 for h in homes(rows).values())
 
 
-def test_a_third_of_all_rows_is_one_text(spark, frame):
-    docs = [(i, "the same" if i % 3 == 0 else f"text {i * i}") for i in range(3000)]
-    sizes = laws(kdtree.shards(frame(docs)).collect(), docs)
+def test_only_a_text_that_outweighs_a_shard_is_parted(spark, frame):
+    docs = [(i % 50 if i % 2 else None, "the same" if i % 3 == 0 else f"text {i * i}") for i in range(3000)]
+    rows = kdtree.shards(frame(docs)).collect()
+    sizes = laws(rows, docs)
     mean = sum(sizes.values()) / 16
-    assert len(sizes) == 16 and max(abs(s / mean - 1) for s in sizes.values()) < 0.15
+    assert len(sizes) == 16 and max(abs(s / mean - 1) for s in sizes.values()) < 0.1
+    by = homes(rows)
+    hot = by.pop(zlib.crc32(b"the same"))
+    assert len(hot) <= -(-9 * 1000 // int(mean + 1)) + 1 and all(len(h) == 1 for h in by.values())
 
 
 def test_a_third_of_all_bytes_has_one_length(spark, frame):
@@ -92,7 +100,44 @@ def test_a_third_of_all_bytes_has_one_length(spark, frame):
             docs = rest + [(10000 + i, t) for i, t in enumerate(hot)]
             sizes = laws(kdtree.shards(frame(docs)).collect(), docs)
             mean = sum(sizes.values()) / 16
-            assert len(sizes) == 16 and max(abs(s / mean - 1) for s in sizes.values()) < 0.2, (size, sorted(round(s / mean, 2) for s in sizes.values()))
+            assert len(sizes) == 16 and max(abs(s / mean - 1) for s in sizes.values()) < 0.15, (size, sorted(round(s / mean, 2) for s in sizes.values()))
+
+
+def plain_leaves(points, depth, room):
+    """Cuts of a K-d tree one node after the other, in exact order of the widest dimension."""
+    spread = [max(p[d] for p, _ in points) - min(p[d] for p, _ in points) for d in range(len(points[0][0]))]
+    todo, out = [(points, 0, depth)], {}
+    while todo:
+        own, leaf, left = todo.pop()
+        if not left or not own:
+            out |= {p: leaf for p, _ in own}
+            continue
+        d = max(range(len(spread)), key=lambda d: (max(p[d] for p, _ in own) - min(p[d] for p, _ in own)) / spread[d])
+        own = sorted(own, key=lambda x: x[0][d])
+        wide = 2**left
+        part = room[leaf * wide : (leaf + 1) * wide]
+        half, run, i = sum(w for _, w in own) * sum(part[: wide // 2]) / sum(part), 0, 0
+        while i < len(own) and abs(run + own[i][1] - half) < abs(run - half):
+            run, i = run + own[i][1], i + 1
+        todo += [(own[:i], 2 * leaf, left - 1), (own[i:], 2 * leaf + 1, left - 1)]
+    return out
+
+
+def test_cuts_are_those_of_a_plain_tree(spark):
+    r = random.Random(6)
+    points = [((r.gauss(0, 1), r.uniform(0, 9), r.random() ** 4), r.randint(1, 50)) for _ in range(1500)]
+    df = spark.createDataFrame([(*p, w) for p, w in points], "a double, b double, c double, w long")
+    for room in [1.0] * 8, [1.0, 0.2, 1.0, 1.0, 0.0, 1.0, 0.7, 1.0]:
+        got = {(x.a, x.b, x.c): x.leaf for x in kdtree.leaves(df, ["a", "b", "c"], "w", 3, room).collect()}
+        assert got == plain_leaves(points, 3, room)
+
+
+def test_leaves_reach_a_target_of_bytes(spark, frame):
+    docs = [(i, f"text {i * i}" * (1 + i % 7)) for i in range(2000)]
+    sizes = Counter()
+    for x in kdtree.shards(frame(docs), target_bytes=sum(len(t) + 1 for _, t in docs) // 20).collect():
+        sizes[x.shard] += x.size
+    assert len(sizes) == 32 and max(sizes.values()) < 1.1 * sum(sizes.values()) / 32
 
 
 def test_shards_of_hard_rows(hard, empty):

@@ -10,28 +10,33 @@ from tidemark.llm.shared import dropped, staged
 
 #: Bins of a histogram, and how often the bin that holds a median is divided again: 2 ** 30 places of a dimension's range.
 BINS, PASSES = 1024, 3
-#: Copies of a text stay together unless they weigh more than this share of a leaf; then their rows part by id.
-WHOLE = 0.125
+#: Copies of a text that weigh more than this share of a leaf together are placed by their weight, before the tree divides the rest.
+HEAVY = 1 / 32
+#: Parts of a shard that a text which outweighs it is divided into.
+SPLIT = 16
 
 
-def leaves(points: DataFrame, dims: list[str], weight: str, depth: int) -> DataFrame:
-    """``points`` with a column ``leaf`` from 0 to 2 ** depth - 1 whose weights are near equal.
+def leaves(points: DataFrame, dims: list[str], weight: str, depth: int, room: list[float] | None = None) -> DataFrame:
+    """``points`` with a column ``leaf`` from 0 to 2 ** depth - 1 whose weights are near equal, or in proportion to ``room``.
 
     Level by level, all nodes at once: each takes the dimension whose spread, as a share of the spread
-    at the root, is the widest, and is cut where the weight to the left comes closest to a half. The
+    at the root, is the widest, and is cut where the weight to the left comes closest to a half, or to the share of the leaves there. The
     median is found by histograms, whose next pass divides the bin that holds it. The driver sees
     a row for a node, and BINS sums for a node and pass, whatever the number of points. Points that
     are equal in all dimensions stay in one leaf.
     """
     now = points.withColumn("leaf", F.lit(0))
     root: dict[str, float] = {}
-    for _ in range(depth):
+    room = room or [1.0] * 2**depth
+    for level in range(depth):
         seen = now.groupBy("leaf").agg(*[f(d).cast("double").alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()
         plan = {}
         for r in seen:
             root = root or {d: max(r[f"hi_{d}"] - r[f"lo_{d}"], 1e-300) for d in dims}
             d = max(dims, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / root[d])
-            plan[r.leaf] = {"d": d, "lo": r[f"lo_{d}"], "hi": r[f"hi_{d}"]}
+            wide = 2 ** (depth - level)
+            own = room[r.leaf * wide : (r.leaf + 1) * wide]
+            plan[r.leaf] = {"d": d, "lo": r[f"lo_{d}"], "hi": r[f"hi_{d}"], "left": sum(own[: wide // 2]) / max(sum(own), 1e-300)}
         if not plan:
             break
         for turn in range(PASSES):
@@ -43,7 +48,7 @@ def leaves(points: DataFrame, dims: list[str], weight: str, depth: int) -> DataF
             for r in binned.groupBy("leaf", "bin").agg(F.sum(weight).cast("double").alias("w")).collect():
                 sums.setdefault(r.leaf, {})[r.bin] = r.w
             for leaf, p in plan.items():
-                half, run, step = sum(sums[leaf].values()) / 2, 0.0, (p["hi"] - p["lo"]) / BINS
+                half, run, step = sum(sums[leaf].values()) * p["left"], 0.0, (p["hi"] - p["lo"]) / BINS
                 for b in sorted(sums[leaf]):
                     if run + sums[leaf][b] >= half:
                         break
@@ -61,31 +66,73 @@ def _by_leaf(plan: dict, what) -> str:
     return "(case leaf " + " ".join(f"when {leaf} then {what(p)}" for leaf, p in plan.items()) + " end)"
 
 
-def shards(docs: DataFrame, depth: int = 4, text: str = "text", doc_id: str = "doc_id", rows_a_cell: int = 20_000) -> DataFrame:
+def packed(weights: dict[int, dict[int, float]], count: int, most: float) -> tuple[dict, list[float]]:
+    """The leaf of each part of each text, and what is then left of ``most`` in each leaf.
+
+    The heaviest text comes first and begins in the emptiest leaf; its parts stay there while they fit.
+    """
+    used, home = [0.0] * count, {}
+    for h in sorted(weights, key=lambda h: (-sum(weights[h].values()), h)):
+        leaf = None
+        for part, w in sorted(weights[h].items()):
+            if leaf is None or used[leaf] + w > most:
+                leaf = min(range(count), key=lambda i: (used[i], i))
+            home[h, part] = leaf
+            used[leaf] += w
+    return home, [max(most - u, 0.0) for u in used]
+
+
+def shards(docs: DataFrame, count: int = 16, target_bytes: int | None = None, text: str = "text", doc_id: str = "doc_id", rows_a_cell: int = 20_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The law is ``bytes``: 2 ** depth shards of near equal UTF-8 bytes, a row's being those of its text
-    plus 1 (a null text: 1). The dimensions come from the text alone: its length and its hash, which also
-    orders texts of one length; so equal texts share a shard, but for those that weigh more than WHOLE of a leaf: of these each row
-    has a place of its own in both. Slots run from 0 without gaps in each shard; a null id is an id like others. Fewer
-    texts than shards leave shards empty. grown_shard is null under this law.
+    The law is ``bytes``: shards of near equal UTF-8 bytes, a row's being those of its text plus 1 (a null
+    text: 1). There are ``count`` of them, a power of 2, or as many as bring each to ``target_bytes``.
+
+    The dimensions come from the text alone: the logarithm of its length, its bytes a character and its characters a
+    space, each told apart by the hash of the text within a thousandth. So equal texts share a shard. Those that weigh more than
+    HEAVY of a shard together (count / HEAVY texts at most) are placed first, whole, and leave less room for the tree's leaf; only
+    what outweighs a whole shard is parted, by row, into as few shards as hold it. Slots run from 0 without
+    gaps in each shard; a null id is an id like others. Fewer texts than shards leave shards empty. No
+    rows give no rows; grown_shard is null under this law.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.length(body).alias("chars"), F.xxhash64(body).alias("h"))
+    chars = F.length(body)
+    spaces = chars - F.length(F.replace(body, F.lit(" "), F.lit("")))
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("h"), F.monotonically_increasing_id().alias("row"),
+        F.log2(chars + 1.5).alias("long"), F.log2((F.octet_length(body) + 1) / (chars + 1)).alias("wide"), F.log2((chars + 1) / (spaces + 1)).alias("dense"),
+    )
     rows = staged(rows, "points")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    heavy = staged(rows.groupBy("h").agg(F.sum("size").alias("all")).where(F.col("all") > WHOLE * total / 2**depth).select("h"), "heavy")
-    # at most 2 ** depth / WHOLE texts can weigh that much
-    points = rows.join(F.broadcast(heavy.withColumn("alone", F.lit(True))), "h", "left")
-    place = F.when(F.col("alone"), F.xxhash64("h", "doc_id")).otherwise(F.xxhash64("h", F.lit(1)))
-    points = points.withColumn("spot", place.cast("double"))
-    # whole lengths and the spot as a part of one: a cut can pass between texts of one length
-    points = points.withColumn("long", F.log2(F.col("chars") + 1.5 + F.col("spot") / 2.0**64))
-    placed = staged(leaves(points, ["long", "spot"], "size", depth).select("doc_id", "size", "text_crc32", "h", F.col("leaf").alias("shard")), "placed")
-    cells = max(1, -(-placed.count() // (rows_a_cell * 2**depth)))
+    if target_bytes:
+        count = 1 << max(0, (-(-total // target_bytes) - 1).bit_length())
+    leaf = total / count
+    # at most count / HEAVY texts weigh that much
+    heavy = rows.groupBy("h").agg(F.sum("size").alias("all")).where(F.col("all") > HEAVY * leaf).collect()
+    parts = {r.h: 1 if r["all"] <= leaf else SPLIT * -(-r["all"] // int(leaf + 1)) for r in heavy}
+    room = [leaf] * count
+    placed, light = None, rows
+    if parts:
+        told = docs.sparkSession.createDataFrame([(h, n) for h, n in parts.items()], "h long, parts int")
+        known = rows.join(F.broadcast(told), "h", "left").withColumn("part", F.expr("pmod(xxhash64(row), parts)"))
+        light = known.where("parts is null").drop("parts", "part")
+        known = known.where("parts is not null")
+        weights: dict[int, dict[int, float]] = {}
+        for r in known.groupBy("h", "part").agg(F.sum("size").alias("w")).collect():
+            weights.setdefault(r.h, {})[r.part] = float(r.w)
+        home, room = packed(weights, count, leaf)
+        homes = docs.sparkSession.createDataFrame([(h, p, s) for (h, p), s in home.items()], "h long, part long, shard int")
+        placed = known.join(F.broadcast(homes), ["h", "part"])
+    dims = ["long", "wide", "dense"]
+    spot = (F.xxhash64("h", F.lit(1)) / 2.0**64 + 0.5) / 1000
+    points = light.select("doc_id", "size", "text_crc32", "h", *[(F.col(d) + spot).alias(d) for d in dims])
+    own = ["doc_id", "size", "text_crc32", "h", "shard"]
+    found = leaves(points, dims, "size", count.bit_length() - 1, room).withColumn("shard", F.col("leaf").cast("int")).select(own)
+    placed = staged(found.union(placed.select(own)) if parts else found, "placed")
+    cells = max(1, -(-placed.count() // (rows_a_cell * count)))
     placed_cells = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "h"), F.lit(cells)))
     before = placed_cells.groupBy("shard", "cell").agg(F.count("*").alias("c")).withColumn("start", F.sum("c").over(SparkWindow.partitionBy("shard").orderBy("cell")) - F.col("c"))
     slot = F.row_number().over(SparkWindow.partitionBy("shard", "cell").orderBy("doc_id", "h")) - 1
     out = placed_cells.withColumn("slot", slot).join(before, ["shard", "cell"])
     dropped(rows)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("slot") + F.col("start")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("slot") + F.col("start")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
