@@ -15,15 +15,25 @@ def test_search_against_all_scores(spark):
     r = random.Random(3)
     rows = [(i, [r.choice([0, 0, 0, 1, -1, 3, -5]) if i % 3 else r.randint(-40, 40) for _ in range(12)]) for i in range(700)]
     rows += [(900 + i, rows[5][1]) for i in range(40)]
-    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
-    asked = [x for x in rows if x[0] % 7 == 0]
-    got = maxscore.top_k(df, spark.createDataFrame(asked, df.schema), 9, 3, 2).collect()
-    found = defaultdict(list)
-    for x in sorted(got, key=lambda x: (x.query_id, x.rank)):
-        found[x.query_id].append((x.score, x.vec_id))
-    for i, q in asked:
-        every = sorted(((sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in rows if j != i), key=lambda x: (-x[0], x[1]))
-        assert found[i] == every[:9]
+    numbered = [(n, i, v) for n, (i, v) in enumerate(rows)]
+    df = spark.createDataFrame(numbered, "row long, vec_id long, v array<long>")
+    asked = [x for x in numbered if x[1] % 7 == 0]
+    for shards, blocks in (3, 2), (1, 1), (60, 1):
+        got = maxscore.top_k(df, spark.createDataFrame(asked, df.schema), 9, shards, blocks).collect()
+        found = defaultdict(list)
+        for x in sorted(got, key=lambda x: (x.query_id, x.rank)):
+            found[x.query_id].append((x.score, x.vec_id))
+        for n, i, q in asked:
+            every = sorted(((sum(a * b for a, b in zip(q, v, strict=True)), j) for m, j, v in numbered if m != n), key=lambda x: (-x[0], x[1]))
+            assert found[i] == every[:9]
+
+
+def test_rows_that_share_an_id_are_queries_and_candidates_of_their_own(spark):
+    rows = [(0, [1.0, 2.0]), (0, [3.0, -1.0]), (0, [1.0, 2.0]), (5, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in maxscore.embedding_top_k(df, 2).collect())
+    u = 64 * 64
+    assert got == Counter({(0, 1, 0, 5 * u): 2, (0, 2, 5, 3 * u): 2, (0, 1, 5, 2 * u): 1, (0, 2, 0, 1 * u): 1})
 
 
 def test_terms_that_cannot_matter_are_not_essential(monkeypatch):
@@ -31,11 +41,14 @@ def test_terms_that_cannot_matter_are_not_essential(monkeypatch):
     r = np.random.RandomState(1)
     x = r.randint(-3, 4, (300, 16)).astype(float)
     x[:10] *= 20
-    shard = maxscore.Shard(np.arange(300), x)
+    shard = maxscore.Shard(np.arange(300), np.arange(300), x)
     for i in range(0, 300, 11):
         ids, scores = shard.search(i, x[i], 5)
         every = sorted(((x[j] @ x[i], j) for j in range(300) if j != i), key=lambda t: (-t[0], t[1]))[:5]
         assert [(s, j) for j, s in zip(ids, scores, strict=True)] == every
+        for least in every[2][0], every[4][0], every[0][0] + 1:
+            ids, scores = shard.search(i, x[i], 5, least)
+            assert [(s, j) for j, s in zip(ids, scores, strict=True)] == [e for e in every if e[0] >= least]
 
 
 def test_search_of_odd_vectors(spark):
@@ -43,7 +56,7 @@ def test_search_of_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (20, None), (40, [1.0, None]), (60, [nan, 1.0]), (80, [inf, 1.0]), (None, [1.0, 1.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0]), (3, [1e9, -1e9])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     got = [tuple(r) for r in maxscore.embedding_top_k(df).collect()]
-    assert {g[0] for g in got} == {0} and sorted(g[2] for g in got) == [1, 2, 3]
+    assert {g[0] for g in got} == {0} and sorted(g[2] for g in got) == [1, 1, 2, 3]
     assert {g[2]: g[3] for g in got} == {1: 64 * 64 * 5, 2: 64 * 192, 3: 64 * 64 * (10**9 - 2 * 10**9)}
     assert maxscore.embedding_top_k(df.limit(0)).collect() == []
 

@@ -6,19 +6,27 @@ weight times the largest posting; postings of the opposite sign only take away.
 that bound. While the bounds of the smallest terms sum to less than the k-th best score so far, those
 terms are non-essential: a vector that no essential posting has cannot enter the result. Vectors of
 essential postings get these scores first, and are probed for the other terms only while what they
-have and the bounds of the rest reach the k-th best. Ties are never cut off. Shards are merged last.
+have and the bounds of the rest reach the k-th best. Ties are never cut off.
+
+All queries search the first shard, and the k-th best there is their floor in all others, which so prune
+from the start and hand on few rows. Shards are merged last.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
-#: Vectors in a shard, queries in a block, vectors that a traversal takes between two looks at the k-th best.
-SHARD, BLOCK, STEP = 16384, 1024, 4096
+from tidemark.llm.shared import staged
+
+#: Numbers in a shard, which bound a task's memory; queries in a block, which bound its time; vectors that a shard has at least
+#: where there are fewer shards than cores; vectors that a traversal takes between two looks at the k-th best.
+SHARD, BLOCK, LEAST, STEP = 1 << 22, 1 << 16, 4096, 4096
 #: Terms that are probed between two comparisons with the k-th best.
 PROBE = 16
 
@@ -26,24 +34,24 @@ PROBE = 16
 class Shard:
     """Postings of one shard, a line of weights for each dimension, rows in ascending order of id."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.lines = ids[order], np.ascontiguousarray(vectors[order].T)
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        order = np.lexsort((rows, ids))
+        self.rows, self.ids, self.lines = rows[order], ids[order], np.ascontiguousarray(vectors[order].T)
         self.top = np.maximum(self.lines.max(1), 0)
         self.bottom = np.maximum((-self.lines).max(1), 0)
 
-    def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best but ``own``, best first, smaller ids first among ties."""
+    def search(self, own: int, q: np.ndarray, k: int, least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best but row ``own``, best first, smaller ids first among ties; none under ``least``."""
         bound = np.where(q > 0, q * self.top, -q * self.bottom)
         terms = np.argsort(-bound, kind="stable")
         left = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], [0]])  # of the terms from each place on
         best_ids, best = np.zeros(0, self.ids.dtype), np.zeros(0, self.lines.dtype)
         for a in range(0, len(self.ids), STEP):
-            ids, rows = self.ids[a : a + STEP], None
-            if len(best) < k:
+            ids, names, rows = self.ids[a : a + STEP], self.rows[a : a + STEP], None
+            if len(best) < k and least is None:
                 score = q @ self.lines[:, a : a + STEP]
             else:
-                floor = best[k - 1]
+                floor = least if len(best) < k else best[k - 1] if least is None else max(least, best[k - 1])
                 essential = int(np.count_nonzero(left[:-1] >= floor))
                 if essential == 0:
                     break
@@ -63,8 +71,8 @@ class Shard:
                             break
                 keep = score >= floor
                 rows, score = np.flatnonzero(keep) if rows is None else rows[keep], score[keep]
-            ids = ids if rows is None else ids[rows]
-            other = ids != own
+            ids, names = (ids, names) if rows is None else (ids[rows], names[rows])
+            other = names != own
             if not other.all():
                 ids, score = ids[other], score[other]
             if len(ids):
@@ -77,34 +85,66 @@ class Shard:
         return best_ids, best
 
 
-def _matrix(column: pd.Series, limit: int) -> np.ndarray:
+def _matrix(column: pa.Array, limit: int) -> np.ndarray:
     """Integers in floats where every score is exact in them, else as Python's integers."""
-    x = np.stack(column.to_numpy())
-    return x.astype(np.float32 if limit < 2**24 else np.float64 if limit < 2**53 else object)
+    flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return flat.astype(np.float32 if limit < 2**24 else np.float64 if limit < 2**53 else object)
+
+
+_FOUND = "query_row long, query_id long, vec_id long, score long"
+
+
+def _searched(vectors: DataFrame, queries: DataFrame, k: int, limit: int) -> DataFrame:
+    """What each query finds in the shard that it meets; rows (shard, block, row, vec_id, v), queries with a floor ``least``.
+
+    A task reads the vectors of a shard, then the queries of a block one batch after the other.
+    """
+    own = ["shard", "block", "kind", "row", "vec_id", "v", "least"]
+    both = vectors.select("*", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("least")).select(own).union(queries.withColumn("kind", F.lit(1)).select(own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard, held = None, None, []
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy() for c in ("shard", "block", "kind")])
+            edge = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                part = batch.slice(a, b - a)
+                if key != tuple(place[:2, a]):
+                    key, shard, held = tuple(place[:2, a]), None, []
+                rows, ids, v = part.column("row").to_numpy(), part.column("vec_id").to_numpy(), _matrix(part.column("v"), limit)
+                if place[2, a] == 0:
+                    held.append((rows, ids, v))
+                elif held or shard:
+                    if shard is None:
+                        shard, held = Shard(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+                    floors = part.column("least").to_pylist()
+                    hits = [shard.search(r, q, k, least) for r, q, least in zip(rows, v, floors, strict=True)]
+                    n = [len(x) for x, _ in hits]
+                    cols = [np.repeat(rows, n), np.repeat(ids, n), np.concatenate([x for x, _ in hits]), np.concatenate([y for _, y in hits]).astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_row", "query_id", "vec_id", "score"])
+
+    groups = both.repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
+    return groups.mapInArrow(run, _FOUND)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, shards: int, blocks: int, limit: int = 2**52) -> DataFrame:
-    """(query_id, rank, vec_id, score) from rows (vec_id, v: array<long>) of one length.
+    """(query_id, rank, vec_id, score) from rows (row, vec_id, v: array<long>) of one length; queries are some of the rows.
 
-    ``limit`` is a bound on the absolute score. Every block of queries meets every shard in a group of
-    its own, so a task holds one shard and one block, whatever their numbers; each gives k rows a
-    query, and the best k of all shards are taken by a window on the query. A query's own id is no
-    candidate. Rows with one vec_id are ranked each on its own.
+    ``row`` is a number of its own of each row, ``limit`` a bound on the absolute score. A query meets
+    each shard once and a vector each block of queries once, in a task that holds one shard; so what is shuffled falls as shards and
+    blocks grow. A query's own row is no candidate; rows that share its id, or repeat it, are. Each row with the id of
+    a query is a query of its own.
     """
-    spread = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
-
-    def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(mine) and len(theirs):
-            shard = Shard(theirs.vec_id.to_numpy(), _matrix(theirs.v, limit))
-            for own, q in zip(mine.vec_id.to_numpy(), _matrix(mine.v, limit), strict=True):
-                ids, scores = shard.search(own, q, k)
-                out += [(own, i, int(s)) for i, s in zip(ids, scores, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = asked.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score long")
-    w = SparkWindow.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    homed = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    found = _searched(homed.where("shard = 0").withColumn("block", each), asked.select("*", F.lit(0).alias("shard"), F.lit(None).cast("long").alias("least")), k, limit)
+    if shards > 1:
+        found = staged(found, "found")
+        floor = found.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_row").alias("row"), "least")
+        again = asked.join(floor, "row", "left").withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
+        found = found.union(_searched(homed.where("shard > 0").withColumn("block", each), again, k, limit))
+    w = SparkWindow.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -112,14 +152,17 @@ def embedding_top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int =
     """The k best of all rows for each row whose vec_id is divisible by ``every``.
 
     Components become floor(scale * x). Rows with a null id, a null vector or a null or non-finite
-    component take no part; vectors of other lengths than the most common one are taken as if zeros
-    followed. Rows that repeat with the same id and vector count once. An empty table gives no rows.
+    component take no part; vectors of other lengths than the longest are taken as if zeros
+    followed. Rows that repeat, or share an id, are each a candidate, and each a query if their id makes them one.
+    An empty table gives no rows.
     """
     x = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     x = x.where("vec_id is not null and v is not null and not exists(v, c -> c is null or isnan(c) or abs(c) = double('infinity'))")
-    x = x.select("vec_id", F.expr(f"transform(v, c -> cast(floor({scale} * c) as long))").alias("v")).distinct()
+    x = staged(x.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.expr(f"transform(v, c -> cast(floor({scale} * c) as long))").alias("v")), "vectors")
     asked = F.col("vec_id") % every == 0
     size = x.agg(F.count("*").alias("n"), F.count_if(asked).alias("q"), F.max(F.size("v")).alias("d"), F.max(F.expr("array_max(transform(v, c -> abs(c)))")).alias("m")).first()
     d = max(size.d or 0, 1)
     x = x.withColumn("v", F.expr(f"concat(v, array_repeat(0L, {d} - size(v)))"))
-    return top_k(x, x.where(asked), k, max(1, -(-size.n // SHARD)), max(1, -(-size.q // BLOCK)), d * int(size.m or 0) ** 2)
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-size.n * d // SHARD), min(cores, size.n // LEAST))
+    return top_k(x, x.where(asked), k, shards, max(1, -(-size.q // BLOCK)), d * int(size.m or 0) ** 2)
