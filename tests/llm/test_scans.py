@@ -72,6 +72,17 @@ def test_licence_places_and_votes(spark, frame):
     assert pick(9)[:3] == (300, 0, 1196) and got[9].score == 1 and pick(10)[0] == 0
 
 
+def test_only_a_to_z_are_folded_and_words_are_compared(spark, frame, monkeypatch):
+    docs = [(1, "under the MIT license"), (2, "under the M\u0130T license"), (3, "apache licen\u017fe version 2"), (4, "CC BY NC"), (5, "cc by n\u212a")]
+    got = {r.doc_id: (r.n_base, r.base_labels) for r in license.license_scan(frame(docs)).collect()}
+    assert got == {1: (1, "mit"), 2: (0, ""), 3: (0, ""), 4: (1, "cc-by-nc"), 5: (0, "")}
+    # where all hashes are one, words alone tell runs apart
+    own = license.F.xxhash64
+    monkeypatch.setattr(license.F, "xxhash64", lambda *c: own(license.F.lit(1)))
+    again = {r.doc_id: (r.n_base, r.base_labels, r.n_words) for r in license.license_scan(frame([*docs, (6, "no such words here"), (7, "")])).collect()}
+    assert {i: x[:2] for i, x in again.items()} == got | {6: (0, ""), 7: (0, "")} and again[6][2] == 4
+
+
 def test_licences_of_hard_rows(hard, empty):
     got = license.license_scan(hard).collect()
     assert sorted((str(r.doc_id), r.n_words) for r in got) == sorted((str(r.doc_id), len(words(r.text))) for r in hard.collect())

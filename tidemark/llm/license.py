@@ -1,14 +1,16 @@
 r"""Licence scans by diagonal voting, in SQL functions alone.
 
 Every run of K words of a text is hashed and joined to the places of such runs in the templates. A
-match votes for its diagonal, the text position less the template position; diagonals at most GAP
-apart are one candidate, so that a few words put in or left out do no harm. A candidate counts
+match, which holds if the words are equal too, votes for its diagonal, the text position less the template position; diagonals
+at most GAP apart are one candidate, so that a few words put in or left out do no harm. A candidate counts
 if the template words that its runs cover are enough, within a stretch of the text that is not much longer than
 the template. A phrase is a template of which all words have to be there, on one diagonal.
 """
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
@@ -47,13 +49,14 @@ def templates() -> list[tuple[int, str, bool, str]]:
 
 
 def _runs(spark: SparkSession) -> DataFrame:
-    """(hash, tid, tpos, label, phrase, length) of every run of a template: a few hundred rows, fixed by the lists above."""
+    """(hash, words, tid, tpos, label, phrase, length) of every run of a template: a few hundred rows, fixed by the lists above."""
     t = spark.createDataFrame(templates(), "tid int, label string, phrase boolean, words string").withColumn("w", F.split("words", " "))
-    return t.select("tid", "label", "phrase", F.size("w").alias("length"), F.posexplode(_hashes("w")).alias("tpos", "hash"))
+    return t.select("tid", "label", "phrase", F.size("w").alias("length"), F.posexplode(_grams("w")).alias("tpos", "same")).withColumn("hash", F.xxhash64("same"))
 
 
-def _hashes(words: str):
-    return F.expr(f"if(size({words}) < {K}, cast(array() as array<bigint>), transform(sequence(0, greatest(0, size({words}) - {K})), i -> xxhash64({', '.join(f'{words}[i + {j}]' for j in range(K))})))")
+def _grams(words: str):
+    """Every K words in a row, a space between."""
+    return F.expr(f"if(size({words}) < {K}, cast(array() as array<string>), transform(sequence(0, greatest(0, size({words}) - {K})), i -> concat_ws(' ', {', '.join(f'{words}[i + {j}]' for j in range(K))})))")
 
 
 def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -65,12 +68,12 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     texts have no words. Rows with the same doc_id stay apart. A row goes through one shuffle,
     with its matches only.
     """
-    low = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), rf"^{BETWEEN}|{BETWEEN}$", "")
+    low = F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), ascii_uppercase, ascii_lowercase), rf"^{BETWEEN}|{BETWEEN}$", "")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), low.alias("low")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("row", "doc_id", F.expr(f"if(low = '', cast(array() as array<string>), split(low, r'{BETWEEN}'))").alias("w"))
     # place 0 is the row itself, so that one pass serves matches and rows without any
-    places = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(0).cast("bigint")), _hashes("w"))).alias("place", "hash"))
-    found = places.join(F.broadcast(_runs(docs.sparkSession)), "hash", "left").where("place = 0 or tid is not null")
+    places = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), _grams("w"))).alias("place", "gram")).withColumn("hash", F.when(F.col("gram").isNotNull(), F.xxhash64("gram")))
+    found = places.join(F.broadcast(_runs(docs.sparkSession)), "hash", "left").where("place = 0 or gram = same")
     found = found.select("row", "doc_id", "n_words", F.coalesce("tid", F.lit(-1)).alias("tid"), "label", "phrase", "length", "tpos", (F.col("place") - 1).cast("long").alias("pos")).repartition("row")
     lines = found.withColumn("diagonal", F.expr("pos - coalesce(tpos, 0)")).groupBy("row", "tid", "diagonal").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("label").alias("label"), F.max("phrase").alias("phrase"), F.max("length").alias("length"), F.collect_set("tpos").alias("runs"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     w = SparkWindow.partitionBy("row", "tid").orderBy("diagonal")
