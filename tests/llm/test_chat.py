@@ -36,7 +36,7 @@ parts = st.lists(st.sampled_from(["<", "|", "\\", "im_end|>", "<|im_end|>", "<|i
 
 
 @settings(max_examples=15, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\\nb", "a\nb", "<|x", "\\"]), st.one_of(st.none(), parts)), min_size=1, max_size=6))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\\nb", "a\nb", "<|x", "\\", "a\0b", "\\s\\n\\\\n", "\\s<\\|\n"]), st.one_of(st.none(), parts)), min_size=1, max_size=6))
 def test_formatting_is_reversible(spark, turns):
     df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, at int, role string, text string")
     made = chat.formatted(df, "conv_id")
@@ -61,3 +61,8 @@ def test_many_turns_of_much_text(spark):
     df = spark.createDataFrame([(1, i, ["user", "assistant"][i % 2], "é<|" * 500) for i in range(300)], "conv_id long, turn long, role string, text string")
     row = chat.chat_digest(df).first()
     assert row.n_turns == 300 and row.loss_chars == 150 * 1500
+    for n in 1, 255, 256, 257, 20_000:
+        few = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 3 = 1, 'assistant', 'user') role", "concat('<|', id) text")
+        row = chat.read_back(chat.formatted(few.withColumnRenamed("turn", "at"), "conv_id"), "conv_id").first()
+        assert [(t.role, t.text) for t in row.turns] == [("assistant" if i % 3 == 1 else "user", f"<|{i}") for i in range(n)]
+        assert row.learned == "".join(f"<|{i}" for i in range(n) if i % 3 == 1)

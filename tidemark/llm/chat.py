@@ -7,7 +7,8 @@ it is SQL functions. Formatted text is, for every turn,
     <|im_start|>ROLE\nTEXT<|im_end|>\n
 
 where a backslash goes between each ``<`` and the backslashes, if any, and the ``|`` that follow it in
-a text. No text then holds ``<|``, and taking one backslash away gives it back.
+a text. No text then holds ``<|``, and taking one backslash away gives it back. In a role a backslash is also written as ``\s``
+and a line break as ``\n``.
 """
 
 from __future__ import annotations
@@ -85,14 +86,24 @@ def unescaped(text: Column) -> Column:
 
 
 def escaped_role(role: Column) -> Column:
-    """A role on one line: backslashes and line breaks in it are written as two characters."""
-    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    """A role on one line: each backslash in it is written with an s after it, so a backslash with an n is a line break."""
+    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescaped_role(role: Column) -> Column:
-    inner = unescaped(role)
-    kept = F.replace(inner, F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(kept, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    return F.replace(F.replace(unescaped(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
+
+
+#: Turns whose places are summed together, so that long conversations take time in proportion to their turns.
+CHUNK = 256
+
+
+def _sums_before(sizes: str) -> str:
+    """SQL for the sum of all numbers before each one of an array."""
+    part = f"slice({sizes}, c * {CHUNK} + 1, {CHUNK})"
+    run = "aggregate({}, named_struct('at', {}, 'all', cast(array() as array<bigint>)), (s, x) -> named_struct('at', s.at + x, 'all', array_append(s.all, s.at)), s -> s.all)"
+    whole = f"transform(sequence(0, cast((size({sizes}) - 1) div {CHUNK} as int)), c -> aggregate({part}, 0L, (a, x) -> a + x))"
+    return f"flatten(transform({run.format(whole, '0L')}, (b, c) -> {run.format(part, 'b')}))"
 
 
 def formatted(rows: DataFrame, key: str, loss_role: str = "assistant") -> DataFrame:
@@ -105,10 +116,11 @@ def formatted(rows: DataFrame, key: str, loss_role: str = "assistant") -> DataFr
     piece = F.struct("at", role.alias("role"), text.alias("text"))
     one = rows.groupBy(key).agg(F.array_sort(F.collect_list(piece)).alias("turns"))
     parts = F.transform("turns", lambda t: F.struct(t.role.alias("role"), F.concat(F.lit("<|im_start|>"), escaped_role(t.role), F.lit("\n")).alias("head"), escaped(t.text).alias("body")))
-    one = one.select(key, parts.alias("parts"))
-    starts = F.expr("aggregate(parts, named_struct('at', 0L, 'spans', cast(array() as array<struct<start:bigint,length:bigint>>)), (s, p) -> named_struct('at', s.at + length(p.head) + length(p.body) + 11, 'spans', if(p.role = '" + loss_role + "', array_append(s.spans, named_struct('start', s.at + length(p.head), 'length', cast(length(p.body) as bigint))), s.spans)), s -> s.spans)")
-    whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("<|im_end|>\n"))), "")
-    return one.select(key, whole.alias("formatted"), starts.alias("loss"))
+    one = one.select(key, parts.alias("parts")).withColumn("sizes", F.expr("transform(parts, p -> cast(length(p.head) + length(p.body) + 11 as bigint))"))
+    one = one.withColumn("at", F.expr(_sums_before("sizes"))).withColumn("placed", F.arrays_zip("parts", "at"))
+    spans = F.transform(F.filter("placed", lambda p: p["parts"]["role"] == loss_role), lambda p: F.struct((p["at"] + F.length(p["parts"]["head"])).alias("start"), F.length(p["parts"]["body"]).cast("bigint").alias("length")))
+    whole = F.array_join(F.transform("placed", lambda p: F.concat(p["parts"]["head"], p["parts"]["body"], F.lit("<|im_end|>\n"))), "")
+    return one.select(key, whole.alias("formatted"), spans.alias("loss"))
 
 
 def read_back(chats: DataFrame, key: str) -> DataFrame:
