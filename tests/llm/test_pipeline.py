@@ -38,3 +38,12 @@ def test_rows_of_null_and_repeated_ids_are_dropped_one_by_one(spark, frame, smal
     rows = [(None, item), (7, item), (7, "a clean row"), (None, "another row"), (8, None)]
     left = corpus_pipeline.decontaminated(spark, frame(rows), small).collect()
     assert sorted(str((r.doc_id, r.text)) for r in left) == sorted(str(x) for x in rows[2:])
+
+
+def test_no_documents_and_hard_ones(spark, frame, hard, empty, small):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, small).collect() == [], name
+        got = stage(spark, hard, small)
+        assert 0 < got.count() <= hard.count(), name
+    rows = corpus_pipeline.tokens(spark, hard, small).collect()
+    assert sorted(r.n_tokens for r in rows)[:2] == [0, 0] and sum(r.doc_id is None for r in rows) == 1

@@ -21,7 +21,7 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 
     Alternates large and small stars: every node hands its neighbours to its smallest one. The rounds
     grow with the logarithm of the longest path; each is a few shuffles of the edges, and the driver
-    sees only their number and hash. A hub's edges are joined to one row, so Spark can split them.
+    sees only their number and hash. A hub's edges are joined to one row, so Spark can split them. The result is a written table.
     No edges give no rows; loops and repeated edges do no harm; nulls are left out.
     """
     now = staged(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct(), "edges")
@@ -43,4 +43,6 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
                 break
             seen = got
     hubs = now.select(F.col("v").alias("node"), F.col("v").alias("comp"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(hubs).groupBy("node").agg(F.min("comp").alias("comp"))
+    found = staged(now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(hubs).groupBy("node").agg(F.min("comp").alias("comp")), "comps")
+    dropped(now)
+    return found
