@@ -34,18 +34,25 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def _less(keyed: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """``keyed`` without the rows whose numbers are the only column of ``gone``, and without the numbers."""
-    gone = _few(gone.toDF("gone_id"))
+    gone = _few(staged(gone.toDF("gone_id"), "gone"))
     return keyed.join(gone, keyed[key] == gone["gone_id"], "left_anti").drop(key)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score for quality reaches the threshold."""
+    """Documents whose score for quality reaches the threshold, row by row.
+
+    A null or empty text has a score like others; rows that repeat stay or go together. No documents, or no labels,
+    make no error.
+    """
     model = mil.learned(docs, table(spark, sf_dir, "labels"))
     return docs.where(mil.scorer(model)("text") >= QUALITY)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score for toxicity stays under the threshold."""
+    """Documents whose score for toxicity stays under the threshold, row by row.
+
+    A null or empty text has no hits and stays; rows that repeat stay or go together. Without labels all stay.
+    """
     lexicon = toxicity.learned(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.scorer(spark, lexicon)("text") < TOXIC)
 
@@ -68,13 +75,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs, row by row.
+
+    A null or empty text stays, and so does a clean row that shares its id with a contaminated one. Without items all stay.
+    """
     keyed, key = _keyed(docs)
     return _less(keyed, key, winnow.contamination(keyed, table(spark, sf_dir, "benchmark"), doc_id=key).where("contaminated").select("doc_id"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each document."""
+    """doc_id, n_tokens and ids of each row.
+
+    A null or empty text has no ids; rows that repeat, or have a null id, are rows of the result.
+    """
     made = encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer_path("byte_bpe_50k.tiktoken"))
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
