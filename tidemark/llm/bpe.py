@@ -53,7 +53,7 @@ def piece_starts(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
     new = np.ones(n + 1, bool)  # a run begins; the end is one, too
     new[1:n] = base[1:] != base[:-1]
     new[rows[rows <= n]] = True
-    begin = np.maximum.accumulate(np.where(new[:n], np.arange(n), 0))
+    begin = np.maximum.accumulate(np.where(new[:n], np.arange(n, dtype=np.int32), np.int32(0)))
     cut = np.zeros(n + 1, bool)
     cut[rows[rows <= n]] = True
     last = new[1:] & ~cut[1:] & white  # the last of a run of white space that something follows in the same text
@@ -63,7 +63,8 @@ def piece_starts(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
     held[1:] = last[:-1] & (kind[:-1] == SPACE)
     start &= ~held
     # an apostrophe alone between its text's start or a piece without space before it and short endings
-    mark = np.flatnonzero((points == 0x27) & start & (begin == np.arange(n)))
+    mark = np.flatnonzero((points == 0x27) & start)
+    mark = mark[begin[mark] == mark]
     mark = mark[new[mark + 1] & ~cut[mark + 1]] if len(mark) else mark
     if len(mark):
         at = np.pad(points, (0, 2))
@@ -157,7 +158,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
         return {name: as_list(ids.view(np.int32), at)}
 
     types = dict(docs.dtypes)
-    return map_texts(docs, text, list(keep), ", ".join(f"`{k}` {types[k]}" for k in keep) + f", {name} array<int>", work)
+    return map_texts(docs, text, list(keep), ", ".join(f"`{k}` {types[k]}" for k in keep) + f", {name} array<int>", work, lambda: codec(path).known.clear())
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -175,4 +176,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
         return {"n_tokens": pa.array(np.diff(at)), "ids_sha256": tell(ids, at), "decoded_sha256": tell(back, places[at])}
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_texts(rows, "text", ["doc_id"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", work)
+    return map_texts(rows, "text", ["doc_id"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", work, lambda: codec(path).known.clear())

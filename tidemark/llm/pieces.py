@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
 
 from tidemark.llm.shared import buffers
 
-#: Pieces and bytes of pieces that a worker remembers; beyond either it forgets all and begins anew.
-PIECES, ROOM = 1_000_000, 48 << 20
+#: Pieces and bytes of pieces in a generation. A worker remembers two: when the young one is full, it becomes the old one, of
+#: which only those that come again are taken over.
+PIECES, ROOM = 300_000, 16 << 20
 
 
 class Remembered:
@@ -25,28 +27,45 @@ class Remembered:
         self.clear()
 
     def clear(self) -> None:
+        self.old: Remembered | None = None
+        self._begin()
+
+    def _begin(self) -> None:
         self.place: dict[bytes, int] = {}
         self.size, self.used = 0, 0
         self.flat, self.start, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self._append(list(self.first))
+        self._append(*_joined(list(self.first)))
+
+    def _age(self) -> None:
+        self.old = copy(self)
+        self.old.old = None
+        self._begin()
 
-    def _append(self, ids: list[bytes]) -> None:
-        new = np.frombuffer(b"".join(ids), "<u4")
-        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    def _append(self, new: np.ndarray, count: np.ndarray) -> None:
         n, held = self.size, int(self.start[self.size - 1] + self.count[self.size - 1]) if self.size else 0
         if held + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(new)), np.uint32)])
-        if n + len(ids) > len(self.start):
-            more = np.zeros(max(n, len(ids)), np.int64)
+        if n + len(count) > len(self.start):
+            more = np.zeros(max(n, len(count)), np.int64)
             self.start, self.count = np.concatenate([self.start, more]), np.concatenate([self.count, more])
         self.flat[held : held + len(new)] = new
-        self.count[n : n + len(ids)] = count
-        self.start[n : n + len(ids)] = held + np.cumsum(count) - count
-        self.size = n + len(ids)
+        self.count[n : n + len(count)] = count
+        self.start[n : n + len(count)] = held + np.cumsum(count) - count
+        self.size = n + len(count)
 
     def _add(self, pieces: list[bytes]) -> None:
+        """Put new pieces in their places, with the ids of the old generation where it has them."""
+        if self.old:
+            known = list(map(self.old.place.get, pieces))
+            again = [p for p, x in zip(pieces, known, strict=True) if x is not None]
+            ids, at = self.old.gather(np.array([x for x in known if x is not None], np.int64))
+            self._put(again, ids, np.diff(at))
+            pieces = [p for p, x in zip(pieces, known, strict=True) if x is None]
+        self._put(pieces, *_joined(self.learn(pieces)))
+
+    def _put(self, pieces: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
         n = self.size
-        self._append(self.learn(pieces))
+        self._append(ids, count)
         self.place.update(zip(pieces, range(n, self.size), strict=True))
         self.used += sum(map(len, pieces))
 
@@ -60,7 +79,7 @@ class Remembered:
         new = [k for k, p in zip(keys, own, strict=True) if p is None]
         if new:
             if self.size + len(new) > PIECES or self.used > ROOM:
-                self.clear()
+                self._age()
                 new = keys
             self._add(new)
             own = list(map(self.place.__getitem__, keys))
@@ -76,6 +95,10 @@ class Remembered:
         return self.flat[where], at
 
 
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
 def slices(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Bytes cut at ``offsets``, without a copy."""
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])

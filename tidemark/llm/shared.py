@@ -1,12 +1,14 @@
 """What every operator of this subpackage needs: shared storage and Arrow batches of texts.
 
 Nothing here is written to a machine-local folder on a cluster: intermediate tables go to the
-folder in ``spark.checkpoint.dir``. Only where that setting is unset, as in tests, a temporary
-folder is made and set for the session.
+folder in ``spark.checkpoint.dir``. Only where that setting is unset and Spark runs in one process, as in tests, a temporary
+folder is made and set for the session; on a cluster it is an error.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -87,8 +91,15 @@ def passes(offsets: np.ndarray, size: int = PASS_BYTES) -> Iterator[tuple[int, i
         at = end
 
 
-def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable) -> DataFrame:
-    """Run ``work(bytes, offsets)`` over passes of the text column.
+def handed_back() -> None:
+    """Give free memory back to the system: Spark keeps a Python worker for the stages to come, and with it what it holds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems than those with this library do it on their own
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable, after: Callable[[], None] | None = None) -> DataFrame:
+    """Run ``work(bytes, offsets)`` over passes of the text column, and ``after`` when a task has ended.
 
     ``work`` gets the bytes of some rows with offsets that start at 0 and returns a dict of Arrow
     arrays, one value a row. ``keep`` columns go along. Memory follows PASS_BYTES and the longest text.
@@ -103,6 +114,9 @@ def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Call
                 made = work(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 cols = [batch.column(k).slice(a, b - a) for k in keep] + list(made.values())
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *made])
+        if after:
+            after()
+        handed_back()
 
     return df.select(*keep, text).mapInArrow(run, schema)
 

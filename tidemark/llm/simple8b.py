@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import as_list, buffers, new_path, passes, small_batches
+from tidemark.llm.shared import as_list, buffers, handed_back, new_path, passes, small_batches
 from tidemark.llm.wordbpe import words
 
 #: Bits and number of values of each selector, most values first.
@@ -133,7 +133,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, text: s
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ["doc_id", F.xxhash64("text")]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq, before = words(tokenizer, end_id), TaskContext.get().partitionId(), 0, 0
@@ -163,6 +164,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, text: s
                     docs, made, counts, size = [], [], [], 0
         if docs:
             yield group()
+        own.known.clear()
+        handed_back()
 
     rows.mapInArrow(run, FILES).write.option("compression", "none").parquet(out)
 
@@ -187,7 +190,12 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Write the ids of ``docs`` to the shared folder and read their digest back from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of each row of ``docs``: its ids are written to the shared folder and read back from the files.
+
+    A null or empty text has the end id alone; a null doc_id comes first; rows with one id follow each other by the hash
+    of their texts, and repeated rows are each written. Whole texts are encoded. No rows give no rows; other
+    columns are not looked at. The files stay for who asked for them.
+    """
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, end_id)

@@ -36,7 +36,7 @@ _BACK = np.zeros(0, np.uint64)
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd multiplier and of its inverse; kept up to 4 M entries."""
+    """Powers of the odd multiplier and of its inverse; kept up to a pass, 16 MB."""
     global _POWER, _BACK
     if len(_POWER) >= n:
         return _POWER, _BACK
@@ -45,7 +45,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     back = np.full(n, _INVERSE, np.uint64)
     back[:1] = 1
     back = np.multiply.accumulate(back)
-    if n <= 1 << 22:
+    if n <= 1 << 20:
         _POWER, _BACK = power, back
     return power, back
 
