@@ -2,6 +2,7 @@ import random
 
 import pytest
 from tidemark.operators import core
+from tidemark.plans import operations
 from tidemark.plans.operations import guarded
 from tidemark.plans.rollups import period, route
 
@@ -62,3 +63,51 @@ def test_guard():
     for bad in ("drop table x", "select 1; select 2", "with a as (select 1) delete from b"):
         with pytest.raises(ValueError):
             guarded(bad)
+
+
+def test_pages_over_nulls_cover_all_rows_in_order(spark):
+    rows = [(i, v) for i, v in enumerate([3, None, 1, 1, None, 2, None, 3])]
+    df = spark.createDataFrame(rows, "id long, v int")
+    for desc in True, False:
+        after, seen = None, []
+        while page := core.keyset_page(df, [("v", desc), ("id", False)], after, 3).collect():
+            seen += [(r.id, r.v) for r in page]
+            after = (page[-1].v, page[-1].id)
+        assert seen == sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0) if desc else r[1] or 0, r[0]))
+        after, seen = None, []
+        while page := core.keyset_page(df, [("id", desc), ("v", False)], after, 3).collect():
+            seen += [r.id for r in page]
+            after = (page[-1].id, page[-1].v)
+        assert seen == sorted(range(8), reverse=desc)
+
+
+def test_a_page_tells_whether_more_follow(spark):
+    df = spark.range(7)
+    for after, want, more in (None, [0, 1, 2], True), ((2,), [3, 4, 5], True), ((3,), [4, 5, 6], False), ((6,), [], None):
+        page = operations.page_of(df, [("id", False)], after, 3).orderBy("id").collect()
+        assert [r.id for r in page] == want and {r.has_more for r in page} <= {more}
+
+
+def test_words_in_literals_are_no_statements():
+    for sql in "select 'drop table x; delete from y' as a", 'select "update" from t', "select 1 as `create table`", "with a as (select 1 -- insert into b\n) select * from a", "select last_update from t":
+        assert guarded(sql).startswith("SELECT * FROM (")
+
+
+def test_ends_are_blocks_or_days():
+    from datetime import datetime
+
+    assert operations.endpoint(None) == (None, None) and operations.endpoint("12") == (12, None)
+    assert operations.endpoint("2024-02-29") == (None, datetime(2024, 2, 29))
+    for bad in "", "2024-02-30", "x", "12.5":
+        with pytest.raises(ValueError):
+            operations.endpoint(bad)
+    assert operations.limit_of("events") == 100 and operations.limit_of("events", 10**6) == 1000 and operations.limit_of("votes", 0) == 1
+
+
+def test_logs_of_other_shapes_are_dead_letters(spark):
+    word = "f" * 64
+    logs = [(1, "t", "0x" + "0" * 24 + "AB" * 20 + word), (2, "t", "0x" + word), (3, "t", None), (4, None, "0x"), (5, "u", "0x"), (6, "v", "0x"), (7, "t", "0x" + "g" * 128)]
+    shapes = {"t": ("Two", ("address", "uint")), "v": ("None", ())}
+    got = {r.id: (r.event, r.fields, r.error) for r in operations.decoded(spark.createDataFrame(logs, "id long, topic0 string, data string"), shapes).collect()}
+    assert got[1] == ("Two", ["0x" + "ab" * 20, str(2**256 - 1)], None)
+    assert [got[i][2] for i in range(2, 8)] == ["bad data", "bad data", "unknown topic", "unknown topic", None, "bad data"] and got[6][1] == []

@@ -68,3 +68,21 @@ def test_buckets_in_a_zone(spark):
     df = spark.sql("select timestamp_ntz '2024-03-10 07:30:00' as t union all select timestamp_ntz '2024-03-11 03:59:00'")
     got = sorted(str(r.b) for r in df.select(m.tz_bucket("day", "t", "America/New_York").alias("b")).collect())
     assert got == ["2024-03-10 05:00:00", "2024-03-10 05:00:00"]
+
+
+def test_words_of_256_bits_as_text(spark):
+    r = __import__("random").Random(5)
+    values = [0, 1, 2**64 - 1, 2**64, 2**64 + 5, 2**120 - 1, 2**120, 2**128, 10**38, 2**256 - 1] + [r.getrandbits(r.randint(1, 256)) for _ in range(300)]
+    df = spark.createDataFrame([(str(v), f"{v:064x}") for v in values], "want string, w string")
+    assert [(a, b) for a, b in df.selectExpr("want", f"{m.uint_text('w')} as got").collect() if a != b] == []
+
+
+def test_price_by_the_pool_s_own_root():
+    assert m.root_to_price(str(1 << 96)) == "1." + "0" * 30 and m.root_to_price(str(3 << 95)) == "2.25" + "0" * 28 and m.root_to_price(None) is None
+    assert m.root_to_price(str(m.tick_to_sqrt_price(-777))) == m.tick_to_price(-777)
+
+
+def test_answers_keep_their_eight_decimals(spark):
+    from tidemark.plans.valuation import ANSWER
+
+    assert [f"{r[0]:f}" for r in spark.sql(f"select {ANSWER} from values (12345678901L), (1L) as t(answer)").collect()] == ["123.45678901", "0.00000001"]

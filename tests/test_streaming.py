@@ -21,6 +21,19 @@ def test_late_and_repeated_files(spark, tmp_path):
         assert sorted(map(tuple, spark.read.parquet(target).select("day", "v").collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_a_day_that_loses_its_last_row_goes(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "id long, day string, v long"
+    build = lambda df: df.groupBy("day", "id").agg(F.sum("v").alias("v")).where("v > 0").groupBy("day").agg(F.sum("v").alias("v"))
+    for rows in ([(1, "a", 1), (2, "b", 2), (9, "x y/%", 1)], [(1, "a", -1), (9, "x y/%", -1)], [(3, "c", 1)], [(3, "c", -1), (2, "b", -2)], [(4, "a", 7)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        for _ in range(2):  # a batch that finds nothing new changes nothing
+            inc.follow(spark, source, schema, target, state, build, lambda e: e, "day").awaitTermination()
+        whole = build(spark.read.schema(schema).parquet(source))
+        left = [] if whole.isEmpty() else spark.read.schema("v long, day string").parquet(target).select("day", "v").collect()
+        assert sorted(map(tuple, left)) == sorted(map(tuple, whole.collect()))
+
+
 def test_the_csv_report_holds_all_events(spark, small, monkeypatch):
     from tidemark.plans import feeds
     from tidemark.sources import protocol, storage

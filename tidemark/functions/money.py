@@ -41,6 +41,19 @@ def percent(raw: str) -> Column:
     return F.expr(f"cast(try_cast({raw} as decimal(20,0)) / 10000 as decimal(10,4))")
 
 
+def uint_text(word: str) -> str:
+    """SQL of the decimal text of an unsigned integer of 256 bits, given as 64 lower-case hex digits.
+
+    Up to 120 bits fit Spark's decimals. Wider ones are turned from eight digits of base 2 ** 32 into nine of base 1e9, whose products fit 64 bits.
+    """
+    small = f"cast(cast(cast(conv(substring({word}, 35, 15), 16, 10) as decimal(20,0)) * cast(1152921504606846976 as decimal(19,0)) as decimal(38,0)) + cast(conv(right({word}, 15), 16, 10) as decimal(20,0)) as decimal(38,0))"
+    limbs = f"transform(sequence(0, 7), i -> cast(conv(substring({word}, 8 * i + 1, 8), 16, 10) as bigint))"
+    step = "aggregate(acc, named_struct('carry', limb, 'all', cast(array() as array<bigint>)), (s, d) -> named_struct('carry', (d * 4294967296L + s.carry) div 1000000000L, 'all', array_append(s.all, (d * 4294967296L + s.carry) % 1000000000L)), s -> s.all)"
+    digits = f"aggregate({limbs}, array_repeat(0L, 9), (acc, limb) -> {step})"
+    wide = f"ltrim('0', array_join(transform(reverse({digits}), d -> lpad(cast(d as string), 9, '0')), ''))"
+    return f"case when left({word}, 34) = repeat('0', 34) then cast({small} as string) else {wide} end"
+
+
 def inverse_percent(raw: str) -> Column:
     return F.expr(f"cast(({MILLION} - try_cast({raw} as decimal(20,0))) / 10000 as decimal(10,4))")
 
@@ -91,11 +104,16 @@ def _step(bit: int) -> int:
 def tick_to_price(tick: int | None) -> str | None:
     """The square of the root price, as a decimal string with 30 places."""
     s = tick_to_sqrt_price(tick)
-    if s is None:
+    return None if s is None else root_to_price(str(s))
+
+
+def root_to_price(root: str | None) -> str | None:
+    """The price of a pool by its own root price in units of 2 ** -96, as a decimal string with 30 places."""
+    if root is None:
         return None
     with localcontext() as c:
         c.prec = 110
-        return f"{Decimal(s) * s / (1 << 192):.30f}"
+        return f"{Decimal(root) * Decimal(root) / (1 << 192):.30f}"
 
 
 def mean_tick(delta: int | None, seconds: int = 1800) -> int | None:
@@ -104,6 +122,7 @@ def mean_tick(delta: int | None, seconds: int = 1800) -> int | None:
 
 
 tick_to_price_udf = F.udf(tick_to_price, StringType(), useArrow=True)
+root_to_price_udf = F.udf(root_to_price, StringType(), useArrow=True)
 tick_to_sqrt_udf = F.udf(lambda t: None if t is None else str(tick_to_sqrt_price(t)), StringType(), useArrow=True)
 
 

@@ -48,12 +48,13 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def keyset_page(df: DataFrame, order: Sequence[tuple[str, bool]], after: Sequence | None, limit: int) -> DataFrame:
-    """The next ``limit`` rows after a row's values in ``order`` of (column, descending)."""
+    """The next ``limit`` rows after a row's values in ``order`` of (column, descending); nulls come last in either direction."""
     if after is not None:
         steps, equal = [], F.lit(True)
         for (c, desc), v in zip(order, after, strict=True):
-            steps.append(equal & (F.col(c) < F.lit(v) if desc else F.col(c) > F.lit(v)))
-            equal = equal & (F.col(c) == F.lit(v))
+            past = F.lit(False) if v is None else F.col(c).isNull() | (F.col(c) < F.lit(v) if desc else F.col(c) > F.lit(v))
+            steps.append(equal & past)
+            equal = equal & F.col(c).eqNullSafe(F.lit(v))
         df = df.where(reduce(lambda a, b: a | b, steps))
     return df.orderBy(*[F.desc_nulls_last(c) if desc else F.asc_nulls_last(c) for c, desc in order]).limit(limit)
 
@@ -91,7 +92,7 @@ def date_spine(spark, first: str, last: str) -> DataFrame:
 
 
 def table_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Number of rows and an order-free hash of them, computed in partial sums."""
-    row = F.md5(F.concat_ws("§", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))
-    half = F.conv(F.substring(row, 1, 12), 16, 10).cast("bigint")
-    return df.agg(F.count("*").alias("n_rows"), (F.sum(half.cast("decimal(20,0)")) % F.lit(10**18).cast("decimal(19,0)")).cast("bigint").alias("hash_sum"))
+    """Number of rows and the sums of both halves of their md5, in partial sums whatever the order; null is not the empty string."""
+    row = F.md5(F.concat_ws("§", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns]).cast("binary"))
+    half = lambda at: F.sum(F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+    return df.agg(F.count("*").alias("n_rows"), half(1).alias("first_half"), half(17).alias("second_half"))

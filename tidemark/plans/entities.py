@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.money import gas_fee, inverse_percent, percent
-from tidemark.operators.core import keyset_page, latest_by
+from tidemark.functions.money import commission, gas_fee, inverse_percent, part, percent
+from tidemark.operators.core import keyset_page, latest_by, without
 from tidemark.plans.registry import dbl, query
-from tidemark.plans.rollups import final_events, payouts_daily, valued
+from tidemark.plans.rollups import _EV_AS_OF, final_events, of_days, payouts_daily, valued, with_shares
 from tidemark.sources import protocol as P
 
 # --- gateways -------------------------------------------------------------------------------------
@@ -36,6 +36,14 @@ def p10_gateway_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).selectExpr("event_id", "flow_kind", "gateway", "counterparty", "claimant", "block_number", "cast(amount_normalized as double) as amount", "cast(amount_usd as double) as amount_usd")
 
 
+@query(f"SELECT id, {_FLOW} AS flow_kind FROM ev WHERE is_canonical AND finality <> 'finalized' AND {_FLOW} IS NOT NULL")
+def j14_events_without_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose flow, of the kind that is computed for them, the ledger lacks; here it holds those of final events."""
+    e = P.protocol_events(spark, sf_dir).where("is_canonical").withColumn("flow_kind", F.expr(FLOW)).where("flow_kind is not null")
+    ledger = e.where("finality = 'finalized'").select("id", "flow_kind")
+    return without(e.select("id", "flow_kind"), ledger, ["id", "flow_kind"])
+
+
 def recipients(ledger: DataFrame, gross: bool) -> DataFrame:
     kinds = ["payout", "reserve_transfer"] if gross else ["payout"]
     f = ledger.where(F.col("flow_kind").isin(kinds))
@@ -128,17 +136,25 @@ def n7_gas_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def economics(spark: SparkSession, sf_dir: str, first: str, last: str, once: bool) -> DataFrame:
-    """Payouts, rewards and gas by orchestrator; gas counts for every event of a transaction, or once."""
-    e = final_events(spark, sf_dir).where(F.to_date("block_timestamp").between(first, last))
-    v = valued(e.where("event_name in ('WinningTicketRedeemed', 'Reward')"), P.valuations(spark, sf_dir))
-    usd = v.groupBy("to_address").agg(F.sum(F.when(F.col("event_name") == "Reward", F.col("amount_usd"))).alias("rewards_usd"), F.sum(F.when(F.col("event_name") != "Reward", F.col("amount_usd"))).alias("payouts_usd"))
-    spent = e.select("to_address", "tx_hash", *([] if once else ["id"])).distinct().join(P.receipts(spark, sf_dir), "tx_hash").withColumn("fee", gas_fee("gas_used", "effective_gas_price", "gas_price"))
-    return usd.join(spent.groupBy("to_address").agg(F.sum("fee").alias("gas")), "to_address", "full_outer")
+    """By orchestrator the dollars that it keeps of payouts and rewards, and the gas of its transactions.
+
+    Of a payout it keeps the commission, of a reward its share. Gas is that of canonical redemptions and rewards, final or
+    not; it counts for every event of a transaction, or once.
+    """
+    e = of_days(final_events(spark, sf_dir), first, last).where("event_name in ('WinningTicketRedeemed', 'Reward')")
+    v = valued(with_shares(e, P.protocol_events(spark, sf_dir)), P.valuations(spark, sf_dir))
+    usd, reward = "cast(coalesce(amount_usd, 0) as decimal(24,12))", F.col("event_name") == "Reward"
+    kept = v.groupBy("to_address").agg(F.sum(F.when(reward, F.expr(part(usd, "share")))).alias("rewards_usd"), F.sum(F.when(~reward, F.expr(commission(usd, "share")))).alias("payouts_usd"))
+    paid = of_days(P.protocol_events(spark, sf_dir), first, last).where("is_canonical and event_name in ('WinningTicketRedeemed', 'Reward')")
+    spent = paid.select("to_address", "tx_hash", *([] if once else ["id"])).distinct().join(P.receipts(spark, sf_dir), "tx_hash").withColumn("fee", gas_fee("gas_used", "effective_gas_price", "gas_price"))
+    return kept.join(spent.groupBy("to_address").agg(F.sum("fee").alias("gas")), "to_address", "full_outer")
 
 
 def _economics_sql(distinct: str) -> str:
-    return f"""WITH win AS (SELECT * FROM ev WHERE is_canonical AND finality = 'finalized' AND block_timestamp >= DATE '2024-01-05' AND block_timestamp < DATE '2024-01-16'),
-usd AS (SELECT to_address, sum(v.amount_usd) FILTER (event_name = 'Reward') AS rewards_usd, sum(v.amount_usd) FILTER (event_name <> 'Reward') AS payouts_usd FROM win w JOIN val v ON v.event_id = w.id AND v.asset = w.asset WHERE event_name IN ('WinningTicketRedeemed', 'Reward') GROUP BY 1),
+    usd, part_of = "CAST(coalesce(v.amount_usd, 0) AS DECIMAL(24,12))", "CAST(CAST({} AS DECIMAL(12,0)) / 1000000 AS DECIMAL(7,6))"
+    return "WITH " + _EV_AS_OF + f""", win AS (SELECT * FROM ev WHERE is_canonical AND event_name IN ('WinningTicketRedeemed', 'Reward') AND block_timestamp >= DATE '2024-01-05' AND block_timestamp < DATE '2024-01-16'),
+usd AS (SELECT to_address, sum({usd} * {part_of.format('w.share')}) FILTER (event_name = 'Reward') AS rewards_usd, sum({usd} * {part_of.format('1000000 - w.share')}) FILTER (event_name <> 'Reward') AS payouts_usd
+  FROM tick w JOIN val v ON v.event_id = w.id AND v.asset = w.asset WHERE w.block_timestamp >= DATE '2024-01-05' AND w.block_timestamp < DATE '2024-01-16' GROUP BY 1),
 spent AS (SELECT to_address, sum(CAST(r.gas_used AS DECIMAL(18,0)) * (CAST(coalesce(r.effective_gas_price, r.gas_price) AS DECIMAL(18,0)))) AS wei FROM ({distinct}) w JOIN rcpt r USING (tx_hash) GROUP BY 1)
 SELECT coalesce(usd.to_address, spent.to_address) AS to_address, CAST(rewards_usd AS DOUBLE) AS rewards_usd, CAST(payouts_usd AS DOUBLE) AS payouts_usd, CAST(wei AS DOUBLE) / 1e18 AS gas FROM usd FULL JOIN spent ON usd.to_address = spent.to_address"""
 

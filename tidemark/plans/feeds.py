@@ -32,6 +32,20 @@ def st1_st9_followed_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame
     return spark.read.parquet(target).select("day", "event_name", "events", "senders")
 
 
+@query("SELECT CAST(block_timestamp AS DATE) AS day, count(*) AS events FROM ev WHERE block_timestamp < TIMESTAMP '2024-01-10' OR block_timestamp >= TIMESTAMP '2024-01-15' GROUP BY 1")
+def st6_retracted_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts as a stream leaves them that first reads the whole log, then retractions of all events of five days."""
+    source, target, state = (storage.shared_path(spark, n) for n in ("log", "daily", "state"))
+    log = P.protocol_events(spark, sf_dir).select("id", F.to_date("block_timestamp").alias("day"))
+    log.withColumn("sign", F.lit(1)).write.parquet(source)
+    last = lambda e: e.groupBy("day", "id").agg(F.sum("sign").alias("n")).where("n > 0").groupBy("day").agg(F.count("*").alias("events"))
+    run = lambda: incremental.follow(spark, source, "id long, day date, sign int", target, state, last, lambda e: e, "day", 100).awaitTermination()
+    run()
+    log.where("day between '2024-01-10' and '2024-01-14'").withColumn("sign", F.lit(-1)).write.mode("append").parquet(source)
+    run()
+    return spark.read.parquet(target).select(F.col("day").cast("date").alias("day"), "events")
+
+
 @query("SELECT DISTINCT from_address FROM ev")
 def st8_first_seen_senders(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target, state = (storage.shared_path(spark, n) for n in ("log", "seen", "state"))

@@ -77,7 +77,7 @@ def p13_w5_claimants_at_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p12_balance_at_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each touch of a gateway with the deposit that the chain's state had by its block."""
     t = P.protocol_events(spark, sf_dir).where("is_canonical and event_name = 'WinningTicketRedeemed'").select(F.col("from_address").alias("gateway"), "block_number").distinct()
-    return as_of_join(t, P.gateway_balances(spark, sf_dir).select("gateway", "block_number", "deposit"), ["gateway"], ["block_number"], ["deposit"]).selectExpr("gateway", "block_number", *dbl("deposit"))
+    return as_of_join(t, P.gateway_balances(spark, sf_dir).select("gateway", "block_number", "deposit"), ["gateway"], ["block_number"], ["deposit"], AS_OF_BLOCKS).selectExpr("gateway", "block_number", *dbl("deposit"))
 
 
 @query("SELECT contract_name AS name, greatest(max(block_number), 2000) AS last_block FROM ev GROUP BY 1")

@@ -30,14 +30,14 @@ price AS (SELECT 'ETH' AS asset, 'USD' AS quote, block_number, source, block_tim
         FROM (SELECT event_id // 4 AS block_number, min(ts) AS block_timestamp FROM events GROUP BY 1))),
 seed AS (SELECT id AS event_id, asset, CAST(1.5 AS DECIMAL(12,2)) AS asset_usd_price FROM ev WHERE k % 3 = 0 AND asset IS NOT NULL),
 cls AS (SELECT DISTINCT 'g' || user_id AS gateway, 'ai' AS kind FROM events WHERE user_id % 7 = 0),
-nam AS (SELECT 'o' || s_suppkey AS address, s_name AS ens_name, CASE WHEN s_suppkey % 2 = 0 THEN 'the ' || s_name END AS override_name FROM supplier WHERE s_suppkey < 20),
+nam AS (SELECT 'o' || s_suppkey AS address, s_name AS ens_name, CASE WHEN s_suppkey % 2 = 0 THEN 'the ' || s_name END AS override_name FROM supplier),
 rcpt AS (SELECT 't' || l_orderkey AS tx_hash, CAST(max(l_partkey) + 21000 AS DECIMAL(18,0)) AS gas_used, CASE WHEN l_orderkey % 3 <> 0 THEN CAST(max(l_suppkey) + 1 AS DECIMAL(18,0)) * CAST(1000000000 AS DECIMAL(10,0)) END AS effective_gas_price,
   CAST(max(l_suppkey) + 2 AS DECIMAL(18,0)) * CAST(1000000000 AS DECIMAL(10,0)) AS gas_price FROM lineitem GROUP BY l_orderkey),
 stk AS (SELECT 'o' || (o_custkey % 50) AS address, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS INTEGER) AS round, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(38,18)) AS total_stake,
   max(o_orderdate) AS snapshot_at, max(o_orderkey) AS block_number, count(*) % 3 <> 0 AS is_active, max(o_orderkey) % 1000000 AS raw_reward_cut, min(o_orderkey) % 1000000 AS raw_fee_share FROM orders GROUP BY 1, 2),
 bal AS (SELECT 'g' || o_custkey AS gateway, o_orderkey AS block_number, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DECIMAL(38,18)) AS deposit, o_orderdate AS observed_at FROM orders),
-prop AS (SELECT CAST(o_orderkey AS VARCHAR) AS proposal_id, o_orderkey AS block_number, 'o' || (o_custkey % 50) AS proposer, o_orderdate AS proposed_at, CASE WHEN o_orderstatus = 'F' THEN o_orderkey + 7 END AS executed_block FROM orders WHERE o_orderkey % 10 = 0),
-vote AS (SELECT l_orderkey AS block_number, l_linenumber AS log_index, 'g' || (l_partkey % 100) AS voter, CAST(l_orderkey AS VARCHAR) AS proposal_id, l_linenumber % 3 AS support, CAST(l_quantity AS INTEGER) AS weight, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0),
+prop AS (SELECT CAST(o_orderkey AS VARCHAR) AS proposal_id, o_orderkey AS block_number, 'o' || (o_custkey % 50) AS proposer, o_orderdate AS proposed_at, CASE WHEN o_orderstatus = 'F' THEN o_orderkey + 7 END AS executed_block FROM orders),
+vote AS (SELECT l_orderkey AS block_number, l_linenumber AS log_index, 'g' || (l_partkey % 100) AS voter, CAST(l_orderkey AS VARCHAR) AS proposal_id, l_linenumber % 3 AS support, CAST(l_quantity AS INTEGER) AS weight, l_partkey, l_suppkey FROM lineitem),
 sev AS (SELECT id AS event_id, block_number, log_index, block_timestamp,
   CASE event_name WHEN 'Bond' THEN 'Bond' WHEN 'Unbond' THEN CASE WHEN k % 4 = 0 THEN 'WithdrawStake' ELSE 'Unbond' END WHEN 'TranscoderUpdate' THEN 'EarningsClaimed' ELSE CASE WHEN k % 2 = 0 THEN 'Rebond' ELSE 'TransferBond' END END AS event_name,
   'd' || (user_id % 40) AS from_address, CASE WHEN k % 9 = 0 THEN NULL ELSE 'd' || (k % 40) END AS to_address,

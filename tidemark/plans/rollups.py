@@ -24,8 +24,16 @@ def final_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.protocol_events(spark, sf_dir).where("is_canonical and finality = 'finalized'")
 
 
-def with_shares(events: DataFrame, every: DataFrame) -> DataFrame:
-    """``events`` with the fee share of the last update of their recipient at or before them; 0 without any."""
+#: What reports and cubes need of an event; nothing else goes through the shuffle of an as-of join.
+NEEDED = ("id", "block_number", "log_index", "block_timestamp", "tx_hash", "event_name", "from_address", "to_address", "asset", "amount_normalized")
+
+
+def with_shares(events: DataFrame, every: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """NEEDED and ``more`` columns of ``events`` with the fee share of the last update of their recipient at or before them; 0 without any.
+
+    ``events`` are best filtered before: no condition passes the window behind the join.
+    """
+    events = events.select(*NEEDED, *more)
     updates = every.where("event_name = 'TranscoderUpdate' and is_canonical").select("to_address", "block_number", "log_index", F.col("fee_share").alias("share"))
     return as_of_join(events, updates, ["to_address"], ["block_number", "log_index"], ["share"], AS_OF_BLOCKS).withColumn("share", F.coalesce("share", F.lit(0)))
 
@@ -36,9 +44,18 @@ def valued(events: DataFrame, val: DataFrame, how: str = "inner") -> DataFrame:
     return events.join(v, null_safe(events, v, [("id", "v_event")], [("asset", "v_asset")]), how).drop("v_event", "v_asset")
 
 
-def payouts_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payouts by day, orchestrator, version and kind of gateway."""
-    e = with_shares(final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed'"), P.protocol_events(spark, sf_dir))
+def of_days(events: DataFrame, first: date | str | None, last: date | str | None) -> DataFrame:
+    """Events of whole days, by a range of their time that reaches the scan."""
+    if first is not None:
+        events = events.where(F.col("block_timestamp") >= F.lit(str(first)).cast("timestamp_ntz"))
+    if last is not None:
+        events = events.where(F.col("block_timestamp") < F.lit(str(last)).cast("timestamp_ntz") + F.expr("interval 1 day"))
+    return events
+
+
+def payouts_daily(spark: SparkSession, sf_dir: str, first: date | str | None = None, last: date | str | None = None) -> DataFrame:
+    """Payouts by day, orchestrator, version and kind of gateway, of all days or of a range."""
+    e = with_shares(of_days(final_events(spark, sf_dir), first, last).where("event_name = 'WinningTicketRedeemed'"), P.protocol_events(spark, sf_dir))
     kinds = P.classifications(spark, sf_dir)
     j = valued(e, P.valuations(spark, sf_dir)).join(kinds, F.col("from_address") == F.col("gateway"), "left").withColumn("kind", F.coalesce("kind", F.lit("transcoding")))
     usd = F.coalesce("amount_usd", F.lit(0))
@@ -207,9 +224,10 @@ def a4_block_window_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payout_board(spark: SparkSession, sf_dir: str, first: str, last: str, version: str = P.V1) -> DataFrame:
     """Sums of the cube by orchestrator, distinct gateways from the events themselves, and names."""
-    days = payouts_daily(spark, sf_dir).where(F.col("day").between(first, last) & (F.col("valuation_version") == version))
+    days = payouts_daily(spark, sf_dir, first, last).where(F.col("valuation_version") == version)
     sums = days.groupBy("orchestrator").agg(F.sum("payouts").alias("payouts"), F.sum("face").alias("face"), F.sum("commission_usd").alias("commission_usd"), F.sum("priced").alias("priced"))
-    e = final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed'").where(F.to_date("block_timestamp").between(first, last))
+    e = final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed'")
+    e = of_days(e, first, last)
     gateways = e.groupBy(F.col("to_address").alias("orchestrator")).agg(F.countDistinct("from_address").alias("gateways"))
     names = P.names(spark, sf_dir).select(F.col("address").alias("orchestrator"), F.coalesce("override_name", "ens_name").alias("name"))
     return sums.join(gateways, "orchestrator", "left").join(names, "orchestrator", "left").withColumn("gateways", F.coalesce("gateways", F.lit(0)))
@@ -256,7 +274,7 @@ def period(kind: str, day: date) -> tuple[date, date]:
 
 
 def payout_summary(spark: SparkSession, sf_dir: str, first: date, last: date, kind: str | None = None, version: str = P.V1) -> DataFrame:
-    days = payouts_daily(spark, sf_dir).where(F.col("day").between(first, last) & (F.col("valuation_version") == version))
+    days = payouts_daily(spark, sf_dir, first, last).where(F.col("valuation_version") == version)
     days = days.where(F.col("kind") == kind) if kind else days
     return days.agg(F.coalesce(F.sum("payouts"), F.lit(0)).alias("payouts"), F.coalesce(F.sum("face"), F.lit(0)).alias("face"), F.coalesce(F.sum("face_usd"), F.lit(0)).alias("face_usd"), F.countDistinct("orchestrator").alias("orchestrators"))
 
@@ -311,7 +329,7 @@ def p22_rollup_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(tickets_daily(spark, sf_dir), after, ["day", "kind"])
 
 
-@query("SELECT CAST(block_timestamp AS DATE) AS day, sum(CASE WHEN seen THEN 0 ELSE 1 END)::BIGINT AS new_gateways FROM (SELECT *, row_number() OVER (PARTITION BY CAST(block_timestamp AS DATE), from_address ORDER BY id) > 1 AS seen FROM ev WHERE event_name = 'WinningTicketRedeemed' AND is_canonical) GROUP BY 1")
+@query("SELECT CAST(e.block_timestamp AS DATE) AS day, e.to_address AS orchestrator, v.valuation_version, count(DISTINCT e.from_address) AS gateways FROM ev e JOIN val v ON v.event_id = e.id AND v.asset = e.asset WHERE e.event_name = 'WinningTicketRedeemed' AND e.is_canonical GROUP BY ALL")
 def p23_distinct_gateways(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = P.protocol_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed' and is_canonical")
-    return e.groupBy(_day()).agg(F.countDistinct("from_address").alias("new_gateways"))
+    return valued(e, P.valuations(spark, sf_dir)).groupBy(_day(), F.col("to_address").alias("orchestrator"), "valuation_version").agg(F.countDistinct("from_address").alias("gateways"))

@@ -104,8 +104,8 @@ def w3_k7_delegators_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _REPLAY + ", cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY delegator ORDER BY block_number DESC) AS m FROM srow WHERE block_number <= 1500) WHERE m = 1) SELECT delegate, count(*) AS delegators, CAST(sum(balance) AS DOUBLE) AS principal FROM cur WHERE balance > 0 GROUP BY 1")
 def j8_a22_delegators_at_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By delegate those whose last row by block 1500 is with it and holds stake."""
-    c = current_stake(stake_rows(P.stake_events(spark, sf_dir)).where("block_number <= 1500")).where("balance > 0")
+    """By delegate those whose last row by block 1500 is with it and holds stake; only events up to there are replayed."""
+    c = current_stake(stake_rows(P.stake_events(spark, sf_dir).where("block_number <= 1500"))).where("balance > 0")
     return c.groupBy("delegate").agg(F.count("*").alias("delegators"), F.sum("balance").cast("double").alias("principal"))
 
 
@@ -121,7 +121,7 @@ def w6_q8_delegation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _REPLAY + "SELECT delegator, max(block_number) AS block_number, CAST(max_by(balance, block_number) AS DOUBLE) AS balance, 1200 - max(block_number) AS staleness FROM srow WHERE block_number <= 1200 GROUP BY 1")
 def j7_stake_at_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = current_stake(stake_rows(P.stake_events(spark, sf_dir)).where("block_number <= 1200"))
+    c = current_stake(stake_rows(P.stake_events(spark, sf_dir).where("block_number <= 1200")))
     return c.selectExpr("delegator", "block_number", *dbl("balance"), "1200 - block_number as staleness")
 
 
@@ -140,6 +140,20 @@ def p9_pending_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stake_rows(e).join(claims, ["delegator", "block_number"], "left").selectExpr("delegator", "block_number", *dbl("balance"), "coalesce(end_round, 0) as end_round", "if(end_round is not null, 'both', source) as source")
 
 
+def reconciled_stake(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows with the principal and the delegate that the chain's state tells for them; without a state they stay."""
+    s = state.select("delegator", "block_number", F.col("bonded").alias("_b"), F.lower("delegate").alias("_d"))
+    return rows.join(s, ["delegator", "block_number"], "left").withColumn("balance", F.coalesce("_b", "balance")).withColumn("delegate", F.coalesce("_d", "delegate")).drop("_b", "_d")
+
+
+@query("WITH " + _REPLAY + "SELECT delegator, block_number, CAST(CASE WHEN block_number % 3 = 0 THEN balance + 7 ELSE balance END AS DOUBLE) AS balance, CASE WHEN block_number % 3 = 0 THEN 'x' || delegator ELSE delegate END AS delegate FROM srow")
+def p9b_exact_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain answers for every third block, with other stakes and delegates."""
+    rows = stake_rows(P.stake_events(spark, sf_dir))
+    state = rows.where("block_number % 3 = 0").selectExpr("delegator", "block_number", "balance + 7 as bonded", "concat('X', delegator) as delegate")
+    return reconciled_stake(rows, state).selectExpr("delegator", "block_number", *dbl("balance"), "delegate")
+
+
 @query("WITH k AS (SELECT to_address AS orchestrator, min(block_number) AS since FROM ev WHERE contract_name = 'BondingManager' GROUP BY 1), r AS (SELECT round, max(block_number) AS block FROM stk GROUP BY 1) SELECT r.round, k.orchestrator, CAST(s.total_stake AS DOUBLE) AS total_stake, coalesce(s.is_active, false) AS in_pool FROM r JOIN k ON k.since <= r.block LEFT JOIN stk s ON s.address = k.orchestrator AND s.round = r.round")
 def p14_orchestrators_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each round every orchestrator that was seen before its end, with its state where it has one.

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.money import mean_tick_sql, oracle_status, tick_to_price_udf
+from tidemark.functions.money import mean_tick_sql, oracle_status, root_to_price_udf, tick_to_price_udf
 from tidemark.operators.core import latest_by, without
 from tidemark.plans.registry import dbl, query
 from tidemark.sources import protocol as P
 
 
+#: An oracle's answer has eight decimals; its value keeps them all.
+ANSWER = "cast(cast(answer as decimal(18,0)) * cast(0.00000001 as decimal(9,8)) as decimal(14,8))"
+
+
 def seed_valuations(events: DataFrame, seeds: DataFrame, val: DataFrame, version: str) -> DataFrame:
     """Events with a trusted price and no value in ``version`` yet."""
     have = val.where(F.col("valuation_version") == version).select(F.col("event_id").alias("id"), "asset")
@@ -26,24 +30,24 @@ def p1_j12_seed_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Oracle and pool readings at the blocks of events, spread over all outcomes by k."""
+    """Oracle and pool readings at the blocks of events, spread over all outcomes by k; ``root`` is the pool's own root price, (1000 + k) / 4096."""
     return P.protocol_events(spark, sf_dir).where("is_valuable").selectExpr(
         "id", "k", "asset", "amount_normalized", "k % 23 = 0 as feed_empty", "k % 19 div 18 as sequencer_answer", "k % 29 = 0 as pool_empty", "k % 31 = 0 as aggregator_empty", "k as answered_in_round", "if(k % 13 = 0, k + 1, k) as round_id",
-        "k * 1000 as age_s", "(k - 1) * 100000000L as answer", "100 + k as cardinality", "k % 37 = 0 as observe_failed", "cast((k - 50) * 100000 + user_id as bigint) as delta",
+        "k * 1000 as age_s", "(k - 1) * 123456789L as answer", "cast(cast(1000 + k as decimal(10,0)) * cast(19342813113834066795298816 as decimal(26,0)) as string) as root", "100 + k as cardinality", "k % 37 = 0 as observe_failed", "cast((k - 50) * 100000 + user_id as bigint) as delta",
     )
 
 
 _READ = """rd AS (SELECT id, k, asset, amount_normalized, k % 23 = 0 AS feed_empty, (k % 19) // 18 AS sequencer_answer, k % 29 = 0 AS pool_empty, k % 31 = 0 AS aggregator_empty, k AS answered_in_round, CASE WHEN k % 13 = 0 THEN k + 1 ELSE k END AS round_id,
-  k * 1000 AS age_s, (CAST(k AS BIGINT) - 1) * 100000000 AS answer, 100 + k AS cardinality, k % 37 = 0 AS observe_failed, (k - 50) * 100000 + user_id AS delta FROM ev WHERE is_valuable)
+  k * 1000 AS age_s, (CAST(k AS BIGINT) - 1) * 123456789 AS answer, 100 + k AS cardinality, k % 37 = 0 AS observe_failed, (k - 50) * 100000 + user_id AS delta FROM ev WHERE is_valuable)
 """
 _LADDER = "CASE WHEN feed_empty THEN 'missing_oracle' WHEN sequencer_answer <> 0 THEN 'sequencer_outage' {a} WHEN aggregator_empty OR answered_in_round < round_id OR age_s > 86400 OR answer <= 0 THEN 'missing_oracle' {b} ELSE 'ok' END"
 
 
-@query("WITH " + _READ + f"SELECT id, {_LADDER.format(a='', b='')} AS status, CASE WHEN {_LADDER.format(a='', b='')} = 'ok' THEN CAST(amount_normalized * CAST(answer / 100000000 AS DECIMAL(12,2)) AS DOUBLE) END AS amount_usd FROM rd WHERE asset = 'ETH'")
+@query("WITH " + _READ + f"SELECT id, {_LADDER.format(a='', b='')} AS status, CASE WHEN {_LADDER.format(a='', b='')} = 'ok' THEN CAST(CAST(amount_normalized AS DECIMAL(12,2)) * (CAST(answer AS DECIMAL(15,0)) * CAST(0.00000001 AS DECIMAL(9,8))) AS DOUBLE) END AS amount_usd FROM rd WHERE asset = 'ETH'")
 def p2_k5_k6_eth_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ETH by the oracle's answer over 1e8; what the checks reject stays, without a value."""
+    """ETH by the oracle's answer, which has eight decimals; what the checks reject stays, without a value."""
     r = readings(spark, sf_dir).where("asset = 'ETH'").withColumn("status", oracle_status(False))
-    return r.selectExpr("id", "status", "case when status = 'ok' then cast(amount_normalized * cast(answer / 100000000 as decimal(12,2)) as double) end as amount_usd")
+    return r.selectExpr("id", "status", "case when status = 'ok' then cast(cast(amount_normalized as decimal(24,12)) * " + ANSWER + " as double) end as amount_usd")
 
 
 @query("WITH " + _READ + f"SELECT id, {_LADDER.format(a=chr(10) + ' WHEN pool_empty THEN ' + chr(39) + 'missing_pool' + chr(39), b='WHEN cardinality < 144 THEN ' + chr(39) + 'degraded' + chr(39) + ' WHEN observe_failed THEN ' + chr(39) + 'missing_pool' + chr(39))} AS status, CAST(floor(delta / 1800.0) AS BIGINT) AS tick FROM rd WHERE asset = 'LPT'")
@@ -53,14 +57,31 @@ def p3_p4_k3_lpt_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.selectExpr("id", "status", f"{mean_tick_sql('delta')} as tick")
 
 
-@query()
+_ELIGIBLE = _LADDER.format(a=" WHEN pool_empty THEN 'missing_pool'", b="WHEN cardinality < 144 THEN 'degraded' WHEN observe_failed THEN 'missing_pool'")
+
+
+@query("WITH " + _READ + f""", s AS (SELECT *, {_ELIGIBLE} AS status, CAST(floor(delta / 1800.0) AS BIGINT) AS mean FROM rd WHERE asset = 'LPT'),
+e AS (SELECT *, CASE WHEN status = 'ok' THEN pow(1.0001::DOUBLE, mean) ELSE ((1000 + k) / 4096.0::DOUBLE) * ((1000 + k) / 4096.0::DOUBLE) END AS eth FROM s WHERE status IN ('ok', 'degraded'))
+SELECT id, CASE WHEN status = 'ok' THEN mean END AS tick, CASE WHEN status = 'ok' THEN 'v1_lpt_weth_twap_30min_x_chainlink_eth' ELSE 'v1_degraded_spot_pre_cardinality' END AS valuation_version, round(eth, 6) AS eth, round(eth * answer / 1e8, 4) AS usd_price FROM e""")
 def p3_k1_k2_k4_lpt_twap_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LPT by the pool's mean tick and ETH's price; each distinct tick is priced once."""
-    r = readings(spark, sf_dir).where("asset = 'LPT'").withColumn("status", oracle_status(True)).where("status in ('ok', 'degraded')").selectExpr("id", "status", "answer", "amount_normalized", f"{mean_tick_sql('delta')} as tick")
-    priced = r.select("tick").distinct().withColumn("eth", tick_to_price_udf("tick").cast("decimal(20,12)"))
-    usd = F.expr("cast(eth * cast(answer / 100000000 as decimal(12,2)) as decimal(20,12))")
+    """LPT by the pool's mean tick and ETH's price, each distinct tick priced once; where the pool looks back too little, by its own price of that block."""
+    r = readings(spark, sf_dir).where("asset = 'LPT'").withColumn("status", oracle_status(True)).where("status in ('ok', 'degraded')").selectExpr("id", "status", "answer", f"if(status = 'ok', {mean_tick_sql('delta')}, null) as tick", "if(status = 'ok', null, root) as root")
+    priced = r.select("tick", "root").distinct().withColumn("eth", F.coalesce(tick_to_price_udf("tick"), root_to_price_udf("root")).cast("decimal(36,18)"))
     version = F.when(F.col("status") == "ok", "v1_lpt_weth_twap_30min_x_chainlink_eth").otherwise("v1_degraded_spot_pre_cardinality")
-    return r.join(priced, "tick").withColumn("usd_price", usd).select("id", "tick", version.alias("valuation_version"), F.col("eth").cast("double").alias("eth"), F.col("usd_price").cast("double").alias("usd_price"))
+    j = r.join(priced, r["tick"].eqNullSafe(priced["tick"]) & r["root"].eqNullSafe(priced["root"])).drop(priced["tick"]).withColumn("usd_price", F.expr(f"cast(eth as decimal(24,18)) * {ANSWER}"))
+    return j.select("id", "tick", version.alias("valuation_version"), F.round(F.col("eth").cast("double"), 6).alias("eth"), F.round(F.col("usd_price").cast("double"), 4).alias("usd_price"))
+
+
+@query("""SELECT e.id, '{"steps":[{"asset":"' || e.asset || '","quote":"USD","price":"' || s.asset_usd_price || '","source":"seed_lookup","block_number":' || e.block_number || '}],"result":{"asset":"' || e.asset || '","quote":"USD","price":"' || s.asset_usd_price
+  || '","amount_native":"' || e.amount_normalized || '","amount_usd":"' || CAST(e.amount_normalized * s.asset_usd_price AS DECIMAL(38,18)) || '"}}' AS pricing_chain
+FROM ev e JOIN seed s ON s.event_id = e.id AND s.asset = e.asset WHERE e.is_valuable AND NOT EXISTS (SELECT 1 FROM val v WHERE v.event_id = e.id AND v.asset = e.asset AND v.valuation_version = 'v1_degraded')""")
+def j4_pricing_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each seeded value came about, as JSON: the steps and the result, amounts as text."""
+    s = seed_valuations(P.protocol_events(spark, sf_dir), P.seeds(spark, sf_dir), P.valuations(spark, sf_dir), P.DEGRADED)
+    text = lambda c: F.col(c).cast("string")
+    step = F.struct("asset", F.lit("USD").alias("quote"), text("asset_usd_price").alias("price"), F.lit("seed_lookup").alias("source"), "block_number")
+    result = F.struct("asset", F.lit("USD").alias("quote"), text("asset_usd_price").alias("price"), text("amount_normalized").alias("amount_native"), text("amount_usd").alias("amount_usd"))
+    return s.select("id", F.to_json(F.struct(F.array(step).alias("steps"), result.alias("result"))).alias("pricing_chain"))
 
 
 def halves(claims: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of orchestrators, and names that override them for even ones."""
-    return _read(spark, sf_dir, "supplier").where("s_suppkey < 20").selectExpr("concat('o', s_suppkey) as address", "s_name as ens_name", "case when s_suppkey % 2 = 0 then concat('the ', s_name) end as override_name")
+    return _read(spark, sf_dir, "supplier").selectExpr("concat('o', s_suppkey) as address", "s_name as ens_name", "case when s_suppkey % 2 = 0 then concat('the ', s_name) end as override_name")
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +86,12 @@ def gateway_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Governance proposals: executed ones carry the block of their execution."""
-    return _read(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").selectExpr("cast(o_orderkey as string) as proposal_id", "o_orderkey as block_number", "concat('o', o_custkey % 50) as proposer", "o_orderdate as proposed_at", "case when o_orderstatus = 'F' then o_orderkey + 7 end as executed_block")
+    return _read(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as string) as proposal_id", "o_orderkey as block_number", "concat('o', o_custkey % 50) as proposer", "o_orderdate as proposed_at", "case when o_orderstatus = 'F' then o_orderkey + 7 end as executed_block")
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes as raw events: support is a JSON number, weight a string."""
-    return _read(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").selectExpr(
+    return _read(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey as block_number", "l_linenumber as log_index", "concat('g', l_partkey % 100) as voter",
         "to_json(named_struct('proposalId', cast(l_orderkey as string), 'support', l_linenumber % 3, 'weight', cast(cast(l_quantity as int) as string))) as decoded", "l_partkey", "l_suppkey",
     )

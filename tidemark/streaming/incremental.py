@@ -38,15 +38,17 @@ def frontier(events: DataFrame, unresolved: DataFrame) -> DataFrame:
 def follow(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], touched: Callable[[DataFrame], DataFrame], key: str, files_a_batch: int = 8) -> StreamingQuery:
     """Keep ``target`` equal to ``build(all rows)``, partition by partition of ``key``.
 
-    ``touched`` gives the keys of a batch; ``build`` is run over the log's rows with those keys. The files of a
-    batch are in the log when the batch runs, so the log itself is the state.
+    ``touched`` gives the keys of a batch; ``build`` is run over the log's rows with those keys, whose values are a condition that
+    prunes a log partitioned by them. A key that has no rows left is deleted from the target. The files of a
+    batch are in the log when the batch runs, so the log itself is the state. Keys are days or the like: a batch's come to the driver.
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        keys = touched(batch).select(key).distinct()
-        log = spark.read.schema(schema).parquet(source)
-        mine = touched(log).join(keys, key, "left_semi")
-        replace_partitions(build(mine), target, key)
+        keys = [r[0] for r in touched(batch).select(key).distinct().collect()]
+        if keys:
+            log = touched(spark.read.schema(schema).parquet(source))
+            mine = log.where(F.col(key).isin([k for k in keys if k is not None]) | (F.col(key).isNull() if None in keys else F.lit(False)))
+            replace_partitions(build(mine), target, key, keys)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
