@@ -44,3 +44,23 @@ def test_the_csv_report_holds_all_events(spark, small, monkeypatch):
     got = spark.read.schema("id long, note string").option("header", True).option("escape", '"').csv(paths[0])
     want = protocol.protocol_events(spark, small).selectExpr("id", "concat('a \"', event_name, '\", ', k) as note")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_stored_tables_follow_their_sources(spark, tmp_path):
+    from tidemark.sources.cubes import stored
+
+    made = []
+
+    def build(s, d):
+        made.append(d)
+        return s.read.parquet(f"{d}/t.parquet").groupBy("k").count()
+
+    folder = str(tmp_path / "in")
+    spark.range(6).selectExpr("id % 2 as k").write.parquet(f"{folder}/t.parquet")
+    for _ in range(3):
+        assert sorted(map(tuple, stored(spark, folder, "t", build).collect())) == [(0, 3), (1, 3)]
+    assert len(made) == 1
+    spark.range(9).selectExpr("id % 3 as k").write.mode("overwrite").parquet(f"{folder}/t.parquet")
+    assert sorted(map(tuple, stored(spark, folder, "t", build).collect())) == [(0, 3), (1, 3), (2, 3)]
+    stored(spark, folder, "t", build, refresh=True)
+    assert len(made) == 3

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.money import commission, gas_fee, inverse_percent, part, percent
 from tidemark.operators.core import keyset_page, latest_by, without
 from tidemark.plans.registry import dbl, query
-from tidemark.plans.rollups import _EV_AS_OF, final_events, of_days, payouts_daily, valued, with_shares
+from tidemark.plans.rollups import _EV_AS_OF, cube, final_events, of_days, valued, with_shares
 from tidemark.sources import protocol as P
+from tidemark.sources.cubes import stored
 
 # --- gateways -------------------------------------------------------------------------------------
 
@@ -26,6 +27,11 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("id").alias("event_id"), "flow_kind", F.col("from_address").alias("gateway"), F.col("to_address").alias("counterparty"), F.when(F.col("flow_kind") == "reserve_transfer", F.concat(F.lit("c"), F.col("k") % 7)).alias("claimant"), "block_number", "block_timestamp", "amount_normalized", "amount_usd")
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ledger."""
+    return stored(spark, sf_dir, "flows", flows)
+
+
 _FLOWS = f"""flow AS (SELECT e.id AS event_id, {_FLOW} AS flow_kind, from_address AS gateway, to_address AS counterparty, CASE WHEN event_name = 'Reward' THEN 'c' || (k % 7) END AS claimant, e.block_number, e.block_timestamp, amount_normalized, v.amount_usd
   FROM ev e LEFT JOIN val v ON v.event_id = e.id AND v.valuation_version = 'v1' AND v.status = 'priced' WHERE is_canonical AND {_FLOW} IS NOT NULL)
 """
@@ -40,13 +46,13 @@ def p10_gateway_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j14_events_without_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose flow, of the kind that is computed for them, the ledger lacks; here it holds those of final events."""
     e = P.protocol_events(spark, sf_dir).where("is_canonical").withColumn("flow_kind", F.expr(FLOW)).where("flow_kind is not null")
-    ledger = e.where("finality = 'finalized'").select("id", "flow_kind")
-    return without(e.select("id", "flow_kind"), ledger, ["id", "flow_kind"])
+    final = e.where("finality = 'finalized'").select("id", "flow_kind")
+    return without(e.select("id", "flow_kind"), final, ["id", "flow_kind"])
 
 
-def recipients(ledger: DataFrame, gross: bool) -> DataFrame:
+def recipients(flows_of: DataFrame, gross: bool) -> DataFrame:
     kinds = ["payout", "reserve_transfer"] if gross else ["payout"]
-    f = ledger.where(F.col("flow_kind").isin(kinds))
+    f = flows_of.where(F.col("flow_kind").isin(kinds))
     return f.groupBy("gateway", F.coalesce("claimant", "counterparty").alias("recipient")).agg(
         F.count("*").alias("flows"), F.sum("amount_normalized").alias("amount"), F.count("amount_usd").alias("priced"), F.count_if(F.col("flow_kind") == "payout").alias("payouts"), F.count_if(F.col("flow_kind") == "reserve_transfer").alias("transfers"), F.max("block_number").alias("last_block"),
     )
@@ -54,24 +60,24 @@ def recipients(ledger: DataFrame, gross: bool) -> DataFrame:
 
 @query("WITH " + _FLOWS + "SELECT gateway, coalesce(claimant, counterparty) AS recipient, count(*) AS flows, CAST(sum(amount_normalized) AS DOUBLE) AS amount, count(amount_usd) AS priced, count(*) FILTER (flow_kind = 'payout') AS payouts, count(*) FILTER (flow_kind = 'reserve_transfer') AS transfers, max(block_number) AS last_block FROM flow WHERE flow_kind IN ('payout', 'reserve_transfer') GROUP BY 1, 2")
 def a9_gateway_recipients_gross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recipients(flows(spark, sf_dir), True).selectExpr("gateway", "recipient", "flows", *dbl("amount"), "priced", "payouts", "transfers", "last_block")
+    return recipients(ledger(spark, sf_dir), True).selectExpr("gateway", "recipient", "flows", *dbl("amount"), "priced", "payouts", "transfers", "last_block")
 
 
 @query("WITH " + _FLOWS + "SELECT gateway, coalesce(claimant, counterparty) AS recipient, count(*) AS flows, CAST(sum(amount_normalized) AS DOUBLE) AS amount FROM flow WHERE flow_kind = 'payout' GROUP BY 1, 2")
 def f17_gateway_recipients_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recipients(flows(spark, sf_dir), False).selectExpr("gateway", "recipient", "flows", *dbl("amount"))
+    return recipients(ledger(spark, sf_dir), False).selectExpr("gateway", "recipient", "flows", *dbl("amount"))
 
 
 @query("WITH " + _FLOWS + "SELECT gateway, flow_kind, count(*) AS flows, CAST(sum(amount_normalized) AS DOUBLE) AS amount, min(block_timestamp) AS first_at FROM flow GROUP BY 1, 2")
 def a10_gateway_summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = flows(spark, sf_dir).groupBy("gateway", "flow_kind").agg(F.count("*").alias("flows"), F.sum("amount_normalized").alias("amount"), F.min("block_timestamp").alias("first_at"))
+    g = ledger(spark, sf_dir).groupBy("gateway", "flow_kind").agg(F.count("*").alias("flows"), F.sum("amount_normalized").alias("amount"), F.min("block_timestamp").alias("first_at"))
     return g.selectExpr("gateway", "flow_kind", "flows", *dbl("amount"), "first_at")
 
 
 @query("WITH " + _FLOWS + "SELECT gateway, count(*) FILTER (flow_kind = 'deposit') AS funding, count(*) FILTER (flow_kind IN ('payout', 'reserve_transfer')) AS payouts, count(*) FILTER (flow_kind = 'withdrawal') AS withdrawals, count(DISTINCT coalesce(claimant, counterparty)) FILTER (flow_kind IN ('payout', 'reserve_transfer')) AS recipients FROM flow GROUP BY 1")
 def a11_a12_gateway_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     paid = F.col("flow_kind").isin("payout", "reserve_transfer")
-    return flows(spark, sf_dir).groupBy("gateway").agg(F.count_if(F.col("flow_kind") == "deposit").alias("funding"), F.count_if(paid).alias("payouts"), F.count_if(F.col("flow_kind") == "withdrawal").alias("withdrawals"), F.countDistinct(F.when(paid, F.coalesce("claimant", "counterparty"))).alias("recipients"))
+    return ledger(spark, sf_dir).groupBy("gateway").agg(F.count_if(F.col("flow_kind") == "deposit").alias("funding"), F.count_if(paid).alias("payouts"), F.count_if(F.col("flow_kind") == "withdrawal").alias("withdrawals"), F.countDistinct(F.when(paid, F.coalesce("claimant", "counterparty"))).alias("recipients"))
 
 
 @query("SELECT from_address AS gateway, block_number, log_index, event_name FROM (SELECT *, row_number() OVER (PARTITION BY from_address, block_number ORDER BY log_index DESC) AS n FROM ev WHERE is_canonical) WHERE n = 1")
@@ -286,7 +292,7 @@ def w10_latest_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT day, CAST(sum(face_usd) AS DOUBLE) AS usd, CAST(sum(payouts) AS BIGINT) AS payouts FROM (SELECT CAST(e.block_timestamp AS DATE) AS day, sum(coalesce(v.amount_usd, 0)) AS face_usd, count(*) AS payouts FROM ev e JOIN val v ON v.event_id = e.id WHERE event_name = 'WinningTicketRedeemed' AND is_canonical AND finality = 'finalized' AND to_address = 'o3' GROUP BY 1) GROUP BY 1")
 def a30_daily_ticket_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payouts_daily(spark, sf_dir).where("orchestrator = 'o3'").groupBy("day").agg(F.sum("face_usd").cast("double").alias("usd"), F.sum("payouts").alias("payouts"))
+    return cube(spark, sf_dir, "payouts").where("orchestrator = 'o3'").groupBy("day").agg(F.sum("face_usd").cast("double").alias("usd"), F.sum("payouts").alias("payouts"))
 
 
 @query("SELECT from_address AS gateway, CAST(sum(v.amount_usd) AS DOUBLE) AS usd FROM ev e JOIN val v ON v.event_id = e.id AND v.valuation_version = 'v1' WHERE event_name = 'WinningTicketRedeemed' AND is_canonical AND to_address = 'o3' AND v.amount_usd IS NOT NULL GROUP BY 1 ORDER BY sum(v.amount_usd) DESC, 1 LIMIT 10")

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from tidemark.operators.core import as_of_join, keyset_page, latest_by
 from tidemark.plans.entities import rounds, tallies
 from tidemark.plans.registry import dbl, query
-from tidemark.plans.rollups import _REW, AS_OF_BLOCKS, final_events, rewards_daily, valued
-from tidemark.plans.stake import _REPLAY, current_stake, stake_rows
+from tidemark.plans.rollups import _REW, AS_OF_BLOCKS, cube, final_events, valued
+from tidemark.plans.stake import _REPLAY, current_stake, stake
 from tidemark.sources import protocol as P
 
 
 @query("WITH " + _REW + ", b AS (SELECT orchestrator, sum(total_usd) AS usd FROM rew WHERE valuation_version = 'v1' GROUP BY 1) SELECT orchestrator, CAST(usd AS DOUBLE) AS usd FROM b WHERE usd < 9000 OR (usd = 9000 AND orchestrator > 'o5') ORDER BY b.usd DESC, orchestrator LIMIT 7")
 def k4_reward_leaderboard_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = rewards_daily(spark, sf_dir).where("valuation_version = 'v1'").groupBy("orchestrator").agg(F.sum("total_usd").alias("usd"))
+    b = cube(spark, sf_dir, "rewards").where("valuation_version = 'v1'").groupBy("orchestrator").agg(F.sum("total_usd").alias("usd"))
     return keyset_page(b, [("usd", True), ("orchestrator", False)], (9000, "o5"), 7).selectExpr("orchestrator", *dbl("usd"))
 
 
@@ -28,7 +28,7 @@ def k8_delegator_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _REPLAY + ", cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY delegator ORDER BY block_number DESC) AS m FROM srow) WHERE m = 1) SELECT count(*) AS delegators, CAST(sum(CASE WHEN balance > 0 THEN balance ELSE 0 END) AS DOUBLE) AS principal, count(*) FILTER (balance > 0) AS delegations FROM cur")
 def a21_delegator_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = current_stake(stake_rows(P.stake_events(spark, sf_dir)))
+    c = current_stake(stake(spark, sf_dir))
     return c.agg(F.count("*").alias("delegators"), F.sum(F.greatest("balance", F.lit(0))).cast("double").alias("principal"), F.count_if(F.col("balance") > 0).alias("delegations"))
 
 

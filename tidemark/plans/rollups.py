@@ -11,6 +11,7 @@ from tidemark.functions.money import commission, part, tz_bucket
 from tidemark.operators.core import as_of_join, date_spine, keyset_page, null_safe
 from tidemark.plans.registry import dbl, query
 from tidemark.sources import protocol as P
+from tidemark.sources.cubes import stored
 
 #: Blocks of one recipient's events that a task of an as-of join takes at most.
 AS_OF_BLOCKS = 1_000_000
@@ -83,6 +84,16 @@ pay AS (SELECT CAST(t.block_timestamp AS DATE) AS day, t.to_address AS orchestra
 """
 
 
+def daily_gateways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who paid whom on which day, for distinct counts over any days."""
+    return final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed'").select(_day(), F.col("to_address").alias("orchestrator"), F.col("from_address").alias("gateway")).distinct()
+
+
+def cube(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
+    """A stored daily cube: payouts, rewards, tickets, metrics or gateways."""
+    return stored(spark, sf_dir, name, CUBES[name], refresh)
+
+
 @query("WITH " + _EV_AS_OF + """
 SELECT day, orchestrator, valuation_version, kind, payouts, CAST(face AS DOUBLE) AS face, CAST(CAST(commission AS DECIMAL(38,18)) AS DOUBLE) AS commission, CAST(CAST(face - commission AS DECIMAL(38,18)) AS DOUBLE) AS delegators,
   CAST(face_usd AS DOUBLE) AS face_usd, CAST(commission_usd AS DOUBLE) AS commission_usd, gateways, priced, last_event FROM pay""")
@@ -144,6 +155,10 @@ def p21_event_metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.selectExpr("day", "contract_name", "event_name", "asset", "valuation_version", "events", *dbl("native", "usd"), "priced", "last_event")
 
 
+#: How each stored cube is made.
+CUBES = {"payouts": payouts_daily, "rewards": rewards_daily, "tickets": tickets_daily, "gateways": daily_gateways, "metrics": lambda spark, sf_dir: metrics_daily(P.protocol_events(spark, sf_dir), P.valuations(spark, sf_dir))}
+
+
 def bucket_raw(events: DataFrame, val: DataFrame, bucket: str, tz: str = "UTC", version: str = P.V1, address: str | None = None, limit: int = 1000) -> DataFrame:
     """Time buckets straight from the events: all canonical valuable ones, tentative too, priced or not."""
     e = events.where("is_canonical and is_valuable")
@@ -192,12 +207,12 @@ def _rolled(df: DataFrame) -> DataFrame:
 
 @query("WITH " + _MET + _ROLL.format(b="week", w="WHERE valuation_version = 'v1'"))
 def a2_bucket_week_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rolled(bucket_rollup(metrics_daily(P.protocol_events(spark, sf_dir), P.valuations(spark, sf_dir)), "week", P.V1))
+    return _rolled(bucket_rollup(cube(spark, sf_dir, "metrics"), "week", P.V1))
 
 
 @query("WITH " + _MET + _ROLL.format(b="month", w=""))
 def q2_bucket_month_all_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rolled(bucket_rollup(metrics_daily(P.protocol_events(spark, sf_dir), P.valuations(spark, sf_dir)), "month"))
+    return _rolled(bucket_rollup(cube(spark, sf_dir, "metrics"), "month"))
 
 
 def route(to: date, covered_to: date, tz: str = "UTC", address: str | None = None) -> str:
@@ -210,7 +225,7 @@ def a3_routed_day_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, v = P.protocol_events(spark, sf_dir), P.valuations(spark, sf_dir)
     source = route(date(2024, 1, 20), date(2024, 1, 24))
     if source == "rollup":
-        out = bucket_rollup(metrics_daily(e, v).where("day <= date '2024-01-20'"), "day", P.V1)
+        out = bucket_rollup(cube(spark, sf_dir, "metrics").where("day <= date '2024-01-20'"), "day", P.V1)
     else:
         out = bucket_raw(e.where("block_timestamp < timestamp_ntz '2024-01-21'"), v, "day")
     return out.select(F.lit(source).alias("source"), "bucket", "events")
@@ -223,12 +238,10 @@ def a4_block_window_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payout_board(spark: SparkSession, sf_dir: str, first: str, last: str, version: str = P.V1) -> DataFrame:
-    """Sums of the cube by orchestrator, distinct gateways from the events themselves, and names."""
-    days = payouts_daily(spark, sf_dir, first, last).where(F.col("valuation_version") == version)
+    """Sums of the stored cube by orchestrator, distinct gateways from the pairs of each day, and names."""
+    days = cube(spark, sf_dir, "payouts").where(F.col("day").between(first, last) & (F.col("valuation_version") == version))
     sums = days.groupBy("orchestrator").agg(F.sum("payouts").alias("payouts"), F.sum("face").alias("face"), F.sum("commission_usd").alias("commission_usd"), F.sum("priced").alias("priced"))
-    e = final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed'")
-    e = of_days(e, first, last)
-    gateways = e.groupBy(F.col("to_address").alias("orchestrator")).agg(F.countDistinct("from_address").alias("gateways"))
+    gateways = cube(spark, sf_dir, "gateways").where(F.col("day").between(first, last)).groupBy("orchestrator").agg(F.countDistinct("gateway").alias("gateways"))
     names = P.names(spark, sf_dir).select(F.col("address").alias("orchestrator"), F.coalesce("override_name", "ens_name").alias("name"))
     return sums.join(gateways, "orchestrator", "left").join(names, "orchestrator", "left").withColumn("gateways", F.coalesce("gateways", F.lit(0)))
 
@@ -274,7 +287,7 @@ def period(kind: str, day: date) -> tuple[date, date]:
 
 
 def payout_summary(spark: SparkSession, sf_dir: str, first: date, last: date, kind: str | None = None, version: str = P.V1) -> DataFrame:
-    days = payouts_daily(spark, sf_dir, first, last).where(F.col("valuation_version") == version)
+    days = cube(spark, sf_dir, "payouts").where(F.col("day").between(first, last) & (F.col("valuation_version") == version))
     days = days.where(F.col("kind") == kind) if kind else days
     return days.agg(F.coalesce(F.sum("payouts"), F.lit(0)).alias("payouts"), F.coalesce(F.sum("face"), F.lit(0)).alias("face"), F.coalesce(F.sum("face_usd"), F.lit(0)).alias("face_usd"), F.countDistinct("orchestrator").alias("orchestrators"))
 
@@ -293,14 +306,14 @@ def a6_payout_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _REW + "SELECT orchestrator, CAST(sum(rewards) AS BIGINT) AS rewards, CAST(sum(total) AS DOUBLE) AS total, CAST(sum(total_usd) AS DOUBLE) AS total_usd, CAST(CAST(sum(own) AS DECIMAL(38,18)) AS DOUBLE) AS own FROM rew WHERE valuation_version = 'v1' GROUP BY 1 ORDER BY sum(total_usd) DESC, 1 LIMIT 10")
 def a7_reward_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = rewards_daily(spark, sf_dir).where("valuation_version = 'v1'").groupBy("orchestrator").agg(F.sum("rewards").alias("rewards"), F.sum("total").alias("total"), F.sum("total_usd").alias("total_usd"), F.sum("own").cast("decimal(38,18)").alias("own"))
+    s = cube(spark, sf_dir, "rewards").where("valuation_version = 'v1'").groupBy("orchestrator").agg(F.sum("rewards").alias("rewards"), F.sum("total").alias("total"), F.sum("total_usd").alias("total_usd"), F.sum("own").cast("decimal(38,18)").alias("own"))
     return keyset_page(s, [("total_usd", True), ("orchestrator", False)], None, 10).selectExpr("orchestrator", "rewards", *dbl("total", "total_usd", "own"))
 
 
 @query("WITH " + _REW + "SELECT CAST(coalesce(sum(rewards), 0) AS BIGINT) AS rewards, CAST(coalesce(sum(total_usd), 0) AS DOUBLE) AS total_usd FROM rew WHERE valuation_version = 'v1' AND day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'")
 def a8_reward_summary_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = period("weekly", date(2024, 1, 10))
-    d = rewards_daily(spark, sf_dir).where(F.col("day").between(first, last) & (F.col("valuation_version") == P.V1))
+    d = cube(spark, sf_dir, "rewards").where(F.col("day").between(first, last) & (F.col("valuation_version") == P.V1))
     return d.agg(F.coalesce(F.sum("rewards"), F.lit(0)).alias("rewards"), F.coalesce(F.sum("total_usd"), F.lit(0)).alias("total_usd")).selectExpr("rewards", *dbl("total_usd"))
 
 
@@ -308,7 +321,7 @@ def a8_reward_summary_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a23_ticket_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day for both kinds, zeros where there is none."""
     days = date_spine(spark, "2023-12-28", "2024-02-02").withColumn("kind", F.explode(F.array(F.lit("ai"), F.lit("transcoding"))))
-    return days.join(tickets_daily(spark, sf_dir).select("day", "kind", "tickets"), ["day", "kind"], "left").withColumn("tickets", F.coalesce("tickets", F.lit(0)))
+    return days.join(cube(spark, sf_dir, "tickets").select("day", "kind", "tickets"), ["day", "kind"], "left").withColumn("tickets", F.coalesce("tickets", F.lit(0)))
 
 
 def repaired(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -326,7 +339,7 @@ def p22_rollup_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks 300 to 500 turn out not to be canonical."""
     e = final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed' and not (block_number between 300 and 500)").join(P.classifications(spark, sf_dir), F.col("from_address") == F.col("gateway"), "left")
     after = e.groupBy(_day(), F.coalesce("kind", F.lit("transcoding")).alias("kind")).agg(F.count("*").alias("tickets"), F.countDistinct("to_address").alias("orchestrators"), F.countDistinct("from_address").alias("gateways"))
-    return repaired(tickets_daily(spark, sf_dir), after, ["day", "kind"])
+    return repaired(cube(spark, sf_dir, "tickets"), after, ["day", "kind"])
 
 
 @query("SELECT CAST(e.block_timestamp AS DATE) AS day, e.to_address AS orchestrator, v.valuation_version, count(DISTINCT e.from_address) AS gateways FROM ev e JOIN val v ON v.event_id = e.id AND v.asset = e.asset WHERE e.event_name = 'WinningTicketRedeemed' AND e.is_canonical GROUP BY ALL")

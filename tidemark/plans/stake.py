@@ -10,6 +10,7 @@ from tidemark.functions.money import shifted
 from tidemark.operators.core import keyset_page, latest_by
 from tidemark.plans.registry import dbl, query
 from tidemark.sources import protocol as P
+from tidemark.sources.cubes import stored
 
 
 def by_delegator(events: DataFrame) -> DataFrame:
@@ -81,6 +82,11 @@ srow AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY delegator, blo
 """.replace("CAST(coalesce(rewards, 0) AS DECIMAL(24,18)) / 1000 * 0 + CAST(coalesce(rewards, 0) * 0.001 AS DECIMAL(24,18))", "CAST(CAST(coalesce(rewards, 0) AS DECIMAL(20,3)) / 1000 AS DECIMAL(24,18))")
 
 
+def stake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored replay: a delegator's state after each of its blocks."""
+    return stored(spark, sf_dir, "stake", lambda s, d: stake_rows(P.stake_events(s, d)))
+
+
 @query("WITH " + _REPLAY + "SELECT delegator, block_number, log_index, event_id, CAST(balance AS DOUBLE) AS balance, delegate, source FROM srow")
 def p7_stake_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stake_rows(P.stake_events(spark, sf_dir)).selectExpr("delegator", "block_number", "log_index", "event_id", *dbl("balance"), "delegate", "source")
@@ -98,14 +104,14 @@ def current_stake(rows: DataFrame) -> DataFrame:
 
 @query("WITH " + _REPLAY + "SELECT delegator, block_number, delegate, CAST(balance AS DOUBLE) AS balance FROM (SELECT *, row_number() OVER (PARTITION BY delegator ORDER BY block_number DESC) AS m FROM srow) WHERE m = 1 ORDER BY balance DESC, delegator LIMIT 20")
 def w3_k7_delegators_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = current_stake(stake_rows(P.stake_events(spark, sf_dir)))
+    c = current_stake(stake(spark, sf_dir))
     return keyset_page(c, [("balance", True), ("delegator", False)], None, 20).selectExpr("delegator", "block_number", "delegate", *dbl("balance"))
 
 
 @query("WITH " + _REPLAY + ", cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY delegator ORDER BY block_number DESC) AS m FROM srow WHERE block_number <= 1500) WHERE m = 1) SELECT delegate, count(*) AS delegators, CAST(sum(balance) AS DOUBLE) AS principal FROM cur WHERE balance > 0 GROUP BY 1")
 def j8_a22_delegators_at_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By delegate those whose last row by block 1500 is with it and holds stake; only events up to there are replayed."""
-    c = current_stake(stake_rows(P.stake_events(spark, sf_dir).where("block_number <= 1500"))).where("balance > 0")
+    """By delegate those whose last row by block 1500 is with it and holds stake, from the stored replay: a row is the state after its block, so later ones change nothing."""
+    c = current_stake(stake(spark, sf_dir).where("block_number <= 1500")).where("balance > 0")
     return c.groupBy("delegate").agg(F.count("*").alias("delegators"), F.sum("balance").cast("double").alias("principal"))
 
 
@@ -114,21 +120,21 @@ cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY delegator ORDER
 SELECT (SELECT count(*) FROM pairs WHERE balance > 0) AS pairs_with_stake, (SELECT count(*) FROM cur WHERE balance > 0) AS delegators_with_stake""")
 def w6_q8_delegation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that ever were, as the protocol's statistics count them, and the delegators behind them."""
-    rows = stake_rows(P.stake_events(spark, sf_dir))
+    rows = stake(spark, sf_dir)
     pairs = latest_by(rows, ["delegator", "delegate"], ["block_number"]).agg(F.count_if(F.col("balance") > 0).alias("pairs_with_stake"))
     return pairs.crossJoin(current_stake(rows).agg(F.count_if(F.col("balance") > 0).alias("delegators_with_stake")))
 
 
 @query("WITH " + _REPLAY + "SELECT delegator, max(block_number) AS block_number, CAST(max_by(balance, block_number) AS DOUBLE) AS balance, 1200 - max(block_number) AS staleness FROM srow WHERE block_number <= 1200 GROUP BY 1")
 def j7_stake_at_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = current_stake(stake_rows(P.stake_events(spark, sf_dir).where("block_number <= 1200")))
+    c = current_stake(stake(spark, sf_dir).where("block_number <= 1200"))
     return c.selectExpr("delegator", "block_number", *dbl("balance"), "1200 - block_number as staleness")
 
 
 @query("WITH " + _REPLAY + ", cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY delegator ORDER BY block_number DESC) AS m FROM srow) WHERE m = 1) SELECT delegator, block_number, CAST(balance AS DOUBLE) AS balance FROM cur WHERE balance > 0 AND block_number < 2490")
 def p8_w4_refresh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delegators whose last row holds stake and is older than an anchor; both are asked of the last row only."""
-    return current_stake(stake_rows(P.stake_events(spark, sf_dir))).where("balance > 0 and block_number < 2490").selectExpr("delegator", "block_number", *dbl("balance"))
+    return current_stake(stake(spark, sf_dir)).where("balance > 0 and block_number < 2490").selectExpr("delegator", "block_number", *dbl("balance"))
 
 
 @query("WITH " + _REPLAY + """, claims AS (SELECT from_address AS delegator, block_number, max(rewards) AS end_round FROM sev WHERE event_name = 'EarningsClaimed' GROUP BY 1, 2)
@@ -149,7 +155,7 @@ def reconciled_stake(rows: DataFrame, state: DataFrame) -> DataFrame:
 @query("WITH " + _REPLAY + "SELECT delegator, block_number, CAST(CASE WHEN block_number % 3 = 0 THEN balance + 7 ELSE balance END AS DOUBLE) AS balance, CASE WHEN block_number % 3 = 0 THEN 'x' || delegator ELSE delegate END AS delegate FROM srow")
 def p9b_exact_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain answers for every third block, with other stakes and delegates."""
-    rows = stake_rows(P.stake_events(spark, sf_dir))
+    rows = stake(spark, sf_dir)
     state = rows.where("block_number % 3 = 0").selectExpr("delegator", "block_number", "balance + 7 as bonded", "concat('X', delegator) as delegate")
     return reconciled_stake(rows, state).selectExpr("delegator", "block_number", *dbl("balance"), "delegate")
 
