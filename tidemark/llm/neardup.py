@@ -209,6 +209,7 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     # a set that meets many others in its divisions is likely the middle of a group
     size = parts.join(parts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").groupBy("node").agg(F.sum("c").alias("met"))
+    size = staged(size, "size")  # so that the join has shuffles of its own, whose hot nodes Spark can split
     left = staged(parts.join(size, "node"), "met")
     for turn in range(ROUNDS + 1):
         comps = components(links, 2 if turn < ROUNDS else None)

@@ -181,7 +181,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon
             both = [lexicon.hits(t) for t in batch.text]
             yield pd.DataFrame({"y": batch.y.astype("float64"), "total": [float(x[0]) for x in both], "words": [float(x[1]) for x in both]})
 
-    seen = sample.mapInPandas(features, "y double, total double, words double").orderBy("y", "total", "words").toPandas() if weights else pd.DataFrame()
+    seen = sample.mapInPandas(features, "y double, total double, words double").toPandas().sort_values(["y", "total", "words"]) if weights else pd.DataFrame()
     if len(seen):
         lexicon.curve = min((_fitted(seen, p) for p in (0.0, 0.25, 0.5)), key=lambda x: x[0])[1]
     dropped(sample)
