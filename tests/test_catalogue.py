@@ -24,7 +24,7 @@ def test_entry_imports_without_the_llm_folder(monkeypatch):
 
     def without(name, *args, **kwargs):
         if name == "corpus_pipeline" or name.startswith("tidemark.llm"):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *args, **kwargs)
 
     monkeypatch.setattr(builtins, "__import__", without)
