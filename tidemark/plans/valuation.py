@@ -95,6 +95,32 @@ def p5_multi_asset_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return halves(P.protocol_events(spark, sf_dir).where("event_name = 'TranscoderUpdate'").selectExpr("id", "k % 5 as rewards", "k % 3 as fees"))
 
 
+_USD = "usd AS (SELECT block_number, CASE WHEN source = 'chainlink' THEN 'ETH' ELSE 'LPT' END AS asset, price FROM price)"
+
+
+@query(f"""WITH h AS (SELECT id, block_number, unnest(['LPT', 'ETH']) AS asset, unnest([k % 5, k % 3]) AS amount FROM ev WHERE event_name = 'TranscoderUpdate'), {_USD}
+SELECT h.id, h.asset, h.amount, CASE WHEN h.amount = 0 THEN 0 ELSE CAST(h.amount * u.price AS DOUBLE) END AS amount_usd, CASE WHEN h.amount = 0 THEN 'no_amount' WHEN u.price IS NULL THEN 'failed_missing_price' ELSE 'priced' END AS status
+FROM h LEFT JOIN usd u ON u.block_number = h.block_number AND u.asset = h.asset""")
+def p5_valued_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both halves of each claim by their own asset's price in its block; a half of nothing is worth nothing, one without a price has failed."""
+    claims = P.protocol_events(spark, sf_dir).where("event_name = 'TranscoderUpdate'").selectExpr("id", "block_number", "k % 5 as rewards", "k % 3 as fees")
+    h = halves(claims).join(claims.select("id", "block_number"), "id")
+    usd = P.prices(spark, sf_dir).selectExpr("block_number", "if(source = 'chainlink', 'ETH', 'LPT') as asset", "price")
+    j = h.join(usd, ["block_number", "asset"], "left")
+    return j.selectExpr("id", "asset", "amount", "if(amount = 0, 0D, cast(amount * price as double)) as amount_usd", "case when amount = 0 then 'no_amount' when price is null then 'failed_missing_price' else 'priced' end as status")
+
+
+_TERMINAL = _LADDER.format(a=" WHEN pool_empty AND asset = 'LPT' THEN 'missing_pool'", b="WHEN asset = 'LPT' AND cardinality < 144 THEN 'degraded' WHEN asset = 'LPT' AND observe_failed THEN 'missing_pool'")
+
+
+@query("WITH " + _READ + f", s AS (SELECT id, asset, {_TERMINAL} AS status FROM rd) SELECT id, asset, 'v1_degraded' AS valuation_version, 'failed_' || status AS status, CAST(NULL AS DOUBLE) AS amount_usd FROM s WHERE status NOT IN ('ok', 'degraded')")
+def p6_terminal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without a value for each event that no later run can price, so that it is not tried again."""
+    r = readings(spark, sf_dir)
+    told = r.withColumn("status", F.when(F.col("asset") == "LPT", oracle_status(True)).otherwise(oracle_status(False))).where("status not in ('ok', 'degraded')")
+    return told.selectExpr("id", "asset", f"'{P.DEGRADED}' as valuation_version", "concat('failed_', status) as status", "cast(null as double) as amount_usd")
+
+
 @query("SELECT id FROM ev WHERE event_name = 'TranscoderUpdate' AND (k % 3 = 0 OR k % 4 = 0)")
 def j11_claims_half_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of which one half or both have no value: half by half against what there is."""
