@@ -9,22 +9,47 @@ from pyspark.sql import functions as F
 from tidemark.functions.money import commission, gas_fee, inverse_percent, part, percent
 from tidemark.operators.core import keyset_page, latest_by, without
 from tidemark.plans.registry import dbl, query
-from tidemark.plans.rollups import _EV_AS_OF, cube, final_events, of_days, valued, with_shares
+from tidemark.plans.rollups import _EV_AS_OF, _REW, cube, final_events, of_days, valued, with_shares
+from tidemark.plans.stake import _REPLAY, registry, stake
 from tidemark.sources import protocol as P
 from tidemark.sources.cubes import stored
 
 # --- gateways -------------------------------------------------------------------------------------
 
-FLOW = "case event_name when 'WinningTicketRedeemed' then 'payout' when 'Bond' then 'deposit' when 'Unbond' then 'withdrawal' when 'Reward' then 'reserve_transfer' end"
-_FLOW = "CASE event_name WHEN 'WinningTicketRedeemed' THEN 'payout' WHEN 'Bond' THEN 'deposit' WHEN 'Unbond' THEN 'withdrawal' WHEN 'Reward' THEN 'reserve_transfer' END"
+#: What each of the ticket broker's events is in the ledger; the events of it that name a claimant; those besides that touch a gateway's balance.
+FLOW_KINDS = {
+    "DepositFunded": "deposit_in",
+    "ReserveFunded": "reserve_in",
+    "WinningTicketTransfer": "reserve_transfer",
+    "WinningTicketRedeemed": "ticket_redeemed",
+    "ReserveClaimed": "reserve_claimed",
+    "Withdrawal": "withdrawal",
+}
+CLAIMS = ("WinningTicketRedeemed", "WinningTicketTransfer", "ReserveClaimed")
+TOUCHES = (*FLOW_KINDS, "Unlock", "UnlockCancelled")
+#: The kinds that fund a gateway, and that pay for it; gross, transfers count too.
+FUNDING, NET = ("deposit_in", "reserve_in"), ("ticket_redeemed", "reserve_claimed")
+GROSS = (*NET, "reserve_transfer")
+
+
+def kind_of_flow() -> F.Column:
+    kind = F.lit("other")
+    for name, flow in FLOW_KINDS.items():
+        kind = F.when(F.col("event_name") == name, flow).otherwise(kind)
+    return kind
+
+
+def flow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical events of the ledger with their kind and, where they name one, their claimant."""
+    e = P.broker_events(spark, sf_dir).where("is_canonical and from_address is not null").where(F.col("event_name").isin(*FLOW_KINDS))
+    return e.withColumn("flow_kind", kind_of_flow()).withColumn("claimant", F.when(F.col("event_name").isin(*CLAIMS), F.col("to_address")))
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gateways' ledger: one row per event and kind of flow, valued by the default version where priced."""
-    e = P.protocol_events(spark, sf_dir).where("is_canonical").withColumn("flow_kind", F.expr(FLOW)).where("flow_kind is not null")
     v = P.valuations(spark, sf_dir).where(f"valuation_version = '{P.V1}' and status = 'priced'")
-    j = valued(e, v, "left")
-    return j.select(F.col("id").alias("event_id"), "flow_kind", F.col("from_address").alias("gateway"), F.col("to_address").alias("counterparty"), F.when(F.col("flow_kind") == "reserve_transfer", F.concat(F.lit("c"), F.col("k") % 7)).alias("claimant"), "block_number", "block_timestamp", "amount_normalized", "amount_usd")
+    j = valued(flow_events(spark, sf_dir), v, "left")
+    return j.select(F.col("id").alias("event_id"), "flow_kind", F.col("from_address").alias("gateway"), F.col("to_address").alias("counterparty"), "claimant", "block_number", "block_timestamp", "amount_normalized", "amount_usd")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +57,10 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "flows", flows)
 
 
-_FLOWS = f"""flow AS (SELECT e.id AS event_id, {_FLOW} AS flow_kind, from_address AS gateway, to_address AS counterparty, CASE WHEN event_name = 'Reward' THEN 'c' || (k % 7) END AS claimant, e.block_number, e.block_timestamp, amount_normalized, v.amount_usd
-  FROM ev e LEFT JOIN val v ON v.event_id = e.id AND v.valuation_version = 'v1' AND v.status = 'priced' WHERE is_canonical AND {_FLOW} IS NOT NULL)
+_FLOW = "CASE event_name WHEN 'DepositFunded' THEN 'deposit_in' WHEN 'ReserveFunded' THEN 'reserve_in' WHEN 'WinningTicketTransfer' THEN 'reserve_transfer' WHEN 'WinningTicketRedeemed' THEN 'ticket_redeemed' WHEN 'ReserveClaimed' THEN 'reserve_claimed' WHEN 'Withdrawal' THEN 'withdrawal' ELSE 'other' END"
+_FLOWS = f"""flow AS (SELECT e.id AS event_id, {_FLOW} AS flow_kind, from_address AS gateway, to_address AS counterparty, CASE WHEN event_name IN ('WinningTicketRedeemed', 'WinningTicketTransfer', 'ReserveClaimed') THEN to_address END AS claimant,
+    e.block_number, e.block_timestamp, amount_normalized, v.amount_usd
+  FROM bev e LEFT JOIN val v ON v.event_id = e.id AND v.valuation_version = 'v1' AND v.status = 'priced' WHERE is_canonical AND {_FLOW} <> 'other')
 """
 
 
@@ -42,28 +69,36 @@ def p10_gateway_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).selectExpr("event_id", "flow_kind", "gateway", "counterparty", "claimant", "block_number", "cast(amount_normalized as double) as amount", "cast(amount_usd as double) as amount_usd")
 
 
-@query(f"SELECT id, {_FLOW} AS flow_kind FROM ev WHERE is_canonical AND finality <> 'finalized' AND {_FLOW} IS NOT NULL")
+@query("SELECT event_name, count(*) AS events, min(" + _FLOW + ") AS flow_kind, count(CASE WHEN event_name IN ('WinningTicketRedeemed', 'WinningTicketTransfer', 'ReserveClaimed') THEN to_address END) AS with_claimant FROM bev GROUP BY 1")
+def f15_f16_flow_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of the broker's events by kind; what is none of the ledger's is 'other'."""
+    claimant = F.when(F.col("event_name").isin(*CLAIMS), F.col("to_address"))
+    return P.broker_events(spark, sf_dir).groupBy("event_name").agg(F.count("*").alias("events"), F.min(kind_of_flow()).alias("flow_kind"), F.count(claimant).alias("with_claimant"))
+
+
+@query(f"SELECT id, {_FLOW} AS flow_kind FROM bev WHERE is_canonical AND finality <> 'finalized' AND {_FLOW} <> 'other'")
 def j14_events_without_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose flow, of the kind that is computed for them, the ledger lacks; here it holds those of final events."""
-    e = P.protocol_events(spark, sf_dir).where("is_canonical").withColumn("flow_kind", F.expr(FLOW)).where("flow_kind is not null")
+    e = flow_events(spark, sf_dir)
     final = e.where("finality = 'finalized'").select("id", "flow_kind")
     return without(e.select("id", "flow_kind"), final, ["id", "flow_kind"])
 
 
 def recipients(flows_of: DataFrame, gross: bool) -> DataFrame:
-    kinds = ["payout", "reserve_transfer"] if gross else ["payout"]
-    f = flows_of.where(F.col("flow_kind").isin(kinds))
-    return f.groupBy("gateway", F.coalesce("claimant", "counterparty").alias("recipient")).agg(
-        F.count("*").alias("flows"), F.sum("amount_normalized").alias("amount"), F.count("amount_usd").alias("priced"), F.count_if(F.col("flow_kind") == "payout").alias("payouts"), F.count_if(F.col("flow_kind") == "reserve_transfer").alias("transfers"), F.max("block_number").alias("last_block"),
+    """Who got how much of a gateway; flows without a recipient are left out."""
+    f = flows_of.where(F.col("flow_kind").isin(*(GROSS if gross else NET))).withColumn("recipient", F.coalesce("claimant", "counterparty")).where("recipient is not null")
+    count = lambda kind: F.count_if(F.col("flow_kind") == kind)
+    return f.groupBy("gateway", "recipient").agg(
+        F.count("*").alias("flows"), F.sum("amount_normalized").alias("amount"), F.coalesce(F.sum("amount_usd"), F.lit(0)).alias("usd"), F.count("amount_usd").alias("priced"), count("ticket_redeemed").alias("tickets"), count("reserve_claimed").alias("claims"), count("reserve_transfer").alias("transfers"), F.max("block_number").alias("last_block"),
     )
 
 
-@query("WITH " + _FLOWS + "SELECT gateway, coalesce(claimant, counterparty) AS recipient, count(*) AS flows, CAST(sum(amount_normalized) AS DOUBLE) AS amount, count(amount_usd) AS priced, count(*) FILTER (flow_kind = 'payout') AS payouts, count(*) FILTER (flow_kind = 'reserve_transfer') AS transfers, max(block_number) AS last_block FROM flow WHERE flow_kind IN ('payout', 'reserve_transfer') GROUP BY 1, 2")
+@query("WITH " + _FLOWS + "SELECT gateway, coalesce(claimant, counterparty) AS recipient, count(*) AS flows, CAST(sum(amount_normalized) AS DOUBLE) AS amount, CAST(coalesce(sum(amount_usd), 0) AS DOUBLE) AS usd, count(amount_usd) AS priced, count(*) FILTER (flow_kind = 'ticket_redeemed') AS tickets, count(*) FILTER (flow_kind = 'reserve_claimed') AS claims, count(*) FILTER (flow_kind = 'reserve_transfer') AS transfers, max(block_number) AS last_block FROM flow WHERE flow_kind IN ('ticket_redeemed', 'reserve_claimed', 'reserve_transfer') AND coalesce(claimant, counterparty) IS NOT NULL GROUP BY 1, 2")
 def a9_gateway_recipients_gross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recipients(ledger(spark, sf_dir), True).selectExpr("gateway", "recipient", "flows", *dbl("amount"), "priced", "payouts", "transfers", "last_block")
+    return recipients(ledger(spark, sf_dir), True).selectExpr("gateway", "recipient", "flows", *dbl("amount", "usd"), "priced", "tickets", "claims", "transfers", "last_block")
 
 
-@query("WITH " + _FLOWS + "SELECT gateway, coalesce(claimant, counterparty) AS recipient, count(*) AS flows, CAST(sum(amount_normalized) AS DOUBLE) AS amount FROM flow WHERE flow_kind = 'payout' GROUP BY 1, 2")
+@query("WITH " + _FLOWS + "SELECT gateway, coalesce(claimant, counterparty) AS recipient, count(*) AS flows, CAST(sum(amount_normalized) AS DOUBLE) AS amount FROM flow WHERE flow_kind IN ('ticket_redeemed', 'reserve_claimed') AND coalesce(claimant, counterparty) IS NOT NULL GROUP BY 1, 2")
 def f17_gateway_recipients_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipients(ledger(spark, sf_dir), False).selectExpr("gateway", "recipient", "flows", *dbl("amount"))
 
@@ -74,15 +109,16 @@ def a10_gateway_summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.selectExpr("gateway", "flow_kind", "flows", *dbl("amount"), "first_at")
 
 
-@query("WITH " + _FLOWS + "SELECT gateway, count(*) FILTER (flow_kind = 'deposit') AS funding, count(*) FILTER (flow_kind IN ('payout', 'reserve_transfer')) AS payouts, count(*) FILTER (flow_kind = 'withdrawal') AS withdrawals, count(DISTINCT coalesce(claimant, counterparty)) FILTER (flow_kind IN ('payout', 'reserve_transfer')) AS recipients FROM flow GROUP BY 1")
+@query("WITH " + _FLOWS + "SELECT gateway, count(*) FILTER (flow_kind IN ('deposit_in', 'reserve_in')) AS funding, count(*) FILTER (flow_kind IN ('ticket_redeemed', 'reserve_claimed', 'reserve_transfer')) AS payouts, count(*) FILTER (flow_kind = 'withdrawal') AS withdrawals, count(DISTINCT coalesce(claimant, counterparty)) FILTER (flow_kind IN ('ticket_redeemed', 'reserve_claimed', 'reserve_transfer')) AS recipients FROM flow GROUP BY 1")
 def a11_a12_gateway_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paid = F.col("flow_kind").isin("payout", "reserve_transfer")
-    return ledger(spark, sf_dir).groupBy("gateway").agg(F.count_if(F.col("flow_kind") == "deposit").alias("funding"), F.count_if(paid).alias("payouts"), F.count_if(F.col("flow_kind") == "withdrawal").alias("withdrawals"), F.countDistinct(F.when(paid, F.coalesce("claimant", "counterparty"))).alias("recipients"))
+    paid, funding = F.col("flow_kind").isin(*GROSS), F.col("flow_kind").isin(*FUNDING)
+    return ledger(spark, sf_dir).groupBy("gateway").agg(F.count_if(funding).alias("funding"), F.count_if(paid).alias("payouts"), F.count_if(F.col("flow_kind") == "withdrawal").alias("withdrawals"), F.countDistinct(F.when(paid, F.coalesce("claimant", "counterparty"))).alias("recipients"))
 
 
-@query("SELECT from_address AS gateway, block_number, log_index, event_name FROM (SELECT *, row_number() OVER (PARTITION BY from_address, block_number ORDER BY log_index DESC) AS n FROM ev WHERE is_canonical) WHERE n = 1")
+@query("SELECT from_address AS gateway, block_number, log_index, event_name FROM (SELECT *, row_number() OVER (PARTITION BY from_address, block_number ORDER BY log_index DESC) AS n FROM bev WHERE is_canonical) WHERE n = 1")
 def p11_w7_gateway_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = P.protocol_events(spark, sf_dir).where("is_canonical").select(F.col("from_address").alias("gateway"), "block_number", "log_index", "event_name")
+    """The last event of each gateway and block that may have changed its balance."""
+    e = P.broker_events(spark, sf_dir).where("is_canonical and from_address is not null").where(F.col("event_name").isin(*TOUCHES)).select(F.col("from_address").alias("gateway"), "block_number", "log_index", "event_name")
     return latest_by(e, ["gateway", "block_number"], ["log_index"])
 
 
@@ -243,6 +279,37 @@ def a19_network_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("round", "orchestrators", "active", *dbl("stake"), "gateways", "events_24h", "usd_24h")
 
 
+_STATS = "WITH " + _REW + ", " + _REPLAY + """, g AS (SELECT delegator, min(event_id) FILTER (registers) AS f, max_by(balance, event_id) AS balance FROM r5 GROUP BY 1),
+pairs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY delegator, delegate ORDER BY block_number DESC) AS m FROM srow) WHERE m = 1),
+prof AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY round DESC) AS n FROM stk) WHERE n = 1),
+head AS (SELECT * FROM stk WHERE round = (SELECT max(round) FROM stk) ORDER BY address LIMIT 1)
+SELECT '42161' AS chain_id, (SELECT round FROM head) AS latest_round, (SELECT block_number FROM head) AS round_block, (SELECT snapshot_at FROM head) AS round_at, (SELECT count(*) FROM prof WHERE is_active) AS active_orchestrators,
+  (SELECT CAST(sum(total_stake) AS DOUBLE) FROM prof) AS total_stake, (SELECT count(DISTINCT gateway) FROM bal) AS gateways_known,
+  (SELECT CAST(CAST(coalesce(sum(commission_usd), 0) AS DECIMAL(38,18)) AS DOUBLE) FROM pay WHERE day BETWEEN DATE '2024-01-19' AND DATE '2024-01-20') AS payouts_usd_24h, (SELECT CAST(CAST(coalesce(sum(own_usd), 0) AS DECIMAL(38,18)) AS DOUBLE) FROM rew WHERE day BETWEEN DATE '2024-01-19' AND DATE '2024-01-20') AS rewards_usd_24h,
+  (SELECT coalesce(CAST(sum(CAST(gas_used AS DECIMAL(18,0)) * CAST(coalesce(effective_gas_price, gas_price) AS DECIMAL(18,0))) AS DOUBLE), 0) / 1e18 FROM rcpt WHERE tx_hash IN (SELECT tx_hash FROM ev WHERE block_timestamp >= TIMESTAMP '2024-01-19 12:00:00' AND block_timestamp < TIMESTAMP '2024-01-20 12:00:00')) AS gas_eth_24h,
+  (SELECT max(snapshot_at) FROM prof) AS orchestrators_at, (SELECT max(observed_at) FROM bal) AS gateways_at, (SELECT count(*) FROM g WHERE f IS NOT NULL AND balance > 0) AS active_delegators, (SELECT count(*) FROM pairs WHERE balance > 0) AS total_delegations"""
+
+
+@query(_STATS)
+def a19_network_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scalars of the network at 2024-01-20 12:00: the last round, profiles, a day's dollars from the cubes (all versions), a day's gas, delegations as pairs."""
+    now = F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")
+    s = P.stake_rounds(spark, sf_dir)
+    head = s.agg(F.max(F.struct("round")).alias("m")).select("m.round").join(s, "round").agg(F.min(F.struct("address", "round", "block_number", "snapshot_at")).alias("m")).select(F.lit("42161").alias("chain_id"), F.col("m.round").alias("latest_round"), F.col("m.block_number").alias("round_block"), F.col("m.snapshot_at").alias("round_at"))
+    profiles = latest_by(s, ["address"], ["round"]).agg(F.count_if("is_active").alias("active_orchestrators"), F.sum("total_stake").cast("double").alias("total_stake"), F.max("snapshot_at").alias("orchestrators_at"))
+    gateways = P.gateway_balances(spark, sf_dir).agg(F.countDistinct("gateway").alias("gateways_known"), F.max("observed_at").alias("gateways_at"))
+    day = F.col("day").between("2024-01-19", "2024-01-20")
+    usd = lambda name, c: cube(spark, sf_dir, name).where(day).agg(F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,18)").cast("double").alias(f"{name}_usd_24h"))
+    recent = P.protocol_events(spark, sf_dir).where((F.col("block_timestamp") >= now - F.expr("interval 24 hours")) & (F.col("block_timestamp") < now)).select("tx_hash").distinct()
+    gas = P.receipts(spark, sf_dir).join(recent, "tx_hash", "left_semi").agg(F.coalesce(F.sum(gas_fee("gas_used", "effective_gas_price", "gas_price")), F.lit(0)).cast("double").alias("gas_eth_24h"))
+    active = registry(P.stake_events(spark, sf_dir)).agg(F.count_if("is_active").alias("active_delegators"))
+    pairs = latest_by(stake(spark, sf_dir), ["delegator", "delegate"], ["block_number"]).agg(F.count_if(F.col("balance") > 0).alias("total_delegations"))
+    out = head
+    for one in (profiles, gateways, usd("payouts", "commission_usd"), usd("rewards", "own_usd"), gas, active, pairs):
+        out = out.crossJoin(one)  # one row each
+    return out
+
+
 # --- governance -----------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.core import as_of_join, keyset_page, latest_by
-from tidemark.plans.entities import rounds, tallies
+from tidemark.plans.entities import flow_events, rounds, tallies
 from tidemark.plans.registry import dbl, query
 from tidemark.plans.rollups import _REW, AS_OF_BLOCKS, cube, final_events, valued
 from tidemark.plans.stake import _REPLAY, current_stake, stake
@@ -67,9 +67,9 @@ def p15_cuts_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("address", "round", "new_cut")
 
 
-@query("SELECT gateway, claimant, block_number, CAST(amount AS DOUBLE) AS amount FROM (SELECT from_address AS gateway, 'c' || (k % 7) AS claimant, block_number, log_index, amount_normalized AS amount, row_number() OVER (PARTITION BY from_address, k % 7 ORDER BY block_number DESC, log_index DESC) AS n FROM ev WHERE event_name = 'Reward' AND is_canonical AND block_number <= 1700) WHERE n = 1")
+@query("SELECT gateway, claimant, block_number, CAST(amount AS DOUBLE) AS amount FROM (SELECT from_address AS gateway, to_address AS claimant, block_number, log_index, amount_normalized AS amount, row_number() OVER (PARTITION BY from_address, to_address ORDER BY block_number DESC, log_index DESC) AS n FROM bev WHERE event_name IN ('WinningTicketRedeemed', 'WinningTicketTransfer', 'ReserveClaimed') AND to_address IS NOT NULL AND is_canonical AND block_number <= 1700) WHERE n = 1")
 def p13_w5_claimants_at_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = P.protocol_events(spark, sf_dir).where("event_name = 'Reward' and is_canonical and block_number <= 1700").select(F.col("from_address").alias("gateway"), F.concat(F.lit("c"), F.col("k") % 7).alias("claimant"), "block_number", "log_index", F.col("amount_normalized").alias("amount"))
+    e = flow_events(spark, sf_dir).where("claimant is not null and block_number <= 1700").select(F.col("from_address").alias("gateway"), "claimant", "block_number", "log_index", F.col("amount_normalized").alias("amount"))
     return latest_by(e, ["gateway", "claimant"], ["block_number", "log_index"]).selectExpr("gateway", "claimant", "block_number", *dbl("amount"))
 
 

@@ -396,6 +396,71 @@ def a33_a34_first_blocker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.when(F.col("lag_finality") > 600, "finality").when(F.col("backlog") > 0, "pricing").otherwise("none").alias("blocker"), "lag_finality", "backlog")
 
 
+#: Seconds, and unpriced events, beyond which a stage is late.
+LATE = {"indexer": 120, "finality": 3600, "pricing": 500, "rollup": 1800}
+#: The event whose last final one is the checkpoint of a cube; the cube of metrics takes all that have an asset.
+ROLLUPS = {"payouts": "event_name = 'WinningTicketRedeemed'", "rewards": "event_name = 'Reward'", "tickets": "event_name = 'WinningTicketRedeemed'", "metrics": "asset is not null"}
+
+
+def age(at: str, now: str) -> F.Column:
+    return F.expr(f"cast(timestampdiff(SECOND, {at}, timestamp_ntz '{now}') as bigint)")
+
+
+def stages(spark: SparkSession, sf_dir: str, now: str) -> DataFrame:
+    """One row: how old the oldest checkpoint of the indexer, the last final event and the oldest cube are, and how many final events have no price."""
+    e = P.protocol_events(spark, sf_dir)
+    seen = e.groupBy("contract_name").agg(F.max("block_timestamp").alias("at"), F.max("block_number").alias("block")).agg(F.max(age("at", now)).alias("indexer_age"), F.min("block").alias("least_block"))
+    settled = final_events(spark, sf_dir)
+    cubes = [age(f"max(case when {c} then finalized_at end)", now) for c in ROLLUPS.values()]
+    known = reduce(lambda a, b: a & b, [c.isNotNull() for c in cubes])
+    ages = settled.agg(age("max(finalized_at)", now).alias("finality_age"), F.when(known, F.greatest(*cubes)).alias("rollup_age"))
+    left = without(settled.where("is_valuable").select("id"), P.valuations(spark, sf_dir).where("status = 'priced'").select(F.col("event_id").alias("id")), ["id"])
+    return seen.crossJoin(ages).crossJoin(left.agg(F.count("*").alias("backlog")))  # one row each
+
+
+def verdict(late: dict[str, int]) -> F.Column:
+    """The first stage of indexer, finality, pricing and rollups that is late; a stage of unknown age is not, but for rollups."""
+    over = lambda c, stage: F.col(c) > late[stage]
+    return F.when(over("indexer_age", "indexer"), "indexer").when(over("finality_age", "finality"), "finality").when(over("backlog", "pricing"), "pricing").when(F.col("rollup_age").isNull() | over("rollup_age", "rollup"), "rollup").otherwise("ok")
+
+
+#: Limits under which each stage in turn is the first late one, and the usual ones.
+PATIENT = {"usual": {}, "no indexer": {"indexer": 10**9}, "nor finality": {"indexer": 10**9, "finality": 10**9}, "nor pricing": {"indexer": 10**9, "finality": 10**9, "pricing": 10**9}, "none": dict.fromkeys(LATE, 10**9)}
+_AGE = "(epoch_us(TIMESTAMP '2024-02-01') - epoch_us({})) // 1000000"
+_STAGES = f"""fin AS (SELECT * FROM ev WHERE is_canonical AND finality = 'finalized'),
+late AS (SELECT (SELECT max({_AGE.format('seen')}) FROM (SELECT max(block_timestamp) AS seen FROM ev GROUP BY contract_name)) AS indexer_age, (SELECT min(b) FROM (SELECT max(block_number) AS b FROM ev GROUP BY contract_name)) AS least_block,
+  (SELECT {_AGE.format('max(finalized_at)')} FROM fin) AS finality_age, (SELECT CASE WHEN count(a) = count(*) THEN max(a) END FROM (SELECT {_AGE.format('max(finalized_at)')} AS a FROM fin WHERE event_name = 'WinningTicketRedeemed' UNION ALL SELECT {_AGE.format('max(finalized_at)')} FROM fin WHERE event_name = 'Reward' UNION ALL SELECT {_AGE.format('max(finalized_at)')} FROM fin WHERE asset IS NOT NULL)) AS rollup_age,
+  (SELECT count(*) FROM fin WHERE is_valuable AND id NOT IN (SELECT event_id FROM val WHERE status = 'priced')) AS backlog)
+"""
+
+
+@query("WITH " + _STAGES + """SELECT limits, CASE WHEN indexer_age > i THEN 'indexer' WHEN finality_age > f THEN 'finality' WHEN backlog > p THEN 'pricing' WHEN rollup_age IS NULL OR rollup_age > r THEN 'rollup' ELSE 'ok' END AS blocked_at, indexer_age, least_block, finality_age, backlog, rollup_age
+FROM late, (VALUES ('usual', 120, 3600, 500, 1800), ('no indexer', 1000000000, 3600, 500, 1800), ('nor finality', 1000000000, 1000000000, 500, 1800), ('nor pricing', 1000000000, 1000000000, 1000000000, 1800), ('none', 1000000000, 1000000000, 1000000000, 1000000000)) v(limits, i, f, p, r)""")
+def a34_dependency_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first late stage at 2024-02-01 under several limits."""
+    found = [F.struct(F.lit(name).alias("limits"), verdict({**LATE, **more}).alias("blocked_at")) for name, more in PATIENT.items()]
+    return stages(spark, sf_dir, "2024-02-01 00:00:00").withColumn("v", F.explode(F.array(*found))).select("v.*", "indexer_age", "least_block", "finality_age", "backlog", "rollup_age")
+
+
+def readiness(spark: SparkSession, sf_dir: str, now: str, late: dict[str, int]) -> DataFrame:
+    """By cube its last day, how far it is behind and whether it is stale; beside it what holds reports up."""
+    settled = final_events(spark, sf_dir)
+    last = reduce(DataFrame.unionByName, [settled.where(c).agg(F.lit(n).alias("cube"), F.max(F.to_date("block_timestamp")).alias("max_day"), age("max(finalized_at)", now).alias("age_s"), F.max("id").alias("last_event")) for n, c in ROLLUPS.items()])
+    priced = P.valuations(spark, sf_dir).where("status = 'priced'").agg(F.max("event_id").alias("last_priced"))
+    state = stages(spark, sf_dir, now).drop("rollup_age", "indexer_age")
+    j = last.withColumn("stale", F.coalesce(F.col("age_s") > late["rollup"], F.lit(True))).crossJoin(F.broadcast(priced)).crossJoin(F.broadcast(state))  # one row each, beside four
+    blocker = F.when(F.col("finality_age") > late["finality"], "finality").when(F.col("backlog") > late["pricing"], "pricing").when(F.max("stale").over(W.partitionBy()), "rollup_worker").otherwise("none")
+    return j.select("cube", "max_day", F.date_diff(F.lit(now).cast("date"), "max_day").alias("days_behind"), "age_s", "stale", "last_event", (F.col("last_priced") - F.col("last_event")).alias("events_behind"), blocker.alias("blocker"))
+
+
+@query("WITH " + _STAGES + f""", cubes AS (SELECT unnest(['payouts', 'tickets']) AS cube, max(CAST(block_timestamp AS DATE)) AS max_day, {_AGE.format('max(finalized_at)')} AS age_s, max(id) AS last_event FROM fin WHERE event_name = 'WinningTicketRedeemed'
+  UNION ALL SELECT 'rewards', max(CAST(block_timestamp AS DATE)), {_AGE.format('max(finalized_at)')}, max(id) FROM fin WHERE event_name = 'Reward' UNION ALL SELECT 'metrics', max(CAST(block_timestamp AS DATE)), {_AGE.format('max(finalized_at)')}, max(id) FROM fin WHERE asset IS NOT NULL)
+SELECT cube, max_day, CAST(DATE '2024-02-01' - max_day AS INTEGER) AS days_behind, age_s, coalesce(age_s > 1800, true) AS stale, last_event, (SELECT max(event_id) FROM val WHERE status = 'priced') - last_event AS events_behind,
+  CASE WHEN finality_age > 1000000000 THEN 'finality' WHEN backlog > 1000000000 THEN 'pricing' WHEN (SELECT bool_or(coalesce(age_s > 1800, true)) FROM cubes) THEN 'rollup_worker' ELSE 'none' END AS blocker FROM cubes, late""")
+def a33_report_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readiness(spark, sf_dir, "2024-02-01 00:00:00", {**LATE, "finality": 10**9, "pricing": 10**9})
+
+
 @query("SELECT min(behind) AS least, max(behind) AS most, bool_or(behind > 5) AS stale FROM (SELECT contract_name, (SELECT max(block_number) FROM ev) - max(block_number) AS behind FROM ev GROUP BY 1)")
 def a35_indexer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = P.protocol_events(spark, sf_dir)

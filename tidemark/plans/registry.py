@@ -38,6 +38,11 @@ stk AS (SELECT 'o' || (o_custkey % 50) AS address, CAST((year(o_orderdate) - 199
 bal AS (SELECT 'g' || o_custkey AS gateway, o_orderkey AS block_number, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DECIMAL(38,18)) AS deposit, o_orderdate AS observed_at FROM orders),
 prop AS (SELECT CAST(o_orderkey AS VARCHAR) AS proposal_id, o_orderkey AS block_number, 'o' || (o_custkey % 50) AS proposer, o_orderdate AS proposed_at, CASE WHEN o_orderstatus = 'F' THEN o_orderkey + 7 END AS executed_block FROM orders),
 vote AS (SELECT l_orderkey AS block_number, l_linenumber AS log_index, 'g' || (l_partkey % 100) AS voter, CAST(l_orderkey AS VARCHAR) AS proposal_id, l_linenumber % 3 AS support, CAST(l_quantity AS INTEGER) AS weight, l_partkey, l_suppkey FROM lineitem),
+bev AS (SELECT id, block_number, log_index, block_timestamp,
+  CASE event_name WHEN 'Bond' THEN CASE WHEN k % 2 = 0 THEN 'DepositFunded' ELSE 'ReserveFunded' END WHEN 'Unbond' THEN CASE k % 3 WHEN 0 THEN 'Withdrawal' WHEN 1 THEN 'Unlock' ELSE 'UnlockCancelled' END
+    ELSE CASE k % 4 WHEN 0 THEN 'WinningTicketTransfer' WHEN 1 THEN 'ReserveClaimed' ELSE 'WinningTicketRedeemed' END END AS event_name,
+  from_address, CASE WHEN event_name = 'WinningTicketRedeemed' AND k % 9 <> 0 THEN to_address END AS to_address, asset, amount_normalized, is_canonical, finality
+  FROM ev WHERE event_name IN ('WinningTicketRedeemed', 'Bond', 'Unbond')),
 sev AS (SELECT id AS event_id, block_number, log_index, block_timestamp,
   CASE event_name WHEN 'Bond' THEN 'Bond' WHEN 'Unbond' THEN CASE WHEN k % 4 = 0 THEN 'WithdrawStake' ELSE 'Unbond' END WHEN 'TranscoderUpdate' THEN 'EarningsClaimed' ELSE CASE WHEN k % 2 = 0 THEN 'Rebond' ELSE 'TransferBond' END END AS event_name,
   'd' || (user_id % 40) AS from_address, CASE WHEN k % 9 = 0 THEN NULL ELSE 'd' || (k % 40) END AS to_address,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +23,12 @@ def _day():
     return F.to_date("block_timestamp").alias("day")
 
 
+def final(log: DataFrame) -> DataFrame:
+    return log.where("is_canonical and finality = 'finalized'")
+
+
 def final_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.protocol_events(spark, sf_dir).where("is_canonical and finality = 'finalized'")
+    return final(P.protocol_events(spark, sf_dir))
 
 
 #: What reports and cubes need of an event; nothing else goes through the shuffle of an as-of join.
@@ -54,9 +60,14 @@ def of_days(events: DataFrame, first: date | str | None, last: date | str | None
     return events
 
 
-def payouts_daily(spark: SparkSession, sf_dir: str, first: date | str | None = None, last: date | str | None = None) -> DataFrame:
-    """Payouts by day, orchestrator, version and kind of gateway, of all days or of a range."""
-    e = with_shares(of_days(final_events(spark, sf_dir), first, last).where("event_name = 'WinningTicketRedeemed'"), P.protocol_events(spark, sf_dir))
+def on_days(events: DataFrame, days: DataFrame | None) -> DataFrame:
+    return events if days is None else events.join(days, F.to_date("block_timestamp") == F.col("day"), "left_semi")
+
+
+def payouts_daily(spark: SparkSession, sf_dir: str, log: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
+    """Payouts by day, orchestrator, version and kind of gateway; of another state of the log, or of some days (day), if they are given."""
+    log = P.protocol_events(spark, sf_dir) if log is None else log
+    e = with_shares(on_days(final(log).where("event_name = 'WinningTicketRedeemed'"), days), log)
     kinds = P.classifications(spark, sf_dir)
     j = valued(e, P.valuations(spark, sf_dir)).join(kinds, F.col("from_address") == F.col("gateway"), "left").withColumn("kind", F.coalesce("kind", F.lit("transcoding")))
     usd = F.coalesce("amount_usd", F.lit(0))
@@ -101,30 +112,34 @@ def p18_payouts_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payouts_daily(spark, sf_dir).selectExpr("day", "orchestrator", "valuation_version", "kind", "payouts", *dbl("face", "face_usd", "commission_usd"), "cast(cast(commission as decimal(38,18)) as double) as commission", "cast(cast(delegators as decimal(38,18)) as double) as delegators", "gateways", "priced", "last_event")
 
 
-def rewards_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rewards_daily(spark: SparkSession, sf_dir: str, log: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
     """Rewards by day, orchestrator and version; the orchestrator's part is amount x cut, the rest its delegators'."""
-    e = with_shares(final_events(spark, sf_dir).where("event_name = 'Reward'"), P.protocol_events(spark, sf_dir))
+    log = P.protocol_events(spark, sf_dir) if log is None else log
+    e = with_shares(on_days(final(log).where("event_name = 'Reward'"), days), log)
     own = F.expr(part("amount_normalized", "share"))
+    own_usd = F.expr(part("cast(coalesce(amount_usd, 0) as decimal(24,12))", "share"))
     return valued(e, P.valuations(spark, sf_dir)).groupBy(_day(), F.col("to_address").alias("orchestrator"), "valuation_version").agg(
-        F.count("*").alias("rewards"), F.sum("amount_normalized").alias("total"), F.sum(own).alias("own"), F.sum(F.col("amount_normalized") - own).alias("delegators"), F.sum(F.coalesce("amount_usd", F.lit(0))).alias("total_usd"), F.count("amount_usd").alias("priced"), F.max("id").alias("last_event"),
+        F.count("*").alias("rewards"), F.sum("amount_normalized").alias("total"), F.sum(own).alias("own"), F.sum(F.col("amount_normalized") - own).alias("delegators"), F.sum(F.coalesce("amount_usd", F.lit(0))).alias("total_usd"), F.sum(own_usd).alias("own_usd"), F.count("amount_usd").alias("priced"), F.max("id").alias("last_event"),
     )
 
 
 _REW = _EV_AS_OF + """,
 rew AS (SELECT CAST(t.block_timestamp AS DATE) AS day, t.to_address AS orchestrator, v.valuation_version, count(*) AS rewards, sum(t.amount_normalized) AS total,
-  sum(t.amount_normalized * CAST(CAST(t.share AS DECIMAL(12,0)) / 1000000 AS DECIMAL(7,6))) AS own, sum(coalesce(v.amount_usd, 0)) AS total_usd, count(v.amount_usd) AS priced, max(t.id) AS last_event
+  sum(t.amount_normalized * CAST(CAST(t.share AS DECIMAL(12,0)) / 1000000 AS DECIMAL(7,6))) AS own, sum(coalesce(v.amount_usd, 0)) AS total_usd,
+  sum(CAST(coalesce(v.amount_usd, 0) AS DECIMAL(24,12)) * CAST(CAST(t.share AS DECIMAL(12,0)) / 1000000 AS DECIMAL(7,6))) AS own_usd, count(v.amount_usd) AS priced, max(t.id) AS last_event
   FROM tick t JOIN val v ON v.event_id = t.id AND v.asset IS NOT DISTINCT FROM t.asset WHERE t.event_name = 'Reward' GROUP BY ALL)
 """
 
 
-@query("WITH " + _REW + "SELECT day, orchestrator, valuation_version, rewards, CAST(total AS DOUBLE) AS total, CAST(CAST(own AS DECIMAL(38,18)) AS DOUBLE) AS own, CAST(CAST(total - own AS DECIMAL(38,18)) AS DOUBLE) AS delegators, CAST(total_usd AS DOUBLE) AS total_usd, priced, last_event FROM rew")
+@query("WITH " + _REW + "SELECT day, orchestrator, valuation_version, rewards, CAST(total AS DOUBLE) AS total, CAST(CAST(own AS DECIMAL(38,18)) AS DOUBLE) AS own, CAST(CAST(total - own AS DECIMAL(38,18)) AS DOUBLE) AS delegators, CAST(total_usd AS DOUBLE) AS total_usd, CAST(CAST(own_usd AS DECIMAL(38,18)) AS DOUBLE) AS own_usd, priced, last_event FROM rew")
 def p19_rewards_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewards_daily(spark, sf_dir).selectExpr("day", "orchestrator", "valuation_version", "rewards", *dbl("total", "total_usd"), "cast(cast(own as decimal(38,18)) as double) as own", "cast(cast(delegators as decimal(38,18)) as double) as delegators", "priced", "last_event")
+    return rewards_daily(spark, sf_dir).selectExpr("day", "orchestrator", "valuation_version", "rewards", *dbl("total", "total_usd"), "cast(cast(own as decimal(38,18)) as double) as own", "cast(cast(own_usd as decimal(38,18)) as double) as own_usd", "cast(cast(delegators as decimal(38,18)) as double) as delegators", "priced", "last_event")
 
 
-def tickets_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tickets_daily(spark: SparkSession, sf_dir: str, log: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
     """Tickets by day and kind, valued or not."""
-    e = final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed'").join(P.classifications(spark, sf_dir), F.col("from_address") == F.col("gateway"), "left")
+    log = P.protocol_events(spark, sf_dir) if log is None else log
+    e = on_days(final(log).where("event_name = 'WinningTicketRedeemed'"), days).join(P.classifications(spark, sf_dir), F.col("from_address") == F.col("gateway"), "left")
     return e.groupBy(_day(), F.coalesce("kind", F.lit("transcoding")).alias("kind")).agg(F.count("*").alias("tickets"), F.countDistinct("to_address").alias("orchestrators"), F.countDistinct("from_address").alias("gateways"))
 
 
@@ -331,15 +346,42 @@ def repaired(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, F.when(F.col("now").isNull(), "delete").otherwise("put").alias("action"))
 
 
-@query("WITH " + _TIX + """, aft AS (SELECT CAST(block_timestamp AS DATE) AS day, coalesce(c.kind, 'transcoding') AS kind, count(*) AS tickets, count(DISTINCT to_address) AS orchestrators, count(DISTINCT from_address) AS gateways
-  FROM ev LEFT JOIN cls c ON c.gateway = from_address WHERE event_name = 'WinningTicketRedeemed' AND is_canonical AND finality = 'finalized' AND NOT (block_number BETWEEN 300 AND 500) GROUP BY 1, 2)
-SELECT coalesce(t.day, a.day) AS day, coalesce(t.kind, a.kind) AS kind, CASE WHEN a.day IS NULL THEN 'delete' ELSE 'put' END AS action FROM tix t FULL JOIN aft a ON t.day = a.day AND t.kind = a.kind
-WHERE a.day IS NULL OR t.day IS NULL OR t.tickets <> a.tickets OR t.orchestrators <> a.orchestrators OR t.gateways <> a.gateways""")
+#: The keys of each cube.
+KEYS = {"payouts": ["day", "orchestrator", "valuation_version", "kind"], "rewards": ["day", "orchestrator", "valuation_version"], "tickets": ["day", "kind"], "metrics": ["day", "contract_name", "event_name", "asset", "valuation_version"]}
+
+
+def repairs(spark: SparkSession, sf_dir: str, log: DataFrame, first_block: int) -> DataFrame:
+    """What each stored cube needs once the log is ``log``, which differs from the cubes' from ``first_block`` on.
+
+    Only days that have events from that block on, before or after, are rebuilt: an update of a share that is gone
+    changes no earlier ones.
+    """
+    touched = [e.where(F.col("block_number") >= first_block).select(_day()) for e in (P.protocol_events(spark, sf_dir), log)]
+    days = touched[0].union(touched[1]).distinct()  # a row a day
+    new = {
+        "payouts": payouts_daily(spark, sf_dir, log, days),
+        "rewards": rewards_daily(spark, sf_dir, log, days),
+        "tickets": tickets_daily(spark, sf_dir, log, days),
+        "metrics": metrics_daily(on_days(log, days), P.valuations(spark, sf_dir)),
+    }
+    every = [repaired(cube(spark, sf_dir, n).join(days, "day", "left_semi"), new[n], KEYS[n]).select(F.lit(n).alias("cube"), "day", F.concat_ws("|", *KEYS[n][1:]).alias("key"), "action") for n in KEYS]
+    return reduce(DataFrame.unionByName, every)
+
+
+def _repair_sql(name: str, cte: str) -> str:
+    keys = ", ".join(KEYS[name])
+    key = "concat_ws('|', " + ", ".join(KEYS[name][1:]) + ")"
+    return f"SELECT DISTINCT '{name}' AS cube, day, {key} AS key, CASE WHEN ({keys}) IN (SELECT ({keys}) FROM {cte}2) THEN 'put' ELSE 'delete' END AS action FROM ((SELECT * FROM {cte} EXCEPT SELECT * FROM {cte}2) UNION ALL (SELECT * FROM {cte}2 EXCEPT SELECT * FROM {cte}))"
+
+
+_CUBES = _REW + "," + _TIX + "," + _MET
+_AFTER = "ev2 AS (SELECT * FROM ev WHERE NOT (block_number BETWEEN 300 AND 500)), " + re.sub(r"\b(ev|upd|tick|pay|rew|tix|met)\b", r"\g<1>2", _CUBES)
+
+
+@query("WITH " + _CUBES + ", " + _AFTER + " UNION ALL ".join(_repair_sql(n, c) for n, c in (("payouts", "pay"), ("rewards", "rew"), ("tickets", "tix"), ("metrics", "met"))))
 def p22_rollup_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks 300 to 500 turn out not to be canonical."""
-    e = final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed' and not (block_number between 300 and 500)").join(P.classifications(spark, sf_dir), F.col("from_address") == F.col("gateway"), "left")
-    after = e.groupBy(_day(), F.coalesce("kind", F.lit("transcoding")).alias("kind")).agg(F.count("*").alias("tickets"), F.countDistinct("to_address").alias("orchestrators"), F.countDistinct("from_address").alias("gateways"))
-    return repaired(cube(spark, sf_dir, "tickets"), after, ["day", "kind"])
+    """Blocks 300 to 500 turn out not to be canonical: rows of the four cubes to delete and to put."""
+    return repairs(spark, sf_dir, P.protocol_events(spark, sf_dir).where("not (block_number between 300 and 500)"), 300)
 
 
 @query("SELECT CAST(e.block_timestamp AS DATE) AS day, e.to_address AS orchestrator, v.valuation_version, count(DISTINCT e.from_address) AS gateways FROM ev e JOIN val v ON v.event_id = e.id AND v.asset = e.asset WHERE e.event_name = 'WinningTicketRedeemed' AND e.is_canonical GROUP BY ALL")

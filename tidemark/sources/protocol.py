@@ -34,6 +34,15 @@ def protocol_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def broker_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ticket broker's events: kinds spread by k over payouts, deposits and withdrawals; only tickets and claims have a recipient, and not all of them."""
+    return protocol_events(spark, sf_dir).where("event_name in ('WinningTicketRedeemed', 'Bond', 'Unbond')").selectExpr(
+        "id", "block_number", "log_index", "block_timestamp",
+        "case event_name when 'Bond' then if(k % 2 = 0, 'DepositFunded', 'ReserveFunded') when 'Unbond' then case k % 3 when 0 then 'Withdrawal' when 1 then 'Unlock' else 'UnlockCancelled' end else case k % 4 when 0 then 'WinningTicketTransfer' when 1 then 'ReserveClaimed' else 'WinningTicketRedeemed' end end as event_name",
+        "from_address", "case when event_name = 'WinningTicketRedeemed' and k % 9 <> 0 then to_address end as to_address", "asset", "amount_normalized", "is_canonical", "finality",
+    )
+
+
 def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of valuable events by (event_id, valuation_version, asset); two versions for every tenth."""
     e = protocol_events(spark, sf_dir).where("is_valuable").withColumn("valuation_version", F.explode(F.expr(f"if(k % 10 = 0, array('{V1}', '{DEGRADED}'), array('{V1}'))")))
