@@ -101,7 +101,7 @@ def test_ends_are_blocks_or_days():
     for bad in "", "2024-02-30", "x", "12.5":
         with pytest.raises(ValueError):
             operations.endpoint(bad)
-    assert operations.limit_of("events") == 100 and operations.limit_of("events", 10**6) == 1000 and operations.limit_of("votes", 0) == 1
+    assert operations.limit_of("events") == 100 and operations.limit_of("events", 10**6) == 1000 and operations.limit_of("votes", 0) == 0 and operations.limit_of("delegators") == 50 and operations.limit_of("prices", 10**6) == 10000
 
 
 def test_logs_of_other_shapes_are_dead_letters(spark):

@@ -131,12 +131,12 @@ def k10_ticket_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rows of a page, and at most, by route.
-LIMITS = {"events": (100, 1000), "delegators": (20, 100), "rounds": (50, 200), "tickets": (50, 200), "votes": (100, 500)}
+LIMITS = {"events": (100, 1000), "delegators": (50, 500), "rounds": (50, 500), "round events": (100, 1000), "tickets": (100, 1000), "proposals": (100, 1000), "votes": (100, 1000), "prices": (1000, 10000), "stake": (1000, 10000)}
 
 
 def limit_of(route: str, asked: int | None = None) -> int:
     usual, most = LIMITS[route]
-    return max(1, min(usual if asked is None else asked, most))
+    return max(0, min(usual if asked is None else asked, most))
 
 
 def endpoint(text: str | None) -> tuple[int | None, datetime | None]:

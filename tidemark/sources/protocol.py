@@ -98,6 +98,15 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as string) as proposal_id", "o_orderkey as block_number", "concat('o', o_custkey % 50) as proposer", "o_orderdate as proposed_at", "case when o_orderstatus = 'F' then o_orderkey + 7 end as executed_block")
 
 
+def governance_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Created and executed proposals as raw events; a proposal's id and proposer are in their JSON."""
+    o = _read(spark, sf_dir, "orders")
+    raw = "to_json(named_struct('decoded', named_struct('proposalId', cast(o_orderkey as string){}))) as raw_event"
+    made = o.selectExpr("o_orderkey as block_number", "0 as log_index", "'ProposalCreated' as event_name", "true as is_canonical", raw.format(", 'proposer', concat('o', o_custkey % 50)"))
+    done = o.where("o_orderstatus = 'F'").selectExpr("o_orderkey + 7 as block_number", "0 as log_index", "'ProposalExecuted' as event_name", "true as is_canonical", raw.format(""))
+    return made.unionByName(done)
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes as raw events: support is a JSON number, weight a string."""
     return _read(spark, sf_dir, "lineitem").selectExpr(
