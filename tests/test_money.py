@@ -85,4 +85,6 @@ def test_price_by_the_pool_s_own_root():
 def test_answers_keep_their_eight_decimals(spark):
     from tidemark.plans.valuation import ANSWER
 
-    assert [f"{r[0]:f}" for r in spark.sql(f"select {ANSWER} from values (12345678901L), (1L) as t(answer)").collect()] == ["123.45678901", "0.00000001"]
+    df = spark.sql(f"select {ANSWER} as usd from values (12345678901L), (1L) as t(answer)")
+    assert df.schema["usd"].dataType.simpleString() == "decimal(14,8)"
+    assert [r.usd for r in df.collect()] == [Decimal("123.45678901"), Decimal("0.00000001")]  # as numbers: the smallest one arrives as 1.0E-8
