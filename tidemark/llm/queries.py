@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import mil, sqls, toxicity
 from tidemark.llm.bpe import round_trip
 from tidemark.llm.chat import chat_digest
+from tidemark.llm.codes import vector_codes
 from tidemark.llm.kdtree import shards
 from tidemark.llm.license import license_scan
+from tidemark.llm.manifest import manifest
 from tidemark.llm.maxscore import embedding_top_k
 from tidemark.llm.neardup import near_duplicates
+from tidemark.llm.secrets import secret_scan
 from tidemark.llm.shared import table
 from tidemark.llm.simple8b import token_files
 from tidemark.llm.winnow import contamination
@@ -71,6 +74,18 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_minhash_neardup": op2_minhash_neardup,
@@ -82,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxscore_topk": op8_maxscore_topk,
     "op9_winnowing": op9_winnowing,
     "op10_license_diagonals": op10_license_diagonals,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE: dict[str, str] = {
@@ -89,4 +107,7 @@ ORACLE: dict[str, str] = {
     "op8_maxscore_topk": sqls.OP8,
     "op9_winnowing": sqls.OP9,
     "op10_license_diagonals": sqls.op10(),
+    "op11_vector_codes": sqls.op11(),
+    "op12_merkle_manifest": sqls.op12(),
+    "op13_secret_scan": sqls.op13(),
 }

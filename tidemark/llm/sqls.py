@@ -73,3 +73,93 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM d LEFT JOIN agg USING (doc_id)
 """
+
+
+def op11() -> str:
+    """The same rounds with every distance computed; vectors of one length that 16 divides."""
+    from tidemark.llm.codes import ENTRIES, PARTS, ROUNDS
+
+    dot = "list_inner_product"
+    near = lambda n: f"""
+a{n} AS (SELECT p.r, p.part, min({{'d': CAST({dot}(p.y, p.y) + {dot}(c.y, c.y) - 2 * {dot}(p.y, c.y) AS BIGINT), 'e': c.entry}}) AS best
+       FROM p JOIN c{n} c ON p.part = c.part GROUP BY p.r, p.part)"""
+    learn = lambda n: f"""{near(n)},
+c{n + 1} AS (SELECT c.part, c.entry, coalesce(m.y, c.y) AS y FROM c{n} c LEFT JOIN (
+       SELECT part, entry, list(floor(s / k) ORDER BY place) AS y FROM (
+         SELECT p.part, best.e AS entry, place, sum(p.y[place]) AS s, count(*) AS k
+         FROM p JOIN a{n} USING (r, part), (SELECT unnest(generate_series(1, (SELECT w FROM w))) AS place) GROUP BY ALL)
+       GROUP BY part, entry) m ON m.part = c.part AND m.entry = c.entry)"""
+    return f"""
+WITH v AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r FROM (
+       SELECT vec_id, label, [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS x FROM embeddings
+       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)),
+w AS (SELECT max(len(x)) // {PARTS} AS w FROM v),
+p AS (SELECT r, part, x[part * w + 1 : (part + 1) * w] AS y FROM v, w, (SELECT unnest(range({PARTS})) AS part)),
+c0 AS (SELECT part, r - 1 AS entry, y FROM p WHERE r <= {ENTRIES}),
+{",".join(learn(n) for n in range(ROUNDS))},
+{near(ROUNDS)},
+b AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, place)) AS h
+      FROM (SELECT part, entry, unnest(y) AS v, generate_subscripts(y, 1) AS place FROM c{ROUNDS})),
+o AS (SELECT r, string_agg(format('{{:02x}}', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN o USING (r), b
+"""
+
+
+def op12(levels: int = 7, last: int = 3) -> str:
+    """The same trees level by level, for at most 8 ** levels rows of a language and 8 ** last languages."""
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    said = lambda x: f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(said(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def climb(n: str, s: str, count: int) -> str:
+        made = []
+        for i in range(count):
+            made.append(f"""
+r{n}{i} AS (SELECT tree, pos // 8 AS pos, max(total) AS total, list(h ORDER BY pos) AS run FROM {n}{i} GROUP BY tree, pos // 8),
+{n}{i + 1} AS (SELECT tree, pos, (total + 7) // 8 AS total, CASE WHEN total = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS h FROM r{n}{i}),
+{s}{i + 1} AS (SELECT r, s.tree, s.pos // 8 AS pos, CASE WHEN total = 1 THEN sibs ELSE sibs || run[: s.pos % 8] || run[s.pos % 8 + 2 :] END AS sibs,
+       CASE WHEN total = 1 THEN fold ELSE sha256(array_to_string(run[: s.pos % 8] || [fold] || run[s.pos % 8 + 2 :], '')) END AS fold
+       FROM {s}{i} s JOIN r{n}{i} q ON q.tree = s.tree AND q.pos = s.pos // 8)""")
+        return ",".join(made)
+
+    return f"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+crc AS (SELECT *, xor(list_reduce(list_concat([4294967295], [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, tab),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS leaf,
+      CASE WHEN crc % 3 = 0 THEN {leaf(low)} ELSE {leaf("text")} END AS other FROM crc),
+m0 AS (SELECT r, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS total, leaf AS h, other FROM d),
+n0 AS (SELECT tree, pos, total, h FROM m0),
+s0 AS (SELECT r, tree, pos, CAST([] AS VARCHAR[]) AS sibs, other AS fold FROM m0),
+{climb("n", "s", levels)},
+u AS (SELECT tree AS own, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS total, h FROM n{levels}),
+t0 AS (SELECT '' AS tree, pos, total, h FROM u),
+p0 AS (SELECT r, '' AS tree, u.pos, sibs, fold FROM s{levels} s JOIN u ON u.own = s.tree),
+{climb("t", "p", last)}
+SELECT doc_id, leaf, u.h AS subroot, t.h AS root, sha256(array_to_string(sibs, '')) AS proof_sha256, fold AS folded_root, fold = t.h AS verified
+FROM d JOIN p{last} p USING (r) JOIN u ON u.own = d.tree, t{last} t
+"""
+
+
+def op13() -> str:
+    """The same rules on every text, without an index."""
+    from tidemark.llm.secrets import BASE, RULES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    each = " UNION ALL ".join(f"""
+SELECT r, {i} AS rule, generate_subscripts(hits, 1) AS i, unnest(list_transform(hits, lambda x: length(x))) AS size,
+       unnest(list_transform(gaps[: len(hits)], lambda x: length(x))) AS gap, unnest(list_transform(parts, lambda x: length(x) >= {x.least})) AS good
+FROM (SELECT r, regexp_extract_all(t, {quoted(x.pattern)}) AS hits, regexp_extract_all(t, {quoted(x.pattern)}, {x.group}) AS parts, string_split_regex(t, {quoted(x.pattern)}) AS gaps FROM d)"""
+                              for i, x in enumerate(RULES))
+    said = "kind || ':' || first || ':' || last"
+    counts = ", ".join(f"count(*) FILTER (rule = {i}) AS n_{x.kind}" for i, x in enumerate(BASE))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({each}),
+k AS (SELECT r, rule, good, [{", ".join(quoted(x.kind) for x in RULES)}][rule + 1] AS kind, CAST(sum(gap + size) OVER (PARTITION BY r, rule ORDER BY i) AS BIGINT) AS last, size FROM m),
+g AS (SELECT *, last - size AS first FROM k WHERE good),
+o AS (SELECT r, {counts}, sha256(coalesce(string_agg({said}, ',' ORDER BY first, rule) FILTER (rule < {len(BASE)}), '')) AS base_sha256,
+      string_agg({said}, ',' ORDER BY first, rule) AS spans FROM g GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{x.kind}, 0) AS n_{x.kind}" for x in BASE)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (r)
+"""
