@@ -1,6 +1,7 @@
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from tidemark.sources import commits
 from tidemark.streaming import incremental as inc
 
 
@@ -18,7 +19,7 @@ def test_late_and_repeated_files(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         inc.follow(spark, source, schema, target, state, build, lambda e: e, "day").awaitTermination()
         whole = build(spark.read.schema(schema).parquet(source))
-        assert sorted(map(tuple, spark.read.parquet(target).select("day", "v").collect())) == sorted(map(tuple, whole.collect()))
+        assert sorted(map(tuple, commits.read(spark, target, "rows").select("day", "v").collect())) == sorted(map(tuple, whole.collect()))
 
 
 def test_a_day_that_loses_its_last_row_goes(spark, tmp_path):
@@ -30,22 +31,10 @@ def test_a_day_that_loses_its_last_row_goes(spark, tmp_path):
         for _ in range(2):  # a batch that finds nothing new changes nothing
             inc.follow(spark, source, schema, target, state, build, lambda e: e, "day").awaitTermination()
         whole = build(spark.read.schema(schema).parquet(source))
-        left = [] if whole.isEmpty() else spark.read.schema("v long, day string").parquet(target).select("day", "v").collect()
+        left = commits.read(spark, target, "rows").select("day", "v").collect()
         assert sorted(map(tuple, left)) == sorted(map(tuple, whole.collect()))
 
 
-def test_the_csv_report_holds_all_events(spark, small, monkeypatch):
-    from tidemark.plans import feeds
-    from tidemark.sources import protocol, storage
-
-    paths, write = [], storage.csv_report
-    monkeypatch.setattr(storage, "csv_report", lambda df, path: (paths.append(path), write(df, path)))
-    feeds.s18_t4_csv_report(spark, small)
-    got = spark.read.schema("id long, note string").option("header", True).option("escape", '"').csv(paths[0])
-    want = protocol.protocol_events(spark, small).selectExpr("id", "concat('a \"', event_name, '\", ', k) as note")
-    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
-
-
 def test_stored_tables_follow_their_sources(spark, tmp_path):
     from tidemark.sources.cubes import stored
 
@@ -64,3 +53,112 @@ def test_stored_tables_follow_their_sources(spark, tmp_path):
     assert sorted(map(tuple, stored(spark, folder, "t", build).collect())) == [(0, 3), (1, 3), (2, 3)]
     stored(spark, folder, "t", build, refresh=True)
     assert len(made) == 3
+
+
+def test_rows_in_nested_folders_are_seen(spark, tmp_path):
+    from tidemark.sources.cubes import stored
+
+    build = lambda s, d: s.read.parquet(f"{d}/t.parquet").groupBy().count()
+    folder = str(tmp_path / "in")
+    spark.range(10).selectExpr("id", "'a' as day").write.partitionBy("day").parquet(f"{folder}/t.parquet")
+    assert stored(spark, folder, "nested", build).first()[0] == 10
+    spark.range(5).selectExpr("id", "'a' as day").write.mode("append").partitionBy("day").parquet(f"{folder}/t.parquet")
+    assert stored(spark, folder, "nested", build).first()[0] == 15
+
+
+def test_a_commit_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), "day string, v long")
+    seen = lambda name: sorted(map(tuple, commits.read(spark, root, name).select("day", "v").collect()), key=str)
+    commits.commit(spark, root, {"rows": commits.Change(rows(("a", 1), ("b/%=", 2), (None, 3)), "day"), "dead": commits.Change(rows(("a", 9)), "day", append=True)}, {"at": 1})
+    put = commits._put
+
+    def broken(*args):
+        raise OSError("no more")
+
+    monkeypatch.setattr(commits, "_put", broken)
+    for _ in range(2):
+        try:
+            commits.commit(spark, root, {"rows": commits.Change(rows(("a", 100)), "day", ["a", None]), "dead": commits.Change(rows(("a", 8)), "day", append=True)}, {"at": 2})
+            raise AssertionError
+        except OSError:
+            pass
+        assert seen("rows") == [("a", 1), ("b/%=", 2), (None, 3)] and seen("dead") == [("a", 9)] and commits.manifest(spark, root)["state"] == {"at": 1}
+    monkeypatch.setattr(commits, "_put", put)
+    commits.commit(spark, root, {"rows": commits.Change(rows(("a", 100)), "day", ["a", None]), "dead": commits.Change(rows(("a", 8)), "day", append=True)}, {"at": 2})
+    assert seen("rows") == [("a", 100), ("b/%=", 2)] and seen("dead") == [("a", 8), ("a", 9)] and commits.manifest(spark, root)["state"] == {"at": 2}
+    assert commits.swept(spark, root, keep=1) == 4 and seen("rows") == [("a", 100), ("b/%=", 2)] and seen("dead") == [("a", 8), ("a", 9)]
+    commits.commit(spark, root, {"rows": commits.Change(rows(), "day", ["a", "b/%="])})
+    assert seen("rows") == [] and commits.read(spark, root, "rows").columns == ["day", "v"]
+
+
+def test_a_commit_number_is_given_once(spark, tmp_path):
+    import pytest
+
+    root = str(tmp_path / "t")
+    was = commits.commit(spark, root, {}, {"at": 1})
+    with pytest.raises(RuntimeError):
+        commits._put(spark, root, was | {"state": {"at": 2}})
+    assert commits.manifest(spark, root)["state"] == {"at": 1}
+
+
+def test_a_repaired_cube_equals_one_made_anew_and_reads_touched_days_alone(spark, small):
+    from tidemark.plans import rollups
+    from tidemark.sources import cubes
+    from tidemark.sources import protocol as P
+
+    log = P.protocol_events(spark, small)
+    asked = []
+    for name, cube in rollups.CUBES.items():
+        watched = cube._replace(build=lambda s, d, e, days, b=cube.build: (asked.append(days and sorted(r.day.day for r in days.collect())), b(s, d, e, days))[1])
+        cubes.kept_up(spark, small, f"watched-{name}", watched, refresh=True, log=log)
+        for change in ("not (id between 400 and 420 and event_name <> 'TranscoderUpdate')", "id not between 400 and 420", "true", "true"):
+            after = log.where(change)
+            got = cubes.kept_up(spark, small, f"watched-{name}", watched, log=after).collect()
+            assert sorted(map(repr, got)) == sorted(map(repr, cube.build(spark, small, after, None).collect())), (name, change)
+        days = sorted({r.day.day for r in log.where("id between 400 and 420").selectExpr("to_date(block_timestamp) as day").collect()})
+        carried = cube.carried != "false"
+        assert asked[0] is None and asked[1] == days and (len(asked[2]) > len(days)) == carried and len(asked) == 4
+        asked.clear()
+
+
+def test_loops_go_on_while_files_come_and_stop_in_good_order(spark, tmp_path):
+    import time
+
+    schema, build = "id long, day string", lambda df: df.groupBy("day").agg(F.count("*").alias("n"))
+    source = str(tmp_path / "in")
+    put = lambda a, b: spark.range(a, b).selectExpr("id", "concat('d', id % 3) as day").coalesce(1).write.mode("append").partitionBy("day").parquet(source)
+    put(0, 10)
+    jobs = {n: (lambda trigger, n=n: inc.follow(spark, source, schema, str(tmp_path / n), str(tmp_path / f"{n}-state"), build, lambda e: e, "day", trigger=trigger)) for n in ("one", "two")}
+    for a, b in ((10, 30), (30, 60)):  # the second time they are started again from their checkpoints
+        loops = inc.Loops(jobs, "200 milliseconds")
+        put(a, b)
+        time.sleep(1)
+        assert loops.tend() == {"one": True, "two": True}
+        put(b, b + 5)
+        loops.stop()
+        assert not any(q.isActive for q in loops.running.values())
+        whole = sorted(map(tuple, build(spark.read.schema(schema).parquet(source)).collect()))
+        for n in jobs:
+            assert sorted(map(tuple, commits.read(spark, str(tmp_path / n), "rows").select("day", "n").collect())) == whole
+
+
+def test_a_loop_that_fails_is_started_again(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(5).coalesce(1).write.parquet(source)
+    left = [2]
+
+    def work(batch, was):
+        if left[0]:
+            left[0] -= 1
+            raise OSError("once more")
+        return {"rows": commits.Change(batch)}
+
+    start = lambda trigger: inc.in_batches(spark.readStream.schema("id long").parquet(source), target, str(tmp_path / "state"), work, trigger)
+    loops = inc.Loops({"a": start}, "100 milliseconds", tries=3)
+    for _ in range(100):
+        if loops.tend()["a"] and not left[0] and commits.manifest(spark, target)["number"]:
+            break
+        __import__("time").sleep(0.2)
+    loops.stop()
+    assert len(loops.failed["a"]) <= 2 and commits.read(spark, target, "rows").count() == 5

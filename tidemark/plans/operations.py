@@ -46,11 +46,11 @@ def k2_top_events_by_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyset_page(best, [("amount_usd", True), ("event_id", True)], None, 40).selectExpr("event_id", "valuation_version", *dbl("amount_usd"))
 
 
-@query("SELECT e.id, count(v.event_id) AS n, coalesce(string_agg(v.valuation_version || ':' || v.status, ',' ORDER BY v.valuation_version), '') AS inlined FROM ev e LEFT JOIN val v ON v.event_id = e.id WHERE e.block_number < 200 GROUP BY e.id")
+@query("SELECT e.id, count(v.event_id) AS n, coalesce(string_agg(v.valuation_version || ':' || v.status, ',' ORDER BY v.valuation_version), '') AS inlined FROM ev e LEFT JOIN val v ON v.event_id = e.id GROUP BY e.id")
 def j20_events_with_valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with the list of its values, an empty one without any."""
-    e = P.protocol_events(spark, sf_dir).where("block_number < 200").select("id")
-    lists = P.valuations(spark, sf_dir).where("block_number < 200").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("valuation_version", "status"))).alias("vs"))
+    e = P.protocol_events(spark, sf_dir).select("id")
+    lists = P.valuations(spark, sf_dir).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("valuation_version", "status"))).alias("vs"))
     j = e.join(lists, e.id == lists.event_id, "left").withColumn("vs", F.coalesce("vs", F.array().cast("array<struct<valuation_version:string,status:string>>")))
     return j.select("id", F.size("vs").cast("bigint").alias("n"), F.array_join(F.transform("vs", lambda v: F.concat(v.valuation_version, F.lit(":"), v.status)), ",").alias("inlined"))
 

@@ -13,7 +13,7 @@ from tidemark.functions.money import commission, part, tz_bucket
 from tidemark.operators.core import as_of_join, date_spine, keyset_page, null_safe
 from tidemark.plans.registry import dbl, query
 from tidemark.sources import protocol as P
-from tidemark.sources.cubes import stored
+from tidemark.sources.cubes import Cube, kept_up
 
 #: Blocks of one recipient's events that a task of an as-of join takes at most.
 AS_OF_BLOCKS = 1_000_000
@@ -61,7 +61,7 @@ def of_days(events: DataFrame, first: date | str | None, last: date | str | None
 
 
 def on_days(events: DataFrame, days: DataFrame | None) -> DataFrame:
-    return events if days is None else events.join(days, F.to_date("block_timestamp") == F.col("day"), "left_semi")
+    return events if days is None else events.join(F.broadcast(days), F.to_date("block_timestamp") == F.col("day"), "left_semi")  # a row a day
 
 
 def payouts_daily(spark: SparkSession, sf_dir: str, log: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
@@ -69,7 +69,7 @@ def payouts_daily(spark: SparkSession, sf_dir: str, log: DataFrame | None = None
     log = P.protocol_events(spark, sf_dir) if log is None else log
     e = with_shares(on_days(final(log).where("event_name = 'WinningTicketRedeemed'"), days), log)
     kinds = P.classifications(spark, sf_dir)
-    j = valued(e, P.valuations(spark, sf_dir)).join(kinds, F.col("from_address") == F.col("gateway"), "left").withColumn("kind", F.coalesce("kind", F.lit("transcoding")))
+    j = valued(e, on_days(P.valuations(spark, sf_dir), days)).join(kinds, F.col("from_address") == F.col("gateway"), "left").withColumn("kind", F.coalesce("kind", F.lit("transcoding")))
     usd = F.coalesce("amount_usd", F.lit(0))
     own = F.expr(commission("amount_normalized", "share"))
     own_usd = F.expr(commission("cast(coalesce(amount_usd, 0) as decimal(24,12))", "share"))
@@ -95,14 +95,15 @@ pay AS (SELECT CAST(t.block_timestamp AS DATE) AS day, t.to_address AS orchestra
 """
 
 
-def daily_gateways(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_gateways(spark: SparkSession, sf_dir: str, log: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
     """Who paid whom on which day, for distinct counts over any days."""
-    return final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed'").select(_day(), F.col("to_address").alias("orchestrator"), F.col("from_address").alias("gateway")).distinct()
+    log = P.protocol_events(spark, sf_dir) if log is None else log
+    return on_days(final(log), days).where("event_name = 'WinningTicketRedeemed'").select(_day(), F.col("to_address").alias("orchestrator"), F.col("from_address").alias("gateway")).distinct()
 
 
 def cube(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
     """A stored daily cube: payouts, rewards, tickets, metrics or gateways."""
-    return stored(spark, sf_dir, name, CUBES[name], refresh)
+    return kept_up(spark, sf_dir, name, CUBES[name], refresh)
 
 
 @query("WITH " + _EV_AS_OF + """
@@ -118,7 +119,7 @@ def rewards_daily(spark: SparkSession, sf_dir: str, log: DataFrame | None = None
     e = with_shares(on_days(final(log).where("event_name = 'Reward'"), days), log)
     own = F.expr(part("amount_normalized", "share"))
     own_usd = F.expr(part("cast(coalesce(amount_usd, 0) as decimal(24,12))", "share"))
-    return valued(e, P.valuations(spark, sf_dir)).groupBy(_day(), F.col("to_address").alias("orchestrator"), "valuation_version").agg(
+    return valued(e, on_days(P.valuations(spark, sf_dir), days)).groupBy(_day(), F.col("to_address").alias("orchestrator"), "valuation_version").agg(
         F.count("*").alias("rewards"), F.sum("amount_normalized").alias("total"), F.sum(own).alias("own"), F.sum(F.col("amount_normalized") - own).alias("delegators"), F.sum(F.coalesce("amount_usd", F.lit(0))).alias("total_usd"), F.sum(own_usd).alias("own_usd"), F.count("amount_usd").alias("priced"), F.max("id").alias("last_event"),
     )
 
@@ -170,8 +171,19 @@ def p21_event_metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.selectExpr("day", "contract_name", "event_name", "asset", "valuation_version", "events", *dbl("native", "usd"), "priced", "last_event")
 
 
-#: How each stored cube is made.
-CUBES = {"payouts": payouts_daily, "rewards": rewards_daily, "tickets": tickets_daily, "gateways": daily_gateways, "metrics": lambda spark, sf_dir: metrics_daily(P.protocol_events(spark, sf_dir), P.valuations(spark, sf_dir))}
+def _metrics(spark: SparkSession, sf_dir: str, log: DataFrame, days: DataFrame | None) -> DataFrame:
+    return metrics_daily(on_days(log, days), on_days(P.valuations(spark, sf_dir), days))
+
+
+#: How each stored cube is made; an update of a share counts for all later days.
+_UPDATES = "event_name = 'TranscoderUpdate' and is_canonical"
+CUBES = {
+    "payouts": Cube(payouts_daily, P.protocol_events, _UPDATES, (P.classifications,)),
+    "rewards": Cube(rewards_daily, P.protocol_events, _UPDATES),
+    "tickets": Cube(tickets_daily, P.protocol_events, sides=(P.classifications,)),
+    "gateways": Cube(daily_gateways, P.protocol_events),
+    "metrics": Cube(_metrics, P.protocol_events),
+}
 
 
 def bucket_raw(events: DataFrame, val: DataFrame, bucket: str, tz: str = "UTC", version: str = P.V1, address: str | None = None, limit: int = 1000) -> DataFrame:
@@ -362,7 +374,7 @@ def repairs(spark: SparkSession, sf_dir: str, log: DataFrame, first_block: int)
         "payouts": payouts_daily(spark, sf_dir, log, days),
         "rewards": rewards_daily(spark, sf_dir, log, days),
         "tickets": tickets_daily(spark, sf_dir, log, days),
-        "metrics": metrics_daily(on_days(log, days), P.valuations(spark, sf_dir)),
+        "metrics": _metrics(spark, sf_dir, log, days),
     }
     every = [repaired(cube(spark, sf_dir, n).join(days, "day", "left_semi"), new[n], KEYS[n]).select(F.lit(n).alias("cube"), "day", F.concat_ws("|", *KEYS[n][1:]).alias("key"), "action") for n in KEYS]
     return reduce(DataFrame.unionByName, every)
@@ -384,6 +396,27 @@ def p22_rollup_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repairs(spark, sf_dir, P.protocol_events(spark, sf_dir).where("not (block_number between 300 and 500)"), 300)
 
 
+_SUMS = """SELECT cube, day, key, CAST(n AS BIGINT) AS n, CAST(CAST(amount AS DECIMAL(38,18)) AS DOUBLE) AS amount FROM (
+  SELECT 'payouts' AS cube, day, concat_ws('|', orchestrator, valuation_version, kind) AS key, payouts AS n, commission AS amount FROM pay2
+  UNION ALL SELECT 'rewards', day, concat_ws('|', orchestrator, valuation_version), rewards, own FROM rew2
+  UNION ALL SELECT 'tickets', day, kind, tickets, gateways FROM tix2
+  UNION ALL SELECT 'metrics', day, concat_ws('|', contract_name, event_name, asset, valuation_version), events, usd FROM met2)"""
+
+
+@query("WITH " + _CUBES + ", " + _AFTER + _SUMS)
+def p22_cubes_after_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cubes that were stored when the whole log was canonical, after blocks 300 to 500 turn out not to be: only days that differ are derived anew."""
+    whole = P.protocol_events(spark, sf_dir)
+    after = whole.where("not (block_number between 300 and 500)")
+    said = {"payouts": ("payouts", "commission"), "rewards": ("rewards", "own"), "tickets": ("tickets", "gateways"), "metrics": ("events", "usd")}
+    every = []
+    for name, (n, amount) in said.items():
+        kept_up(spark, sf_dir, f"repaired-{name}", CUBES[name], log=whole)
+        rows = kept_up(spark, sf_dir, f"repaired-{name}", CUBES[name], log=after)
+        every.append(rows.select(F.lit(name).alias("cube"), "day", F.concat_ws("|", *KEYS[name][1:]).alias("key"), F.col(n).alias("n"), F.col(amount).cast("decimal(38,18)").cast("double").alias("amount")))
+    return reduce(DataFrame.unionByName, every)
+
+
 @query("SELECT CAST(e.block_timestamp AS DATE) AS day, e.to_address AS orchestrator, v.valuation_version, count(DISTINCT e.from_address) AS gateways FROM ev e JOIN val v ON v.event_id = e.id AND v.asset = e.asset WHERE e.event_name = 'WinningTicketRedeemed' AND e.is_canonical GROUP BY ALL")
 def p23_distinct_gateways(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = P.protocol_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed' and is_canonical")

@@ -1,39 +1,115 @@
-"""Derived tables that are written once and then read, as long as the tables they come from stay as they are.
+"""Derived tables that are stored and kept up: leaderboards, buckets, summaries and states at a block read these.
 
-Leaderboards, buckets, summaries and states at a block read a small stored table instead of deriving it
-from the whole log. A change of a source table (its name, size or time) makes another stored table; ``refresh``
-makes it anew in any case.
+They lie in the shared folder under the name of their source and outlive the application. Each commit notes the state of the
+source's files. Where that has changed, a cube compares what each day of its log holds with what it held, and only days that
+differ are derived anew; other tables are made again.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from datetime import date
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.sources.storage import shared_path
+from tidemark.sources import commits
+from tidemark.sources.storage import shared_root
 
-_STORED: dict[tuple, str] = {}
 
+class Cube(NamedTuple):
+    """A table by day. ``build(spark, sf_dir, log, days)`` derives it from a log, of some days if they are given as rows (day).
 
-def _state(spark: SparkSession, folder: str) -> tuple:
-    """Names, sizes and times of what lies in a folder."""
+    Rows of the log that ``carried`` (a condition) holds for change later days too. ``sides`` are other tables that it is made from; a change of
+    theirs makes all of it anew."""
+
+    build: Callable[..., DataFrame]
+    log: Callable[[SparkSession, str], DataFrame]
+    carried: str = "false"
+    sides: tuple[Callable[[SparkSession, str], DataFrame], ...] = ()
+
+
+def _state(spark: SparkSession, folder: str) -> str:
+    """A digest of names, sizes and times of all files in a folder and the folders in it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
-    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
+    found, seen = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while found.hasNext():
+        s = found.next()
+        seen.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
 
 
-def _is_there(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def root_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+    return f"{shared_root(spark)}/stored/{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame], refresh: bool = False) -> DataFrame:
-    """The table ``name`` of a folder's tables, written to the shared folder when it is first asked for in an application."""
-    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), name)
-    path = _STORED.get(key)
-    if refresh or path is None or not _is_there(spark, path):
-        path = shared_path(spark, name)
-        build(spark, sf_dir).hint("rebalance").write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(path)
+    """The table ``name`` of a folder's tables, written when it is first asked for and whenever they have changed."""
+    root, state = root_of(spark, sf_dir, name), _state(spark, sf_dir)
+    was = commits.manifest(spark, root)
+    if refresh or was["state"].get("source") != state:
+        was = commits.commit(spark, root, {"rows": commits.Change(build(spark, sf_dir).hint("rebalance"))}, {"source": state})
+        commits.swept(spark, root)
+    return commits.read(spark, root, "rows", was)
+
+
+def prints(log: DataFrame, carried: str) -> DataFrame:
+    """(day, n, own, carried): rows of a day, and sums over them that tell any change of them, and any of those that are carried."""
+    row = F.xxhash64(*[F.col(c) for c in log.columns]).cast("decimal(38,0)")
+    return log.groupBy(F.to_date("block_timestamp").alias("day")).agg(F.count("*").alias("n"), F.sum(row).alias("own"), F.coalesce(F.sum(F.when(F.expr(carried), row)), F.lit(0)).cast("decimal(38,0)").alias("carried"))
+
+
+def touched_days(old: DataFrame, new: DataFrame) -> list[date]:
+    """Days whose prints differ, and all from the first one on whose carried rows do; a row a day comes to the driver."""
+    both = old.select("day", F.struct("n", "own", "carried").alias("was")).join(new.select("day", F.struct("n", "own", "carried").alias("now")), "day", "full_outer")
+    seen = both.select("day", (~F.col("was").eqNullSafe(F.col("now"))).alias("own"), (F.coalesce("was.carried", F.lit(0)) != F.coalesce("now.carried", F.lit(0))).alias("carried")).collect()
+    first = min((r.day for r in seen if r.carried and r.day is not None), default=None)
+    return sorted(r.day for r in seen if r.day is not None and (r.own or (first is not None and r.day >= first)))
+
+
+def _month(days: DataFrame) -> DataFrame:
+    return days.withColumn("month", F.date_format("day", "yyyy-MM"))
+
+
+def _sides(spark: SparkSession, sf_dir: str, cube: Cube) -> list[str]:
+    made = []
+    for side in cube.sides:
+        rows = side(spark, sf_dir)
+        r = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[F.col(c) for c in rows.columns]).cast("decimal(38,0)")).alias("s")).first()
+        made.append(f"{r.n} {r.s}")
+    return made
+
+
+def kept_up(spark: SparkSession, sf_dir: str, name: str, cube: Cube, refresh: bool = False, log: DataFrame | None = None) -> DataFrame:
+    """The stored cube in step with its source, or with ``log`` in its place, which asks to look at all days in any case.
+
+    Partitions are months. A month with touched days is written again from its other days as they were stored and
+    the touched ones as the log has them now; other months are not read. Rows and prints change in one commit.
+    """
+    root, state = root_of(spark, sf_dir, name), _state(spark, sf_dir)
+    was = commits.manifest(spark, root)
+    if not refresh and log is None and was["state"].get("source") == state:
+        return commits.read(spark, root, "rows", was).drop("month")
+    sides = _sides(spark, sf_dir, cube)
+    now = cube.log(spark, sf_dir) if log is None else log
+    # a log given in place of the source's is not what the source's files tell
+    state = {"source": state if log is None else None, "sides": sides}
+    days = None
+    if not refresh and "rows" in was["tables"] and was["state"].get("sides") == sides:
+        days = touched_days(commits.read(spark, root, "prints", was), prints(now, cube.carried))
+    if days is None:
+        changes = {"rows": commits.Change(_month(cube.build(spark, sf_dir, now, None)), "month")}
+    elif days:
+        old, some = commits.read(spark, root, "rows", was), F.col("day").isin([F.lit(d) for d in days])
+        months = sorted({f"{d:%Y-%m}" for d in days})
+        rows = _month(cube.build(spark, sf_dir, now, spark.createDataFrame([(d,) for d in days], "day date")))
+        rest = old.where(F.col("month").isin(months) & ~some)
+        changes = {"rows": commits.Change(rest.unionByName(rows), "month", months)}
+    else:
+        changes = {}
+    changes |= {"prints": commits.Change(prints(now, cube.carried).coalesce(1))} if days is None or days else {}
+    was = commits.commit(spark, root, changes, state)
+    commits.swept(spark, root)
+    return commits.read(spark, root, "rows", was).drop("month")

@@ -10,15 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share; a temporary one only where the session names none and Spark runs in one process."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all machines share; a temporary one only where the session names none and Spark runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def scan_logs(spark: SparkSession, path: str, contract: str | None = None, topics: Sequence[str] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -38,31 +43,9 @@ def write_events(events: DataFrame, path: str) -> None:
     events.withColumn("day_utc", F.to_date("block_timestamp")).write.mode("append").partitionBy("day_utc").parquet(path)
 
 
-def replace_partitions(df: DataFrame, path: str, by: str, keys: Sequence | None = None) -> None:
-    """Overwrite those partitions that ``df`` has rows of, and no others; of ``keys`` those without rows are deleted.
-
-    A partition goes only after the new rows are there, so a run that breaks off can be run again.
-    """
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Overwrite those partitions that ``df`` has rows of, and no others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-    if keys is None:
-        return
-    spark = df.sparkSession
-    left = {r[0] for r in df.select(by).distinct().collect()}
-    gone = [k for k in keys if k not in left]
-    there = spark.read.option("mergeSchema", "true").parquet(path) if gone and _has_files(spark, path) else None
-    if there is None:
-        return
-    old = there.where(F.col(by).cast(df.schema[by].dataType).isin([k for k in gone if k is not None]) | (F.col(by).isNull() if None in gone else F.lit(False)))
-    for folder in {r[0].rpartition("/")[0] for r in old.select(F.input_file_name()).distinct().collect()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _has_files(spark: SparkSession, path: str) -> bool:
-    """Whether a folder holds any partition."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(where) and any(s.isDirectory() for s in fs.listStatus(where))
 
 
 def put_rows(target: DataFrame, rows: DataFrame, keys: Sequence[str], gone: DataFrame | None = None) -> DataFrame:
