@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
-#: Strings that a part of a pattern may stand for, and alternatives of a query, beyond which less is asked for.
-STRINGS, ALTERNATIVES = 32, 64
+#: Strings that a part of a pattern may stand for, alternatives of a query, and trigrams of an alternative, beyond which less is asked for.
+STRINGS, ALTERNATIVES, GRAMS = 32, 64, 4
 
 
 class Rule(NamedTuple):
@@ -39,19 +39,20 @@ def any_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
 
-#: The rules that every scan has, in the order in which kinds are listed.
+#: The rules that every scan has, in the order in which kinds are listed. Longest runs of at least so many characters are what is left of
+#: all longest runs when the shorter ones are dropped, as a run's first start is also the one with the most behind it.
 BASE = (
     Rule("assign", f"({'|'.join(any_case(w) for w in ('password', 'passwd', 'secret', 'token', 'api_?key'))})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", "[0-9a-f]+", 0, 24),
+    Rule("access", "AKIA[A-Z0-9]{16,}"),
+    Rule("hex", "[0-9a-f]{24,}"),
 )
 #: Publicly documented shapes of keys and tokens, whose spans are added.
 MORE = (
-    Rule("temporary", "ASIA[A-Z0-9]+", 0, 20),
-    Rule("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("google", "AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("stripe", "[rs]k_(live|test)_[A-Za-z0-9]+", 0, 24),
+    Rule("temporary", "ASIA[A-Z0-9]{16,}"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", "AIza[A-Za-z0-9_-]{35,}"),
+    Rule("stripe", "[rs]k_(live|test)_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("private", "-----BEGIN ((RSA|DSA|EC|OPENSSH|ENCRYPTED) )?PRIVATE KEY-----"),
     Rule("login", r"(https?|ftp|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9_.-]+:[A-Za-z0-9_.%+-]+@[A-Za-z0-9_.-]+"),
@@ -130,7 +131,9 @@ def _sequence(items) -> tuple[set[str] | None, Query]:
 def trigram_query(pattern: str) -> Query:
     """Alternatives of folded trigrams, one of which every text has whole in which the pattern matches."""
     strings, q = _sequence(_parser.parse(pattern))
-    return q if strings is None else _of_strings(strings)
+    q = q if strings is None else _of_strings(strings)
+    few = lambda a: sorted(a) if len(a) <= GRAMS else [sorted(a)[i * (len(a) - 1) // (GRAMS - 1)] for i in range(GRAMS)]
+    return _fewest(frozenset(frozenset(few(a)) for a in q))
 
 
 def postings(docs: DataFrame, trigrams: list[str], key: str, text: str) -> DataFrame:
@@ -151,12 +154,9 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], key: str) -> DataFrame
 
 def _matches(rule: Rule, number: int, text: str) -> Column:
     """Leftmost matches of a rule that do not overlap: their order, the characters before each since the last one, and their own."""
-    found = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("gap"),
-        F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(0)).alias("hit"),
-        F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(rule.group)).alias("part"),
-    )
-    row = lambda x, i: F.struct(F.lit(number).alias("rule"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("size"), (F.length(x["part"]) >= rule.least).alias("good"))
+    every = lambda group: F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(group))
+    found = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), every(0).alias("hit"), *([every(rule.group).alias("part")] if rule.group else []))
+    row = lambda x, i: F.struct(F.lit(number).alias("rule"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("size"), (F.length(x["part" if rule.group else "hit"]) >= rule.least).alias("good"))
     return F.transform(F.filter(found, lambda x: x["hit"].isNotNull()), row)
 
 
@@ -175,7 +175,9 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = le
     found = candidates(postings(rows, trigrams, "key", "text"), rules, "key").hint("shuffle_hash")
     rows = rows.join(found, "key", "left").withColumn("row", F.monotonically_increasing_id())
     none = F.array().cast("array<struct<rule:int,i:int,gap:int,size:int,good:boolean>>")
-    tried = [_matches(r, i, "text") if i in always else F.when(F.array_contains("rules", i), _matches(r, i, "text")).otherwise(none) for i, r in enumerate(rules)]
+    # most candidates have no match, which one look tells
+    asked = lambda i, r: F.rlike(F.col("text"), F.lit(r.pattern)) if i in always else F.array_contains("rules", i) & F.rlike(F.col("text"), F.lit(r.pattern))
+    tried = [F.when(asked(i, r), _matches(r, i, "text")).otherwise(none) for i, r in enumerate(rules)]
     each = rows.select("key", "row", "doc_id", F.explode_outer(F.flatten(F.array(*tried))).alias("m")).select("key", "row", "doc_id", "m.*")
     run = SparkWindow.partitionBy("key", "row", "rule").orderBy("i").rowsBetween(SparkWindow.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(run)).withColumn("start", F.col("end") - F.col("size"))

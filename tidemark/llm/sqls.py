@@ -143,14 +143,16 @@ FROM d JOIN p{last} p USING (r) JOIN u ON u.own = d.tree, t{last} t
 
 def op13() -> str:
     """The same rules on every text, without an index."""
-    from tidemark.llm.secrets import BASE, RULES
+    from tidemark.llm.secrets import BASE, RULES, Rule
 
+    # all runs, of which the short ones are dropped
+    plain = (BASE[0], Rule("access", "AKIA[A-Z0-9]+", 0, 20), Rule("hex", "[0-9a-f]+", 0, 24), *RULES[len(BASE) :])
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     each = " UNION ALL ".join(f"""
 SELECT r, {i} AS rule, generate_subscripts(hits, 1) AS i, unnest(list_transform(hits, lambda x: length(x))) AS size,
        unnest(list_transform(gaps[: len(hits)], lambda x: length(x))) AS gap, unnest(list_transform(parts, lambda x: length(x) >= {x.least})) AS good
 FROM (SELECT r, regexp_extract_all(t, {quoted(x.pattern)}) AS hits, regexp_extract_all(t, {quoted(x.pattern)}, {x.group}) AS parts, string_split_regex(t, {quoted(x.pattern)}) AS gaps FROM d)"""
-                              for i, x in enumerate(RULES))
+                              for i, x in enumerate(plain))
     said = "kind || ':' || first || ':' || last"
     counts = ", ".join(f"count(*) FILTER (rule = {i}) AS n_{x.kind}" for i, x in enumerate(BASE))
     return f"""
