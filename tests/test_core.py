@@ -102,12 +102,3 @@ def test_ends_are_blocks_or_days():
         with pytest.raises(ValueError):
             operations.endpoint(bad)
     assert operations.limit_of("events") == 100 and operations.limit_of("events", 10**6) == 1000 and operations.limit_of("votes", 0) == 0 and operations.limit_of("delegators") == 50 and operations.limit_of("prices", 10**6) == 10000
-
-
-def test_logs_of_other_shapes_are_dead_letters(spark):
-    word = "f" * 64
-    logs = [(1, "t", "0x" + "0" * 24 + "AB" * 20 + word), (2, "t", "0x" + word), (3, "t", None), (4, None, "0x"), (5, "u", "0x"), (6, "v", "0x"), (7, "t", "0x" + "g" * 128)]
-    shapes = {"t": ("Two", ("address", "uint")), "v": ("None", ())}
-    got = {r.id: (r.event, r.fields, r.error) for r in operations.decoded(spark.createDataFrame(logs, "id long, topic0 string, data string"), shapes).collect()}
-    assert got[1] == ("Two", ["0x" + "ab" * 20, str(2**256 - 1)], None)
-    assert [got[i][2] for i in range(2, 8)] == ["bad data", "bad data", "unknown topic", "unknown topic", None, "bad data"] and got[6][1] == []

@@ -162,3 +162,47 @@ def test_a_loop_that_fails_is_started_again(spark, tmp_path):
         __import__("time").sleep(0.2)
     loops.stop()
     assert len(loops.failed["a"]) <= 2 and commits.read(spark, target, "rows").count() == 5
+
+
+def _chunks(spark, tmp_path, critical=False):
+    from tidemark.functions.abi import Event, Param, decoded
+
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    events = {("c", "aa"): Event("E", (Param("n", "uint256"),), critical)}
+    put = lambda *rows: spark.createDataFrame([(i, "c", b, f"d{b % 2}", ["aa"], d) for i, b, d in rows], "id long, contract string, block_number long, day string, topics array<string>, data string").coalesce(1).write.mode("append").parquet(source)
+    run = lambda: inc.ingest(spark, source, "id long, contract string, block_number long, day string, topics array<string>, data string", target, state, lambda c: decoded(c, events, ("id", "contract", "block_number", "day")), ["id"], "day").awaitTermination()
+    seen = lambda: tuple(sorted(r[0] for r in commits.read(spark, target, n).select("id").collect()) for n in ("rows", "dead")) + (commits.read(spark, target, "checkpoints").first().block_number,)
+    return put, run, seen
+
+
+def test_a_chunk_is_kept_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    import pytest
+
+    put, run, seen = _chunks(spark, tmp_path)
+    good, bad = "0x" + "0" * 64, "0x12"
+    put((1, 1, good), (2, 2, bad))
+    run()
+    assert seen() == ([1], [2], 2)
+    put((3, 3, good), (4, 4, bad), (1, 1, good), (2, 2, bad))
+    own, left = commits._put, []
+    monkeypatch.setattr(commits, "_put", lambda *a: left.append(1) or (_ for _ in ()).throw(OSError("broken off")))
+    with pytest.raises(Exception, match="broken off"):
+        run()
+    assert left and seen() == ([1], [2], 2)
+    monkeypatch.setattr(commits, "_put", own)
+    run()
+    assert seen() == ([1, 3], [2, 4], 4)
+    run()
+    assert seen() == ([1, 3], [2, 4], 4)
+
+
+def test_a_critical_event_that_cannot_be_decoded_halts(spark, tmp_path):
+    import pytest
+
+    put, run, seen = _chunks(spark, tmp_path, critical=True)
+    put((1, 1, "0x" + "0" * 64))
+    run()
+    put((2, 2, "0x" + "0" * 64), (3, 3, "0x12"))
+    with pytest.raises(Exception, match="critical events cannot be decoded"):
+        run()
+    assert seen() == ([1], [], 1)

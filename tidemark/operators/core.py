@@ -91,8 +91,24 @@ def date_spine(spark, first: str, last: str) -> DataFrame:
     return spark.sql(f"select explode(sequence(date '{first}', date '{last}')) as day")
 
 
-def table_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Number of rows and the sums of both halves of their md5, in partial sums whatever the order; null is not the empty string."""
-    row = F.md5(F.concat_ws("§", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns]).cast("binary"))
-    half = lambda at: F.sum(F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
-    return df.agg(F.count("*").alias("n_rows"), half(1).alias("first_half"), half(17).alias("second_half"))
+#: Ranges of a group, whose hashes meet in one row; hex digits of a text key's hash that name its range.
+GROUP, PREFIX = 1000, 4
+
+
+def range_hashes(df: DataFrame, columns: Sequence[str], keys: Sequence[str], per: int | None) -> DataFrame:
+    """(range, n_rows, hash): md5 of the md5 of each row, in the order of the keys; ``columns`` are SQL, and null is not the empty string.
+
+    A range is ``per`` numbers of the first key, or those keys whose md5 begin alike. Only hashes are shuffled, and a range's meet in one row, so ``per`` bounds it.
+    """
+    row = F.md5(F.concat_ws("§", *[F.coalesce(F.concat(F.lit("="), F.expr(c).cast("string")), F.lit("null")) for c in columns]).cast("binary"))
+    part = F.expr(f"cast({keys[0]} as bigint) div {per}") if per else F.conv(F.left(F.md5(F.col(keys[0]).cast("binary")), F.lit(PREFIX)), 16, 10).cast("bigint")
+    lined = df.select(part.alias("range"), F.struct(*keys, row.alias("_hash")).alias("_row"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("_row")), lambda r: r["_hash"]), "")
+    return lined.groupBy("range").agg(F.count("*").alias("n_rows"), F.md5(joined.cast("binary")).alias("hash"))
+
+
+def whole_hash(ranges: DataFrame) -> DataFrame:
+    """(n_rows, hash) of a table from its ranges, joined in order by groups."""
+    of = lambda c: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c, "hash"))), lambda r: r["hash"]), "").cast("binary")).alias("hash")
+    grouped = ranges.groupBy(F.expr(f"range div {GROUP}").alias("g")).agg(F.sum("n_rows").alias("n_rows"), of("range"))
+    return grouped.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), of("g"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.abi import decoded
 from tidemark.operators.core import latest_by
-from tidemark.plans.operations import metrics
+from tidemark.plans.operations import EVENTS, metrics, raw_logs
 from tidemark.plans.registry import query
 from tidemark.sources import protocol as P
 from tidemark.sources import commits, storage
@@ -33,6 +34,22 @@ def st1_st9_followed_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame
     return commits.read(spark, target, "rows").select("day", "event_name", "events", "senders")
 
 
+@query("""WITH f AS (SELECT *, k % 7 = 0 OR k % 6 = 0 AS bad FROM ev)
+SELECT CAST(block_timestamp AS DATE) AS day, count(*) FILTER (NOT bad) AS rows, count(*) FILTER (bad) AS dead, (SELECT min(b) FROM (SELECT max(block_number) AS b FROM f GROUP BY contract_name)) AS checkpoint FROM f GROUP BY 1""")
+def st9_chunks_with_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw logs in chunks, each row twice: decoded rows, dead letters and checkpoints as the commits leave them."""
+    source, target, state = (storage.shared_path(spark, n) for n in ("logs", "ingested", "state"))
+    logs = raw_logs(spark, sf_dir)
+    schema = "id long, contract string, block_number long, day date, topics array<string>, data string"
+    for some in (F.col("id") % 10 < 6, F.col("id") % 10 >= 3):  # what both have comes twice
+        logs.where(some).repartition(4).write.mode("append").parquet(source)
+        incremental.ingest(spark, source, schema, target, state, lambda chunk: decoded(chunk, EVENTS, ("id", "contract", "block_number", "day")), ["id"], "day").awaitTermination()
+    at = commits.manifest(spark, target)
+    n = lambda name: commits.read(spark, target, name, at).groupBy("day").agg(F.count("*").alias(name))
+    last = commits.read(spark, target, "checkpoints", at).agg(F.min("block_number").alias("checkpoint"))
+    return n("rows").join(n("dead"), "day", "full_outer").select("day", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("dead", F.lit(0)).alias("dead")).crossJoin(F.broadcast(last))  # one row
+
+
 @query("SELECT CAST(block_timestamp AS DATE) AS day, count(*) AS events FROM ev WHERE block_timestamp < TIMESTAMP '2024-01-10' OR block_timestamp >= TIMESTAMP '2024-01-15' GROUP BY 1")
 def st6_retracted_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts as a stream leaves them that first reads the whole log, then retractions of all events of five days."""

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.money import call_hash, commission, gas_fee, normalised, part, revert_kind, topic_of, uint_text
-from tidemark.operators.core import as_of_join, filtered, keyset_page, reconciled, table_hash, without
+from tidemark.functions.abi import Event, Param, decoded, encoded
+from tidemark.functions.money import call_hash, commission, gas_fee, normalised, part, revert_kind, topic_of
+from tidemark.operators.core import as_of_join, filtered, keyset_page, reconciled, without
 from tidemark.plans.registry import dbl, query
 from tidemark.plans.rollups import _EV_AS_OF, AS_OF_BLOCKS, final_events, valued, with_shares
 from tidemark.sources import protocol as P
@@ -278,37 +279,52 @@ SHAPES = {
 }
 
 
-def decoded(logs: DataFrame, shapes: dict[str, tuple[str, tuple[str, ...]]]) -> DataFrame:
-    """Events of logs (id, topic0, data) by ``shapes``: topic0 to an event's name and the kinds of its words.
-
-    Words become text: addresses of 20 bytes, unsigned integers of 256 bits. A topic that is not
-    known, and data that is not so many whole words, are dead letters that tell what was wrong; no row is lost.
-    """
-    name = F.expr("case topic0 " + " ".join(f"when '{t}' then '{n}'" for t, (n, _) in shapes.items()) + " end")
-    size = F.expr("case topic0 " + " ".join(f"when '{t}' then {len(k)}" for t, (_, k) in shapes.items()) + " end")
-    logs = logs.withColumn("event", name).withColumn("words", size)
-    good = F.expr("coalesce(data rlike '^0x([0-9a-fA-F]{64})*$' and length(data) = 2 + 64 * words, false)")
-    word = lambda i: f"lower(substring(data, {3 + 64 * i}, 64))"
-    read = lambda i, kind: f"concat('0x', right({word(i)}, 40))" if kind == "address" else uint_text(word(i))
-    fields = "case topic0 " + " ".join(f"when '{t}' then array({', '.join(read(i, k) for i, k in enumerate(kinds))})" for t, (_, kinds) in shapes.items()) + " end"
-    error = F.when(F.col("event").isNull(), "unknown topic").when(~good, "bad data")
-    return logs.select("id", "event", F.when(good, F.expr(fields)).alias("fields"), error.alias("error"))
-
-
 _DECODED = """WITH s AS (SELECT id, event_name, k, user_id, 'a' || id AS topic, CAST(k AS HUGEINT) * CAST('18446744073709551616' AS HUGEINT) + user_id AS amount, '0x' || lpad(lower(to_hex(user_id)), 40, '0') AS who,
   CASE WHEN k % 7 = 0 THEN 'unknown topic' WHEN k % 6 = 0 THEN 'bad data' END AS error FROM ev)
 SELECT id, CASE WHEN k % 7 <> 0 THEN event_name END AS event, error, CASE WHEN error IS NULL THEN who END AS first_address,
   CASE WHEN error IS NULL THEN CAST(amount AS VARCHAR) END AS amount, CASE WHEN error IS NULL THEN CASE event_name WHEN 'Bond' THEN 4 WHEN 'Reward' THEN 2 ELSE 3 END END AS n FROM s"""
 
 
-@query(_DECODED)
-def s4_s12_decode_and_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as logs whose topic is a hash of their name: every seventh of no known one, every sixth cut short, amounts beyond 64 bits."""
-    shapes = {hashlib.sha256(n.encode()).hexdigest(): (n, kinds) for n, kinds in SHAPES.items()}
     who, amount = "lpad(lower(hex(user_id)), 64, '0')", "concat(repeat('0', 32), lpad(lower(hex(k)), 16, '0'), lpad(lower(hex(user_id)), 16, '0'))"
     data = "case event_name " + " ".join(f"when '{n}' then concat('0x', {', '.join(who if k == 'address' else amount for k in kinds)})" for n, kinds in SHAPES.items()) + " end"
-    logs = P.protocol_events(spark, sf_dir).selectExpr("id", "if(k % 7 = 0, 'no such topic', sha2(event_name, 256)) as topic0", f"if(k % 6 = 0, left({data}, 50), {data}) as data")
-    return decoded(logs, shapes).select("id", "event", "error", F.col("fields")[0].alias("first_address"), F.element_at("fields", -1).alias("amount"), F.when(F.col("fields").isNotNull(), F.size("fields")).alias("n"))
+    return P.protocol_events(spark, sf_dir).selectExpr("id", "contract_name as contract", "block_number", "to_date(block_timestamp) as day", "array(if(k % 7 = 0, 'no such topic', sha2(event_name, 256))) as topics", f"if(k % 6 = 0, left({data}, 50), {data}) as data")
+
+
+#: Events by contract and topic, as ``raw_logs`` has them.
+EVENTS = {(contract, hashlib.sha256(n.encode()).hexdigest()): Event(n, tuple(Param(f"p{i}", k) for i, k in enumerate(kinds))) for n, kinds in SHAPES.items() for contract in ("BondingManager", "TicketBroker")}
+
+
+@query(_DECODED)
+def s4_s12_decode_and_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decoded(raw_logs(spark, sf_dir), EVENTS).withColumn("v", F.from_json("decoded", "map<string,string>"))
+    n = F.size("v").cast("int")
+    error = F.when(F.col("error") == "unknown topic", "unknown topic").when(F.col("error").isNotNull(), "bad data")
+    return found.select("id", "event", error.alias("error"), F.col("v")["p0"].alias("first_address"), F.when(F.col("v").isNotNull(), F.try_element_at("v", F.concat(F.lit("p"), (n - 1).cast("string")))).alias("amount"), F.when(F.col("v").isNotNull(), n).alias("n"))
+
+
+#: The parameters of a governor's proposal, as its standard interface has them.
+PROPOSAL = (
+    Param("proposalId", "uint256"), Param("proposer", "address"), Param("targets", "address[]"), Param("values", "uint256[]"), Param("signatures", "string[]"),
+    Param("calldatas", "bytes[]"), Param("voteStart", "uint256"), Param("voteEnd", "uint256"), Param("description", "string"),
+)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, o_orderstatus AS s, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown topic' WHEN o_orderkey % 11 = 0 THEN 'values do not fit the event' WHEN o_orderkey % 13 = 0 THEN 'data is not whole words' END AS error FROM orders)
+SELECT k AS id, error, CASE WHEN error IS NULL THEN '0x' || lpad(lower(to_hex(c)), 40, '0') END AS proposer, CASE WHEN error IS NULL THEN array_to_string([CAST(c + i AS VARCHAR) FOR i IN range(k % 4)], ',') END AS amounts,
+  CASE WHEN error IS NULL THEN array_to_string(['pay(' || repeat('é', CAST(i * 20 AS INTEGER)) || ')' FOR i IN range(k % 4)], ',') END AS signatures, CASE WHEN error IS NULL THEN array_to_string(['0x' || repeat('ab', CAST(i * 33 AS INTEGER)) FOR i IN range(k % 4)], ',') END AS calldatas,
+  CASE WHEN error IS NULL THEN CAST(k + 10 AS VARCHAR) END AS vote_end, CASE WHEN error IS NULL THEN 'Vorschlag № ' || k || ': „' || p || '“ 提案 😀' || chr(10) || repeat('ö', CAST(k % 50 AS INTEGER)) END AS description FROM o""")
+def s4_decoded_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals from the raw words of their events, with arrays and texts of any length: every seventh of an unknown contract, every eleventh with an offset beyond the end, every thirteenth cut short."""
+    o = P._read(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "o_custkey as c", "o_orderpriority as p", "transform(filter(sequence(0L, 3L), i -> i < o_orderkey % 4), i -> i) as each")
+    o = o.selectExpr("id", "concat('0x', lpad(lower(hex(c)), 40, '0')) as proposer", "transform(each, i -> concat('0x', lpad(lower(hex(i)), 40, '0'))) as targets", "transform(each, i -> c + i) as amounts", "transform(each, i -> concat('pay(', repeat('é', cast(i * 20 as int)), ')')) as signatures",
+                     "transform(each, i -> concat('0x', repeat('ab', cast(i * 33 as int)))) as calldatas", "concat('Vorschlag № ', id, ': „', p, '“ 提案 😀', char(10), repeat('ö', cast(id % 50 as int))) as description")
+    good = o.withColumn("good", encoded([p.kind for p in PROPOSAL], ["id", "proposer", "targets", "amounts", "signatures", "calldatas", "id", "id + 10", "description"]))
+    logs = good.selectExpr("id", "if(id % 7 = 0, 'Elsewhere', 'Governor') as contract", "array('0x01') as topics", "concat('0x', case when id % 11 = 0 then concat(left(good, 128), repeat('f', 64), substring(good, 193)) when id % 13 = 0 then left(good, length(good) - 2) else good end) as data")
+    found = decoded(logs, {("Governor", "0x01"): Event("ProposalCreated", PROPOSAL)})
+    v = found.withColumn("v", F.from_json("decoded", "proposer string, values array<string>, signatures array<string>, calldatas array<string>, voteEnd string, description string"))
+    return v.select("id", "error", "v.proposer", F.array_join("v.values", ",").alias("amounts"), F.array_join("v.signatures", ",").alias("signatures"), F.array_join("v.calldatas", ",").alias("calldatas"), F.col("v.voteEnd").alias("vote_end"), "v.description")
 
 
 @query("SELECT 'eth_call' || chr(0) AS x, id, sha256(CAST('eth_call' AS BLOB) || '\\x00'::BLOB || CAST('p' || k AS BLOB) || '\\x00'::BLOB || unhex(lpad(to_hex(block_number), 16, '0'))) AS call_hash FROM ev".replace("'eth_call' || chr(0) AS x, ", ""))
@@ -359,35 +375,6 @@ def a26_a27_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.protocol_events(spark, sf_dir).agg(F.max(final).alias("block"), F.max("finalized_at").alias("finalized_at"), F.max(F.when(F.col("is_valuable"), F.col("id"))).alias("last_valuable"))
 
 
-#: Tables of the log and what is derived from it: their SQL name, the function that makes them, and the columns that are hashed.
-HASHED = {
-    "ev": (P.protocol_events, ("id", "block_number", "log_index", "tx_hash", "block_hash", "event_name", "contract_name", "from_address", "to_address", "asset", "amount_normalized", "fee_share", "finality")),
-    "val": (P.valuations, ("event_id", "valuation_version", "asset", "block_number", "native_usd_price", "amount_usd", "status", "tx_hash")),
-    "price": (P.prices, ("asset", "quote", "block_number", "source", "price")),
-    "seed": (P.seeds, ("event_id", "asset", "asset_usd_price")),
-    "cls": (P.classifications, ("gateway", "kind")),
-    "nam": (P.names, ("address", "ens_name", "override_name")),
-    "stk": (P.stake_rounds, ("address", "round", "total_stake", "block_number", "raw_reward_cut", "raw_fee_share")),
-    "bal": (P.gateway_balances, ("gateway", "block_number", "deposit")),
-    "prop": (P.proposals, ("proposal_id", "block_number", "proposer", "executed_block")),
-    "vote": (P.votes, ("block_number", "log_index", "voter", "l_partkey", "l_suppkey")),
-    "sev": (P.stake_events, ("event_id", "block_number", "log_index", "event_name", "from_address", "to_address", "amount_normalized")),
-}
-
-
-def _hash_sql(name: str, columns: tuple[str, ...]) -> str:
-    row = "md5(concat_ws('§', " + ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), 'null')" for c in columns) + "))"
-    half = lambda at: f"CAST(sum(CAST(CAST('0x' || substr({row}, {at}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)"
-    return f"SELECT '{name}' AS table_name, count(*) AS n_rows, {half(1)} AS first_half, {half(17)} AS second_half FROM {name}"
-
-
-@query(" UNION ALL ".join(_hash_sql(n, c) for n, (_, c) in HASHED.items()))
-def a28_a29_table_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count and hash of each table, whatever the order of its rows; equal runs end in equal hashes."""
-    every = [table_hash(make(spark, sf_dir), columns).select(F.lit(name).alias("table_name"), "*") for name, (make, columns) in HASHED.items()]
-    return reduce(DataFrame.unionByName, every)
-
-
 @query("SELECT CASE WHEN lag_finality > 600 THEN 'finality' WHEN backlog > 0 THEN 'pricing' ELSE 'none' END AS blocker, lag_finality, backlog FROM (SELECT (epoch_us(max(block_timestamp)) - epoch_us(max(finalized_at))) // 1000000 AS lag_finality, (SELECT count(*) FROM val WHERE status <> 'priced') AS backlog FROM ev)")
 def a33_a34_first_blocker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first stage that holds reports up: finality, then pricing."""

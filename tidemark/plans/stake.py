@@ -74,12 +74,12 @@ bth AS (SELECT *, unnest(CASE WHEN event_name <> 'TransferBond' THEN [from_addre
 r1 AS (SELECT *, coalesce(to_address = delegator, false) AS is_to, event_name = 'Bond' OR (event_name = 'TransferBond' AND coalesce(to_address = delegator, false)) AS registers FROM bth),
 r2 AS (SELECT *, (SELECT count(*) FROM r1 x WHERE x.delegator = r1.delegator AND x.registers AND x.event_id < r1.event_id) > 0 AS before FROM r1),
 r3 AS (SELECT *, NOT before AND (event_name IN ('Unbond', 'WithdrawStake', 'Rebond') OR (event_name = 'TransferBond' AND NOT is_to)) AS skipped FROM r2),
-r4 AS (SELECT *, CASE WHEN event_name IN ('Bond', 'Rebond') THEN coalesce(amount_normalized, 0) WHEN event_name = 'Unbond' THEN -coalesce(amount_normalized, 0) WHEN event_name = 'EarningsClaimed' THEN CAST(coalesce(rewards, 0) AS DECIMAL(24,18)) / 1000 * 0 + CAST(coalesce(rewards, 0) * 0.001 AS DECIMAL(24,18)) ELSE 0 END AS delta FROM r3 WHERE NOT skipped),
+r4 AS (SELECT *, CASE WHEN event_name IN ('Bond', 'Rebond') THEN coalesce(amount_normalized, 0) WHEN event_name = 'Unbond' THEN -coalesce(amount_normalized, 0) WHEN event_name = 'EarningsClaimed' THEN CAST(CAST(coalesce(rewards, 0) AS DECIMAL(9,0)) * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(24,18)) ELSE 0 END AS delta FROM r3 WHERE NOT skipped),
 r5 AS (SELECT *, sum(CAST(delta AS DECIMAL(24,18))) OVER w AS balance, coalesce(last_value(CASE WHEN event_name IN ('Bond', 'Unbond', 'Rebond', 'EarningsClaimed') THEN to_address END IGNORE NULLS) OVER w, '0x0000000000000000000000000000000000000000') AS delegate,
   CASE WHEN event_name = 'EarningsClaimed' AND NOT before THEN 'earnings_claimed_bootstrap' ELSE 'flow_derived' END AS source
   FROM r4 WINDOW w AS (PARTITION BY delegator ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 srow AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY delegator, block_number ORDER BY event_id DESC) AS n FROM r5) WHERE n = 1)
-""".replace("CAST(coalesce(rewards, 0) AS DECIMAL(24,18)) / 1000 * 0 + CAST(coalesce(rewards, 0) * 0.001 AS DECIMAL(24,18))", "CAST(CAST(coalesce(rewards, 0) AS DECIMAL(20,3)) / 1000 AS DECIMAL(24,18))")
+"""
 
 
 def stake(spark: SparkSession, sf_dir: str) -> DataFrame:
