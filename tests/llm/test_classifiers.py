@@ -71,7 +71,7 @@ def test_steps_of_learning_lower_the_loss():
 
 
 def test_long_texts_are_learned_from_and_repeated_ids_count_once(spark, frame):
-    long = "x y " * 200_000
+    long = "x y " * 20_000
     docs = frame([(i, long + str(i)) for i in range(1, 9)] + [(1, "again")] * 5)
     labels = frame([(i, i % 2, 0) for i in range(1, 9)], "doc_id long, quality int, toxic int")
     seen = []
@@ -83,7 +83,27 @@ def test_long_texts_are_learned_from_and_repeated_ids_count_once(spark, frame):
     finally:
         mil.fit = own
     held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(1, 9))
-    assert seen[0] == seen[1] and len(seen[0][0]) == 8 - held and mil.FIT_PASSAGES in seen[0][0]
+    assert seen[0] == seen[1] and len(seen[0][0]) == 8 - held
+    assert set(seen[0][0]) <= {1, -(-80_001 // mil.PASSAGE)}  # whole bags
+
+
+def test_bags_are_whole_and_bounded_in_all(spark, frame, monkeypatch):
+    texts = ["a!" * 3000, "b" * 401, "", None, "c. " * 900]
+    data = [(t or "").encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in data])])
+    x, at = mil.passages(np.frombuffer(b"".join(data), np.uint8), off)
+    for most in 5000, 4:
+        monkeypatch.setattr(mil, "FIT_BAG", most)
+        for i, row in enumerate(mil._bags(np.frombuffer(b"".join(data), np.uint8), off)["x"].to_pylist()):
+            got, own = np.frombuffer(row, np.float16).reshape(-1, mil.WIDTH), x[at[i] : at[i + 1]]
+            n = -(-len(own) // most)
+            assert np.allclose(got, [own[a : a + n].mean(0) for a in range(0, len(own), n)], atol=2e-3) and len(got) <= most
+    monkeypatch.setattr(mil, "FIT_TOTAL", 40)
+    monkeypatch.setattr(mil, "FIT_BAG", 5000)
+    seen, own = [], mil.fit
+    monkeypatch.setattr(mil, "fit", lambda x, at, y: seen.append(len(x)) or own(x, at, y))
+    mil.learned(frame([(i, "w " * 2000) for i in range(60)]), frame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int"))
+    assert seen == [40]
 
 
 def test_passages_of_a_batch_are_those_of_each_text():
@@ -135,16 +155,17 @@ def plain_hits(lexicon, text):
                 spared[i : i + len(phrase) - 1] = [True] * (len(phrase) - 1)
     total = 0.0
     for i in range(len(folded)):
-        fit = [t for t in lexicon.weights if folded.startswith(" " + t, i)]
+        starts = lambda t, i=i: folded.startswith(" " + t.rstrip("+"), i) and (t[-1] != "+" or folded[i + len(t)] != " ")
+        fit = [t for t in lexicon.weights if starts(t)]
         if fit and not spared[i]:
-            total += lexicon.weights[max(fit, key=len)]
+            total += lexicon.weights[max(fit, key=lambda t: (len(t.rstrip("+")), t[-1] == "+"))]
     return total, len(words)
 
 
 def test_matches_are_those_of_a_plain_search():
     r = random.Random(8)
-    x = toxicity.Lexicon({"trash": 5.0, "trash ": 6.0, "idio": 4.0, "clown": 3.0, "scum ": 2.0, "can": 1.5, "canteen": 2.5})
-    bits = ["trash", "TRA5H", "can", "canteen", "clown", "fish", "school", "pond", "scum", "scummy", "1d10t", "іdiоtic", "a", "—", " ", "  ", ", ", "\n", "trash can", "the"]
+    x = toxicity.Lexicon({"trash": 5.0, "trash ": 6.0, "idio": 4.0, "clown": 3.0, "scum ": 2.0, "can": 1.5, "canteen": 2.5, "scum+": 7.0, "clown+": 8.0, "cantee+": 9.0})
+    bits = ["trash", "TRA5H", "can", "canteen", "clown", "fish", "school", "pond", "scum", "scummy", "clowns", "cantee", "1d10t", "іdiоtic", "a", "—", " ", "  ", ", ", "\n", "trash can", "the"]
     for _ in range(400):
         text = "".join(r.choice(bits) + r.choice([" ", "", " ", "-"]) for _ in range(r.randint(0, 14)))
         assert x.hits(text) == plain_hits(x, text), text
@@ -178,3 +199,38 @@ def test_hard_rows_and_no_rows(spark, hard, empty, frame):
             got = op(hard, labels).collect()
             assert len(got) == hard.count() and all(0 <= r.score <= 1 for r in got)
         assert op(empty, odd).collect() == []
+
+
+def plain_chosen(known, docs, toxic, other):
+    """The terms that are taken, from what each toxic document has: {term: word before}."""
+    stem = lambda t: t.rstrip(" +")
+    have = {t: [i for i, d in enumerate(docs) if t in d] for t in known}
+    covered, left, weights = [0] * len(docs), {t for t in known if len(have[t]) >= toxicity.GAIN}, {}
+    gain = lambda t: len({docs[i][t] for i in have[t] if covered[i] < toxicity.COVER})
+    while len(weights) < toxicity.TERMS:
+        left = {t for t in left if gain(t) >= toxicity.GAIN}
+        if not left:
+            break
+        t = max(left, key=lambda t: (gain(t) - 2 * known[t][1] * toxic / other, -len(stem(t)), t))
+        t = max((u for u in left if stem(u).startswith(stem(t)) and u[-1] != " " and len(have[u]) >= 0.97 * len(have[t])), key=lambda u: (len(stem(u)), u), default=t)
+        weights[t] = np.log((known[t][0] + 0.5) / toxic) - np.log((known[t][1] + 0.5) / other)
+        for i in have[t]:
+            covered[i] += 1
+        left = {u for u in left if u != t and not stem(u).startswith(stem(t)) and not stem(t).startswith(stem(u))}
+    return weights
+
+
+def test_terms_are_chosen_as_a_plain_search_does(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(6)
+    for cover in 2, 8:
+        monkeypatch.setattr(toxicity, "COVER", cover)
+        words = ["".join(r.choice("abc") for _ in range(r.randint(4, 6))) for _ in range(25)]
+        terms = sorted({t for w in words for t in toxicity._of_word(w)})
+        known = {t: (r.randint(5, 60), r.randint(0, 9)) for t in terms}
+        docs = [{t: r.randint(0, 30) for w in r.sample(words, r.randint(0, 6)) for t in toxicity._of_word(w)} for _ in range(120)]
+        place = {t: i for i, t in enumerate(known)}
+        bags = pa.table({"has": pa.array([[place[t] for t in d] for d in docs], pa.list_(pa.int32())), "after": pa.array([list(d.values()) for d in docs], pa.list_(pa.int32()))})
+        got, want = toxicity._chosen(known, bags, 120, 900), plain_chosen(known, docs, 120, 900)
+        assert list(got) == list(want) and all(np.isclose(got[t], want[t]) for t in want) and len(want) > 5

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import buffers, crc_fold, map_texts, passes
 
-#: Bytes of a passage; documents to learn from at most, and passages that each of them gives to that; size of the encoding and of the attention.
-PASSAGE, FIT_DOCS, FIT_PASSAGES, HIDDEN, GATE = 400, 6000, 10, 24, 12
-#: Steps, documents a step and rate of learning.
-STEPS, BATCH, RATE = 700, 256, 0.01
+#: Bytes of a passage; size of the encoding and of the attention.
+PASSAGE, HIDDEN, GATE = 400, 24, 12
+#: Documents to learn from at most, and passages of all of them; passages of one, beyond which neighbouring ones are averaged.
+FIT_DOCS, FIT_TOTAL, FIT_BAG = 6000, 150_000, 5000
+#: Steps of learning, documents and, on the average, passages of a step at most, and rate.
+STEPS, BATCH, STEP, RATE = 700, 256, 8192, 0.01
 
 #: Classes of bytes: small and capital letters, digits, kinds of space, of punctuation and of signs, and all beyond ASCII.
 _GROUPS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r\t", ".,;:", "!?", "#$%&*", "|", "'\"()[]{}<>", "-_=+/\\@~^`")
@@ -102,8 +104,9 @@ def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int = 1) -> dict:
         return p
     r = np.random.RandomState(seed)
     m, v = ({k: np.zeros_like(q) for k, q in p.items()} for _ in range(2))
+    batch = max(2, min(BATCH, STEP * len(y) // int(at[-1])))  # the same number of documents each time, so none is favoured
     for step in range(1, STEPS + 1):
-        docs = r.randint(0, len(y), BATCH)
+        docs = r.randint(0, len(y), batch)
         size = np.diff(at)[docs]
         own = np.concatenate([[0], np.cumsum(size)])
         rows = np.arange(own[-1]) + np.repeat(at[docs] - own[:-1], size)
@@ -116,30 +119,39 @@ def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int = 1) -> dict:
     return p
 
 
-def _drawn(data: np.ndarray, offsets: np.ndarray) -> dict:
-    """Of each text FIT_PASSAGES passages at most, at even distances from its first to its last, in half precision."""
+def _bags(data: np.ndarray, offsets: np.ndarray) -> dict:
+    """All passages of each text in half precision; of a text with more than FIT_BAG, means of as many neighbours as bring it there."""
     x, at = passages(data, offsets)
     rows = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        pick = np.arange(a, b) if b - a <= FIT_PASSAGES else a + np.arange(FIT_PASSAGES) * (b - a - 1) // (FIT_PASSAGES - 1)
-        rows.append(x[pick].astype(np.float16).tobytes())
+        own, n = x[a:b], -(-(b - a) // FIT_BAG)
+        if n > 1:
+            first = np.arange(0, b - a, n)
+            own = np.add.reduceat(own, first) / np.diff(np.append(first, b - a))[:, None]
+        rows.append(own.astype(np.float16).tobytes())
     return {"x": pa.array(rows, pa.binary())}
 
 
 def learned(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     """Parameters from labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
-    Of these FIT_DOCS are taken by the hash of the id, whatever the tables' size and the texts' lengths, and
-    FIT_PASSAGES passages of each, drawn at even distances from the whole text; so a row that is gathered has a fixed size,
-    and only these, 20 MB at most, come to the driver. Null labels and ids are left out; of labels that contradict
-    each other the larger one counts, of rows that share an id one by the hash of what is drawn.
+    Of these FIT_DOCS are taken by the hash of the id, or as many as have FIT_TOTAL passages together, each with
+    all of its passages, so attention is learned over the same bags as it is used on. A row that is gathered has 1.7 MB at most, and 51 MB
+    in all come to the driver. A text of more than FIT_BAG passages, 2 MB, gives means of neighbouring ones, so all of it is learned from.
+    Null labels and ids are left out; of labels that contradict each other the larger one counts, of rows that share an id one by the hash of its text.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
     own = own.where(crc_fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
-    few = map_texts(texts, "text", ["doc_id", "y"], "doc_id long, y double, x binary", _drawn)
-    few = few.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("x").alias("h"), "x"))["x"].alias("x")).orderBy(F.xxhash64("doc_id")).toArrow()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).join(F.broadcast(own), "doc_id")
+    count = F.least(F.ceil(F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)) / PASSAGE), F.lit(FIT_BAG))
+    sizes = texts.groupBy("doc_id").agg(F.min(F.struct("h", count.alias("n"))).alias("m")).select("doc_id", "m.h", "m.n").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    taken = sizes[(sizes.n.cumsum() <= FIT_TOTAL).to_numpy()] if len(sizes) else sizes
+    if not len(taken):
+        return fit(np.zeros((0, WIDTH)), np.zeros(1, np.int64), np.zeros(0))
+    ids = docs.sparkSession.createDataFrame(list(zip(taken.doc_id.tolist(), taken.h.tolist(), strict=True)), "doc_id long, h long")
+    few = map_texts(texts.join(F.broadcast(ids), ["doc_id", "h"]), "text", ["doc_id", "y"], "doc_id long, y double, x binary", _bags)
+    few = few.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     data, edge = buffers(few.column("x"))
     x = np.frombuffer(data[edge[0] : edge[-1]], np.float16).reshape(-1, WIDTH)
     return fit(x, (edge - edge[0]) // (2 * WIDTH), few.column("y").to_numpy())
