@@ -2,8 +2,8 @@
 
 Folding lower-cases, turns look-alike letters into the ones they look like and digits that stand for letters into
 those, and parts words by single spaces. A term is the beginning of a word, or a whole one if it ends with a
-space. The weights of hits, one for a word and none inside an exception phrase, are summed and normalised by length;
-a logistic curve makes a score of that. Terms, weights and curve are learned from labels.
+space, or the beginning of a longer word if it ends with a plus. The weights of hits, one for a word and none inside an exception phrase, are
+summed and normalised by length; a logistic curve makes a score of that. Terms, weights and curve are learned from labels.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from tidemark.llm.shared import crc_fold, dropped, small_batches, staged
 
 #: Labelled documents to learn from and terms at most.
 FIT_DOCS, TERMS = 20_000, 1000
-#: Candidates that the second step looks at; documents, in as many contexts, that a term must add; the share of its
-#: documents that must be toxic; terms that a toxic document should have.
-CANDIDATES, GAIN, PURE, COVER = 20_000, 5, 0.9, 3
+#: Candidates that the second step looks at; documents, in as many contexts, that a term must add; how many times as often a toxic document must have
+#: it as another, and by which log likelihood ratio; terms that a toxic document should have.
+CANDIDATES, GAIN, RATIO, SURE, COVER = 1000, 5, 4.0, 30.0, 8
 #: Lengths of beginnings of words.
 SHORTEST, LONGEST = 4, 9
 #: Entries of a counter of terms before it is handed on.
@@ -50,12 +50,14 @@ def fold(text: str | None) -> str:
     return " " + _BETWEEN.sub(" ", (text or "").lower().translate(_FOLD)).strip() + " "
 
 
+def _of_word(w: str) -> list[str]:
+    """The terms that a word has: itself, its beginnings, and those as beginnings of a longer word."""
+    starts = [w[:n] for n in range(SHORTEST, min(LONGEST, len(w)) + 1)]
+    return ([w + " "] if len(w) >= SHORTEST else []) + starts + [s + "+" for s in starts if len(s) < len(w)]
+
+
 def _terms(text: str | None) -> set[str]:
-    words = set(fold(text).split())
-    out = {w + " " for w in words if len(w) >= SHORTEST}
-    for w in words:
-        out.update(w[:n] for n in range(SHORTEST, min(LONGEST, len(w)) + 1))
-    return out
+    return {t for w in set(fold(text).split()) for t in _of_word(w)}
 
 
 def _contexts(text: str | None, place: dict[str, int]) -> dict[int, int]:
@@ -63,7 +65,7 @@ def _contexts(text: str | None, place: dict[str, int]) -> dict[int, int]:
     out: dict[int, int] = {}
     before = ""
     for w in fold(text).split():
-        for t in (w + " ", *(w[:n] for n in range(SHORTEST, min(LONGEST, len(w)) + 1))):
+        for t in _of_word(w):
             if t in place:
                 out.setdefault(place[t], zlib.crc32(before.encode()))
         before = w
@@ -112,11 +114,13 @@ class Lexicon:
             import ahocorasick
 
             self._tree = ahocorasick.Automaton()
+            found: dict[str, list[tuple[bool, float | None]]] = {}
             for t, w in self.weights.items():
-                self._tree.add_word(" " + t, (len(t) + 1, w))
+                found.setdefault(" " + t.rstrip("+"), []).append((t[-1] == "+", w))
             for e in self.exceptions:
-                phrase = f" {' '.join(fold(e).split())} "
-                self._tree.add_word(phrase, (len(phrase), None))
+                found.setdefault(f" {' '.join(fold(e).split())} ", []).append((False, None))
+            for phrase, own in found.items():
+                self._tree.add_word(phrase, (len(phrase), sorted(own, key=lambda x: x[0])))
             self._tree.make_automaton()
         return self._tree
 
@@ -128,12 +132,13 @@ class Lexicon:
             return 0.0, 0
         best: dict[int, tuple[int, float]] = {}
         spared = bytearray(len(folded))
-        for end, (size, weight) in self.tree().iter(folded):
+        for end, (size, own) in self.tree().iter(folded):
             start = end - size + 1
-            if weight is None:
-                spared[start:end] = b"\1" * (end - start)
-            elif size > best.get(start, (0, 0.0))[0]:
-                best[start] = size, weight
+            for longer, weight in own:  # of one length, what asks for a longer word comes last
+                if weight is None:
+                    spared[start:end] = b"\1" * (end - start)
+                elif size >= best.get(start, (0, 0.0))[0] and not (longer and folded[end + 1] == " "):
+                    best[start] = size, weight
         return sum(w for at, (_, w) in best.items() if not spared[at]), words
 
     def score(self, text: str | None) -> float:
@@ -154,26 +159,33 @@ def _normal(total: np.ndarray, words: np.ndarray, power: float) -> np.ndarray:
 def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon:
     """A lexicon from labelled rows whose crc32(doc_id as text) mod 5 is not 0, FIT_DOCS of them at most.
 
-    Terms that are nearly always in toxic documents are candidates; of these one after the other
+    Terms that toxic documents have RATIO times as often as others, beyond chance, are candidates; of these one after the other
     is taken that adds the most, counted by the different words before it, to toxic documents with fewer
-    than COVER terms. Copies of a document count as one, so neither they nor chance add terms. The driver sees CANDIDATES terms and, for each toxic document of the sample, which of them it has.
+    than COVER terms. Copies of a document count as one, so neither they nor chance add terms. The driver sees CANDIDATES terms and, for each toxic
+    document of the sample, which of them it has, 8 bytes a pair: 160 MB at the very most.
     """
     small_batches(docs.sparkSession)
     sample = _sample(docs, labels, label)
     counts = sample.mapInPandas(_counted, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = counts.where(f"pos >= {GAIN} and pos >= {PURE} * (pos + neg)").orderBy(F.desc("pos"), "neg", F.length("term"), "term").limit(CANDIDATES).collect()
-    known = {r.term: (r.pos, r.neg) for r in found}
+    size = sample.agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")).first()
+    found, known = [], {}
+    if size.pos and size.neg:
+        share = size.pos / (size.pos + size.neg)
+        sure = f"2 * (pos * ln(pos / ((pos + neg) * {share!r})) + if(neg > 0, neg * ln(neg / ((pos + neg) * {1 - share!r})), 0))"
+        few = counts.where(f"pos >= {GAIN} and pos * {float(size.neg)!r} >= {RATIO} * neg * {float(size.pos)!r}").withColumn("sure", F.expr(sure)).where(F.col("sure") >= SURE)
+        found = few.orderBy(F.desc(F.round("sure", 6)), F.length("term"), "term").limit(CANDIDATES).collect()
+        known = {r.term: (r.pos, r.neg) for r in found}
     place = {t: i for i, t in enumerate(known)}
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [_contexts(x, place) for x in batch.text]
-            yield pd.DataFrame({"has": [list(x) for x in found], "after": [list(x.values()) for x in found]})
+            yield pd.DataFrame({"has": [list(x) for x in found], "after": [[v - (1 << 31) for v in x.values()] for x in found]})
 
     weights: dict[str, float] = {}
     if known:
-        bags = sample.where("y = 1").mapInPandas(own, "has array<int>, after array<bigint>").toArrow()
-        weights = _chosen(known, bags)
+        bags = sample.where("y = 1").mapInPandas(own, "has array<int>, after array<int>").toArrow()
+        weights = _chosen(known, bags, size.pos, size.neg)
     lexicon = Lexicon(weights)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,8 +200,12 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon
     return lexicon
 
 
-def _chosen(known: dict[str, tuple[int, int]], bags: pa.Table) -> dict[str, float]:
-    """Weights of the terms that are taken, in that order, from what each toxic document ``has`` of the known ones and the words ``after`` which it does."""
+def _chosen(known: dict[str, tuple[int, int]], bags: pa.Table, toxic: int, other: int) -> dict[str, float]:
+    """Weights of the terms that are taken, in that order, from what each toxic document ``has`` of the known ones and the words ``after`` which it does.
+
+    A document without the label that has a term takes as much from it as it gives, in shares of all such documents, twice over. A weight is the log of how many times as often toxic
+    documents have the term.
+    """
     has, after = (bags.column(c).combine_chunks() for c in ("has", "after"))
     doc = np.repeat(np.arange(len(has), dtype=np.int32), np.diff(np.asarray(has.offsets)))
     term, context = has.flatten().to_numpy(zero_copy_only=False), after.flatten().to_numpy(zero_copy_only=False)
@@ -204,18 +220,19 @@ def _chosen(known: dict[str, tuple[int, int]], bags: pa.Table) -> dict[str, floa
         return len(np.unique(context[rows][~full[doc[rows]]]))
 
     terms, size, weights = list(known), np.diff(first), {}
+    stem = [t.rstrip(" +") for t in terms]
     gain = {t: n for t in range(len(terms)) if size[t] >= GAIN and (n := gained(t)) >= GAIN}
     while gain and len(weights) < TERMS:
-        t = max(gain, key=lambda t: (gain[t] - 2 * known[terms[t]][1], -len(terms[t]), terms[t]))
+        t = max(gain, key=lambda t: (gain[t] - 2 * known[terms[t]][1] * toxic / other, -len(stem[t]), terms[t]))
         # of longer beginnings in nearly all the same documents the longest says it best
-        t = max((u for u in gain if terms[u].startswith(terms[t]) and terms[u][-1] != " " and size[u] >= 0.97 * size[t]), key=lambda u: (len(terms[u]), terms[u]), default=t)
+        t = max((u for u in gain if stem[u].startswith(stem[t]) and terms[u][-1] != " " and size[u] >= 0.97 * size[t]), key=lambda u: (len(stem[u]), terms[u]), default=t)
         pos, neg = known[terms[t]]
-        weights[terms[t]] = float(np.log((pos + 0.5) / (neg + 0.5)))
+        weights[terms[t]] = float(np.log((pos + 0.5) / toxic) - np.log((neg + 0.5) / other))
         del gain[t]
         own = doc[first[t] : first[t + 1]]
         covered[own] += 1
         # a longer term of the same words says no more
-        gain = {u: n for u, n in gain.items() if not terms[u].startswith(terms[t].rstrip()) and not terms[t].startswith(terms[u].rstrip())}
+        gain = {u: n for u, n in gain.items() if not stem[u].startswith(stem[t]) and not stem[t].startswith(stem[u])}
         done = own[(covered[own] >= COVER) & ~full[own]]
         if len(done):
             full[done] = True
