@@ -9,6 +9,7 @@ from tidemark.functions.abi import decoded
 from tidemark.operators.core import latest_by
 from tidemark.plans.operations import EVENTS, metrics, raw_logs
 from tidemark.plans.registry import query
+from tidemark.plans.rollups import log_by_day
 from tidemark.sources import protocol as P
 from tidemark.sources import commits, storage
 from tidemark.streaming import incremental
@@ -117,11 +118,9 @@ def s10_seed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT block_number, count(*) AS logs, min(block_timestamp) AS first_at FROM ev WHERE contract_name = 'BondingManager' AND event_name IN ('Bond', 'Reward') AND block_number BETWEEN 200 AND 1200 GROUP BY 1")
 def s1_s2_s3_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs by contract, kind and blocks from a log that is partitioned by day, joined to the blocks' times."""
-    path = storage.shared_path(spark, "events")
+    """Logs by contract, kind and blocks from a log that is partitioned by day and has an index of its blocks, joined to the blocks' times."""
     e = P.protocol_events(spark, sf_dir)
-    storage.write_events(e.select("id", "block_number", "contract_name", "event_name", "block_timestamp"), path)
-    logs = storage.scan_logs(spark, path, "BondingManager", ["Bond", "Reward"], 200, 1200).select("id", "block_number")
+    logs = storage.scan_logs(spark, log_by_day(spark, sf_dir), "BondingManager", ["Bond", "Reward"], 200, 1200).select("id", "block_number")
     times = e.where("contract_name = 'BondingManager' and event_name in ('Bond', 'Reward')").groupBy("block_number").agg(F.min("block_timestamp").alias("block_timestamp"))
     return storage.with_block_times(logs, times).groupBy("block_number").agg(F.count("*").alias("logs"), F.min("block_timestamp").alias("first_at"))
 

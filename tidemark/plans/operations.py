@@ -15,8 +15,9 @@ from tidemark.functions.abi import Event, Param, decoded, encoded
 from tidemark.functions.money import call_hash, commission, gas_fee, normalised, part, revert_kind, topic_of
 from tidemark.operators.core import as_of_join, filtered, keyset_page, reconciled, without
 from tidemark.plans.registry import dbl, query
-from tidemark.plans.rollups import _EV_AS_OF, AS_OF_BLOCKS, final_events, valued, with_shares
+from tidemark.plans.rollups import _EV_AS_OF, AS_OF_BLOCKS, final_events, reported
 from tidemark.sources import protocol as P
+from tidemark.sources.cubes import stored
 
 # --- events ---------------------------------------------------------------------------------------
 
@@ -65,11 +66,14 @@ def k12_valuations_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports --------------------------------------------------------------------------------------
 
 
+def receipts(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """The stored receipts, one a transaction."""
+    return stored(spark, sf_dir, "receipts", P.receipts, refresh)
+
+
 def payout_report(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """Tickets with the share at their time, the value where there is one, and the fee of their transaction."""
-    e = with_shares(final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed'"), P.protocol_events(spark, sf_dir))
-    v = P.valuations(spark, sf_dir).where("valuation_version = 'v1' and amount_usd is not null")
-    j = valued(e, v).join(P.receipts(spark, sf_dir), "tx_hash", "left").withColumn("fee", F.coalesce(gas_fee("gas_used", "effective_gas_price", "gas_price"), F.lit(0)))
+    """Tickets that have a value with the share at their time and the fee of their transaction; without a receipt the fee and what is net of it are not known."""
+    j = reported(spark, sf_dir, "WinningTicketRedeemed").where("amount_usd is not null").join(receipts(spark, sf_dir), "tx_hash", "left").withColumn("fee", gas_fee("gas_used", "effective_gas_price", "gas_price"))
     own = commission("amount_normalized", "share")
     return j.selectExpr("id", f"{side} as address", "block_timestamp", "concat('https://arbiscan.io/tx/', tx_hash) as url", "cast(amount_normalized as double) as amount", f"cast(cast({own} as decimal(38,18)) as double) as commission", "cast(fee as double) as fee", "cast(amount_normalized as double) - cast(fee as double) as net", "cast(amount_usd as double) - cast(fee as double) * cast(native_usd_price as double) as net_usd")
 
@@ -78,7 +82,7 @@ _REPORT = """SELECT t.id, {s} AS address, t.block_timestamp, 'https://arbiscan.i
 CAST(CAST(t.amount_normalized * CAST(CAST(1000000 - t.share AS DECIMAL(12,0)) / 1000000 AS DECIMAL(7,6)) AS DECIMAL(38,18)) AS DOUBLE) AS commission, f.fee,
 CAST(t.amount_normalized AS DOUBLE) - f.fee AS net, CAST(v.amount_usd AS DOUBLE) - f.fee * CAST(v.native_usd_price AS DOUBLE) AS net_usd
 FROM tick t JOIN val v ON v.event_id = t.id AND v.asset = t.asset AND v.valuation_version = 'v1' AND v.amount_usd IS NOT NULL LEFT JOIN rcpt r ON r.tx_hash = t.tx_hash
-CROSS JOIN LATERAL (SELECT coalesce(CAST(r.gas_used AS DOUBLE) * CAST(coalesce(r.effective_gas_price, r.gas_price) AS DOUBLE) / 1e18, 0) AS fee) f WHERE t.event_name = 'WinningTicketRedeemed'"""
+CROSS JOIN LATERAL (SELECT CAST(r.gas_used AS DOUBLE) * CAST(coalesce(r.effective_gas_price, r.gas_price) AS DOUBLE) / 1e18 AS fee) f WHERE t.event_name = 'WinningTicketRedeemed'"""
 
 
 @query("WITH " + _EV_AS_OF + _REPORT.format(s="t.to_address"))
@@ -94,8 +98,7 @@ def e_gateway_payouts_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + _EV_AS_OF + """SELECT t.id, t.share, CAST(CAST(t.amount_normalized * CAST(CAST(t.share AS DECIMAL(12,0)) / 1000000 AS DECIMAL(7,6)) AS DECIMAL(38,18)) AS DOUBLE) AS own, CAST(v.native_usd_price AS DOUBLE) AS price
 FROM tick t JOIN val v ON v.event_id = t.id AND v.asset = t.asset AND v.valuation_version = 'v1' AND v.amount_usd IS NOT NULL WHERE t.event_name = 'Reward'""")
 def j5_rewards_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = with_shares(final_events(spark, sf_dir).where("event_name = 'Reward'"), P.protocol_events(spark, sf_dir))
-    j = valued(e, P.valuations(spark, sf_dir).where("valuation_version = 'v1' and amount_usd is not null"))
+    j = reported(spark, sf_dir, "Reward").where("amount_usd is not null")
     return j.selectExpr("id", "share", "cast(cast(amount_normalized * cast(cast(share as decimal(12,0)) / 1000000 as decimal(7,6)) as decimal(38,18)) as double) as own", "cast(native_usd_price as double) as price")
 
 
@@ -103,16 +106,27 @@ _ETH = "eth AS (SELECT block_number, CAST(price AS DOUBLE) AS eth_price FROM pri
 
 
 @query("WITH " + _EV_AS_OF + f""", {_ETH} SELECT t.id, CAST(CAST(t.amount_normalized * CAST(CAST(t.share AS DECIMAL(12,0)) / 1000000 AS DECIMAL(7,6)) AS DECIMAL(38,18)) AS DOUBLE) * CAST(v.native_usd_price AS DOUBLE)
-  - coalesce(CAST(r.gas_used AS DOUBLE) * CAST(coalesce(r.effective_gas_price, r.gas_price) AS DOUBLE) / 1e18, 0) * coalesce(e.eth_price, 0) AS net_usd
+  - CAST(r.gas_used AS DOUBLE) * CAST(coalesce(r.effective_gas_price, r.gas_price) AS DOUBLE) / 1e18 * e.eth_price AS net_usd
 FROM tick t JOIN val v ON v.event_id = t.id AND v.asset = t.asset AND v.valuation_version = 'v1' AND v.amount_usd IS NOT NULL LEFT JOIN rcpt r ON r.tx_hash = t.tx_hash LEFT JOIN eth e ON e.block_number = t.block_number WHERE t.event_name = 'Reward'""")
 def n9_rewards_report_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an orchestrator keeps of a reward in dollars less its transaction's fee at the price of ETH in its block."""
-    e = with_shares(final_events(spark, sf_dir).where("event_name = 'Reward'"), P.protocol_events(spark, sf_dir))
-    j = valued(e, P.valuations(spark, sf_dir).where("valuation_version = 'v1' and amount_usd is not null")).join(P.receipts(spark, sf_dir), "tx_hash", "left")
+    """What an orchestrator keeps of a reward in dollars less its transaction's fee at the price of ETH in its block; not known without a receipt or a price."""
+    j = reported(spark, sf_dir, "Reward").where("amount_usd is not null").join(receipts(spark, sf_dir), "tx_hash", "left")
     eth = P.prices(spark, sf_dir).where("source = 'chainlink'").select("block_number", F.col("price").cast("double").alias("eth_price"))
-    fee = F.coalesce(gas_fee("gas_used", "effective_gas_price", "gas_price").cast("double"), F.lit(0.0))
+    fee = gas_fee("gas_used", "effective_gas_price", "gas_price").cast("double")
     own = F.expr(f"cast(cast({part('amount_normalized', 'share')} as decimal(38,18)) as double)")
-    return j.join(eth, "block_number", "left").select("id", (own * F.col("native_usd_price").cast("double") - fee * F.coalesce("eth_price", F.lit(0.0))).alias("net_usd"))
+    return j.join(eth, "block_number", "left").select("id", (own * F.col("native_usd_price").cast("double") - fee * F.col("eth_price")).alias("net_usd"))
+
+
+def unreceipted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Transactions of a report that have no receipt: a report that has any is not complete."""
+    return without(reported(spark, sf_dir, name).where("amount_usd is not null").select("tx_hash").distinct(), receipts(spark, sf_dir).select("tx_hash"), ["tx_hash"])
+
+
+@query("SELECT t.event_name AS report, count(DISTINCT t.tx_hash) AS missing FROM ev t JOIN val v ON v.event_id = t.id AND v.asset = t.asset AND v.valuation_version = 'v1' AND v.amount_usd IS NOT NULL WHERE t.event_name IN ('WinningTicketRedeemed', 'Reward') AND t.is_canonical AND t.finality = 'finalized' AND t.tx_hash NOT IN (SELECT tx_hash FROM rcpt) GROUP BY 1")
+def n9_reports_without_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By report the transactions whose fees are not known, which a caller has to fetch first."""
+    n = [unreceipted(spark, sf_dir, name).agg(F.lit(name).alias("report"), F.count("*").alias("missing")) for name in ("WinningTicketRedeemed", "Reward")]
+    return n[0].unionByName(n[1]).where("missing > 0")
 
 
 def page_of(rows: DataFrame, order: list[tuple[str, bool]], after: tuple | None, limit: int) -> DataFrame:
@@ -124,10 +138,8 @@ def page_of(rows: DataFrame, order: list[tuple[str, bool]], after: tuple | None,
 
 @query("WITH " + _EV_AS_OF + ", p AS (SELECT id, block_number, log_index, share FROM tick WHERE event_name = 'WinningTicketRedeemed' AND to_address = 'o3' ORDER BY block_number DESC, log_index DESC LIMIT 51) SELECT *, (SELECT count(*) FROM p) > 50 AS has_more, block_number || ':' || log_index AS cursor FROM p ORDER BY block_number DESC, log_index DESC LIMIT 50")
 def k10_ticket_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest tickets of an orchestrator; each row's cursor leads to those after it. Shares are looked up for the page alone."""
-    mine = P.protocol_events(spark, sf_dir).where("to_address = 'o3'")
-    e = final_events(spark, sf_dir).where("event_name = 'WinningTicketRedeemed' and to_address = 'o3'")
-    page = with_shares(page_of(e, [("block_number", True), ("log_index", True)], None, 50), mine, ("has_more",))
+    """The newest tickets of an orchestrator; each row's cursor leads to those after it."""
+    page = page_of(reported(spark, sf_dir, "WinningTicketRedeemed", "to_address = 'o3'"), [("block_number", True), ("log_index", True)], None, 50)
     return page.select("id", "block_number", "log_index", "share", "has_more", F.concat_ws(":", "block_number", "log_index").alias("cursor"))
 
 
@@ -477,19 +489,39 @@ _QUOTED = re.compile(r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`]|``)*`|
 _WRITES = re.compile(r"\b(insert\s+(into|overwrite)|update\s+\S+\s+set|delete\s+from|merge\s+into|(drop|create|alter|truncate)\s+(or\s+replace\s+)?(temp\w*\s+)?(table|view|database|schema|function))\b", re.I)
 
 
-def guarded(sql: str, limit: int = 1000) -> str:
-    """A single SELECT or WITH with a limit around it; anything else is refused."""
+#: Functions that run code, read files' names or stop a query; what a parsed plan calls relations and functions.
+_UNSAFE = ("reflect", "try_reflect", "java_method", "raise_error", "assert_true", "input_file_name", "input_file_block_start", "input_file_block_length")
+_RELATION, _TABLE_FUNCTION = re.compile(r"'UnresolvedRelation \[([^\]]*)\]"), re.compile(r"UnresolvedTableValuedFunction|UnresolvedTVF", re.I)
+#: Names that a statement gives itself.
+_CTE = re.compile(r"CTE \[([^\]]*)\]")
+
+
+def guarded(sql: str, limit: int = 1000, spark: SparkSession | None = None, views: tuple[str, ...] = ()) -> str:
+    """A single SELECT or WITH with a limit around it; anything else is refused.
+
+    With a session its parsed plan is looked at too: relations are ``views`` or names that the statement gives itself, so no path or
+    other table is read, and no function of _UNSAFE is called.
+    """
     body = sql.strip().rstrip(";").strip()
     bare = _QUOTED.sub("''", body)
     if ";" in bare or not _ALLOWED.match(bare) or _WRITES.search(bare):
         raise ValueError("a single SELECT or WITH statement is asked for")
+    if spark is not None:
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
+        text = parsed.toString()
+        own = {n.strip().lower() for m in _CTE.findall(text) for n in m.split(",")} | {v.lower() for v in views}
+        if {m.strip().lower() for m in _RELATION.findall(text)} - own or _TABLE_FUNCTION.search(text):
+            raise ValueError("only the views that are given may be read")
+        names = {n.lower().rpartition(".")[2] for n in re.findall(r"([A-Za-z_][\w.]*)`?\s*\(", _QUOTED.sub(lambda m: m[0][1:-1] if m[0][0] == "`" else "''", body))}
+        if names & set(_UNSAFE):
+            raise ValueError("a function is called that may not be")
     return f"SELECT * FROM ({body}) LIMIT {limit}"
 
 
 @query("SELECT to_json({event_name: event_name, n: n}) AS row FROM (SELECT event_name, count(*) AS n FROM ev GROUP BY 1)")
 def s23_guarded_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     P.protocol_events(spark, sf_dir).createOrReplaceTempView("tidemark_ev")
-    return spark.sql(guarded("select event_name, count(*) as n from tidemark_ev group by 1")).select(F.to_json(F.struct("*")).alias("row"))
+    return spark.sql(guarded("select event_name, count(*) as n from tidemark_ev group by 1", spark=spark, views=("tidemark_ev",))).select(F.to_json(F.struct("*")).alias("row"))
 
 
 def metrics(lines: DataFrame) -> DataFrame:

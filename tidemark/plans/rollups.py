@@ -7,16 +7,20 @@ from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import commission, part, tz_bucket
 from tidemark.operators.core import as_of_join, date_spine, keyset_page, null_safe
 from tidemark.plans.registry import dbl, query
 from tidemark.sources import protocol as P
-from tidemark.sources.cubes import Cube, kept_up
+from tidemark.sources.cubes import Cube, bucketed, kept_up, stored, stored_log
+from tidemark.sources.storage import block_window
 
 #: Blocks of one recipient's events that a task of an as-of join takes at most.
 AS_OF_BLOCKS = 1_000_000
+#: Updates of shares.
+_UPDATES = "event_name = 'TranscoderUpdate' and is_canonical"
 
 
 def _day():
@@ -51,6 +55,50 @@ def valued(events: DataFrame, val: DataFrame, how: str = "inner") -> DataFrame:
     return events.join(v, null_safe(events, v, [("id", "v_event")], [("asset", "v_asset")]), how).drop("v_event", "v_asset")
 
 
+#: What payout and reward reports are made of.
+REPORTED = ("WinningTicketRedeemed", "Reward")
+
+
+def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final payouts and rewards with their value, updates of shares, and for each recipient and range of blocks the update that it begins with."""
+    log = P.protocol_events(spark, sf_dir).withColumn("part", F.expr(f"block_number div {AS_OF_BLOCKS}"))
+    v = P.valuations(spark, sf_dir).where(f"valuation_version = '{P.V1}' and amount_usd is not null")
+    e = valued(final(log).where(F.col("event_name").isin(*REPORTED)).select(*NEEDED, "part"), v, "left").select(*NEEDED, "part", "amount_usd", "native_usd_price")
+    u = log.where(_UPDATES).select(*NEEDED, "part", F.struct("fee_share").alias("point"))
+    ends = u.groupBy("to_address", "part").agg(F.max(F.struct("block_number", "log_index", "point")).alias("end"))
+    asked = e.select("to_address", "part").distinct().withColumn("end", F.lit(None).cast(ends.schema["end"].dataType))
+    before = W.partitionBy("to_address").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.unionByName(asked).groupBy("to_address", "part").agg(F.max("end").alias("end")).withColumn("in", F.last("end", ignorenulls=True).over(before)).where("in is not null")
+    carried = carried.select("to_address", "part", F.lit(-1).cast("bigint").alias("block_number"), F.lit(-1).alias("log_index"), F.lit("carried").alias("event_name"), F.col("in.point").alias("point"))
+    return e.unionByName(u, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+
+
+def report_log(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """The stored log of reports in buckets by recipient and range of blocks, sorted by place, so that a look back needs no shuffle."""
+    return bucketed(spark, sf_dir, "reports", _report_rows, ["to_address", "part"], ["to_address", "part", "block_number", "log_index"], refresh)
+
+
+def reported(spark: SparkSession, sf_dir: str, name: str, where: str = "true") -> DataFrame:
+    """Payouts or rewards with their value, where there is one, and the share in force; ``where`` is on recipients."""
+    w = W.partitionBy("to_address", "part").orderBy("block_number", "log_index").rowsBetween(W.unboundedPreceding, 0)
+    log = report_log(spark, sf_dir).where(f"({where}) and (event_name = '{name}' or point is not null)")
+    return log.withColumn("share", F.coalesce(F.last("point", ignorenulls=True).over(w)["fee_share"], F.lit(0))).where(f"event_name = '{name}'").drop("point", "part")
+
+
+def log_by_day(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
+    """Where the stored log lies, by day and with an index of its blocks."""
+    return stored_log(spark, sf_dir, "log", P.protocol_events, refresh)
+
+
+def valued_log(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """Canonical valuable events, each with its value in the first version where it has one, stored."""
+    def build(s: SparkSession, d: str) -> DataFrame:
+        e, v = P.protocol_events(s, d).where("is_canonical and is_valuable"), P.valuations(s, d).where(f"valuation_version = '{P.V1}'")
+        return valued(e, v, "left").select(*NEEDED, "finality", "amount_usd").sortWithinPartitions("block_number")
+
+    return stored(spark, sf_dir, "valued", build, refresh)
+
+
 def of_days(events: DataFrame, first: date | str | None, last: date | str | None) -> DataFrame:
     """Events of whole days, by a range of their time that reaches the scan."""
     if first is not None:
@@ -176,7 +224,6 @@ def _metrics(spark: SparkSession, sf_dir: str, log: DataFrame, days: DataFrame |
 
 
 #: How each stored cube is made; an update of a share counts for all later days.
-_UPDATES = "event_name = 'TranscoderUpdate' and is_canonical"
 CUBES = {
     "payouts": Cube(payouts_daily, P.protocol_events, _UPDATES, (P.classifications,)),
     "rewards": Cube(rewards_daily, P.protocol_events, _UPDATES),
@@ -186,13 +233,10 @@ CUBES = {
 }
 
 
-def bucket_raw(events: DataFrame, val: DataFrame, bucket: str, tz: str = "UTC", version: str = P.V1, address: str | None = None, limit: int = 1000) -> DataFrame:
-    """Time buckets straight from the events: all canonical valuable ones, tentative too, priced or not."""
-    e = events.where("is_canonical and is_valuable")
-    if address:
-        e = e.where((F.col("from_address") == address) | (F.col("to_address") == address))
-    j = valued(e, val.where(F.col("valuation_version") == version), "left")
-    return j.groupBy(tz_bucket(bucket, "block_timestamp", tz).alias("bucket")).agg(F.count("*").alias("events"), F.sum(F.coalesce("amount_normalized", F.lit(0))).alias("native"), F.coalesce(F.sum("amount_usd"), F.lit(0)).alias("usd"), F.count("amount_usd").alias("priced")).orderBy("bucket").limit(limit)
+def bucket_raw(events: DataFrame, bucket: str, tz: str = "UTC", address: str | None = None, limit: int = 1000) -> DataFrame:
+    """Time buckets straight from valued events: all canonical valuable ones, tentative too, priced or not."""
+    e = events.where((F.col("from_address") == address) | (F.col("to_address") == address)) if address else events
+    return e.groupBy(tz_bucket(bucket, "block_timestamp", tz).alias("bucket")).agg(F.count("*").alias("events"), F.sum(F.coalesce("amount_normalized", F.lit(0))).alias("native"), F.coalesce(F.sum("amount_usd"), F.lit(0)).alias("usd"), F.count("amount_usd").alias("priced")).orderBy("bucket").limit(limit)
 
 
 _RAW = """SELECT {b} AS bucket, count(*) AS events, CAST(sum(coalesce(e.amount_normalized, 0)) AS DOUBLE) AS native, CAST(coalesce(sum(v.amount_usd), 0) AS DOUBLE) AS usd, coalesce(CAST(sum(v.amount_usd) AS DOUBLE) / nullif(count(v.amount_usd), 0), 0) AS mean_usd
@@ -205,18 +249,17 @@ def _bucket_out(df: DataFrame) -> DataFrame:
 
 @query(_RAW.format(b="CAST(date_trunc('day', e.block_timestamp) AS TIMESTAMP)", w=""))
 def a1_bucket_day_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bucket_out(bucket_raw(P.protocol_events(spark, sf_dir), P.valuations(spark, sf_dir), "day"))
+    return _bucket_out(bucket_raw(valued_log(spark, sf_dir), "day"))
 
 
 @query(_RAW.format(b="CAST(date_trunc('week', e.block_timestamp) AS TIMESTAMP)", w="AND (e.from_address = 'g1' OR e.to_address = 'o3')"))
 def a1_bucket_week_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = P.protocol_events(spark, sf_dir).where("from_address = 'g1' or to_address = 'o3'")
-    return _bucket_out(bucket_raw(e, P.valuations(spark, sf_dir), "week"))
+    return _bucket_out(bucket_raw(valued_log(spark, sf_dir).where("from_address = 'g1' or to_address = 'o3'"), "week"))
 
 
 @query(_RAW.format(b="CAST(date_trunc('day', e.block_timestamp - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS TIMESTAMP)", w=""))
 def d2_bucket_day_new_york(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bucket_out(bucket_raw(P.protocol_events(spark, sf_dir), P.valuations(spark, sf_dir), "day", "America/New_York"))
+    return _bucket_out(bucket_raw(valued_log(spark, sf_dir), "day", "America/New_York"))
 
 
 def bucket_rollup(metrics: DataFrame, bucket: str, version: str | None = None, limit: int = 1000) -> DataFrame:
@@ -249,19 +292,17 @@ def route(to: date, covered_to: date, tz: str = "UTC", address: str | None = Non
 
 @query("WITH " + _MET + "SELECT 'rollup' AS source, day AS bucket, CAST(sum(events) AS BIGINT) AS events FROM met WHERE valuation_version = 'v1' AND day <= DATE '2024-01-20' GROUP BY day")
 def a3_routed_day_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, v = P.protocol_events(spark, sf_dir), P.valuations(spark, sf_dir)
     source = route(date(2024, 1, 20), date(2024, 1, 24))
     if source == "rollup":
         out = bucket_rollup(cube(spark, sf_dir, "metrics").where("day <= date '2024-01-20'"), "day", P.V1)
     else:
-        out = bucket_raw(e.where("block_timestamp < timestamp_ntz '2024-01-21'"), v, "day")
+        out = bucket_raw(valued_log(spark, sf_dir).where("block_timestamp < timestamp_ntz '2024-01-21'"), "day")
     return out.select(F.lit(source).alias("source"), "bucket", "events")
 
 
 @query("SELECT min(CASE WHEN block_number >= 100 THEN block_timestamp END) AS first_at, max(CASE WHEN block_number <= 2000 THEN block_timestamp END) AS last_at FROM ev")
 def a4_block_window_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = P.protocol_events(spark, sf_dir)
-    return e.agg(F.min(F.when(F.col("block_number") >= 100, F.col("block_timestamp"))).alias("first_at"), F.max(F.when(F.col("block_number") <= 2000, F.col("block_timestamp"))).alias("last_at"))
+    return block_window(spark, log_by_day(spark, sf_dir), 100, 2000)
 
 
 def payout_board(spark: SparkSession, sf_dir: str, first: str, last: str, version: str = P.V1) -> DataFrame:

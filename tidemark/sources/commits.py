@@ -125,6 +125,10 @@ def swept(spark: SparkSession, root: str, keep: int = 2) -> int:
     names = {name for m in last for name in m["tables"]}
     gone = [f"{name}/{f}" for name in names for f in folders(spark, f"{root}/{name}") if f.startswith("commit=") and f"{name}/{f}" not in used]
     for path in [f"{root}/{g}" for g in gone] + [f"{root}/_manifests/{n:012}.json" for n in numbers[:-keep]]:
-        where, fs = _place(spark, path)
-        fs.delete(where, True)
+        removed(spark, path)
     return len(gone)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where, fs = _place(spark, path)
+    fs.delete(where, True)

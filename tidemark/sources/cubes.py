@@ -8,15 +8,17 @@ differ are derived anew; other tables are made again.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from datetime import date
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.sources import commits
-from tidemark.sources.storage import shared_root
+from tidemark.sources.storage import shared_root, write_events
 
 
 class Cube(NamedTuple):
@@ -55,6 +57,50 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSe
     return commits.read(spark, root, "rows", was)
 
 
+def stored_log(spark: SparkSession, sf_dir: str, name: str, log: Callable[[SparkSession, str], DataFrame], refresh: bool = False) -> str:
+    """Where a log lies by day with its index of blocks; written when it is first asked for and whenever its source has changed."""
+    root, state = root_of(spark, sf_dir, name), _state(spark, sf_dir)
+    noted = commits.manifest(spark, f"{root}/state")["state"]
+    if refresh or noted.get("source") != state:
+        path = f"{root}/log-{state[:16]}" + (f"-{uuid.uuid4().hex[:8]}" if refresh else "")
+        if refresh or not commits.manifest(spark, path)["tables"].get("blocks"):
+            write_events(log(spark, sf_dir), path)
+        noted = commits.commit(spark, f"{root}/state", {}, {"source": state, "path": path})["state"]
+        for old in commits.folders(spark, root):
+            if old.startswith("log-") and f"{root}/{old}" != path:
+                commits.removed(spark, f"{root}/{old}")
+    return noted["path"]
+
+
+def bucketed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame], by: list[str], order: list[str], refresh: bool = False) -> DataFrame:
+    """A stored table in buckets of ``by``, sorted by ``order``: what groups or windows by those keys reads it without a shuffle.
+
+    Written when it is first asked for and whenever its source has changed; the number of buckets is that of shuffle partitions.
+    """
+    root, state = root_of(spark, sf_dir, name), _state(spark, sf_dir)
+    n, noted = int(spark.conf.get("spark.sql.shuffle.partitions")), commits.manifest(spark, root)["state"]
+    if refresh or noted.get("source") != state:
+        path = f"{root}/rows-{uuid.uuid4().hex[:8]}"
+        rows = build(spark, sf_dir).repartition(n, *by)
+        table = f"tidemark_{uuid.uuid4().hex[:12]}"
+        rows.write.bucketBy(n, *by).sortBy(*order).option("path", path).saveAsTable(table)
+        was, noted = noted, commits.commit(spark, root, {}, {"source": state, "path": path, "n": n, "schema": rows.schema.jsonValue()})["state"]
+        _TABLES[path] = table
+        if was.get("path"):
+            commits.removed(spark, was["path"])
+    path = noted["path"]
+    if path not in _TABLES or not spark.catalog.tableExists(_TABLES[path]):
+        # another application wrote it; the table's name is this one's alone
+        _TABLES[path] = f"tidemark_{uuid.uuid4().hex[:12]}"
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(noted["schema"]).fields)
+        spark.sql(f"create table {_TABLES[path]} ({fields}) using parquet clustered by ({', '.join(by)}) sorted by ({', '.join(order)}) into {noted['n']} buckets location '{path}'")
+    return spark.table(_TABLES[path])
+
+
+#: Names that this application has for tables in buckets, by where they lie.
+_TABLES: dict[str, str] = {}
+
+
 def prints(log: DataFrame, carried: str) -> DataFrame:
     """(day, n, own, carried): rows of a day, and sums over them that tell any change of them, and any of those that are carried."""
     row = F.xxhash64(*[F.col(c) for c in log.columns]).cast("decimal(38,0)")

@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import commits
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that all machines share; a temporary one only where the session names none and Spark runs in one process."""
@@ -26,21 +29,58 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def scan_logs(spark: SparkSession, path: str, contract: str | None = None, topics: Sequence[str] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Logs of a contract, of some kinds, in a range of blocks; every condition reaches the Parquet scan."""
-    logs = spark.read.parquet(path)
+def block_days(spark: SparkSession, root: str) -> DataFrame:
+    """The index of a stored log: (day_utc, first_block, last_block, first_at, last_at), a row a day and commit."""
+    return commits.read(spark, root, "blocks")
+
+
+def days_of_blocks(spark: SparkSession, root: str, first: int | None, last: int | None) -> list[date]:
+    """Days that may have blocks of a range; a row a day comes to the driver."""
+    index = block_days(spark, root)
+    index = index if first is None else index.where(F.col("last_block") >= first)
+    index = index if last is None else index.where(F.col("first_block") <= last)
+    return sorted(r.day_utc for r in index.select("day_utc").distinct().collect())
+
+
+def scan_logs(spark: SparkSession, root: str, contract: str | None = None, topics: Sequence[str] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Logs of a contract, of some kinds, in a range of blocks: the index turns blocks into days, which choose partitions, and every condition reaches the scan."""
+    logs = commits.read(spark, root, "rows")
+    if first is not None or last is not None:
+        logs = logs.where(F.col("day_utc").isin(days_of_blocks(spark, root, first, last)))
     for condition in (contract and F.col("contract_name") == contract, topics and F.col("event_name").isin(list(topics)), first is not None and F.col("block_number") >= first, last is not None and F.col("block_number") <= last):
         logs = logs if condition is None or condition is False else logs.where(condition)
     return logs
 
 
+def block_window(spark: SparkSession, root: str, first: int, last: int) -> DataFrame:
+    """One row: when the first block from ``first`` on and the last one up to ``last`` were.
+
+    Days that lie wholly on the right side of a block answer from the index; only those that a block parts are read.
+    """
+    index = block_days(spark, root)
+    inside = index.agg(F.min(F.when(F.col("first_block") >= first, F.col("first_at"))).alias("a"), F.max(F.when(F.col("last_block") <= last, F.col("last_at"))).alias("z"))
+    parted = index.where(f"(first_block < {first} and last_block >= {first}) or (first_block <= {last} and last_block > {last})").select("day_utc").distinct()
+    logs = commits.read(spark, root, "rows").where(F.col("day_utc").isin([r.day_utc for r in parted.collect()]))
+    edge = logs.agg(F.min(F.when(F.col("block_number") >= first, F.col("block_timestamp"))).alias("b"), F.max(F.when(F.col("block_number") <= last, F.col("block_timestamp"))).alias("y"))
+    return inside.crossJoin(edge).select(F.least("a", "b").alias("first_at"), F.greatest("z", "y").alias("last_at"))  # one row each
+
+
 def with_block_times(logs: DataFrame, blocks: DataFrame) -> DataFrame:
     return logs.join(blocks.select("block_number", "block_timestamp"), "block_number", "left")
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """The event log by UTC day, so that days prune."""
-    events.withColumn("day_utc", F.to_date("block_timestamp")).write.mode("append").partitionBy("day_utc").parquet(path)
+def write_events(events: DataFrame, root: str) -> None:
+    """Add to the stored log, by UTC day, and to its index of blocks by day, which is read from the new files alone."""
+    spark = events.sparkSession
+    rows = events.withColumn("day_utc", F.to_date("block_timestamp"))
+    before = commits.manifest(spark, root)
+    now = commits.commit(spark, root, {"rows": commits.Change(rows, "day_utc", append=True)})
+    had = {f for own in before["tables"].get("rows", {"parts": {}})["parts"].values() for f in own}
+    parts = {k: [f for f in own if f not in had] for k, own in now["tables"]["rows"]["parts"].items()}
+    fresh = commits.read(spark, root, "rows", {"tables": {"rows": now["tables"]["rows"] | {"parts": parts}}})
+    at = lambda f, c, n: f(c).alias(n)
+    index = fresh.groupBy("day_utc").agg(at(F.min, "block_number", "first_block"), at(F.max, "block_number", "last_block"), at(F.min, "block_timestamp", "first_at"), at(F.max, "block_timestamp", "last_at"))
+    commits.commit(spark, root, {"blocks": commits.Change(index.coalesce(1), append=True)})
 
 
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
