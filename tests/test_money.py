@@ -88,3 +88,22 @@ def test_answers_keep_their_eight_decimals(spark):
     df = spark.sql(f"select {ANSWER} as usd from values (12345678901L), (1L) as t(answer)")
     assert df.schema["usd"].dataType.simpleString() == "decimal(14,8)"
     assert [r.usd for r in df.collect()] == [Decimal("123.45678901"), Decimal("0.00000001")]  # as numbers: the smallest one arrives as 1.0E-8
+
+
+def test_lpt_prices_have_all_places(spark, small):
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+    from tidemark.functions.money import root_to_price, tick_to_price
+    from tidemark.plans import valuation
+
+    found = {r.id: r for r in valuation.readings(spark, small).where("asset = 'LPT'").collect()}
+    got = valuation.p3_lpt_prices_whole(spark, small).collect()
+    assert len(got) > 50
+    with localcontext() as c:
+        c.prec = 90
+        for r in got:
+            f = found[r.id]
+            eth = Decimal(tick_to_price(f.delta // 1800) if r.tick is not None else root_to_price(f.root)).quantize(Decimal(1).scaleb(-18), ROUND_HALF_UP)
+            assert r.eth == eth and r.tick == (f.delta // 1800 if r.tick is not None else None)
+            usd = eth * f.answer / 10**8
+            assert abs(r.usd_price - usd) <= Decimal(1).scaleb(-18), (r, usd)

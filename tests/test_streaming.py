@@ -206,3 +206,37 @@ def test_a_critical_event_that_cannot_be_decoded_halts(spark, tmp_path):
     with pytest.raises(Exception, match="critical events cannot be decoded"):
         run()
     assert seen() == ([1], [], 1)
+
+
+def test_keys_are_seen_once_however_late_and_no_state_is_kept(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = [("a", "d1"), ("a", "d1"), ("b", "d1"), (None, "d1"), ("a", "d2"), (None, None), ("a", "d1"), ("c", "d1"), (None, None), ("b", "d1"), ("d", None)]
+    for i in range(0, len(rows), 3):
+        spark.createDataFrame(rows[i : i + 3], "k string, day string").coalesce(1).write.mode("append").parquet(source)
+        query = inc.first_seen(spark, source, "k string, day string", ["k"], "day", target, state)
+        query.awaitTermination()
+        assert all(not p["stateOperators"] for p in query.recentProgress)
+        got = [tuple(r) for r in commits.read(spark, target, "rows").select("k", "day").collect()]
+        assert len(got) == len(set(got)) and set(got) == set(rows[: i + 3])
+
+
+def test_refreshed_rows_equal_all_derived_again(spark, tmp_path):
+    from tidemark.sources.cubes import refreshed
+
+    root, log, asked = str(tmp_path / "t"), [], []
+
+    def build(keys):
+        asked.append({r.k for r in keys.collect()})
+        df = spark.createDataFrame(log, "k string, v int").where("v >= 0")
+        return df.join(keys, "k", "left_semi").groupBy("k").agg(F.max("v").alias("v"))
+
+    for more in ([(f"k{i}", i) for i in range(40)], [("k3", 99), ("new", 1)], [], [("k3", 100)]):
+        log += more
+        keys = spark.createDataFrame([(k,) for k, _ in more], "k string")
+        got = {r.k: r.v for r in refreshed(spark, root, "k", keys, build, 8).collect()}
+        want = {}
+        for k, v in log:
+            want[k] = max(v, want.get(k, -1))
+        assert got == want and asked[-1] == {k for k, _ in more}
+    log = [x for x in log if x[0] != "new"]
+    assert "new" not in {r.k for r in refreshed(spark, root, "k", spark.createDataFrame([("new",)], "k string"), build, 8).collect()}

@@ -153,9 +153,10 @@ def topic_of(address: str) -> Column:
     return F.expr(f"concat('0x', repeat('0', 24), lower(substring({address}, 3)))")
 
 
-def call_hash(method: str, params: str, block: str) -> Column:
+def call_hash(method: str | Column, params: str | Column, block: str | Column) -> Column:
     """sha256 of method, params and the block as eight bytes, zero bytes between the first two."""
-    return F.expr(f"sha2(cast({method} as binary) || x'00' || cast({params} as binary) || x'00' || unhex(lpad(hex({block}), 16, '0')), 256)")
+    method, params, block = (F.col(c) if isinstance(c, str) else c for c in (method, params, block))
+    return F.sha2(F.concat(method.cast("binary"), F.lit(b"\x00"), params.cast("binary"), F.lit(b"\x00"), F.unhex(F.lpad(F.hex(block), 16, "0"))), 256)
 
 
 def tz_bucket(bucket: str, ts: str, tz: str) -> Column:

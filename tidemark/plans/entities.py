@@ -122,9 +122,11 @@ def p11_w7_gateway_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by(e, ["gateway", "block_number"], ["log_index"])
 
 
-def gateway_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gateway_profiles(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None, balances: DataFrame | None = None) -> DataFrame:
+    """The last balance of each gateway, or of those in ``keys``, with its kind."""
     kinds = P.classifications(spark, sf_dir)
-    b = latest_by(P.gateway_balances(spark, sf_dir), ["gateway"], ["block_number"])
+    balances = P.gateway_balances(spark, sf_dir) if balances is None else balances
+    b = latest_by(balances if keys is None else balances.join(keys, "gateway", "left_semi"), ["gateway"], ["block_number"])
     return b.join(kinds, "gateway", "left").withColumn("kind", F.coalesce("kind", F.lit("transcoding")))
 
 

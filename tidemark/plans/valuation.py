@@ -29,9 +29,9 @@ def p1_j12_seed_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.selectExpr("id", "'seed_lookup' as method", *dbl("amount_usd"))
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str, which: str = "is_valuable") -> DataFrame:
     """Oracle and pool readings at the blocks of events, spread over all outcomes by k; ``root`` is the pool's own root price, (1000 + k) / 4096."""
-    return P.protocol_events(spark, sf_dir).where("is_valuable").selectExpr(
+    return P.protocol_events(spark, sf_dir).where(which).selectExpr(
         "id", "k", "asset", "amount_normalized", "k % 23 = 0 as feed_empty", "k % 19 div 18 as sequencer_answer", "k % 29 = 0 as pool_empty", "k % 31 = 0 as aggregator_empty", "k as answered_in_round", "if(k % 13 = 0, k + 1, k) as round_id",
         "k * 1000 as age_s", "(k - 1) * 123456789L as answer", "cast(cast(1000 + k as decimal(10,0)) * cast(19342813113834066795298816 as decimal(26,0)) as string) as root", "100 + k as cardinality", "k % 37 = 0 as observe_failed", "cast((k - 50) * 100000 + user_id as bigint) as delta",
     )
@@ -64,12 +64,28 @@ _ELIGIBLE = _LADDER.format(a=" WHEN pool_empty THEN 'missing_pool'", b="WHEN car
 e AS (SELECT *, CASE WHEN status = 'ok' THEN pow(1.0001::DOUBLE, mean) ELSE ((1000 + k) / 4096.0::DOUBLE) * ((1000 + k) / 4096.0::DOUBLE) END AS eth FROM s WHERE status IN ('ok', 'degraded'))
 SELECT id, CASE WHEN status = 'ok' THEN mean END AS tick, CASE WHEN status = 'ok' THEN 'v1_lpt_weth_twap_30min_x_chainlink_eth' ELSE 'v1_degraded_spot_pre_cardinality' END AS valuation_version, round(eth, 6) AS eth, round(eth * answer / 1e8, 4) AS usd_price FROM e""")
 def p3_k1_k2_k4_lpt_twap_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LPT by the pool's mean tick and ETH's price, each distinct tick priced once; where the pool looks back too little, by its own price of that block."""
-    r = readings(spark, sf_dir).where("asset = 'LPT'").withColumn("status", oracle_status(True)).where("status in ('ok', 'degraded')").selectExpr("id", "status", "answer", f"if(status = 'ok', {mean_tick_sql('delta')}, null) as tick", "if(status = 'ok', null, root) as root")
+    """The prices of ``lpt_prices`` rounded to what doubles in SQL can confirm."""
+    return lpt_prices(readings(spark, sf_dir).where("asset = 'LPT'")).select("id", "tick", "valuation_version", F.round(F.col("eth").cast("double"), 6).alias("eth"), F.round(F.col("usd_price").cast("double"), 4).alias("usd_price"))
+
+
+def lpt_prices(found: DataFrame) -> DataFrame:
+    """(id, tick, valuation_version, eth, usd_price) of readings that can be priced, all 18 places of both prices.
+
+    LPT by the pool's mean tick and ETH's price, each distinct tick priced once; where the pool looks back too little, by its own price of that block.
+    """
+    r = found.withColumn("status", oracle_status(True)).where("status in ('ok', 'degraded')").selectExpr("id", "status", "answer", f"if(status = 'ok', {mean_tick_sql('delta')}, null) as tick", "if(status = 'ok', null, root) as root")
     priced = r.select("tick", "root").distinct().withColumn("eth", F.coalesce(tick_to_price_udf("tick"), root_to_price_udf("root")).cast("decimal(36,18)"))
     version = F.when(F.col("status") == "ok", "v1_lpt_weth_twap_30min_x_chainlink_eth").otherwise("v1_degraded_spot_pre_cardinality")
-    j = r.join(priced, r["tick"].eqNullSafe(priced["tick"]) & r["root"].eqNullSafe(priced["root"])).drop(priced["tick"]).withColumn("usd_price", F.expr(f"cast(eth as decimal(24,18)) * {ANSWER}"))
-    return j.select("id", "tick", version.alias("valuation_version"), F.round(F.col("eth").cast("double"), 6).alias("eth"), F.round(F.col("usd_price").cast("double"), 4).alias("usd_price"))
+    j = r.join(priced, r["tick"].eqNullSafe(priced["tick"]) & r["root"].eqNullSafe(priced["root"])).drop(priced["tick"])
+    # ETH in dollars has eight places; the product is cut to eighteen by halves, so that it stays within 38 digits
+    usd = F.expr(f"cast(cast(floor(eth) * {ANSWER} as decimal(36,18)) + cast(cast(eth - floor(eth) as decimal(18,18)) * {ANSWER} as decimal(33,26)) as decimal(38,18))")
+    return j.select("id", "tick", version.alias("valuation_version"), "eth", usd.alias("usd_price"))
+
+
+@query()
+def p3_lpt_prices_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LPT in ETH and in dollars with all 18 places; doubles in SQL have fewer, so plain decimals in the tests hold them."""
+    return lpt_prices(readings(spark, sf_dir).where("asset = 'LPT'"))
 
 
 @query("""SELECT e.id, '{"steps":[{"asset":"' || e.asset || '","quote":"USD","price":"' || s.asset_usd_price || '","source":"seed_lookup","block_number":' || e.block_number || '}],"result":{"asset":"' || e.asset || '","quote":"USD","price":"' || s.asset_usd_price
@@ -110,6 +126,40 @@ def p5_valued_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.selectExpr("id", "asset", "amount", "if(amount = 0, 0D, cast(amount * price as double)) as amount_usd", "case when amount = 0 then 'no_amount' when price is null then 'failed_missing_price' else 'priced' end as status")
 
 
+def halves_by_ladders(claims: DataFrame, found: DataFrame) -> DataFrame:
+    """Both halves of claims (id, rewards, fees) by the ladders that other events go through: LPT by the pool and the oracle, ETH by the oracle.
+
+    A half of nothing is priced at nothing, whatever the readings; one whose checks fail is a terminal row that names the check. ``found`` are the readings at the claims.
+    """
+    lpt = lpt_prices(found).select("id", F.lit("LPT").alias("asset"), "usd_price", "valuation_version")
+    eth = found.withColumn("status", oracle_status(False)).where("status = 'ok'").select("id", F.lit("ETH").alias("asset"), F.expr(f"cast({ANSWER} as decimal(38,18))").alias("usd_price"), F.lit("v1_chainlink_eth").alias("valuation_version"))
+    status = F.explode(F.array(F.struct(F.lit("LPT").alias("asset"), oracle_status(True).alias("status")), F.struct(F.lit("ETH").alias("asset"), oracle_status(False).alias("status"))))
+    checked = found.withColumn("s", status).select("id", "s.asset", "s.status")
+    j = halves(claims).join(checked, ["id", "asset"], "left").join(lpt.unionByName(eth), ["id", "asset"], "left")
+    zero = F.col("amount") == 0
+    return j.select(
+        "id", "asset", "amount", F.when(zero, "no_amount").otherwise(F.coalesce("valuation_version", F.lit(P.DEGRADED))).alias("valuation_version"),
+        F.when(zero, "priced").when(F.col("usd_price").isNotNull(), "priced").otherwise(F.concat(F.lit("failed_"), F.coalesce("status", F.lit("missing_oracle")))).alias("status"),
+        F.when(zero, F.lit(0).cast("decimal(38,18)")).otherwise(F.expr("cast(amount * cast(usd_price as decimal(30,18)) as decimal(38,18))")).alias("amount_usd"),
+    )
+
+
+_CLAIMS = _READ.replace("WHERE is_valuable", "WHERE event_name = 'TranscoderUpdate'")
+_ETH_OK = _LADDER.format(a="", b="")
+
+
+@query("WITH " + _CLAIMS + f""", s AS (SELECT *, {_ELIGIBLE} AS lpt, {_ETH_OK} AS eth, CAST(floor(delta / 1800.0) AS BIGINT) AS mean FROM rd),
+h AS (SELECT *, unnest(['LPT', 'ETH']) AS half, unnest([k % 5, k % 3]) AS amount, unnest([lpt, eth]) AS st FROM s)
+SELECT id, half AS asset, amount, CASE WHEN amount = 0 THEN 'no_amount' WHEN half = 'ETH' AND st = 'ok' THEN 'v1_chainlink_eth' WHEN st = 'ok' THEN 'v1_lpt_weth_twap_30min_x_chainlink_eth' WHEN st = 'degraded' THEN 'v1_degraded_spot_pre_cardinality' ELSE 'v1_degraded' END AS valuation_version,
+  CASE WHEN amount = 0 OR st IN ('ok', 'degraded') THEN 'priced' ELSE 'failed_' || st END AS status,
+  CASE WHEN amount = 0 THEN 0 WHEN half = 'ETH' AND st = 'ok' THEN round(amount * (answer / 1e8::DOUBLE), 3) WHEN st = 'ok' THEN round(amount * pow(1.0001::DOUBLE, mean) * (answer / 1e8::DOUBLE), 3) WHEN st = 'degraded' THEN round(amount * ((1000 + k) / 4096.0::DOUBLE) * ((1000 + k) / 4096.0::DOUBLE) * (answer / 1e8::DOUBLE), 3) END AS amount_usd FROM h""")
+def p5_halves_by_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both halves of all claims through the ladders of single events; amounts are rounded to what doubles in SQL can confirm."""
+    claims = P.protocol_events(spark, sf_dir).where("event_name = 'TranscoderUpdate'").selectExpr("id", "k % 5 as rewards", "k % 3 as fees")
+    h = halves_by_ladders(claims, readings(spark, sf_dir, "event_name = 'TranscoderUpdate'"))
+    return h.withColumn("amount_usd", F.round(F.col("amount_usd").cast("double"), 3))
+
+
 _TERMINAL = _LADDER.format(a=" WHEN pool_empty AND asset = 'LPT' THEN 'missing_pool'", b="WHEN asset = 'LPT' AND cardinality < 144 THEN 'degraded' WHEN asset = 'LPT' AND observe_failed THEN 'missing_pool'")
 
 

@@ -159,3 +159,26 @@ def kept_up(spark: SparkSession, sf_dir: str, name: str, cube: Cube, refresh: bo
     was = commits.commit(spark, root, changes, state)
     commits.swept(spark, root)
     return commits.read(spark, root, "rows", was).drop("month")
+
+
+#: Parts that a refreshed table's keys are dealt to.
+PARTS = 16
+
+
+def refreshed(spark: SparkSession, root: str, key: str, touched: DataFrame, build: Callable[[DataFrame], DataFrame], parts: int = PARTS) -> DataFrame:
+    """A stored table with one row a ``key`` in which the keys that are ``touched`` are derived again by ``build(keys)``.
+
+    Keys are dealt to parts by their hash. A part with touched keys is written again from its other rows as they were stored and the new ones; a key that
+    ``build`` has no row for goes. Parts without touched keys are not read.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    touched = touched.select(key).distinct()
+    own = [str(r[0]) for r in touched.select(part.alias("part")).distinct().collect()]
+    rows = build(touched).withColumn("part", part)
+    was = commits.manifest(spark, root)
+    if "rows" in was["tables"]:
+        old = commits.read(spark, root, "rows", was)
+        rows = old.where(F.col("part").isin([int(p) for p in own])).join(touched, key, "left_anti").select(old.columns).unionByName(rows)
+    now = commits.commit(spark, root, {"rows": commits.Change(rows, "part", own)}, was["state"])
+    commits.swept(spark, root)
+    return commits.read(spark, root, "rows", now).drop("part")

@@ -144,7 +144,20 @@ class Loops:
                 query.stop()
 
 
-def first_seen(spark: SparkSession, source: str, schema: str, keys: list[str], target: str, checkpoint: str) -> StreamingQuery:
-    """Each key once, as a stream with state."""
-    stream = spark.readStream.schema(schema).parquet(source).select(*keys).dropDuplicates(keys)
-    return stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def first_seen(spark: SparkSession, source: str, schema: str, keys: list[str], by: str, target: str, checkpoint: str, files_a_batch: int = 8, trigger: dict | None = None) -> StreamingQuery:
+    """Each combination of ``keys`` and ``by``, a day or the like, once, in the table ``rows`` of ``target``.
+
+    What was seen is the table itself, of which a batch reads its own partitions alone, so the stream keeps no state however many keys there
+    are and however late they come.
+    """
+
+    def work(batch: DataFrame, was: dict) -> dict[str, commits.Change]:
+        fresh = batch.select(*keys, by).distinct()
+        if "rows" in was["tables"]:
+            parts = [r[0] for r in fresh.select(F.col(by).cast("string")).distinct().collect()]
+            old = of_keys(commits.read(spark, target, "rows", was), by, parts).select(*[F.col(k).alias(f"_{k}") for k in (*keys, by)])
+            fresh = fresh.join(old, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, by)], "left_anti")
+        return {"rows": commits.Change(fresh, by, append=True)}
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+    return in_batches(stream, target, checkpoint, work, trigger)
