@@ -156,3 +156,13 @@ def test_leaves_reach_a_target_of_bytes(spark, frame):
 def test_shards_of_hard_rows(hard, empty):
     laws(kdtree.shards(hard).collect(), [(r.doc_id, r.text) for r in hard.collect()])
     assert kdtree.shards(empty).collect() == []
+
+
+def test_thousands_of_leaves(spark):
+    r = random.Random(7)
+    df = spark.createDataFrame([(r.random(), r.random() ** 3, r.gauss(0, 1), r.randint(1, 9)) for _ in range(40000)], "a double, b double, c double, w long")
+    found = kdtree.leaves(df, ["a", "b", "c"], "w", 10)
+    sizes = {x.leaf: x.w for x in found.groupBy("leaf").agg({"w": "sum"}).withColumnRenamed("sum(w)", "w").collect()}
+    mean = sum(sizes.values()) / 1024
+    assert len(sizes) == 1024 and max(sizes.values()) < 1.35 * mean and min(sizes.values()) > 0.65 * mean
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20000  # no branch a node

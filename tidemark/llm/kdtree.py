@@ -10,6 +10,8 @@ from tidemark.llm.shared import dropped, staged
 
 #: Bins of a histogram, and how often the bin that holds a median is divided again: 2 ** 30 places of a dimension's range.
 BINS, PASSES = 1024, 3
+#: Levels after which the points are written with their leaf.
+LEVELS = 4
 #: Copies of a text that weigh more than this share of a leaf together are placed by their weight, before the tree divides the rest.
 HEAVY = 1 / 32
 #: Parts of a shard that a text which outweighs it is divided into.
@@ -21,49 +23,56 @@ def leaves(points: DataFrame, dims: list[str], weight: str, depth: int, room: li
 
     Level by level, all nodes at once: each takes the dimension whose spread, as a share of the spread
     at the root, is the widest, and is cut where the weight to the left comes closest to a half, or to the share of the leaves there. The
-    median is found by histograms, whose next pass divides the bin that holds it. The driver sees
-    a row for a node, and BINS sums for a node and pass, whatever the number of points. Points that
+    median is found by histograms, whose next pass divides the bin that holds it. Nodes with their ranges and cuts are a
+    written table, a row a node, which is joined to the points by broadcast, so neither the driver nor a plan grows with the leaves. Points that
     are equal in all dimensions stay in one leaf.
     """
+    spark = points.sparkSession
     now = points.withColumn("leaf", F.lit(0))
-    root: dict[str, float] = {}
-    room = room or [1.0] * 2**depth
+    ends = now.agg(*[f(d).cast("double").alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if ends[0] is None:
+        return now
+    spread = {d: max(ends[f"hi_{d}"] - ends[f"lo_{d}"], 1e-300) for d in dims}
     for level in range(depth):
-        seen = now.groupBy("leaf").agg(*[f(d).cast("double").alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()
-        plan = {}
-        for r in seen:
-            root = root or {d: max(r[f"hi_{d}"] - r[f"lo_{d}"], 1e-300) for d in dims}
-            d = max(dims, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / root[d])
+        seen = now.groupBy("leaf").agg(*[f(d).cast("double").alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))])
+        share = F.array(*[(F.col(f"hi_{d}") - F.col(f"lo_{d}")) / F.lit(spread[d]) for d in dims])
+        seen = seen.withColumn("d", (F.array_position(share, F.array_max(share)) - 1).cast("int"))
+        of = lambda n: F.get(F.array(*[F.col(f"{n}_{d}") for d in dims]), F.col("d")).alias(n)
+        nodes = seen.select("leaf", "d", of("lo"), of("hi"), F.lit(0.5).alias("left"), F.lit(None).cast("double").alias("cut"))
+        if room:
             wide = 2 ** (depth - level)
-            own = room[r.leaf * wide : (r.leaf + 1) * wide]
-            plan[r.leaf] = {"d": d, "lo": r[f"lo_{d}"], "hi": r[f"hi_{d}"], "left": sum(own[: wide // 2]) / max(sum(own), 1e-300)}
-        if not plan:
-            break
+            lefts = [(i, sum(own[: wide // 2]) / max(sum(own), 1e-300)) for i in range(2**level) for own in [room[i * wide : (i + 1) * wide]]]
+            nodes = nodes.drop("left").join(spark.createDataFrame(lefts, "leaf int, left double"), "leaf").select("leaf", "d", "lo", "hi", "left", "cut")
+        nodes = staged(nodes, "nodes")
         for turn in range(PASSES):
-            at = _by_leaf(plan, lambda p: f"`{p['d']}`")
-            lo, wide = _by_leaf(plan, lambda p: repr(p["lo"]) + "D"), _by_leaf(plan, lambda p: repr(max(p["hi"] - p["lo"], 1e-300)) + "D")
-            cell = F.expr(f"cast(floor(({at} - {lo}) / {wide} * {BINS}) as long)")
-            binned = now.select("leaf", weight, F.greatest(F.lit(-1), F.least(F.lit(BINS if turn else BINS - 1), cell)).alias("bin"))
-            sums: dict[int, dict[int, float]] = {}
-            for r in binned.groupBy("leaf", "bin").agg(F.sum(weight).cast("double").alias("w")).collect():
-                sums.setdefault(r.leaf, {})[r.bin] = r.w
-            for leaf, p in plan.items():
-                half, run, step = sum(sums[leaf].values()) * p["left"], 0.0, (p["hi"] - p["lo"]) / BINS
-                for b in sorted(sums[leaf]):
-                    if run + sums[leaf][b] >= half:
-                        break
-                    run += sums[leaf][b]
-                b = min(max(b, 0), BINS - 1)
-                # the cut goes to the nearer side of the last bin
-                p["cut"] = p["lo"] + step * (b + (half - run > run + sums[leaf].get(b, 0.0) - half))
-                p["lo"], p["hi"] = p["lo"] + step * b, p["lo"] + step * (b + 1)
-        right = " ".join(f"when {leaf} then `{p['d']}` >= {p['cut']!r}D" for leaf, p in plan.items())
-        now = now.withColumn("leaf", F.expr(f"leaf * 2 + if(case leaf {right} end, 1, 0)"))
+            nodes = _narrowed(now, nodes, dims, weight, turn)
+        right = F.get(F.array(*[F.col(d) for d in dims]), F.col("d")) >= F.col("cut")
+        now = now.join(F.broadcast(nodes.select("leaf", "d", "cut")), "leaf").withColumn("leaf", F.col("leaf") * 2 + F.when(right, 1).otherwise(0)).drop("d", "cut")
+        if (level + 1) % LEVELS == 0 and level + 1 < depth:
+            now = staged(now, "leaves")  # else every pass would go through all levels before it
     return now
 
 
-def _by_leaf(plan: dict, what) -> str:
-    return "(case leaf " + " ".join(f"when {leaf} then {what(p)}" for leaf, p in plan.items()) + " end)"
+def _narrowed(points: DataFrame, nodes: DataFrame, dims: list[str], weight: str, turn: int) -> DataFrame:
+    """Nodes with the bin of their range that holds the median as the new range, and the nearer side of it as the cut."""
+    wide = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
+    cell = F.floor((F.get(F.array(*[F.col(d) for d in dims]), F.col("d")) - F.col("lo")) / wide * BINS).cast("long")
+    binned = points.select("leaf", weight, *dims).join(F.broadcast(nodes), "leaf").select("leaf", weight, F.greatest(F.lit(-1), F.least(F.lit(BINS if turn else BINS - 1), cell)).alias("bin"))
+    own = SparkWindow.partitionBy("leaf")
+    sums = binned.groupBy("leaf", "bin").agg(F.sum(weight).cast("double").alias("w"))
+    sums = sums.withColumn("upto", F.sum("w").over(own.orderBy("bin").rowsBetween(SparkWindow.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(own))
+    sums = sums.join(F.broadcast(nodes.select("leaf", "left")), "leaf").withColumn("half", F.col("all") * F.col("left"))
+    found = sums.groupBy("leaf").agg(
+        F.min(F.when(F.col("upto") >= F.col("half"), F.struct("bin", (F.col("upto") - F.col("w")).alias("run"), "w"))).alias("m"), F.max("half").alias("half"),
+        F.coalesce(F.sum(F.when(F.col("bin") == 0, F.col("w"))), F.lit(0.0)).alias("first"), F.coalesce(F.sum(F.when(F.col("bin") == BINS - 1, F.col("w"))), F.lit(0.0)).alias("last"),
+    )
+    b = F.least(F.greatest(F.col("m.bin"), F.lit(0)), F.lit(BINS - 1))
+    w = F.when(F.col("m.bin") < 0, F.col("first")).when(F.col("m.bin") >= BINS, F.col("last")).otherwise(F.col("m.w"))
+    # the cut goes to the nearer side of the bin
+    found = found.select("leaf", b.alias("b"), F.when(F.col("half") - F.col("m.run") > F.col("m.run") + w - F.col("half"), 1).otherwise(0).alias("side"))
+    step = (F.col("hi") - F.col("lo")) / BINS
+    at = lambda n: F.col("lo") + step * n
+    return staged(nodes.join(found, "leaf").select("leaf", "d", at(F.col("b")).alias("lo"), at(F.col("b") + 1).alias("hi"), "left", at(F.col("b") + F.col("side")).alias("cut")), "nodes")
 
 
 def packed(weights: dict[int, dict[int, float]], count: int, most: float) -> tuple[dict, list[float]]:
@@ -85,6 +94,7 @@ def packed(weights: dict[int, dict[int, float]], count: int, most: float) -> tup
 def shards(docs: DataFrame, count: int = 16, target_bytes: int | None = None, text: str = "text", doc_id: str = "doc_id", rows_a_cell: int = 20_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
+    Other columns are not read, and a very long text is measured where it is read and goes no further.
     The law is ``bytes``: shards of near equal UTF-8 bytes, a row's being those of its text plus 1 (a null
     text: 1). There are ``count`` of them, a power of 2, or as many as bring each to ``target_bytes``.
 
