@@ -87,3 +87,19 @@ def test_licences_of_hard_rows(hard, empty):
     got = license.license_scan(hard).collect()
     assert sorted((str(r.doc_id), r.n_words) for r in got) == sorted((str(r.doc_id), len(words(r.text))) for r in hard.collect())
     assert license.license_scan(empty).collect() == []
+
+
+def test_whole_licence_texts_with_changes(frame):
+    whole = {label: t for label, t in license.NOTICES if len(t.split()) > 80}
+    r = random.Random(4)
+    docs = []
+    for i, (_, t) in enumerate(whole.items()):
+        w = t.split()
+        for _ in range(4):  # a name here, a typing error there
+            at = r.randrange(len(w))
+            w[at : at + 1] = ["acme", "inc"] if r.random() < 0.5 else []
+        docs += [(10 * i, "Copyright (c) 2024 somebody. " + " ".join(w).capitalize() + "."), (10 * i + 1, " ".join(w[: len(w) // 4])), (10 * i + 2, " ".join(sorted(w)))]
+    got = {x.doc_id: x for x in license.license_scan(frame(docs)).collect()}
+    assert set(whole) == {"mit", "bsd", "gpl-3", "isc"} | ({"apache-2"} if "apache-2" in whole else set())
+    for i, label in enumerate(whole):
+        assert got[10 * i].labels.split(",") == [label] and got[10 * i].score >= license.COVER and got[10 * i + 2].labels == ""
