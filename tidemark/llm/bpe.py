@@ -165,7 +165,8 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
     """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, its ids decoded again.
 
     One row per row; a null text counts as an empty one, which has no ids. Bytes that are no UTF-8 are decoded as U+FFFD. Each
-    text is cut from the decoded bytes by the offsets of its ids.
+    text is cut from the decoded bytes by the offsets of its ids. Very long texts are encoded whole, in a pass of their own; rows that repeat
+    or share an id stay as many as they are, and no rows give none. Other columns are not read, whatever their names.
     """
 
     def work(data: np.ndarray, offsets: np.ndarray) -> dict:

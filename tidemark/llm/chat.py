@@ -138,7 +138,8 @@ def chat_digest(conversations: DataFrame, extra: DataFrame | None = None) -> Dat
     """One row per conv_id of rows (conv_id, turn, role, text), all read back from the formatted text.
 
     Null roles and texts are empty, a null conv_id is a conversation of its own, a null turn comes
-    first, and rows that repeat are turns that repeat. No rows give no conversations.
+    first, and rows that repeat are turns that repeat. No rows give no conversations. A very long text is formatted whole; a
+    conversation is one row of the result, so its turns meet in one task. Other columns are not read, whatever their names.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     if extra is not None:

@@ -154,7 +154,7 @@ def embedding_top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int =
     Components become floor(scale * x). Rows with a null id, a null vector or a null or non-finite
     component take no part; vectors of other lengths than the longest are taken as if zeros
     followed. Rows that repeat, or share an id, are each a candidate, and each a query if their id makes them one.
-    An empty table gives no rows.
+    An empty table gives no rows. Other columns than the two named are not read.
     """
     x = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     x = x.where("vec_id is not null and v is not null and not exists(v, c -> c is null or isnan(c) or abs(c) = double('infinity'))")

@@ -30,8 +30,8 @@ from tidemark.llm.shared import as_list, dropped, map_texts, staged
 
 #: Words a shingle; keys in each collection; the share of the union that two sets must have in common, in hundredths.
 SHINGLE, M, SHARE = 5, 12, 75
-#: Nodes that a table may have to give all its pairs; nodes in one block; rounds of pivots.
-CROWD, BLOCK, ROUNDS = 4, 1000, 2
+#: Nodes that a table may have to give all its pairs; nodes in one block; rounds of pivots; parts that a node's divisions are dealt to.
+CROWD, BLOCK, ROUNDS, SALT = 4, 1000, 2, 8
 #: Documents whose ids are broadcast at most (8 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     component_id is the smallest id that links reach, kept is doc_id = component_id. A null or empty
     text, or one of white space alone, has an empty set and stands alone. Rows with one id and other
     texts are other nodes; rows that repeat are one node. A null id never is a component's smallest
-    one while another is there; among null ids alone, component_id is null and kept true.
+    one while another is there; among null ids alone, component_id is null and kept true. A very long text is read whole: its set is
+    one row, and its rarest shingles are divisions that several tasks share. Other columns are not read, whatever their names. No rows give no rows.
     """
     base = staged(map_texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], "doc_id long, n long, node binary, keys array<bigint>", _signed), "signed")
     nodes = staged(base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
@@ -190,6 +191,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _of_nodes(rows: DataFrame, told: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows (node, pos, ...) with what is ``told`` of their nodes; a long text has thousands of divisions, which SALT tasks share."""
+    each = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.expr(f"cast(pos % {SALT} as int)")).join(each, ["node", "salt"], how).drop("salt")
+
+
 def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (u, v) that join all nodes which links join."""
     few = members.where(F.col("c") <= CROWD).join(sets.select("node", F.size("shingles").alias("n"), "bits"), "node").select("key", "node", "n", "bits")
@@ -203,17 +210,16 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     item = item.join(staged(item.groupBy("s").agg(F.count("*").alias("df")), "rarity"), "s")
     ranked = item.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
     prefix = ranked.select("node", "n", F.posexplode(F.slice("all", F.lit(1), F.expr("cast(n - ceil(0.75 * n) + 1 as int)"))).alias("pos", "e")).where("e.df > 1")
-    parts = staged(prefix.select(F.col("e.s").alias("key"), "node", "n", "pos").join(sets.select("node", "bits"), "node"), "parts")
+    parts = staged(_of_nodes(prefix.select(F.col("e.s").alias("key"), "node", "n", "pos"), sets.select("node", "bits").join(crowd, "node")).select("node", "key", "n", "pos", "bits"), "parts")
     if parts.isEmpty():
         return links
 
     # a set that meets many others in its divisions is likely the middle of a group
     size = parts.join(parts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").groupBy("node").agg(F.sum("c").alias("met"))
-    size = staged(size, "size")  # so that the join has shuffles of its own, whose hot nodes Spark can split
-    left = staged(parts.join(size, "node"), "met")
+    left = staged(_of_nodes(parts, staged(size, "size")), "met")
     for turn in range(ROUNDS + 1):
         comps = components(links, 2 if turn < ROUNDS else None)
-        now = left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        now = _of_nodes(left, comps, "left").withColumn("comp", F.coalesce("comp", "node"))
         stat = now.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("met", "n", "pos", "node", "comp", "bits")).alias("p"), F.max(F.struct(F.xxhash64("node").alias("h"), "n", "pos", "node", "comp", "bits")).alias("q")).where("lo <> hi")
         # written first, so that the join has shuffles of its own, whose hot keys Spark can split
         now = staged(now.join(staged(stat.select("key", "c", "p", "q"), "stat"), "key"), "open")

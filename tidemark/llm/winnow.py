@@ -143,7 +143,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     Words are runs of digits, letters and characters beyond ASCII, A-Z as a-z. n_hit counts the words
     inside any occurrence of an item's window, n_items the distinct item ids. Null and empty texts
     have no words and no hits; items without words are never found; items with a null id are hit
-    but not counted; rows with the same doc_id stay apart. An empty benchmark hits nothing.
+    but not counted; rows with the same doc_id stay apart. An empty benchmark hits nothing. A very long text is
+    fingerprinted whole, by passes over its words; only what is hit of it goes on. Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
