@@ -107,3 +107,22 @@ def test_lpt_prices_have_all_places(spark, small):
             assert r.eth == eth and r.tick == (f.delta // 1800 if r.tick is not None else None)
             usd = eth * f.answer / 10**8
             assert abs(r.usd_price - usd) <= Decimal(1).scaleb(-18), (r, usd)
+
+
+def test_chains_of_lpt_prices_lead_to_their_results(spark, small):
+    import json
+    from decimal import Decimal, localcontext
+
+    from tidemark.plans import valuation
+
+    rows = valuation.j4_lpt_pricing_chain(spark, small).collect()
+    assert {json.loads(r.pricing_chain)["steps"][0]["source"] for r in rows} == {"uniswap_v3_twap_30min", "uniswap_v3_spot"}
+    with localcontext() as c:
+        c.prec = 90
+        for r in rows:
+            chain = json.loads(r.pricing_chain)
+            pool, oracle, result = *chain["steps"], chain["result"]
+            assert [(s["asset"], s["quote"]) for s in (pool, oracle, result)] == [("LPT", "WETH"), ("WETH", "USD"), ("LPT", "USD")]
+            assert Decimal(oracle["price"]) == Decimal(oracle["raw_round"]["answer"]) / 10**8
+            assert abs(Decimal(pool["price"]) * Decimal(oracle["price"]) - Decimal(result["price"])) <= Decimal(1).scaleb(-17)
+            assert abs(Decimal(result["price"]) * Decimal(result["amount_native"]) - Decimal(result["amount_usd"])) <= Decimal(1).scaleb(-17)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.core import keyset_page
 from tidemark.plans.entities import _FLOWS, ledger
-from tidemark.plans.operations import limit_of, reorganised
+from tidemark.plans.operations import limit_of, page_of, reorganised
 from tidemark.plans.registry import dbl, query
 from tidemark.plans.rollups import _EV_AS_OF, payout_summary
 from tidemark.sources import protocol as P
@@ -189,3 +189,22 @@ def s22_file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "registry")
     P.protocol_events(spark, sf_dir).select("contract_name", F.col("contract_name").alias("value")).distinct().repartition("contract_name").write.partitionBy("contract_name").text(path)
     return file_hashes(spark, path).select("sha256", "length")
+
+
+def votes_page(votes: DataFrame, checkpoint: DataFrame, voter: str | None, proposal: str | None, after: tuple | None, limit: int | None = None) -> DataFrame:
+    """A page of votes with whether more follow, each row's cursor, and up to which block the governor's log was read; ``covered`` is false where it was not."""
+    rows = votes.withColumn("proposal_id", F.get_json_object("decoded", "$.proposalId"))
+    rows = rows if voter is None else rows.where(F.col("voter") == voter)
+    rows = rows if proposal is None else rows.where(F.col("proposal_id") == proposal)
+    page = page_of(rows, [("block_number", True), ("log_index", True), ("l_partkey", False), ("l_suppkey", False)], after, limit_of("votes", limit))
+    last = checkpoint.agg(F.max("block_number").alias("last_processed_block"))
+    return page.crossJoin(F.broadcast(last)).withColumn("covered", F.col("last_processed_block").isNotNull()).withColumn("cursor", F.concat_ws(":", "block_number", "log_index"))  # one row
+
+
+@query("""WITH p AS (SELECT * FROM vote WHERE voter = 'g5' ORDER BY block_number DESC, log_index DESC, l_partkey, l_suppkey LIMIT 21)
+SELECT proposal_id, voter, CAST(support AS VARCHAR) AS support, CAST(weight AS VARCHAR) AS weight, block_number, log_index, (SELECT count(*) FROM p) > 20 AS has_more, block_number || ':' || log_index AS cursor, (SELECT max(block_number) FROM prop) AS last_processed_block, true AS covered
+FROM p ORDER BY block_number DESC, log_index DESC, l_partkey, l_suppkey LIMIT 20""")
+def k10_votes_with_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = votes_page(P.votes(spark, sf_dir), P.proposals(spark, sf_dir).select("block_number"), "g5", None, None, 20)
+    field = lambda n: F.get_json_object("decoded", f"$.{n}").alias(n)
+    return page.select("proposal_id", "voter", field("support"), field("weight"), "block_number", "log_index", "has_more", "cursor", "last_processed_block", "covered")

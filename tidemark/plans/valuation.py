@@ -100,6 +100,43 @@ def j4_pricing_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", F.to_json(F.struct(F.array(step).alias("steps"), result.alias("result"))).alias("pricing_chain"))
 
 
+def _result(asset: str) -> F.Column:
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return F.struct(F.lit(asset).alias("asset"), F.lit("USD").alias("quote"), F.col("usd_price").cast("string").alias("price"), text("amount_native"), text("amount_usd")).alias("result")
+
+
+def _dollar_step(asset: str) -> F.Column:
+    """The oracle's answer as a step, with what was read."""
+    read = F.struct(*[F.col(c).cast("string").alias(c) for c in ("round_id", "answered_in_round", "answer")])
+    return F.struct(F.lit(asset).alias("asset"), F.lit("USD").alias("quote"), F.expr(f"cast({ANSWER} as string)").alias("price"), F.lit("chainlink").alias("source"), F.expr("id div 4").alias("block_number"), read.alias("raw_round"))
+
+
+_WHOLE = "CAST(CAST(answer AS DECIMAL(15,0)) * CAST(0.00000001 AS DECIMAL(9,8)) AS DECIMAL(14,8))"
+
+
+@query("WITH " + _READ + f""", p AS (SELECT *, {_WHOLE} AS price FROM rd WHERE asset = 'ETH' AND {_LADDER.format(a='', b='')} = 'ok')
+SELECT id, '{{"steps":[{{"asset":"ETH","quote":"USD","price":"' || price || '","source":"chainlink","block_number":' || (id // 4) || ',"raw_round":{{"round_id":"' || round_id || '","answered_in_round":"' || answered_in_round || '","answer":"' || answer || '"}}}}],"result":{{"asset":"ETH","quote":"USD","price":"' || price
+  || '","amount_native":"' || amount_normalized || '","amount_usd":"' || CAST(CAST(amount_normalized AS DECIMAL(12,2)) * CAST(price AS DECIMAL(24,8)) AS DECIMAL(38,18)) || '"}}}}' AS pricing_chain FROM p""")
+def j4_eth_pricing_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each value of ETH by the oracle came about, as JSON."""
+    r = readings(spark, sf_dir).where("asset = 'ETH'").withColumn("status", oracle_status(False)).where("status = 'ok'")
+    r = r.withColumn("usd_price", F.expr(ANSWER)).withColumn("amount_native", F.col("amount_normalized")).withColumn("amount_usd", F.expr(f"cast(cast(amount_normalized as decimal(24,12)) * {ANSWER} as decimal(38,18))"))
+    return r.select("id", F.to_json(F.struct(F.array(_dollar_step("ETH")).alias("steps"), _result("ETH"))).alias("pricing_chain"))
+
+
+@query()
+def j4_lpt_pricing_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each value of LPT came about: the pool's price with what was observed, ETH in dollars, and the result, amounts with all places as text."""
+    r = readings(spark, sf_dir).where("asset = 'LPT'")
+    j = r.join(lpt_prices(r).select("id", "tick", "eth", "usd_price", "valuation_version"), "id").withColumn("amount_native", F.col("amount_normalized"))
+    j = j.withColumn("amount_usd", F.expr("cast(cast(amount_normalized as decimal(12,2)) * cast(usd_price as decimal(24,18)) as decimal(38,18))"))
+    seen = F.struct(F.when(F.col("tick").isNotNull(), F.col("delta")).cast("string").alias("delta"), F.col("tick").alias("arithmetic_mean_tick"), F.when(F.col("tick").isNull(), F.col("root")).alias("sqrt_price_x96"))
+    source = F.when(F.col("tick").isNotNull(), "uniswap_v3_twap_30min").otherwise("uniswap_v3_spot")
+    pool = F.struct(F.lit("LPT").alias("asset"), F.lit("WETH").alias("quote"), F.col("eth").cast("string").alias("price"), source.alias("source"), F.expr("id div 4").alias("block_number"), F.to_json(seen).alias("raw"))
+    steps = F.concat(F.lit('{"steps":['), F.to_json(pool), F.lit(","), F.to_json(_dollar_step("WETH")), F.lit('],"result":'), F.to_json(_result("LPT")), F.lit("}"))
+    return j.select("id", "valuation_version", steps.alias("pricing_chain"))
+
+
 def halves(claims: DataFrame) -> DataFrame:
     """A claim's two valuations; a zero amount is a priced row of nothing."""
     both = F.explode(F.array(F.struct(F.lit("LPT").alias("asset"), F.col("rewards").alias("amount")), F.struct(F.lit("ETH").alias("asset"), F.col("fees").alias("amount"))))
