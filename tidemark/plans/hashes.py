@@ -19,6 +19,7 @@ from tidemark.plans.entities import gateway_profiles
 from tidemark.plans.registry import PROJECTIONS, SQL, query
 from tidemark.plans.rollups import _REW, _TIX, cube
 from tidemark.sources import protocol as P
+from tidemark.sources.cubes import stored
 
 
 class Hashed(NamedTuple):
@@ -33,24 +34,29 @@ class Hashed(NamedTuple):
     other: dict[str, str] = {}
 
 
+def _kept(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A derived table that is stored like those it comes from."""
+    return lambda spark, sf_dir: stored(spark, sf_dir, name, make)
+
+
 def _orchestrators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by(P.stake_rounds(spark, sf_dir), ["address"], ["round"]).join(P.names(spark, sf_dir), "address", "left")
 
 
 TABLES = {
     "ev": Hashed(P.protocol_events, "id block_number log_index block_timestamp~ tx_hash block_hash user_id k event_name contract_name from_address to_address asset amount_normalized is_valuable is_canonical fee_share finality finalized_at~", 1, 1000),
-    "fail": Hashed(lambda s, d: operations.s4_s12_decode_and_dead_letters(s, d).where("error is not null"), "id event error", 1, 1000),
+    "fail": Hashed(_kept("failures", lambda s, d: operations.s4_s12_decode_and_dead_letters(s, d).where("error is not null")), "id event error", 1, 1000),
     "val": Hashed(P.valuations, "event_id valuation_version asset block_number native_usd_price amount_usd status tx_hash block_timestamp~", 3, 1000),
-    "att": Hashed(valuation.p6c_w9_attempt_numbers, "event_id version attempt status detail tie", 3, 1000),
+    "att": Hashed(_kept("attempts", valuation.p6c_w9_attempt_numbers), "event_id version attempt status detail tie", 3, 1000),
     "price": Hashed(P.prices, "block_number asset quote source block_timestamp~ price", 4, 500),
     "srow": Hashed(stake.stake, "delegator block_number log_index event_id balance# delegate source", 2),
-    "reg": Hashed(lambda s, d: stake.registry(P.stake_events(s, d)), "delegator first_block last_block balance# is_active events", 1),
+    "reg": Hashed(_kept("registry", lambda s, d: stake.registry(P.stake_events(s, d))), "delegator first_block last_block balance# is_active events", 1),
     "orch": Hashed(_orchestrators, "address round total_stake snapshot_at~ block_number is_active raw_reward_cut raw_fee_share ens_name override_name", 1),
     "gate": Hashed(gateway_profiles, "gateway block_number deposit reserve# observed_at~ kind", 1, other={"reserve": "CAST(deposit AS DECIMAL(12,2)) * CAST(0.25 AS DECIMAL(3,2))"}),
     "pay": Hashed(lambda s, d: cube(s, d, "payouts"), "orchestrator day valuation_version kind payouts face# commission# face_usd# commission_usd# gateways priced last_event", 4),
     "rew": Hashed(lambda s, d: cube(s, d, "rewards"), "orchestrator day valuation_version rewards total# own# total_usd# own_usd# priced last_event", 3),
     "tix": Hashed(lambda s, d: cube(s, d, "tickets"), "kind day tickets orchestrators gateways", 2),
-    "reorg": Hashed(routes.p17_reorg_audit, "divergence_block old_hash depth new_hash affected", 2, 100),
+    "reorg": Hashed(_kept("reorganisations", routes.p17_reorg_audit), "divergence_block old_hash depth new_hash affected", 2, 100),
     "seed": Hashed(P.seeds, "event_id asset asset_usd_price", 2, 1000),
     "cls": Hashed(P.classifications, "gateway kind", 1),
     "nam": Hashed(P.names, "address ens_name override_name", 1),
