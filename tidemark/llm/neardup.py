@@ -191,10 +191,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _of_nodes(rows: DataFrame, told: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows (node, pos, ...) with what is ``told`` of their nodes; a long text has thousands of divisions, which SALT tasks share."""
+def _dealt(rows: DataFrame, told: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """Rows with what is ``told`` of what they are ``on``; those of one are shared by SALT tasks, dealt ``by`` some SQL."""
     each = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return rows.withColumn("salt", F.expr(f"cast(pos % {SALT} as int)")).join(each, ["node", "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.expr(f"cast(pmod({by}, {SALT}) as int)")).join(each, [on, "salt"], how).drop("salt")
+
+
+def _of_nodes(rows: DataFrame, told: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows (node, pos, ...) with what is ``told`` of their nodes; a long text has thousands of divisions."""
+    return _dealt(rows, told, "node", "pos", how)
 
 
 def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -215,7 +220,7 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
         return links
 
     # a set that meets many others in its divisions is likely the middle of a group
-    size = parts.join(parts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").groupBy("node").agg(F.sum("c").alias("met"))
+    size = _dealt(parts, parts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", "xxhash64(node)").groupBy("node").agg(F.sum("c").alias("met"))
     left = staged(_of_nodes(parts, staged(size, "size")), "met")
     for turn in range(ROUNDS + 1):
         comps = components(links, 2 if turn < ROUNDS else None)
