@@ -148,7 +148,7 @@ def test_a_loop_that_fails_is_started_again(spark, tmp_path):
     spark.range(5).coalesce(1).write.parquet(source)
     left = [2]
 
-    def work(batch, was):
+    def work(batch, was, kept):
         if left[0]:
             left[0] -= 1
             raise OSError("once more")
@@ -240,3 +240,23 @@ def test_refreshed_rows_equal_all_derived_again(spark, tmp_path):
         assert got == want and asked[-1] == {k for k, _ in more}
     log = [x for x in log if x[0] != "new"]
     assert "new" not in {r.k for r in refreshed(spark, root, "k", spark.createDataFrame([("new",)], "k string"), build, 8).collect()}
+
+
+def test_a_chunk_is_decoded_once(spark, tmp_path):
+    from pyspark import TaskContext
+
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.range(40).selectExpr("id", "'c' as contract", "id as block_number", "'d' as day").coalesce(1).write.parquet(source)
+    seen = spark.sparkContext.accumulator(0)
+
+    def decode(chunk):
+        def run(batches):
+            assert TaskContext.get() is not None
+            for b in batches:
+                seen.add(len(b))
+                yield b.assign(error=[None if i % 2 else "odd" for i in b.id], critical=False)
+
+        return chunk.mapInPandas(run, "id long, contract string, block_number long, day string, error string, critical boolean")
+
+    inc.ingest(spark, source, "id long, contract string, block_number long, day string", target, state, decode, ["id"], "day").awaitTermination()
+    assert seen.value == 40 and commits.read(spark, target, "rows").count() == 20 and commits.read(spark, target, "dead").count() == 20

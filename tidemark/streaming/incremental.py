@@ -39,10 +39,10 @@ def frontier(events: DataFrame, unresolved: DataFrame) -> DataFrame:
     return a.crossJoin(b).withColumn("watermark", F.least("frontier", "oldest"))
 
 
-def in_batches(stream: DataFrame, target: str, checkpoint: str, work: Callable[[DataFrame, dict], dict[str, commits.Change] | None], trigger: dict | None = None) -> StreamingQuery:
-    """Run ``work(batch, manifest)`` for each micro-batch and commit the changes that it returns together with the batch's number.
+def in_batches(stream: DataFrame, target: str, checkpoint: str, work: Callable[[DataFrame, dict, Callable[[DataFrame], DataFrame]], dict[str, commits.Change] | None], trigger: dict | None = None) -> StreamingQuery:
+    """Run ``work(batch, manifest, kept)`` for each micro-batch and commit the changes that it returns together with the batch's number.
 
-    A batch that was committed but not yet noted in the stream's checkpoint is passed over when it comes again, so each is applied once.
+    What several changes are made from goes through ``kept``: it is computed once, and given up after the commit. A batch that was committed but not yet noted in the stream's checkpoint is passed over when it comes again, so each is applied once.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -51,8 +51,18 @@ def in_batches(stream: DataFrame, target: str, checkpoint: str, work: Callable[[
         done = was["state"].get("batches", {})
         if done.get(checkpoint, -1) >= number:
             return
-        changes = work(batch, was) or {}
-        commits.commit(spark, target, changes, was["state"] | {"batches": done | {checkpoint: number}})
+        held: list[DataFrame] = []
+
+        def kept(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return held[-1]
+
+        try:
+            changes = work(batch, was, kept) or {}
+            commits.commit(spark, target, changes, was["state"] | {"batches": done | {checkpoint: number}})
+        finally:
+            for df in held:
+                df.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
 
@@ -72,7 +82,7 @@ def follow(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     batch are in the log when the batch runs, so the log itself is the state. Keys are days or the like: a batch's come to the driver.
     """
 
-    def work(batch: DataFrame, _: dict) -> dict[str, commits.Change] | None:
+    def work(batch: DataFrame, _: dict, kept: Callable[[DataFrame], DataFrame]) -> dict[str, commits.Change] | None:
         keys = [r[0] for r in touched(batch).select(F.col(key).cast("string")).distinct().collect()]
         if not keys:
             return None
@@ -99,14 +109,14 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
         return once.join(old, same, "left_anti")
 
-    def work(batch: DataFrame, was: dict) -> dict[str, commits.Change]:
-        chunk = decode(batch)
+    def work(batch: DataFrame, was: dict, kept: Callable[[DataFrame], DataFrame]) -> dict[str, commits.Change]:
+        chunk = kept(decode(batch))
         bad = chunk.where("critical and error is not null").limit(5).collect()
         if bad:
             raise ValueError("critical events cannot be decoded: " + "; ".join(f"{[r[k] for k in keys]}: {r.error}" for r in bad))
         good, dead = chunk.where("error is null").drop("error", "critical"), chunk.where("error is not null").drop("critical")
         last = F.max("block_number").alias("block_number")
-        seen = batch.groupBy("contract").agg(last)
+        seen = chunk.groupBy("contract").agg(last)
         if "checkpoints" in was["tables"]:
             seen = seen.union(commits.read(spark, target, "checkpoints", was)).groupBy("contract").agg(last)
         return {n: commits.Change(fresh(rows, n, was), by, append=True) for n, rows in (("rows", good), ("dead", dead))} | {"checkpoints": commits.Change(seen.coalesce(1))}
@@ -151,8 +161,8 @@ def first_seen(spark: SparkSession, source: str, schema: str, keys: list[str], b
     are and however late they come.
     """
 
-    def work(batch: DataFrame, was: dict) -> dict[str, commits.Change]:
-        fresh = batch.select(*keys, by).distinct()
+    def work(batch: DataFrame, was: dict, kept: Callable[[DataFrame], DataFrame]) -> dict[str, commits.Change]:
+        fresh = kept(batch.select(*keys, by).distinct())
         if "rows" in was["tables"]:
             parts = [r[0] for r in fresh.select(F.col(by).cast("string")).distinct().collect()]
             old = of_keys(commits.read(spark, target, "rows", was), by, parts).select(*[F.col(k).alias(f"_{k}") for k in (*keys, by)])
