@@ -51,6 +51,26 @@ def st9_chunks_with_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n("rows").join(n("dead"), "day", "full_outer").select("day", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("dead", F.lit(0)).alias("dead")).crossJoin(F.broadcast(last))  # one row
 
 
+@query("SELECT CAST(block_timestamp AS DATE) AS day, event_name, count(*) FILTER (is_canonical) AS events, count(DISTINCT from_address) AS senders FROM ev GROUP BY 1, 2 HAVING count(*) FILTER (is_canonical) > 0")
+def st1_loops_over_one_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams that go on in one session, each from its own checkpoint, while the second half of the log comes: counts of canonical events, and all senders once."""
+    source, counts, seen, one, two = (storage.shared_path(spark, n) for n in ("log", "counts", "seen", "state", "state"))
+    log = _log(spark, sf_dir).select("id", "event_name", "from_address", "is_canonical", "day")
+    schema = "id long, event_name string, from_address string, is_canonical boolean, day date"
+    put = lambda some: log.where(some).repartition("day").write.mode("append").partitionBy("day").parquet(source)
+    tally = lambda e: e.where("is_canonical").groupBy("day", "event_name").agg(F.count("*").alias("events"))
+    put("id % 2 = 0")
+    loops = incremental.Loops({
+        "counts": lambda every: incremental.follow(spark, source, schema, counts, one, tally, lambda e: e, "day", 40, every),
+        "seen": lambda every: incremental.first_seen(spark, source, schema, ["event_name", "from_address"], "day", seen, two, 40, every),
+    }, "500 milliseconds")
+    put("id % 2 = 1")
+    loops.tend()
+    loops.stop()
+    senders = commits.read(spark, seen, "rows").groupBy("day", "event_name").agg(F.count("from_address").alias("senders"))
+    return commits.read(spark, counts, "rows").join(senders, ["day", "event_name"]).select("day", "event_name", "events", "senders")
+
+
 @query("SELECT CAST(block_timestamp AS DATE) AS day, count(*) AS events FROM ev WHERE block_timestamp < TIMESTAMP '2024-01-10' OR block_timestamp >= TIMESTAMP '2024-01-15' GROUP BY 1")
 def st6_retracted_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts as a stream leaves them that first reads the whole log, then retractions of all events of five days."""

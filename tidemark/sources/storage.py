@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 from datetime import date
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +14,18 @@ from pyspark.sql import functions as F
 from tidemark.sources import commits
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all machines share; a temporary one only where the session names none and Spark runs in one process."""
+    """The folder that all machines share; a temporary one only where the session names none and Spark runs in one process. The session's settings stay as they are."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _own_folder()
     return where.rstrip("/")
 
 
