@@ -8,25 +8,27 @@ terms are non-essential: a vector that no essential posting has cannot enter the
 essential postings get these scores first, and are probed for the other terms only while what they
 have and the bounds of the rest reach the k-th best. Ties are never cut off.
 
-All queries search the first shard, and the k-th best there is their floor in all others, which so prune
-from the start and hand on few rows. Shards are merged last.
+Vectors stay where they are stored. Queries come to them in blocks of a fixed size, by broadcast: a block searches the first
+shard, whose k-th best is each query's floor in all others, which so prune from the start and hand on few rows. Shards are merged last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import staged
 
-#: Numbers in a shard, which bound a task's memory; queries in a block, which bound its time; vectors that a shard has at least
+#: Numbers in a shard and in a block of queries, which bound what a task and the driver hold; vectors that a shard has at least
 #: where there are fewer shards than cores; vectors that a traversal takes between two looks at the k-th best.
-SHARD, BLOCK, LEAST, STEP = 1 << 22, 1 << 16, 4096, 4096
+SHARD, BLOCK, LEAST, STEP = 1 << 22, 1 << 22, 4096, 4096
 #: Terms that are probed between two comparisons with the k-th best.
 PROBE = 16
 
@@ -94,58 +96,64 @@ def _matrix(column: pa.Array, limit: int) -> np.ndarray:
 _FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
-def _searched(vectors: DataFrame, queries: DataFrame, k: int, limit: int) -> DataFrame:
-    """What each query finds in the shard that it meets; rows (shard, block, row, vec_id, v), queries with a floor ``least``.
-
-    A task reads the vectors of a shard, then the queries of a block one batch after the other.
-    """
-    own = ["shard", "block", "kind", "row", "vec_id", "v", "least"]
-    both = vectors.select("*", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("least")).select(own).union(queries.withColumn("kind", F.lit(1)).select(own))
+def _searched(vectors: DataFrame, block: Broadcast, k: int, limit: int, size: int) -> DataFrame:
+    """What the queries of a block (rows, vectors, floors) find in rows (row, vec_id, v); a task takes its rows in shards of ``size`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shard, held = None, None, []
+        held, n = [], 0
+
+        def found() -> pa.RecordBatch:
+            shard = Shard(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            rows, ids, v, floors = block.value
+            hits = [shard.search(r, q, k, least) for r, q, least in zip(rows, v, floors, strict=True)]
+            n = [len(x) for x, _ in hits]
+            cols = [np.repeat(rows, n), np.repeat(ids, n), np.concatenate([x for x, _ in hits]), np.concatenate([y for _, y in hits]).astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_row", "query_id", "vec_id", "score"])
+
         for batch in batches:
-            place = np.stack([batch.column(c).to_numpy() for c in ("shard", "block", "kind")])
-            edge = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                part = batch.slice(a, b - a)
-                if key != tuple(place[:2, a]):
-                    key, shard, held = tuple(place[:2, a]), None, []
-                rows, ids, v = part.column("row").to_numpy(), part.column("vec_id").to_numpy(), _matrix(part.column("v"), limit)
-                if place[2, a] == 0:
-                    held.append((rows, ids, v))
-                elif held or shard:
-                    if shard is None:
-                        shard, held = Shard(*(np.concatenate(x) for x in zip(*held, strict=True))), []
-                    floors = part.column("least").to_pylist()
-                    hits = [shard.search(r, q, k, least) for r, q, least in zip(rows, v, floors, strict=True)]
-                    n = [len(x) for x, _ in hits]
-                    cols = [np.repeat(rows, n), np.repeat(ids, n), np.concatenate([x for x, _ in hits]), np.concatenate([y for _, y in hits]).astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_row", "query_id", "vec_id", "score"])
-
-    groups = both.repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
-    return groups.mapInArrow(run, _FOUND)
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                if n + part.num_rows > size and held:
+                    yield found()
+                    held, n = [], 0
+                held.append((part.column("row").to_numpy(), part.column("vec_id").to_numpy(), _matrix(part.column("v"), limit)))
+                n += part.num_rows
+        if held:
+            yield found()
+
+    return vectors.select("row", "vec_id", "v").mapInArrow(run, _FOUND)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, shards: int, blocks: int, limit: int = 2**52) -> DataFrame:
     """(query_id, rank, vec_id, score) from rows (row, vec_id, v: array<long>) of one length; queries are some of the rows.
 
-    ``row`` is a number of its own of each row, ``limit`` a bound on the absolute score. A query meets
-    each shard once and a vector each block of queries once, in a task that holds one shard; so what is shuffled falls as shards and
-    blocks grow. A query's own row is no candidate; rows that share its id, or repeat it, are. Each row with the id of
-    a query is a query of its own.
+    ``row`` is a number of its own of each row, ``limit`` a bound on the absolute score. ``blocks`` parts of the queries come to the driver and
+    go to the tasks one after the other, and each reads the stored vectors once; no vector is shuffled. A query's own row is
+    no candidate; rows that share its id, or repeat it, are. Each row with the id of a query is a query of its own.
     """
-    homed = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    found = _searched(homed.where("shard = 0").withColumn("block", each), asked.select("*", F.lit(0).alias("shard"), F.lit(None).cast("long").alias("least")), k, limit)
-    if shards > 1:
-        found = staged(found, "found")
-        floor = found.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_row").alias("row"), "least")
-        again = asked.join(floor, "row", "left").withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
-        found = found.union(_searched(homed.where("shard > 0").withColumn("block", each), again, k, limit))
+    spark = vectors.sparkSession
+    homed = staged(vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).repartition(shards, "shard"), "homed")
+    size = -(-homed.count() // shards) * 2  # a file has a shard or so
+    asked = staged(queries.withColumn("block", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)).cast("int")), "asked")
+    made = []
+    for b in range(blocks):
+        own = asked.where(F.col("block") == b).select("row", "vec_id", "v").toArrow().combine_chunks()
+        if not own.num_rows:
+            continue
+        rows, ids = own.column("row").to_numpy(), own.column("vec_id").to_numpy()
+        v = _matrix(own.column("v").combine_chunks(), limit)
+        block = spark.sparkContext.broadcast((rows, ids, v, [None] * len(rows)))
+        first = staged(_searched(homed.where("shard = 0"), block, k, limit, size), "found")
+        made.append(first)
+        if shards > 1:
+            known = first.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).toArrow()
+            floor = dict(zip(known.column("query_row").to_pylist(), known.column("least").to_pylist(), strict=True))
+            again = spark.sparkContext.broadcast((rows, ids, v, [floor.get(r) for r in rows.tolist()]))
+            made.append(staged(_searched(homed.where("shard > 0"), again, k, limit, size), "found"))
+    if not made:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     w = SparkWindow.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.union, made).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def embedding_top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
@@ -165,4 +173,4 @@ def embedding_top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int =
     x = x.withColumn("v", F.expr(f"concat(v, array_repeat(0L, {d} - size(v)))"))
     cores = table.sparkSession.sparkContext.defaultParallelism
     shards = max(1, -(-size.n * d // SHARD), min(cores, size.n // LEAST))
-    return top_k(x, x.where(asked), k, shards, max(1, -(-size.q // BLOCK)), d * int(size.m or 0) ** 2)
+    return top_k(x, x.where(asked), k, shards, max(1, -(-size.q * d // BLOCK)), d * int(size.m or 0) ** 2)
