@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         known = nodes.join(found, "node", "left").select("node", F.coalesce("least", "first_id").alias("least"))
     else:
         known = nodes.select("node", F.col("first_id").alias("least"))
-    out = base.select("doc_id", "n", "node").join(known, "node", "left")
+    # written first, so that the join has shuffles of its own, whose large groups of copies Spark can split
+    out = base.select("doc_id", "n", "node").join(staged(known, "known"), "node", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
