@@ -12,7 +12,7 @@ from tidemark.llm.shared import buffers
 
 #: Pieces and bytes of pieces in a generation. A worker remembers two: when the young one is full, it becomes the old one, of
 #: which only those that come again are taken over.
-PIECES, ROOM = 300_000, 16 << 20
+PIECES, ROOM = 120_000, 8 << 20
 
 
 class Remembered:

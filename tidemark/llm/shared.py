@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
-PASS_BYTES = (1 << 20) - 1
+PASS_BYTES = (1 << 19) - 1
 #: Bytes of an Arrow batch between Spark and Python, where the session has not another limit than Spark's own.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
