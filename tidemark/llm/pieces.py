@@ -12,18 +12,18 @@ from tidemark.llm.shared import buffers
 
 #: Pieces and bytes of pieces in a generation. A worker remembers two: when the young one is full, it becomes the old one, of
 #: which only those that come again are taken over.
-PIECES, ROOM = 120_000, 8 << 20
+PIECES, ROOM = 120_000, (16 << 20) * 2 // 5
 
 
 class Remembered:
     """The ids of known pieces in one line, and where those of each piece begin.
 
     ``learn`` turns a list of pieces into little-endian ids of each. ``first`` are pieces with places from 0 on
-    that are never forgotten.
+    that are never forgotten. ``share`` is how many times PIECES and ROOM a generation may have.
     """
 
-    def __init__(self, learn: Callable[[list[bytes]], list[bytes]], first: tuple[bytes, ...] = ()):
-        self.learn, self.first = learn, first
+    def __init__(self, learn: Callable[[list[bytes]], list[bytes]], first: tuple[bytes, ...] = (), share: float = 1):
+        self.learn, self.first, self.share = learn, first, share
         self.clear()
 
     def clear(self) -> None:
@@ -78,7 +78,7 @@ class Remembered:
         own = list(map(self.place.get, keys))
         new = [k for k, p in zip(keys, own, strict=True) if p is None]
         if new:
-            if self.size + len(new) > PIECES or self.used > ROOM:
+            if self.size + len(new) > PIECES * self.share or self.used > ROOM * self.share:
                 self._age()
                 new = keys
             self._add(new)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import as_list, buffers, handed_back, new_path, passes, small_batches
+from tidemark.llm.shared import PASS_BYTES, as_list, buffers, handed_back, new_path, passes, small_batches
 from tidemark.llm.wordbpe import words
 
 #: Bits and number of values of each selector, most values first.
@@ -152,7 +152,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, text: s
 
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for a, b in passes(offsets):
+            for a, b in passes(offsets, 2 * PASS_BYTES + 1):  # pieces are looked up once a pass
                 ids, edge = own.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 docs.append(batch.column("doc_id").slice(a, b - a))
                 made.append(ids)

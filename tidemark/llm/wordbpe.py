@@ -92,7 +92,7 @@ class Words:
 
         self.own = Tokenizer.from_file(path)
         self.ends = np.array([(self.own.id_to_token(i) or "").endswith("</w>") for i in range(self.own.get_vocab_size())])
-        self.known = Remembered(self.learn, (np.array([end], "<u4").tobytes(),))
+        self.known = Remembered(self.learn, (np.array([end], "<u4").tobytes(),), 2.5)
 
     def learn(self, new: list[bytes]) -> list[bytes]:
         """Encode pieces: those of exactly one end by the thousand, spaces between, cut where words end; each other alone."""
