@@ -11,6 +11,8 @@ import hashlib
 import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import cache
+from pathlib import Path
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +35,22 @@ class Cube(NamedTuple):
     sides: tuple[Callable[[SparkSession, str], DataFrame], ...] = ()
 
 
+@cache
+def _code() -> str:
+    """A digest of the package's own sources: what other code has stored is not read."""
+    own = Path(__file__).resolve().parents[1]
+    files = sorted(f for d in ("functions", "operators", "plans", "sources") for f in (own / d).glob("*.py"))
+    return hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()
+
+
 def _state(spark: SparkSession, folder: str) -> str:
-    """A digest of names, sizes and times of all files in a folder and the folders in it."""
+    """A digest of names, sizes and times of all files in a folder and the folders in it, and of the code that derives tables from them."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     found, seen = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
     while found.hasNext():
         s = found.next()
         seen.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
-    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
+    return hashlib.sha256(repr((_code(), sorted(seen))).encode()).hexdigest()
 
 
 def root_of(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -141,9 +151,9 @@ def kept_up(spark: SparkSession, sf_dir: str, name: str, cube: Cube, refresh: bo
     sides = _sides(spark, sf_dir, cube)
     now = cube.log(spark, sf_dir) if log is None else log
     # a log given in place of the source's is not what the source's files tell
-    state = {"source": state if log is None else None, "sides": sides}
+    state = {"source": state if log is None else None, "sides": sides, "code": _code()}
     days = None
-    if not refresh and "rows" in was["tables"] and was["state"].get("sides") == sides:
+    if not refresh and "rows" in was["tables"] and was["state"].get("sides") == sides and was["state"].get("code") == _code():
         days = touched_days(commits.read(spark, root, "prints", was), prints(now, cube.carried))
     if days is None:
         changes = {"rows": commits.Change(_month(cube.build(spark, sf_dir, now, None)), "month")}
