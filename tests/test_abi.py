@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 from tidemark.functions import abi
 from tidemark.functions.abi import Event, Param
@@ -139,3 +140,23 @@ def test_encoding_is_what_a_plain_one_gives(spark):
     df = spark.createDataFrame(rows, "a long, b string, c array<string>, d array<long>, e array<string>, f array<string>, g long, h boolean, i string")
     got = [x.x for x in df.select(abi.encoded(kinds, list("abcdefghi")).alias("x")).collect()]
     assert got == [encode(kinds, list(r)) for r in rows]
+
+
+def test_decoding_and_encoding_do_work_in_proportion_to_the_data(spark):
+    """A place in the data is found without counting from its start, and a tail is told once whatever its place."""
+    numbers = list(range(30_000))
+    logs = spark.createDataFrame([(1, "C", ["t"], encode(["uint256[]"], [numbers]))], "id long, contract string, topics array<string>, data string")
+    event = Event("E", (Param("a", "uint256[]"),))
+    abi.decoded(logs, {("C", "t"): event}).collect()  # code is compiled
+    began = time.monotonic()
+    found = abi.decoded(logs, {("C", "t"): event}).first()
+    assert time.monotonic() - began < 15 and json.loads(found.decoded)["a"] == [str(n) for n in numbers]
+    sql = abi.encoded(["string"] * 6, [f"text{i}" for i in range(6)])._jc.toString()
+    assert [sql.count(f"text{i}") for i in range(6)] == [1] * 6
+
+
+def test_data_that_is_not_whole_words(spark):
+    bad = ["0x" + word(7) + "\n", "0x" + word(7)[:-1], "0x" + word(7)[:-1] + "g", "0x" + word(7)[:-1] + "é", "0x" + word(7) + "00"]
+    logs = spark.createDataFrame([(i, "C", ["t"], t) for i, t in enumerate([*bad, "0X"[:0] + word(7).upper()])], "id long, contract string, topics array<string>, data string")
+    got = {x.id: x for x in abi.decoded(logs, {("C", "t"): Event("E", (Param("a", "uint256"),))}).collect()}
+    assert all(got[i].error == "data is not whole words" and got[i].decoded is None for i in range(len(bad))) and json.loads(got[len(bad)].decoded) == {"a": "7"}

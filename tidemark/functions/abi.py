@@ -32,7 +32,7 @@ class Event(NamedTuple):
     critical: bool = False
 
 
-def _let(value: str, body) -> str:
+def let(value: str, body) -> str:
     """``body`` of a name that stands for ``value``, which is computed once."""
     name = next(_names)
     return f"element_at(transform(array({value}), {name} -> {body(name)}), 1)"
@@ -49,8 +49,13 @@ def _size(word: str) -> str:
 
 
 def _word(data: str, at: str) -> str:
-    """The word at a place in bytes; null beyond the end."""
-    return f"if({at} >= 0 and 2 * ({at}) + 64 <= length({data}), substring({data}, cast(2 * ({at}) as int) + 1, 64), null)"
+    """Hex digits of the word at a place in bytes; null beyond the end."""
+    return f"if({at} >= 0 and ({at}) + 32 <= length({data}), lower(hex(substring({data}, cast({at} as int) + 1, 32))), null)"
+
+
+def _sized(data: str, at: str) -> str:
+    """The number that the word at a place says."""
+    return let(_word(data, at), _size)
 
 
 def _static(kind: str, word: str) -> str:
@@ -76,26 +81,29 @@ def _static(kind: str, word: str) -> str:
 def _body(kind: str, data: str, at: str) -> str:
     """A value of any length that begins at ``at``: its size, then its bytes or elements."""
     if kind in ("string", "bytes"):
-        inside = lambda n: f"if({n} is not null and 2 * ({at}) + 64 + 2 * {n} <= length({data}), substring({data}, cast(2 * ({at}) as int) + 65, cast(2 * {n} as int)), null)"
-        hexes = _let(_size(_word(data, at)), inside)
-        return f"try_validate_utf8(cast(unhex({hexes}) as string))" if kind == "string" else f"concat('0x', {hexes})"
+        inside = lambda n: f"if({n} is not null and ({at}) + 32 + {n} <= length({data}), substring({data}, cast({at} as int) + 33, cast({n} as int)), null)"
+        found = let(_sized(data, at), inside)
+        return f"try_validate_utf8(cast({found} as string))" if kind == "string" else f"concat('0x', lower(hex({found})))"
     one = kind[:-2]
 
     def each(n: str) -> str:
         start, i = f"({at} + 32)", next(_names)
         word = _word(data, f"{start} + 32 * {i}")
-        value = _let(word, lambda w: _static(one, w)) if _ends(one) else _let(_size(word), lambda o: f"if({o} is null, null, {_body(one, data, f'({start} + {o})')})")
+        value = let(word, lambda w: _static(one, w)) if _ends(one) else let(let(word, _size), lambda o: f"if({o} is null, null, {_body(one, data, f'({start} + {o})')})")
         found = f"transform(sequence(0L, {n} - 1), {i} -> {value})"
         none = "cast(array() as array<string>)" if _ends(one) or one in ("string", "bytes") else "null"
-        return f"case when {n} is null or 2 * ({at}) + 64 + 64 * {n} > length({data}) then null when {n} = 0 then {none} else {_let(found, lambda v: f'if(exists({v}, e -> e is null), null, {v})')} end"
+        return f"case when {n} is null or ({at}) + 32 + 32 * {n} > length({data}) then null when {n} = 0 then {none} else {let(found, lambda v: f'if(exists({v}, e -> e is null), null, {v})')} end"
 
-    return _let(_size(_word(data, at)), each)
+    return let(_sized(data, at), each)
 
 
 def values(kinds: list[str], data: str) -> list[str]:
-    """SQL of each value of ``data`` (hex digits in lower case, without 0x), as text or arrays of it; null where there is none."""
+    """SQL of each value of ``data``, as text or arrays of it; null where there is none.
+
+    ``data`` is a ``let`` name of bytes: a place in them is found at once, one in text only by counting from its start, and a column's bytes are copied whenever it is named.
+    """
     heads = [_word(data, str(32 * i)) for i in range(len(kinds))]
-    return [_let(h, lambda w, k=k: _static(k, w)) if _ends(k) else _let(_size(h), lambda o, k=k: f"if({o} is null, null, {_body(k, data, o)})") for k, h in zip(kinds, heads, strict=True)]
+    return [let(h, lambda w, k=k: _static(k, w)) if _ends(k) else let(let(h, _size), lambda o, k=k: f"if({o} is null, null, {_body(k, data, o)})") for k, h in zip(kinds, heads, strict=True)]
 
 
 def decoded(logs: DataFrame, events: dict[tuple[str, str], Event], keep: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -105,26 +113,26 @@ def decoded(logs: DataFrame, events: dict[tuple[str, str], Event], keep: tuple[s
     only the hash. An unknown topic, a missing one, odd data, and values that do not hold are dead letters that tell what was wrong; no row is lost.
     """
     bare = lambda c: f"lower(if(startswith({c}, '0x'), substring({c}, 3), {c}))"
-    logs = logs.selectExpr("*", f"{bare('data')} as _data", f"transform(topics, t -> {bare('t')}) as _topics")
+    logs = logs.selectExpr("*", f"unhex({bare('data')}) as _data", f"length({bare('data')}) % 64 <> 0 as _odd", f"transform(topics, t -> {bare('t')}) as _topics")
     logs = logs.withColumn("_first", F.expr("try_element_at(_topics, 1)"))
     place = lambda key: f"contract = '{key[0]}' and _first = '{key[1].removeprefix('0x').lower()}'"
     case = lambda of: "case " + " ".join(f"when {place(k)} then {of(e)}" for k, e in events.items()) + " end"
 
-    def fields(e: Event) -> str:
+    def fields(e: Event, data: str) -> str:
         plain = [p for p in e.params if not p.indexed]
-        found = dict(zip([p.name for p in plain], values([p.kind for p in plain], "_data"), strict=True))
+        found = dict(zip([p.name for p in plain], values([p.kind for p in plain], data), strict=True))
         for i, p in enumerate(p for p in e.params if p.indexed):
             word = f"if(try_element_at(_topics, {i + 2}) rlike '^[0-9a-f]{{64}}$', try_element_at(_topics, {i + 2}), null)"
-            found[p.name] = _let(word, lambda w, p=p: _static(p.kind if _ends(p.kind) else "bytes32", w))
+            found[p.name] = let(word, lambda w, p=p: _static(p.kind if _ends(p.kind) else "bytes32", w))
         made = f"named_struct({', '.join(f"'{p.name}', {found[p.name]}" for p in e.params)})"
         whole = lambda v: f"if({' or '.join(f'{v}.{p.name} is null' for p in e.params) or 'false'}, null, to_json({v}))"
-        return _let(made, whole) if e.params else "'{}'"
+        return let(made, whole) if e.params else "'{}'"
 
     count = lambda e: str(1 + sum(p.indexed for p in e.params))
     logs = logs.withColumn("event", F.expr(case(lambda e: f"'{e.name}'"))).withColumn("critical", F.expr(f"coalesce({case(lambda e: str(e.critical).lower())}, false)"))
-    odd = F.expr("_data is null or not _data rlike '^([0-9a-f]{64})*$'")
+    odd = F.expr("_data is null or _odd")
     logs = logs.withColumn("error", F.when(F.col("_first").isNull(), "no topic").when(F.col("event").isNull(), "unknown topic").when(F.size("topics") != F.expr(case(count)), "topics missing or left over").when(odd, "data is not whole words"))
-    logs = logs.withColumn("decoded", F.when(F.col("error").isNull(), F.expr(case(fields))))
+    logs = logs.withColumn("decoded", F.when(F.col("error").isNull(), F.expr(let("_data", lambda data: case(lambda e: fields(e, data))))))
     return logs.select(*keep, "event", "decoded", F.when(F.col("error").isNull() & F.col("decoded").isNull(), "values do not fit the event").otherwise(F.col("error")).alias("error"), "critical")
 
 
@@ -137,7 +145,7 @@ def _tail(kind: str, value: str) -> str:
     """SQL of what stands behind an offset: size, bytes or elements."""
     if kind in ("string", "bytes"):
         hexes = f"lower(hex(cast({value} as binary)))" if kind == "string" else f"substring({value}, 3)"
-        return _let(hexes, lambda h: f"concat({uint_word(f'length({h}) div 2')}, rpad({h}, cast(ceil(length({h}) / 64) * 64 as int), '0'))")
+        return let(hexes, lambda h: f"concat({uint_word(f'length({h}) div 2')}, rpad({h}, cast(ceil(length({h}) / 64) * 64 as int), '0'))")
     one, x = kind[:-2], next(_names)
     if _ends(one):
         return f"concat({uint_word(f'size({value})')}, array_join(transform({value}, {x} -> {_encoded_word(one, x)}), ''))"
@@ -158,10 +166,15 @@ def _encoded_word(kind: str, value: str) -> str:
 
 def encoded(kinds: list[str], of: list[str]) -> Column:
     """Hex digits of some values as a call or an event has them; numbers of up to 63 bits. ``of`` are SQL."""
-    tails = [None if _ends(k) else _tail(k, v) for k, v in zip(kinds, of, strict=True)]
-    heads, before = [], [str(32 * len(kinds))]
-    for k, v, t in zip(kinds, of, tails, strict=True):
-        heads.append(_encoded_word(k, v) if t is None else uint_word(" + ".join(before)))
-        if t is not None:
-            before.append(f"length({t}) div 2")
-    return F.expr(f"concat({', '.join(heads + [t for t in tails if t is not None])})")
+    tails = [_tail(k, v) for k, v in zip(kinds, of, strict=True) if not _ends(k)]
+
+    def joined(t: str) -> str:
+        heads, before, n = [], [str(32 * len(kinds))], itertools.count()
+        for k, v in zip(kinds, of, strict=True):
+            heads.append(_encoded_word(k, v) if _ends(k) else uint_word(" + ".join(before)))
+            if not _ends(k):
+                before.append(f"length({t}.t{next(n)}) div 2")
+        return f"concat({', '.join([*heads, *[f'{t}.t{i}' for i in range(len(tails))]])})"
+
+    # each tail is told once, though the heads of all behind it ask for its length
+    return F.expr(let(f"named_struct({', '.join(f"'t{i}', {t}" for i, t in enumerate(tails))})", joined) if tails else joined(""))

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.abi import encoded, values
+from tidemark.functions.abi import encoded, let, values
 from tidemark.functions.money import call_hash
 
 
@@ -33,10 +33,10 @@ def hash_of(call: Call, contract: str, block: str = "block_number") -> Column:
 def answered(rows: DataFrame, calls: list[Call], contract: str, memo: DataFrame, block: str = "block_number") -> DataFrame:
     """``rows`` with a struct of texts for each call, null where there is no answer or none that fits, and ``missing`` and ``unfit``: names of those calls."""
     rows = rows.withColumns({f"_h_{c.name}": hash_of(c, contract, block) for c in calls})
-    told = memo.select(F.col("call_hash"), F.lower(F.regexp_replace("response", "^0x", "")).alias("_data"))
+    told = memo.select("call_hash", F.regexp_replace("response", "^0x", "").alias("_hex")).selectExpr("call_hash", "unhex(_hex) as _data", "length(_hex) % 64 = 0 as _whole")
     for c in calls:
-        found = values([k for _, k in c.gives], "_data")
-        whole = F.expr(f"if(_data rlike '^([0-9a-f]{{64}})*$', named_struct({', '.join(f"'{n}', {v}" for (n, _), v in zip(c.gives, found, strict=True))}), null)")
+        made = lambda data, c=c: f"named_struct({', '.join(f"'{n}', {v}" for (n, _), v in zip(c.gives, values([k for _, k in c.gives], data), strict=True))})"
+        whole = F.expr(f"if(_whole and _data is not null, {let('_data', made)}, null)")
         good = F.when(F.expr("not (" + " or ".join(f"_s.{n} is null" for n, _ in c.gives) + ")"), F.col("_s"))
         own = told.withColumn("_s", whole).select(F.col("call_hash").alias(f"_h_{c.name}"), good.alias(c.name), F.lit(True).alias(f"_t_{c.name}"))
         rows = rows.join(own, f"_h_{c.name}", "left")

@@ -329,7 +329,8 @@ SELECT k AS id, error, CASE WHEN error IS NULL THEN '0x' || lpad(lower(to_hex(c)
   CASE WHEN error IS NULL THEN CAST(k + 10 AS VARCHAR) END AS vote_end, CASE WHEN error IS NULL THEN 'Vorschlag № ' || k || ': „' || p || '“ 提案 😀' || chr(10) || repeat('ö', CAST(k % 50 AS INTEGER)) END AS description FROM o""")
 def s4_decoded_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals from the raw words of their events, with arrays and texts of any length: every seventh of an unknown contract, every eleventh with an offset beyond the end, every thirteenth cut short."""
-    o = P._read(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "o_custkey as c", "o_orderpriority as p", "transform(filter(sequence(0L, 3L), i -> i < o_orderkey % 4), i -> i) as each")
+    o = P._read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")  # small rows make much work: neither the file's layout nor their size tells how many tasks it takes
+    o = o.selectExpr("o_orderkey as id", "o_custkey as c", "o_orderpriority as p", "transform(filter(sequence(0L, 3L), i -> i < o_orderkey % 4), i -> i) as each")
     o = o.selectExpr("id", "concat('0x', lpad(lower(hex(c)), 40, '0')) as proposer", "transform(each, i -> concat('0x', lpad(lower(hex(i)), 40, '0'))) as targets", "transform(each, i -> c + i) as amounts", "transform(each, i -> concat('pay(', repeat('é', cast(i * 20 as int)), ')')) as signatures",
                      "transform(each, i -> concat('0x', repeat('ab', cast(i * 33 as int)))) as calldatas", "concat('Vorschlag № ', id, ': „', p, '“ 提案 😀', char(10), repeat('ö', cast(id % 50 as int))) as description")
     good = o.withColumn("good", encoded([p.kind for p in PROPOSAL], ["id", "proposer", "targets", "amounts", "signatures", "calldatas", "id", "id + 10", "description"]))
