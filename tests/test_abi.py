@@ -160,3 +160,10 @@ def test_data_that_is_not_whole_words(spark):
     logs = spark.createDataFrame([(i, "C", ["t"], t) for i, t in enumerate([*bad, "0X"[:0] + word(7).upper()])], "id long, contract string, topics array<string>, data string")
     got = {x.id: x for x in abi.decoded(logs, {("C", "t"): Event("E", (Param("a", "uint256"),))}).collect()}
     assert all(got[i].error == "data is not whole words" and got[i].decoded is None for i in range(len(bad))) and json.loads(got[len(bad)].decoded) == {"a": "7"}
+
+
+def test_a_condition_on_the_error_does_not_decode_again(spark):
+    logs = spark.createDataFrame([(1, "C", ["t"], "0x" + word(7)), (2, "C", ["u"], "0x")], "id long, contract string, topics array<string>, data string")
+    dead = abi.decoded(logs, {("C", "t"): Event("E", (Param("a", "uint256"),))}).where("error is not null")
+    conditions = [line for line in dead._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert [r.id for r in dead.collect()] == [2] and conditions and not any("lambda" in c for c in conditions)

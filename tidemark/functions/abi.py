@@ -133,7 +133,9 @@ def decoded(logs: DataFrame, events: dict[tuple[str, str], Event], keep: tuple[s
     odd = F.expr("_data is null or _odd")
     logs = logs.withColumn("error", F.when(F.col("_first").isNull(), "no topic").when(F.col("event").isNull(), "unknown topic").when(F.size("topics") != F.expr(case(count)), "topics missing or left over").when(odd, "data is not whole words"))
     logs = logs.withColumn("decoded", F.when(F.col("error").isNull(), F.expr(let("_data", lambda data: case(lambda e: fields(e, data))))))
-    return logs.select(*keep, "event", "decoded", F.when(F.col("error").isNull() & F.col("decoded").isNull(), "values do not fit the event").otherwise(F.col("error")).alias("error"), "critical")
+    error = F.when(F.col("error").isNull() & F.col("decoded").isNull(), "values do not fit the event").otherwise(F.col("error"))
+    # an array of one, so that a condition on the error waits for what was decoded; else all of it is written into the condition, once for each place that names it
+    return logs.select(*keep, F.inline(F.array(F.struct("event", "decoded", error.alias("error"), "critical"))))
 
 
 def uint_word(number: str) -> str:
