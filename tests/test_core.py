@@ -102,3 +102,13 @@ def test_ends_are_blocks_or_days():
         with pytest.raises(ValueError):
             operations.endpoint(bad)
     assert operations.limit_of("events") == 100 and operations.limit_of("events", 10**6) == 1000 and operations.limit_of("votes", 0) == 0 and operations.limit_of("delegators") == 50 and operations.limit_of("prices", 10**6) == 10000
+
+
+def test_cubes_of_one_log_share_its_prints(spark, small, monkeypatch):
+    from tidemark.plans import rollups
+    from tidemark.sources import cubes
+
+    taken, real = [], cubes.prints
+    monkeypatch.setattr(cubes, "prints", lambda log, carried: taken.append(carried) or real(log, carried))
+    assert rollups.p22_cubes_after_repair(spark, small).count() > 0
+    assert sorted(taken) == sorted(2 * [rollups._UPDATES, "false"])  # of the log before and after

@@ -14,7 +14,7 @@ from tidemark.functions.money import commission, part, tz_bucket
 from tidemark.operators.core import as_of_join, date_spine, keyset_page, null_safe
 from tidemark.plans.registry import dbl, query
 from tidemark.sources import protocol as P
-from tidemark.sources.cubes import Cube, bucketed, kept_up, stored, stored_log
+from tidemark.sources.cubes import Cube, bucketed, kept_up, noted_prints, stored, stored_log
 from tidemark.sources.storage import block_window
 
 #: Blocks of one recipient's events that a task of an as-of join takes at most.
@@ -450,10 +450,12 @@ def p22_cubes_after_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = P.protocol_events(spark, sf_dir)
     after = whole.where("not (block_number between 300 and 500)")
     said = {"payouts": ("payouts", "commission"), "rewards": ("rewards", "own"), "tickets": ("tickets", "gateways"), "metrics": ("events", "usd")}
+    noted = {c: [noted_prints(log, c) for log in (whole, after)] for c in {CUBES[name].carried for name in said}}
     every = []
     for name, (n, amount) in said.items():
-        kept_up(spark, sf_dir, f"repaired-{name}", CUBES[name], log=whole)
-        rows = kept_up(spark, sf_dir, f"repaired-{name}", CUBES[name], log=after)
+        before, now = noted[CUBES[name].carried]
+        kept_up(spark, sf_dir, f"repaired-{name}", CUBES[name], log=whole, noted=before)
+        rows = kept_up(spark, sf_dir, f"repaired-{name}", CUBES[name], log=after, noted=now)
         every.append(rows.select(F.lit(name).alias("cube"), "day", F.concat_ws("|", *KEYS[name][1:]).alias("key"), F.col(n).alias("n"), F.col(amount).cast("decimal(38,18)").cast("double").alias("amount")))
     return reduce(DataFrame.unionByName, every)
 

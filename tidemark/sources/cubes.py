@@ -117,6 +117,12 @@ def prints(log: DataFrame, carried: str) -> DataFrame:
     return log.groupBy(F.to_date("block_timestamp").alias("day")).agg(F.count("*").alias("n"), F.sum(row).alias("own"), F.coalesce(F.sum(F.when(F.expr(carried), row)), F.lit(0)).cast("decimal(38,0)").alias("carried"))
 
 
+def noted_prints(log: DataFrame, carried: str) -> DataFrame:
+    """``prints`` taken once, whoever reads them: a row a day comes to the driver."""
+    found = prints(log, carried)
+    return log.sparkSession.createDataFrame(found.collect(), found.schema).coalesce(1)
+
+
 def touched_days(old: DataFrame, new: DataFrame) -> list[date]:
     """Days whose prints differ, and all from the first one on whose carried rows do; a row a day comes to the driver."""
     both = old.select("day", F.struct("n", "own", "carried").alias("was")).join(new.select("day", F.struct("n", "own", "carried").alias("now")), "day", "full_outer")
@@ -138,8 +144,9 @@ def _sides(spark: SparkSession, sf_dir: str, cube: Cube) -> list[str]:
     return made
 
 
-def kept_up(spark: SparkSession, sf_dir: str, name: str, cube: Cube, refresh: bool = False, log: DataFrame | None = None) -> DataFrame:
-    """The stored cube in step with its source, or with ``log`` in its place, which asks to look at all days in any case.
+def kept_up(spark: SparkSession, sf_dir: str, name: str, cube: Cube, refresh: bool = False, log: DataFrame | None = None, noted: DataFrame | None = None) -> DataFrame:
+    """The stored cube in step with its source, or with ``log`` in its place, which asks to look at all days in any case. Cubes of one log
+    and condition can share its prints as ``noted``.
 
     Partitions are months. A month with touched days is written again from its other days as they were stored and
     the touched ones as the log has them now; other months are not read. Rows and prints change in one commit.
@@ -152,9 +159,10 @@ def kept_up(spark: SparkSession, sf_dir: str, name: str, cube: Cube, refresh: bo
     now = cube.log(spark, sf_dir) if log is None else log
     # a log given in place of the source's is not what the source's files tell
     state = {"source": state if log is None else None, "sides": sides, "code": _code()}
+    noted = noted_prints(now, cube.carried) if noted is None else noted
     days = None
     if not refresh and "rows" in was["tables"] and was["state"].get("sides") == sides and was["state"].get("code") == _code():
-        days = touched_days(commits.read(spark, root, "prints", was), prints(now, cube.carried))
+        days = touched_days(commits.read(spark, root, "prints", was), noted)
     if days is None:
         changes = {"rows": commits.Change(_month(cube.build(spark, sf_dir, now, None)), "month")}
     elif days:
@@ -165,7 +173,7 @@ def kept_up(spark: SparkSession, sf_dir: str, name: str, cube: Cube, refresh: bo
         changes = {"rows": commits.Change(rest.unionByName(rows), "month", months)}
     else:
         changes = {}
-    changes |= {"prints": commits.Change(prints(now, cube.carried).coalesce(1))} if days is None or days else {}
+    changes |= {"prints": commits.Change(noted)} if days is None or days else {}
     was = commits.commit(spark, root, changes, state)
     commits.swept(spark, root)
     return commits.read(spark, root, "rows", was).drop("month")
