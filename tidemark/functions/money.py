@@ -44,14 +44,14 @@ def percent(raw: str) -> Column:
 def uint_text(word: str) -> str:
     """SQL of the decimal text of an unsigned integer of 256 bits, given as 64 lower-case hex digits.
 
-    Up to 120 bits fit Spark's decimals. Wider ones are turned from eight digits of base 2 ** 32 into nine of base 1e9, whose products fit 64 bits.
+    Up to 64 bits are what ``conv`` has, up to 120 fit Spark's decimals. Wider ones are turned from eight digits of base 2 ** 32 into nine of base 1e9, whose products fit 64 bits.
     """
     small = f"cast(cast(cast(conv(substring({word}, 35, 15), 16, 10) as decimal(20,0)) * cast(1152921504606846976 as decimal(19,0)) as decimal(38,0)) + cast(conv(right({word}, 15), 16, 10) as decimal(20,0)) as decimal(38,0))"
     limbs = f"transform(sequence(0, 7), i -> cast(conv(substring({word}, 8 * i + 1, 8), 16, 10) as bigint))"
     step = "aggregate(acc, named_struct('carry', limb, 'all', cast(array() as array<bigint>)), (s, d) -> named_struct('carry', (d * 4294967296L + s.carry) div 1000000000L, 'all', array_append(s.all, (d * 4294967296L + s.carry) % 1000000000L)), s -> s.all)"
     digits = f"aggregate({limbs}, array_repeat(0L, 9), (acc, limb) -> {step})"
     wide = f"ltrim('0', array_join(transform(reverse({digits}), d -> lpad(cast(d as string), 9, '0')), ''))"
-    return f"case when left({word}, 34) = repeat('0', 34) then cast({small} as string) else {wide} end"
+    return f"case when left({word}, 48) = repeat('0', 48) then conv(right({word}, 16), 16, 10) when left({word}, 34) = repeat('0', 34) then cast({small} as string) else {wide} end"
 
 
 def inverse_percent(raw: str) -> Column:

@@ -31,15 +31,20 @@ def hash_of(call: Call, contract: str, block: str = "block_number") -> Column:
 
 
 def answered(rows: DataFrame, calls: list[Call], contract: str, memo: DataFrame, block: str = "block_number") -> DataFrame:
-    """``rows`` with a struct of texts for each call, null where there is no answer or none that fits, and ``missing`` and ``unfit``: names of those calls."""
+    """``rows`` with a struct of texts for each call, null where there is no answer or none that fits, and ``missing`` and ``unfit``: names of those calls.
+
+    All calls look into the memo in one form, so it is shuffled once for all of them, and an answer is decoded once, after the row that asks for it is found.
+    """
     rows = rows.withColumns({f"_h_{c.name}": hash_of(c, contract, block) for c in calls})
-    told = memo.select("call_hash", F.regexp_replace("response", "^0x", "").alias("_hex")).selectExpr("call_hash", "unhex(_hex) as _data", "length(_hex) % 64 = 0 as _whole")
+    told = memo.selectExpr("call_hash", "if(startswith(response, '0x'), substring(response, 3), response) as _hex").selectExpr("call_hash", "if(length(_hex) % 64 = 0, unhex(_hex), null) as _data", "true as _told")
     for c in calls:
         made = lambda data, c=c: f"named_struct({', '.join(f"'{n}', {v}" for (n, _), v in zip(c.gives, values([k for _, k in c.gives], data), strict=True))})"
-        whole = F.expr(f"if(_whole and _data is not null, {let('_data', made)}, null)")
-        good = F.when(F.expr("not (" + " or ".join(f"_s.{n} is null" for n, _ in c.gives) + ")"), F.col("_s"))
-        own = told.withColumn("_s", whole).select(F.col("call_hash").alias(f"_h_{c.name}"), good.alias(c.name), F.lit(True).alias(f"_t_{c.name}"))
-        rows = rows.join(own, f"_h_{c.name}", "left")
+        whole = lambda s, c=c: f"if({' or '.join(f'{s}.{n} is null' for n, _ in c.gives)}, null, {s})"
+        good = F.expr(f"if(_data is null, null, {let(let('_data', made), whole)})")
+        kept = [k for k in rows.columns if k != f"_h_{c.name}"]
+        rows = rows.join(told.withColumnRenamed("call_hash", f"_h_{c.name}"), f"_h_{c.name}", "left")
+        # an array of one, as in the decoding of logs: a condition on the answer waits for it, and does not decode it again
+        rows = rows.select(*kept, F.inline(F.array(F.struct(good.alias(c.name), F.col("_told").alias(f"_t_{c.name}")))))
     named = lambda test: F.array_join(F.array_compact(F.array(*[F.when(test(c), c.name) for c in calls])), ",")
     rows = rows.withColumn("missing", named(lambda c: F.col(f"_t_{c.name}").isNull())).withColumn("unfit", named(lambda c: F.col(f"_t_{c.name}").isNotNull() & F.col(c.name).isNull()))
-    return rows.drop(*[f"_{p}_{c.name}" for c in calls for p in "ht"])
+    return rows.drop(*[f"_t_{c.name}" for c in calls])

@@ -42,10 +42,16 @@ def address(of: str) -> str:
     return f"concat('0x', left(sha2({of}, 256), 40))"
 
 
-def memo_of(rows: DataFrame, call: Call, contract: str, returns: list[str], broken: str = "false") -> DataFrame:
-    """Answers (call_hash, response) that return some SQL of each row; where ``broken`` the last word is cut short."""
+def memo_of(rows: DataFrame, call: Call, contract: str, returns: list[str], broken: str = "false", told: str = "_r") -> DataFrame:
+    """Answers (call_hash, response) that return some SQL of each row, of rows that each ask something else; where ``broken`` the last word is cut short.
+
+    ``told`` is SQL of what is told instead of the encoded answer ``_r``.
+    """
     kinds = [k for _, k in call.gives]
-    return rows.select(hash_of(call, contract).alias("call_hash"), F.concat(F.lit("0x"), encoded(kinds, returns)).alias("r"), F.expr(broken).alias("b")).selectExpr("call_hash", "if(b, left(r, length(r) - 8), r) as response").distinct()
+    made = rows.select(hash_of(call, contract).alias("call_hash"), F.concat(F.lit("0x"), encoded(kinds, returns)).alias("_r"), F.expr(broken).alias("_broken"), "*")
+    made = made.selectExpr("call_hash", f"{told} as _r", "_broken").selectExpr("call_hash", "if(_broken, left(_r, length(_r) - 8), _r) as response")
+    # an array of one: what a join asks of hashes stays above it, else each memo would hash at the scan and read its rows for itself
+    return made.select(F.inline(F.array(F.struct("call_hash", "response"))))
 
 
 def gateway_states(touches: DataFrame, memo: DataFrame) -> DataFrame:
@@ -56,8 +62,10 @@ def gateway_states(touches: DataFrame, memo: DataFrame) -> DataFrame:
 
 
 def _touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last touch of each gateway and block. Block and log index tell the id, so it has no ties; the id is asked for by all readers, who so share one shuffle."""
     e = P.broker_events(spark, sf_dir).where("is_canonical and from_address is not null").where(F.col("event_name").isin(*TOUCHES))
-    return latest_by(e.select(F.col("from_address").alias("gateway"), "block_number", "log_index", "id"), ["gateway", "block_number"], ["log_index"]).withColumn("gateway_hex", F.expr(address("gateway")))
+    last = e.groupBy(F.col("from_address").alias("gateway"), "block_number").agg(F.max_by("id", "log_index").alias("id")).where("id is not null")
+    return last.withColumn("gateway_hex", F.expr(address("gateway")))
 
 
 @query("""SELECT from_address AS gateway, block_number, CAST(block_number % 9000 AS DOUBLE) / 1000 AS deposit, CAST(id % 9000 AS DOUBLE) / 1000 AS reserve, CAST(id % 7 AS DOUBLE) / 1000 AS claimed_in_round,
@@ -68,9 +76,8 @@ def p12_gateway_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _touches(spark, sf_dir)
     milli = lambda c: f"cast({c} as bigint) * 1000000000000000"
     # where an answer is infinite, the word is written by hand, as it is wider than a number
-    sender = memo_of(t.where("id % 9 <> 3"), SENDER, BROKER, [milli("block_number % 9000"), "id % 1000", milli("id % 9000"), milli("id % 7")], "id % 11 = 6")
-    endless = sender.join(t.where("id % 5 = 0").select(hash_of(SENDER, BROKER).alias("call_hash"), F.lit(True).alias("endless")).distinct(), "call_hash", "left")
-    sender = endless.selectExpr("call_hash", "if(endless, concat(left(response, 66), repeat('f', 64), substring(response, 131)), response) as response")
+    endless = "if(id % 5 = 0, concat(left(_r, 66), repeat('f', 64), substring(_r, 131)), _r)"
+    sender = memo_of(t.where("id % 9 <> 3"), SENDER, BROKER, [milli("block_number % 9000"), "id % 1000", milli("id % 9000"), milli("id % 7")], "id % 11 = 6", endless)
     unlock = memo_of(t, UNLOCK, BROKER, ["id % 4 = 0"])
     return gateway_states(t, sender.unionByName(unlock)).selectExpr("gateway", "block_number", *dbl("deposit", "reserve", "claimed_in_round"), "withdraw_round", "unlock_in_progress")
 
@@ -147,7 +154,7 @@ def _cut_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cut_memo(rows: DataFrame) -> DataFrame:
     known = rows.where("round % 7 <> 2")
-    return memo_of(known, TRANSCODER, BONDING, ["if(round <= 3, 0, round)", "cast(raw_reward_cut as bigint) + if(round % 6 = 1, 1, 0)", "cast(raw_fee_share as bigint) + if(round % 6 = 4, 25, 0)"])
+    return memo_of(known, TRANSCODER, BONDING, ["if(round <= 3, 0, round)", "cast(raw_reward_cut as bigint) + if(round % 6 = 1, 1, 0)", "cast(raw_fee_share as bigint) + if(round % 6 = 4, 25, 0)"]).distinct()  # orders of one key can end two rounds in one block
 
 
 _CUTS = """c AS (SELECT *, CASE WHEN round % 7 = 2 THEN 'error' WHEN round <= 3 THEN 'skipped' WHEN round % 6 IN (1, 4) THEN 'changed' ELSE 'unchanged' END AS outcome,
